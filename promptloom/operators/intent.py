@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.intent import answer_intent, strong_intent, weak_intent
@@ -13,6 +13,11 @@ def undecided_requests(requests: DataFrame, text: str = "text") -> DataFrame:
     return requests.filter(strong_intent(text).isNull())
 
 
+def resolve_intent(strong: Column, answer: Column, weak: Column) -> Column:
+    """Strong keywords decide, then the model's answer, then the weak keywords."""
+    return F.coalesce(strong, answer_intent(answer), weak)
+
+
 def classify_intent(
     requests: DataFrame, answers: DataFrame, key: str = "request_id", text: str = "text"
 ) -> DataFrame:
@@ -21,15 +26,14 @@ def classify_intent(
     Keywords decide in the scan. Only the undecided rows' key and weak vote reach the join with
     ``answers`` (key, answer; one row per key); request texts are never shuffled.
     """
-    strong = strong_intent(text)
-    decided = requests.select(key, strong.alias("intent"), F.lit("strong").alias("decided_by")).filter(
-        F.col("intent").isNotNull()
-    )
+    decided = requests.select(
+        key, strong_intent(text).alias("intent"), F.lit("strong").alias("decided_by")
+    ).filter(F.col("intent").isNotNull())
     voted = undecided_requests(requests, text).select(key, weak_intent(text).alias("weak"))
-    model = answer_intent("answer")
+    answered = answer_intent("answer").isNotNull()
     joined = voted.join(answers.select(key, "answer"), key, "left").select(
         key,
-        F.coalesce(model, F.col("weak")).alias("intent"),
-        F.when(model.isNotNull(), "model").otherwise(F.lit("weak")).alias("decided_by"),
+        resolve_intent(F.lit(None), F.col("answer"), F.col("weak")).alias("intent"),
+        F.when(answered, "model").otherwise(F.lit("weak")).alias("decided_by"),
     )
     return decided.unionByName(joined)

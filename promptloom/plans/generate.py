@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
+from promptloom.functions.intent import strong_intent, weak_intent
 from promptloom.functions.models import Pricing, short_model
 from promptloom.functions.text import decompose_prompt, perform_prompt
 from promptloom.functions.tokens import compress_struct
 from promptloom.operators.conversation import extract_requirements
 from promptloom.operators.grouping import ordered_text
-from promptloom.operators.intent import classify_intent
+from promptloom.operators.intent import resolve_intent
 from promptloom.operators.ledger import savings_breakdown, usage_ledger, usage_per_subtask
 from promptloom.operators.planning import plan_savings, route, subtask_outcome
 
@@ -22,19 +23,22 @@ from promptloom.operators.planning import plan_savings, route, subtask_outcome
 def generate_requests(
     turns: DataFrame, answers: DataFrame, ratio: float = V.DEFAULT_PRESERVE_RATIO
 ) -> DataFrame:
-    """Conversations to next model requests.
+    """Conversations to next model requests, ``(request_id, part, ...)``.
 
     Summary, compressed summary with statistics, intent, and the prompt that the intent calls for.
-    ``answers`` is ``(request_id, answer)`` with ``request_id`` the conversation.
+    ``answers`` is ``(request_id, answer)`` with ``request_id`` the conversation. Each part of a
+    summary (see :func:`extract_requirements`) is a request of its own.
     """
     summaries = extract_requirements(turns).withColumnRenamed("conv_id", "request_id")
-    intents = classify_intent(
-        summaries.filter(F.col("part") == F.min("part").over(_first_part())), answers, text="summary"
-    )
-    prompts = summaries.select(
-        "request_id", "part", "summary", compress_struct("summary", ratio).alias("_c")
-    ).select("request_id", "part", "summary", "_c.*")
-    return prompts.join(intents.select("request_id", "intent"), "request_id").withColumn(
+    keys = ["request_id", "part", "summary"]
+    voted = summaries.select(
+        *keys,
+        compress_struct("summary", ratio).alias("_c"),
+        strong_intent("summary").alias("_strong"),
+        weak_intent("summary").alias("_weak"),
+    ).join(answers.select("request_id", "answer"), "request_id", "left")
+    intent = resolve_intent(F.col("_strong"), F.col("answer"), F.col("_weak"))
+    return voted.select(*keys, "_c.*", intent.alias("intent")).withColumn(
         "prompt",
         F.when(F.col("intent") == "perform", perform_prompt("summary", "compressed")).otherwise(
             decompose_prompt("compressed")
@@ -42,12 +46,6 @@ def generate_requests(
     )
 
 
-def _first_part():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("request_id")
-
-
 @dataclass(frozen=True)
 class RunTables:
     """The tables of a set of build runs, each a lazy DataFrame."""
@@ -101,19 +99,19 @@ def run_report(tables: RunTables) -> DataFrame:
     )
 
 
-def _event(df: DataFrame, stage: int, order: Column, name: str, **fields: Column) -> DataFrame:
+def _event(df: DataFrame, step: int, order: Column, name: str, **fields: Column) -> DataFrame:
     payload = F.struct(F.lit(name).alias("event"), *[c.alias(n) for n, c in fields.items()])
     return df.select(
         "run_id",
-        F.lit(stage).alias("stage"),
+        F.lit(step).alias("stage"),
         order.cast("bigint").alias("part"),
         F.lit(name).alias("event"),
         F.to_json(payload).alias("payload"),
     )
 
 
-def _status(df: DataFrame, stage: int, name: str, message: Column) -> DataFrame:
-    return _event(df, stage, F.lit(0), "router_status", stage=F.lit(name), message=message)
+def _status(df: DataFrame, step: int, name: str, message: Column) -> DataFrame:
+    return _event(df, step, F.lit(0), "router_status", stage=F.lit(name), message=message)
 
 
 def _object_list(rows: DataFrame, order: str, struct: Column) -> DataFrame:
@@ -122,7 +120,7 @@ def _object_list(rows: DataFrame, order: str, struct: Column) -> DataFrame:
 
 
 def _list_event(
-    lists: DataFrame, totals: DataFrame, stage: int, name: str, list_name: str, **fields: Column
+    lists: DataFrame, totals: DataFrame, step: int, name: str, list_name: str, **fields: Column
 ) -> DataFrame:
     """Event with a list field; a run with several parts has one event per part."""
     rest = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
@@ -130,7 +128,7 @@ def _list_event(
         totals.join(lists, "run_id", "left")
         .select(
             "run_id",
-            F.lit(stage).alias("stage"),
+            F.lit(step).alias("stage"),
             F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
             F.lit(name).alias("event"),
             F.concat(
@@ -178,10 +176,10 @@ def run_events(tables: RunTables) -> DataFrame:
         tables.savings.drop("subtask_count"), "run_id", "left"
     )
 
-    def updates(stage: int, status: Column) -> DataFrame:
+    def updates(step: int, status: Column) -> DataFrame:
         return _event(
             tables.outcomes,
-            stage,
+            step,
             F.col("position"),
             "subtask_update",
             id=F.col("id"),

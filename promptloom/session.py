@@ -23,24 +23,24 @@ def build_session(app_name: str = "promptloom", **settings: str) -> SparkSession
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names for written state.
+def shared_folder(spark: SparkSession, default: str | None = None) -> str:
+    """The shared folder the cluster names for written state; ``default`` where none is named.
 
-    It has to be set: state in a machine-local folder would be lost with its executor.
+    Without either this fails: state in a machine-local folder would be lost with its executor.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or default
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     return folder.rstrip("/")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
+def new_folder(spark: SparkSession, name: str, default: str | None = None) -> str:
     """Path of a not yet existing folder under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark, default)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, default: str | None = None) -> DataFrame:
     """Write a result that several queries read to the shared folder, and read it back."""
-    path = new_folder(df.sparkSession, name)
+    path = new_folder(df.sparkSession, name, default)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

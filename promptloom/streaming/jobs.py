@@ -9,20 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from promptloom.functions import fixed_values as V
 from promptloom.functions.tokens import Scorer
 from promptloom.operators.compression import compress
 from promptloom.operators.conversation import completion_aggregates, completion_flags, with_complete
 from promptloom.operators.grouping import ordered_text
-from promptloom.operators.logs import call_usage, cloud_chunks
+from promptloom.operators.logs import call_usage, cloud_chunks, decode_frames
 from promptloom.operators.run_state import data_events
-from promptloom.operators.logs import decode_frames
-from promptloom.session import new_folder
-
-
-def _watermarked(stream: DataFrame, event_time: str | None, delay: str) -> DataFrame:
-    return stream.withWatermark(event_time, delay) if event_time else stream
 
 
 def compress_stream(
@@ -78,24 +73,20 @@ def run_to_table(
     )
 
 
-def latest_rows(spark: SparkSession, path: str, keys: list[str], schema) -> DataFrame:
+def latest_rows(spark: SparkSession, path: str, keys: list[str], schema: StructType) -> DataFrame:
     """Rows of the newest batch of every key; all rows when no keys are named."""
-    written = spark.read.option("basePath", path).schema(schema.add("batch_id", "bigint")).parquet(path)
+    with_batch = StructType([*schema.fields, StructField("batch_id", LongType())])
+    written = spark.read.option("basePath", path).schema(with_batch).parquet(path)
     if not keys:
         return written.drop("batch_id")
-    newest = written.groupBy(*keys).agg(F.max("batch_id").alias("_newest"))
-    same_key = [written[k].eqNullSafe(newest[k]) for k in keys]
-    return written.join(
-        newest, [*same_key, written["batch_id"] == newest["_newest"]], "left_semi"
-    ).drop("batch_id")
+    newest = written.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    same = [written[k].eqNullSafe(newest[k]) for k in [*keys, "batch_id"]]
+    return written.join(newest, same, "left_semi").drop("batch_id")
 
 
-def drain(stream: DataFrame, name: str, keys: list[str], output_mode: str = "update") -> DataFrame:
+def drain(stream: DataFrame, folder: str, keys: list[str], output_mode: str = "update") -> DataFrame:
     """Run a stream over everything that has arrived and return its current rows."""
     spark = stream.sparkSession
-    folder = new_folder(spark, name)
     query = run_to_table(stream, f"{folder}/rows", f"{folder}/checkpoint", output_mode)
     query.awaitTermination()
-    if query.exception() is not None:
-        raise query.exception()
     return latest_rows(spark, f"{folder}/rows", keys, stream.schema)
