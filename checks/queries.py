@@ -297,7 +297,46 @@ def run_report(spark, sf_dir):
 
 
 def run_events(spark, sf_dir):
-    return generate.run_events(_tables(spark, sf_dir, CLOUD))
+    events = generate.run_events(_tables(spark, sf_dir, CLOUD))
+    planned = "array<struct<id:bigint,title:string,estimatedTokens:bigint,model:string,status:string>>"
+    used = "array<struct<id:bigint,title:string,model:string,inputTokens:bigint,outputTokens:bigint>>"
+    body = F.from_json(
+        "payload",
+        "struct<id:bigint,title:string,status:string,model:string,baselineModel:string,message:string,"
+        "totalEstimatedTokens:bigint,realTotalTokens:bigint,savingsVsSingleCall:bigint,"
+        "realInputTokens:bigint,realOutputTokens:bigint,realCostUnits:double,realTotalCostUsd:double,"
+        "totalSavingUsd:double,savingsVsSingleCallPct:double,savingsPct:double,subtaskCount:bigint,"
+        f"subtasks:{planned},perSubtask:{used}>",
+    )
+
+    def listed(column, *fields):
+        return F.array_join(
+            F.transform(column, lambda t: F.concat_ws("|", *[t[f].cast("string") for f in fields])), ";"
+        )
+
+    return events.withColumn("b", body).select(
+        "run_id",
+        "stage",
+        "part",
+        "event",
+        "b.id",
+        "b.title",
+        "b.status",
+        F.coalesce("b.model", "b.baselineModel").alias("model"),
+        "b.message",
+        F.coalesce("b.totalEstimatedTokens", "b.realTotalTokens").alias("total_tokens"),
+        F.col("b.savingsVsSingleCall").alias("saved_tokens"),
+        F.col("b.realInputTokens").alias("input_tokens"),
+        F.col("b.realOutputTokens").alias("output_tokens"),
+        F.col("b.realCostUnits").alias("cost_units"),
+        F.coalesce("b.realTotalCostUsd", "b.totalSavingUsd").alias("cost_usd"),
+        F.coalesce("b.savingsVsSingleCallPct", "b.savingsPct").alias("share"),
+        F.col("b.subtaskCount").alias("subtask_count"),
+        F.coalesce(
+            listed("b.subtasks", "id", "title", "estimatedTokens", "model", "status"),
+            listed("b.perSubtask", "id", "title", "model", "inputTokens", "outputTokens"),
+        ).alias("listed"),
+    )
 
 
 def generate_requests(spark, sf_dir):

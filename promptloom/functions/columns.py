@@ -48,3 +48,35 @@ def count_contained(text: Column, phrases: Sequence[str]) -> Column:
 def text_array(values: Sequence[str]) -> Column:
     """A literal array of strings."""
     return F.array(*[F.lit(v) for v in values])
+
+
+# Multiplying by 2 ** 27 + 1 splits a double into two halves whose products are exact.
+_SPLIT = 134217729.0
+
+
+def round_exact(value: Column | str, digits: int, ties_up: bool = False) -> Column:
+    """Round a double by its exact binary value, ties to even (or up).
+
+    The built-in ``round`` works on the shortest decimal form instead, which turns 2.195 (a little
+    less in binary) into 2.2 rather than 2.19.
+    """
+    power = float(10**digits)
+
+    def halves(a: Column) -> Column:
+        wide = a * _SPLIT
+        high = wide - (wide - a)
+        return F.struct(
+            a.alias("a"), high.alias("high"), (a - high).alias("low"), F.floor(a * power).alias("n")
+        )
+
+    def nearest(h: Column) -> Column:
+        above = (h["high"] * (2 * power) - (h["n"] * 2 + 1)) + h["low"] * (2 * power)
+        tie = F.lit(True) if ties_up else h["n"] % 2 == 1
+        up = (above > 0) | ((above == 0) & tie)
+        return (h["n"] + up.cast("int")) / power
+
+    value = as_column(value).cast("double")
+    return let(
+        value,
+        lambda v: F.when(v < 0, -let(let(-v, halves), nearest)).otherwise(let(let(v, halves), nearest)),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
-from promptloom.functions.columns import as_column, contains_any, let, strip
+from promptloom.functions.columns import as_column, contains_any, let, round_exact, strip
 
 _WORD_START = rf"(?<![{V.WORD}])"
 _WORD_END = rf"(?![{V.WORD}])"
@@ -159,6 +159,6 @@ def format_usd(amount: Column | str) -> Column:
     amount = as_column(amount)
     return (
         F.when(amount == 0, F.lit("$0"))
-        .when(amount >= 0.01, F.format_string("$%.4f", amount))
-        .when(amount.isNotNull(), F.format_string("$%.6f", amount))
+        .when(amount >= 0.01, F.format_string("$%.4f", round_exact(amount, 4, ties_up=True)))
+        .when(amount.isNotNull(), F.format_string("$%.6f", round_exact(amount, 6, ties_up=True)))
     )

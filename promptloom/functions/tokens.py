@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
-from promptloom.functions.columns import as_column, is_blank, let, text_array
+from promptloom.functions.columns import as_column, is_blank, let, round_exact, text_array
 
 #: (token, index, total) -> score, all columns.
 Scorer = Callable[[Column, Column, Column], Column]
@@ -202,12 +202,12 @@ def reconstruct(kept: Column) -> Column:
 
 def compression_ratio(original: Column, compressed: Column) -> Column:
     """Share of tokens dropped, 4 digits."""
-    return F.when(original > 0, F.round(1 - compressed / original, 4)).otherwise(F.lit(0.0))
+    return F.when(original > 0, round_exact(1 - compressed / original, 4)).otherwise(F.lit(0.0))
 
 
 def compression_multiplier(original: Column, compressed: Column) -> Column:
     """How many times smaller the prompt became, 2 digits."""
-    return F.when(compressed > 0, F.round(original / compressed, 2)).otherwise(F.lit(1.0))
+    return F.when(compressed > 0, round_exact(original / compressed, 2)).otherwise(F.lit(1.0))
 
 
 def tagged_tokens(
@@ -251,6 +251,10 @@ def compress_struct(
     def finish(tagged: Column) -> Column:
         tokens, scores, threshold = tagged["tokens"], tagged["scores"], tagged["threshold"]
 
+        def score(value: Column) -> Column:
+            # Default scores have two digits already.
+            return value if scorer is None else round_exact(value, 2)
+
         def survives(token: Column, i: Column) -> Column:
             return (F.get(scores, i) >= threshold) | is_skeleton(token)
 
@@ -270,7 +274,7 @@ def compress_struct(
                         lambda t, i: F.struct(
                             t.alias("text"),
                             survives(t, i).alias("kept"),
-                            F.round(F.get(scores, i), 2).alias("score"),
+                            score(F.get(scores, i)).alias("score"),
                         ),
                     ).alias("tokens")
                 )

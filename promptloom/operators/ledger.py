@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptloom.functions.columns import round_exact
 from promptloom.functions.models import Pricing, short_model
 
 
@@ -58,10 +59,10 @@ def usage_ledger(outcomes: DataFrame, decomposition: DataFrame, pricing: Pricing
         "real_input_tokens",
         "real_output_tokens",
         (i + o).alias("real_total_tokens"),
-        F.round("_units", 1).alias("real_cost_units"),
-        F.round("_in_usd", 6).alias("real_input_cost_usd"),
-        F.round("_out_usd", 6).alias("real_output_cost_usd"),
-        F.round(F.col("_in_usd") + F.col("_out_usd"), 6).alias("real_total_cost_usd"),
+        round_exact("_units", 1).alias("real_cost_units"),
+        round_exact("_in_usd", 6).alias("real_input_cost_usd"),
+        round_exact("_out_usd", 6).alias("real_output_cost_usd"),
+        round_exact(F.col("_in_usd") + F.col("_out_usd"), 6).alias("real_total_cost_usd"),
         (F.col("_in_usd") + F.col("_out_usd")).alias("paid_usd"),
     )
 
@@ -77,7 +78,7 @@ def usage_per_subtask(outcomes: DataFrame, pricing: Pricing) -> DataFrame:
         short_model("assigned_model").alias("model"),
         i.alias("input_tokens"),
         o.alias("output_tokens"),
-        F.round(i * in_price + o * out_price, 6).alias("cost_usd"),
+        round_exact(i * in_price + o * out_price, 6).alias("cost_usd"),
     )
 
 
@@ -119,14 +120,14 @@ def savings_breakdown(ledger: DataFrame, pricing: Pricing, uncompressed: str | N
     return costs.select(
         "run_id",
         F.lit(pricing.provider).alias("provider"),
-        F.round(baseline, 6).alias("baseline_cost_usd"),
-        F.round(paid, 6).alias("actual_cost_usd"),
-        F.round(baseline - paid, 6).alias("total_saving_usd"),
-        F.when(baseline != 0, F.round((baseline - paid) / baseline, 4))
+        round_exact(baseline, 6).alias("baseline_cost_usd"),
+        round_exact(paid, 6).alias("actual_cost_usd"),
+        round_exact(baseline - paid, 6).alias("total_saving_usd"),
+        F.when(baseline != 0, round_exact((baseline - paid) / baseline, 4))
         .otherwise(F.lit(0.0))
         .alias("savings_pct"),
-        F.round("_compression", 6).alias("compression_saving_usd"),
-        F.round(F.col("_same_tokens") - paid, 6).alias("routing_saving_usd"),
+        round_exact("_compression", 6).alias("compression_saving_usd"),
+        round_exact(F.col("_same_tokens") - paid, 6).alias("routing_saving_usd"),
         short_model(F.lit(pricing.heavy.model)).alias("baseline_model"),
     )
 
@@ -151,5 +152,5 @@ def savings_shares(savings: DataFrame) -> DataFrame:
         "run_id",
         (F.col("compression_saving_usd") / total * 100).alias("compression_pct"),
         (F.col("routing_saving_usd") / total * 100).alias("routing_pct"),
-        F.when(local, F.lit(100.0)).otherwise(F.round(F.col("savings_pct") * 100, 0)).alias("headline_pct"),
+        F.when(local, F.lit(100.0)).otherwise(round_exact(F.col("savings_pct") * 100, 0, ties_up=True)).alias("headline_pct"),
     )

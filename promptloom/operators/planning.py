@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
-from promptloom.functions.columns import as_column, let, strip
+from promptloom.functions.columns import as_column, let, round_exact, strip
 from promptloom.functions.models import Pricing, short_model
 from promptloom.functions.responses import json_elements
 from promptloom.operators.grouping import ordered_text
@@ -146,7 +146,7 @@ def plan_savings(routed: DataFrame, pricing: Pricing) -> DataFrame:
     return costs.select(
         "*",
         equivalent.alias("savings_token_equiv"),
-        F.when(F.col("baseline_cost") != 0, F.round(saved / F.col("baseline_cost"), 4))
+        F.when(F.col("baseline_cost") != 0, round_exact(saved / F.col("baseline_cost"), 4))
         .otherwise(F.lit(0.0))
         .alias("savings_pct"),
     )
