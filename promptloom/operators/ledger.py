@@ -1,7 +1,8 @@
 """Token and cost accounting per run.
 
 Token counts are summed as integers per tier and priced once per run, so a result does not depend on
-the order in which partitions are added up.
+the order in which partitions are added up. Everything known about a run comes out of one aggregation
+(:func:`run_totals`); plan saving, ledger and saving breakdown are projections of it.
 """
 
 from __future__ import annotations
@@ -12,58 +13,160 @@ from pyspark.sql import functions as F
 from promptloom.functions.columns import round_exact
 from promptloom.functions.models import Pricing, short_model
 
+_PLAN_SUMS = ("estimated_tokens", "heavy_estimated_tokens")
+_USAGE_SUMS = ("input_tokens", "output_tokens", "heavy_input_tokens", "heavy_output_tokens")
 
-def usage_ledger(outcomes: DataFrame, decomposition: DataFrame, pricing: Pricing) -> DataFrame:
-    """Real usage and cost per run: the decomposition call (light model) plus every subtask.
 
-    ``decomposition``: ``(run_id, input_tokens, output_tokens)``. Runs without subtasks are kept.
+def _heavy_only(column: str, pricing: Pricing) -> Column:
+    return F.when(pricing.is_heavy("assigned_model"), F.col(column)).otherwise(0).cast("bigint")
+
+
+def _plan_rows(routed: DataFrame, pricing: Pricing) -> list[Column]:
+    return [
+        F.col("estimated_tokens").cast("bigint").alias("estimated_tokens"),
+        _heavy_only("estimated_tokens", pricing).alias("heavy_estimated_tokens"),
+    ]
+
+
+def _usage_rows(pricing: Pricing) -> list[Column]:
+    return [
+        F.col("real_input_tokens").alias("input_tokens"),
+        F.col("real_output_tokens").alias("output_tokens"),
+        _heavy_only("real_input_tokens", pricing).alias("heavy_input_tokens"),
+        _heavy_only("real_output_tokens", pricing).alias("heavy_output_tokens"),
+    ]
+
+
+def _total(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    return rows.groupBy("run_id").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _decomposition_rows(decomposition: DataFrame, zeros: tuple[str, ...]) -> DataFrame:
+    """The planning call of each run as one more call on the light model."""
+    zero = F.lit(0).cast("bigint")
+    return decomposition.select(
+        "run_id",
+        F.coalesce("input_tokens", zero).cast("bigint").alias("input_tokens"),
+        F.coalesce("output_tokens", zero).cast("bigint").alias("output_tokens"),
+        F.coalesce("uncompressed_tokens", zero).cast("bigint").alias("uncompressed_tokens"),
+        *[zero.alias(z) for z in zeros],
+    )
+
+
+def run_totals(outcomes: DataFrame, decomposition: DataFrame, pricing: Pricing) -> DataFrame:
+    """Integer totals of each run: planned, used (both also for the heavy model) and uncompressed.
+
+    ``decomposition``: ``(run_id, input_tokens, output_tokens, uncompressed_tokens)``, one row per
+    run. Runs without subtasks are kept.
     """
     calls = outcomes.select(
         "run_id",
-        pricing.is_heavy("assigned_model").alias("heavy"),
-        F.col("real_input_tokens").alias("i"),
-        F.col("real_output_tokens").alias("o"),
-        F.lit(1).alias("subtask"),
-    ).unionByName(
-        decomposition.select(
-            "run_id",
-            F.lit(False).alias("heavy"),
-            F.coalesce("input_tokens", F.lit(0)).cast("bigint").alias("i"),
-            F.coalesce("output_tokens", F.lit(0)).cast("bigint").alias("o"),
-            F.lit(0).alias("subtask"),
-        )
-    )
-    totals = calls.groupBy("run_id").agg(
-        F.sum("i").alias("real_input_tokens"),
-        F.sum("o").alias("real_output_tokens"),
-        F.sum(F.when(F.col("heavy"), F.col("i")).otherwise(0)).alias("_hi"),
-        F.sum(F.when(F.col("heavy"), F.col("o")).otherwise(0)).alias("_ho"),
-        F.sum("subtask").alias("subtask_count"),
+        *_plan_rows(outcomes, pricing),
+        *_usage_rows(pricing),
+        F.lit(1).cast("bigint").alias("subtask_count"),
+        F.lit(0).cast("bigint").alias("uncompressed_tokens"),
     )
-    i, o, hi, ho = (
-        F.col(c) for c in ("real_input_tokens", "real_output_tokens", "_hi", "_ho")
-    )
-    (light_in, light_out), (heavy_in, heavy_out) = (
-        pricing.paid_usd(pricing.light),
-        pricing.paid_usd(pricing.heavy),
+    names = (*_PLAN_SUMS, *_USAGE_SUMS, "subtask_count", "uncompressed_tokens")
+    zeros = (*_PLAN_SUMS, "heavy_input_tokens", "heavy_output_tokens", "subtask_count")
+    return _total(calls.unionByName(_decomposition_rows(decomposition, zeros)), names)
+
+
+def _saving_fields(pricing: Pricing) -> list[Column]:
+    total, heavy_total = F.col("estimated_tokens"), F.col("heavy_estimated_tokens")
+    heavy = pricing.heavy.weight
+    baseline = total * heavy
+    routed = (total - heavy_total) * pricing.light.weight + heavy_total * heavy
+    equivalent = F.bround((baseline - routed) / heavy, 0) if heavy else F.lit(0)
+    return [
+        total.alias("total_estimated_tokens"),
+        baseline.alias("baseline_cost"),
+        routed.alias("routed_cost"),
+        equivalent.cast("bigint").alias("savings_token_equiv"),
+        F.when(baseline != 0, round_exact((baseline - routed) / baseline, 4))
+        .otherwise(F.lit(0.0))
+        .alias("savings_pct"),
+    ]
+
+
+def plan_savings(routed: DataFrame, pricing: Pricing) -> DataFrame:
+    """Estimated saving of routing, per run, against one run on the heavy model."""
+    rows = routed.select(
+        "run_id", *_plan_rows(routed, pricing), F.lit(1).cast("bigint").alias("subtask_count")
     )
-    priced = totals.select(
-        "*",
+    totals = _total(rows, (*_PLAN_SUMS, "subtask_count"))
+    return totals.select("run_id", "subtask_count", *_saving_fields(pricing))
+
+
+def _cost_fields(pricing: Pricing) -> list[Column]:
+    """Unrounded cost units, input cost and output cost of a run."""
+    i, o, hi, ho = (F.col(n) for n in _USAGE_SUMS)
+    light_in, light_out = pricing.paid_usd(pricing.light)
+    heavy_in, heavy_out = pricing.paid_usd(pricing.heavy)
+    return [
         ((i - hi + o - ho) * pricing.light.weight + (hi + ho) * pricing.heavy.weight).alias("_units"),
         ((i - hi) * light_in + hi * heavy_in).alias("_in_usd"),
         ((o - ho) * light_out + ho * heavy_out).alias("_out_usd"),
-    )
-    return priced.select(
-        "run_id",
-        "subtask_count",
-        "real_input_tokens",
-        "real_output_tokens",
+    ]
+
+
+def _ledger_fields() -> list[Column]:
+    i, o = F.col("input_tokens"), F.col("output_tokens")
+    return [
+        i.alias("real_input_tokens"),
+        o.alias("real_output_tokens"),
         (i + o).alias("real_total_tokens"),
         round_exact("_units", 1).alias("real_cost_units"),
         round_exact("_in_usd", 6).alias("real_input_cost_usd"),
         round_exact("_out_usd", 6).alias("real_output_cost_usd"),
         round_exact(F.col("_in_usd") + F.col("_out_usd"), 6).alias("real_total_cost_usd"),
-        (F.col("_in_usd") + F.col("_out_usd")).alias("paid_usd"),
+    ]
+
+
+def _breakdown_fields(pricing: Pricing) -> list[Column]:
+    price_in, price_out = pricing.cloud_usd(pricing.heavy)
+    real_in, real_out = F.col("input_tokens"), F.col("output_tokens")
+    paid = F.col("_in_usd") + F.col("_out_usd")
+    before = F.greatest(F.col("uncompressed_tokens"), real_in)
+    baseline = before * price_in + real_out * price_out
+    same_tokens = real_in * price_in + real_out * price_out
+    return [
+        F.lit(pricing.provider).alias("provider"),
+        round_exact(baseline, 6).alias("baseline_cost_usd"),
+        round_exact(paid, 6).alias("actual_cost_usd"),
+        round_exact(baseline - paid, 6).alias("total_saving_usd"),
+        F.when(baseline != 0, round_exact((baseline - paid) / baseline, 4))
+        .otherwise(F.lit(0.0))
+        .alias("savings_pct"),
+        round_exact((before - real_in) * price_in, 6).alias("compression_saving_usd"),
+        round_exact(same_tokens - paid, 6).alias("routing_saving_usd"),
+        short_model(F.lit(pricing.heavy.model)).alias("baseline_model"),
+    ]
+
+
+def _priced(totals: DataFrame, pricing: Pricing) -> DataFrame:
+    return totals.select("*", *_cost_fields(pricing))
+
+
+def usage_ledger(totals: DataFrame, pricing: Pricing) -> DataFrame:
+    """Real usage and cost per run: the planning call (light model) plus every subtask."""
+    return _priced(totals, pricing).select("run_id", "subtask_count", *_ledger_fields())
+
+
+def savings_breakdown(totals: DataFrame, pricing: Pricing) -> DataFrame:
+    """Saving per run against one uncompressed call to the heavy cloud model, by lever."""
+    return _priced(totals, pricing).select("run_id", *_breakdown_fields(pricing))
+
+
+def run_report(totals: DataFrame, pricing: Pricing) -> DataFrame:
+    """One row per run: plan totals, real usage and savings, in one projection."""
+    plan = {"total_estimated_tokens": None, "savings_token_equiv": None, "savings_pct": "plan_savings_pct"}
+    priced = _priced(totals, pricing).withColumn("_plan", F.struct(*_saving_fields(pricing)))
+    return priced.select(
+        "run_id",
+        "subtask_count",
+        *[F.col(f"_plan.{n}").alias(alias or n) for n, alias in plan.items()],
+        *_ledger_fields(),
+        *_breakdown_fields(pricing),
     )
 
 
@@ -99,39 +202,6 @@ def usage_perform(responses: DataFrame) -> DataFrame:
     )
 
 
-def savings_breakdown(ledger: DataFrame, pricing: Pricing, uncompressed: str | None = None) -> DataFrame:
-    """Saving per run against one uncompressed call to the heavy cloud model, by lever.
-
-    ``uncompressed`` names the ledger column with the prompt's token count before compression.
-    """
-    price_in, price_out = pricing.cloud_usd(pricing.heavy)
-    real_in, real_out, paid = (
-        F.col(c) for c in ("real_input_tokens", "real_output_tokens", "paid_usd")
-    )
-    before: Column = F.coalesce(F.col(uncompressed), F.lit(0)) if uncompressed else F.lit(0)
-    costs = ledger.select(
-        "run_id",
-        paid,
-        (F.greatest(before, real_in) * price_in + real_out * price_out).alias("_baseline"),
-        (real_in * price_in + real_out * price_out).alias("_same_tokens"),
-        ((F.greatest(before, real_in) - real_in) * price_in).alias("_compression"),
-    )
-    baseline = F.col("_baseline")
-    return costs.select(
-        "run_id",
-        F.lit(pricing.provider).alias("provider"),
-        round_exact(baseline, 6).alias("baseline_cost_usd"),
-        round_exact(paid, 6).alias("actual_cost_usd"),
-        round_exact(baseline - paid, 6).alias("total_saving_usd"),
-        F.when(baseline != 0, round_exact((baseline - paid) / baseline, 4))
-        .otherwise(F.lit(0.0))
-        .alias("savings_pct"),
-        round_exact("_compression", 6).alias("compression_saving_usd"),
-        round_exact(F.col("_same_tokens") - paid, 6).alias("routing_saving_usd"),
-        short_model(F.lit(pricing.heavy.model)).alias("baseline_model"),
-    )
-
-
 def usage_shares(ledger: DataFrame) -> DataFrame:
     """Input and output share of each run's cost, in percent (of 1 when it cost nothing)."""
     cost = F.col("real_total_cost_usd")
