@@ -190,12 +190,14 @@ def fixture_sql(name: str) -> str:
     )
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def fixture(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = False) -> DataFrame:
     """The fixture as a DataFrame over the parquet tables."""
-    parts = [
-        spread(read_table(spark, f"{sf_dir}/{table}.parquet")).selectExpr(*exprs)
-        for table, exprs in FIXTURES[name]
-    ]
+    parts = []
+    for table, exprs in FIXTURES[name]:
+        scan = read_table(spark, f"{sf_dir}/{table}.parquet")
+        used = [c for c in scan.columns if any(c in e for e in exprs)]
+        scan = spread(scan.select(*used)) if spread_out else scan
+        parts.append(scan.selectExpr(*exprs))
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

@@ -15,7 +15,7 @@ from promptloom.functions import tokens as K
 from promptloom.functions.columns import let
 from promptloom.functions.intent import intent_question, strong_intent
 from promptloom.functions.models import default_pricing, resolve_provider, short_model
-from promptloom.functions.responses import data_frame, finish_frame, text_frame
+from promptloom.functions.responses import cloud_fields, data_frame, finish_frame, text_frame
 from promptloom.operators import compression, conversation, inference, intent, ledger, logs, planning, run_state
 from promptloom.plans import generate
 from promptloom.session import new_folder
@@ -29,6 +29,10 @@ CLOUD = default_pricing("bedrock")
 SYSTEM = "You scope requests."
 
 
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "prompts", spread_out=True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
 
@@ -37,7 +41,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_count(spark, sf_dir):
-    return fixture(spark, sf_dir, "prompts").select("id", T.word_count("text").alias("words"))
+    return prompts(spark, sf_dir).select("id", T.word_count("text").alias("words"))
 
 
 def tokenize(spark, sf_dir):
@@ -45,7 +49,7 @@ def tokenize(spark, sf_dir):
         K.tokenize("text"),
         lambda k: F.struct(F.size(k).alias("n"), F.array_join(k, " ").alias("tokens")),
     )
-    return fixture(spark, sf_dir, "prompts").select("id", tokens.alias("t")).select("id", "t.*")
+    return prompts(spark, sf_dir).select("id", tokens.alias("t")).select("id", "t.*")
 
 
 def _centis(scores):
@@ -56,12 +60,12 @@ def _centis(scores):
 
 def score_tokens(spark, sf_dir):
     scores = let(K.tokenize("text"), lambda k: K.score_tokens(k))
-    return fixture(spark, sf_dir, "prompts").select("id", _centis(scores).alias("scores"))
+    return prompts(spark, sf_dir).select("id", _centis(scores).alias("scores"))
 
 
 def key_boost(spark, sf_dir):
     scores = K.tagged_tokens("text")["scores"]
-    return fixture(spark, sf_dir, "prompts").select("id", _centis(scores).alias("scores"))
+    return prompts(spark, sf_dir).select("id", _centis(scores).alias("scores"))
 
 
 def length_scorer(token, index, total):
@@ -70,7 +74,7 @@ def length_scorer(token, index, total):
 
 
 def custom_scorer(spark, sf_dir):
-    out = fixture(spark, sf_dir, "prompts").transform(
+    out = prompts(spark, sf_dir).transform(
         compression.compress("text", 0.3, length_scorer)
     )
     return out.select("id", "compressed", "original_tokens", "compressed_tokens")
@@ -82,11 +86,11 @@ def keep_threshold(spark, sf_dir):
         K.tagged_tokens("text")["scores"],
         lambda s: F.struct(*[K.keep_threshold(s, r).alias(n) for n, r in ratios.items()]),
     )
-    return fixture(spark, sf_dir, "prompts").select("id", bound.alias("t")).select("id", "t.*")
+    return prompts(spark, sf_dir).select("id", bound.alias("t")).select("id", "t.*")
 
 
 def tag_tokens(spark, sf_dir):
-    detail = fixture(spark, sf_dir, "prompts").transform(compression.compress_detailed("text", 0.3))
+    detail = prompts(spark, sf_dir).transform(compression.compress_detailed("text", 0.3))
     return detail.select(
         "id",
         F.array_join(F.transform("tokens", lambda t: t["kept"].cast("int").cast("string")), "").alias("kept"),
@@ -94,22 +98,22 @@ def tag_tokens(spark, sf_dir):
 
 
 def reconstruct(spark, sf_dir):
-    return fixture(spark, sf_dir, "prompts").select(
+    return prompts(spark, sf_dir).select(
         "id", let(K.tokenize("text"), K.reconstruct).alias("joined")
     )
 
 
 def compression_stats(spark, sf_dir):
-    out = fixture(spark, sf_dir, "prompts").transform(compression.compress("text", 0.29))
+    out = prompts(spark, sf_dir).transform(compression.compress("text", 0.29))
     return out.drop("compressed")
 
 
 def compress_prompt(spark, sf_dir):
-    return fixture(spark, sf_dir, "prompts").transform(compression.compress("text"))
+    return prompts(spark, sf_dir).transform(compression.compress("text"))
 
 
 def compress_detailed(spark, sf_dir):
-    out = fixture(spark, sf_dir, "prompts").transform(compression.compress_detailed("text", 0.55))
+    out = prompts(spark, sf_dir).transform(compression.compress_detailed("text", 0.55))
     scores = F.transform("tokens", lambda t: t["score"])
     dropped = F.transform(F.filter("tokens", lambda t: ~t["kept"]), lambda t: t["text"])
     return out.select(
@@ -237,7 +241,7 @@ def price_lookup(spark, sf_dir):
 
 
 def plan_savings(spark, sf_dir):
-    return planning.plan_savings(planning.route(fixture(spark, sf_dir, "tasks"), LOCAL), LOCAL)
+    return ledger.plan_savings(planning.route(fixture(spark, sf_dir, "tasks"), LOCAL), LOCAL)
 
 
 def _outcomes(spark, sf_dir, pricing):
@@ -254,8 +258,7 @@ def assemble_output(spark, sf_dir):
 
 
 def usage_ledger(spark, sf_dir):
-    outcomes = _outcomes(spark, sf_dir, CLOUD)
-    return ledger.usage_ledger(outcomes, decomposition(spark, sf_dir), CLOUD).drop("paid_usd")
+    return ledger.usage_ledger(_tables(spark, sf_dir, CLOUD).totals, CLOUD)
 
 
 def usage_per_subtask(spark, sf_dir):
@@ -276,15 +279,15 @@ def _tables(spark, sf_dir, pricing):
 
 
 def savings_breakdown(spark, sf_dir):
-    return _tables(spark, sf_dir, CLOUD).breakdown
+    return ledger.savings_breakdown(_tables(spark, sf_dir, CLOUD).totals, CLOUD)
 
 
 def usage_shares(spark, sf_dir):
-    return ledger.usage_shares(_tables(spark, sf_dir, CLOUD).ledger)
+    return ledger.usage_shares(usage_ledger(spark, sf_dir))
 
 
 def savings_shares(spark, sf_dir):
-    return ledger.savings_shares(_tables(spark, sf_dir, CLOUD).breakdown)
+    return ledger.savings_shares(savings_breakdown(spark, sf_dir))
 
 
 def fmt_usd(spark, sf_dir):
@@ -383,6 +386,24 @@ def request_payloads(spark, sf_dir):
     )
 
 
+def chat_requests(spark, sf_dir):
+    history = conversation.clean_history(fixture(spark, sf_dir, "turns"))
+    listed = inference.chat_requests(history, "local", "m:1", SYSTEM)
+    body = (
+        "struct<model:string,messages:array<struct<role:string,content:string>>,stream:boolean,"
+        "options:struct<num_predict:int>>"
+    )
+    lines = F.transform("r.messages", lambda m: F.concat(m["role"], F.lit("="), m["content"]))
+    return listed.select("conv_id", "part", F.from_json("request", body).alias("r")).select(
+        "conv_id",
+        "part",
+        "r.model",
+        "r.stream",
+        F.col("r.options.num_predict").alias("num_predict"),
+        F.array_join(lines, "|").alias("messages"),
+    )
+
+
 def echo_model(system: str, messages: str, model: str, max_tokens: int) -> tuple[str, int, int]:
     """A stand-in model: refuses questions about poems, else answers with what it was asked."""
     if "Poem" in messages:
@@ -413,10 +434,8 @@ def local_stream_tokens(spark, sf_dir):
 
 
 def cloud_tokens(spark, sf_dir):
-    chunks = fixture(spark, sf_dir, "chunks")
-    claude = logs.cloud_chunks(chunks).select("call_id", "seq", F.col("token").alias("claude_token"))
-    mistral = logs.cloud_chunks(chunks, "mistral").select("call_id", "seq", F.col("token").alias("mistral_token"))
-    return claude.join(mistral, ["call_id", "seq"])
+    fields = fixture(spark, sf_dir, "chunks").select("call_id", "seq", cloud_fields("chunk").alias("f"))
+    return fields.select("call_id", "seq", "f.claude_token", "f.mistral_token")
 
 
 def usage_extract(spark, sf_dir):
@@ -535,7 +554,7 @@ REGISTERED: tuple[Query, ...] = (
     model_labels, parse_plan, route_subtasks, price_lookup, plan_savings, subtask_outcome,
     assemble_output, usage_ledger, usage_per_subtask, usage_perform, savings_breakdown,
     usage_shares, savings_shares, fmt_usd, run_report, run_events, generate_requests,
-    request_payloads, infer_table, local_usage, local_stream_tokens, cloud_tokens, usage_extract,
+    request_payloads, chat_requests, infer_table, local_usage, local_stream_tokens, cloud_tokens, usage_extract,
     call_fold, frame_decode, frame_text, frame_encode, chunk16, run_state_report,
     run_state_subtasks, stream_compress, stream_call_usage, stream_call_text, stream_run_state,
     stream_phase_complete,

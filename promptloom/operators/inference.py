@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
 from promptloom.functions.columns import as_column
-from promptloom.functions.models import resolve_provider
+from promptloom.functions.models import is_local_provider, resolve_provider
+from promptloom.operators.grouping import span
 
 #: (system, messages_json, model, max_tokens) -> (text, input_tokens, output_tokens)
 ModelCall = Callable[[str, str, str, int], tuple[str, int, int]]
@@ -84,6 +85,36 @@ def request_table(
     )
 
 
+def chat_requests(
+    messages: DataFrame,
+    provider: str = "local",
+    model: str | None = None,
+    system: str = "",
+    max_tokens: int = V.CHAT_MAX_TOKENS,
+) -> DataFrame:
+    """Chat request bodies ``(conv_id, part, request)`` of message rows.
+
+    A conversation is one request; one that is longer than a span of turns has several parts, each
+    of them a request with the system prompt.
+    """
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    as_message = lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))
+    listed = (
+        messages.groupBy("conv_id", span("turn").alias("part"))
+        .agg(turns.alias("_turns"))
+        .withColumn("_messages", F.transform("_turns", as_message))
+    )
+    every = F.col("_messages")
+    if is_local_provider(provider):
+        if system:
+            leading = F.struct(F.lit("system").alias("role"), F.lit(system).alias("content"))
+            every = F.concat(F.array(leading), every)
+        request = local_payload(every, F.lit(model or V.LOCAL_HEAVY_MODEL), max_tokens, stream=True)
+    else:
+        request = cloud_payload(every, F.lit(system), max_tokens)
+    return listed.select("conv_id", "part", request.alias("request"))
+
+
 _RESULT = "text string, input_tokens bigint, output_tokens bigint, error string"
 
 

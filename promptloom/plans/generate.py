@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
+from promptloom.functions.columns import as_column, round_exact
 from promptloom.functions.intent import strong_intent, weak_intent
 from promptloom.functions.models import Pricing, short_model
 from promptloom.functions.text import decompose_prompt, perform_prompt
 from promptloom.functions.tokens import compress_struct
+from promptloom.operators import ledger
 from promptloom.operators.conversation import extract_requirements
-from promptloom.operators.grouping import ordered_text
+from promptloom.operators.grouping import span
 from promptloom.operators.intent import resolve_intent
-from promptloom.operators.ledger import savings_breakdown, usage_ledger, usage_per_subtask
-from promptloom.operators.planning import plan_savings, route, subtask_outcome
+from promptloom.operators.ledger import run_totals
+from promptloom.operators.planning import route, subtask_outcome
 
 
 def generate_requests(
@@ -50,12 +51,10 @@ def generate_requests(
 class RunTables:
     """The tables of a set of build runs, each a lazy DataFrame."""
 
+    pricing: Pricing
     routed: DataFrame
-    savings: DataFrame
     outcomes: DataFrame
-    ledger: DataFrame
-    per_subtask: DataFrame
-    breakdown: DataFrame
+    totals: DataFrame
 
 
 def run_tables(
@@ -65,152 +64,131 @@ def run_tables(
     pricing: Pricing,
     limit: int = V.ROUTING_TOKEN_LIMIT,
 ) -> RunTables:
-    """Route subtasks, fold in their responses and account for every run.
+    """Route subtasks, fold in their responses and total every run.
 
     ``tasks``: ``(run_id, position, id, title, prompt, estimated_tokens)``; ``decomposition``:
     ``(run_id, input_tokens, output_tokens, uncompressed_tokens)``, one row per run.
     """
     routed = route(tasks, pricing, limit)
     outcomes = subtask_outcome(routed, responses)
-    ledger = usage_ledger(outcomes, decomposition, pricing)
-    before = decomposition.select("run_id", "uncompressed_tokens")
-    breakdown = savings_breakdown(
-        ledger.join(before, "run_id", "left"), pricing, "uncompressed_tokens"
-    )
-    return RunTables(
-        routed,
-        plan_savings(routed, pricing),
-        outcomes,
-        ledger,
-        usage_per_subtask(outcomes, pricing),
-        breakdown,
-    )
+    return RunTables(pricing, routed, outcomes, run_totals(outcomes, decomposition, pricing))
 
 
 def run_report(tables: RunTables) -> DataFrame:
     """One row per run: plan totals, real usage and savings."""
-    plan = tables.savings.select(
-        "run_id", "total_estimated_tokens", "savings_token_equiv", F.col("savings_pct").alias("plan_savings_pct")
-    )
-    return (
-        tables.ledger.drop("paid_usd")
-        .join(plan, "run_id", "left")
-        .join(tables.breakdown, "run_id", "left")
-    )
+    return ledger.run_report(tables.totals, tables.pricing)
 
 
-def _event(df: DataFrame, step: int, order: Column, name: str, **fields: Column) -> DataFrame:
+def _event(stage: int, name: str, **fields: Column) -> Column:
     payload = F.struct(F.lit(name).alias("event"), *[c.alias(n) for n, c in fields.items()])
-    return df.select(
-        "run_id",
-        F.lit(step).alias("stage"),
-        order.cast("bigint").alias("part"),
-        F.lit(name).alias("event"),
-        F.to_json(payload).alias("payload"),
+    return F.struct(
+        F.lit(stage).alias("stage"), F.lit(name).alias("event"), F.to_json(payload).alias("payload")
     )
 
 
-def _status(df: DataFrame, step: int, name: str, message: Column) -> DataFrame:
-    return _event(df, step, F.lit(0), "router_status", stage=F.lit(name), message=message)
+def _list_event(stage: int, name: str, list_name: str, objects: Column, **fields: Column) -> Column:
+    """Event whose list field is already written as JSON text."""
+    rest = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
+    payload = F.concat(
+        F.lit(f'{{"event":"{name}","{list_name}":['), objects, F.lit("],"), F.substr(rest, F.lit(2))
+    )
+    return F.struct(F.lit(stage).alias("stage"), F.lit(name).alias("event"), payload.alias("payload"))
+
+
+def _status(stage: int, name: str, message: Column) -> Column:
+    return F.struct(
+        F.lit(stage).alias("stage"),
+        F.lit("router_status").alias("event"),
+        F.to_json(
+            F.struct(
+                F.lit("router_status").alias("event"), F.lit(name).alias("stage"), message.alias("message")
+            )
+        ).alias("payload"),
+    )
 
 
-def _object_list(rows: DataFrame, order: str, struct: Column) -> DataFrame:
-    """Structs of a run as JSON list text, cut into bounded parts (see ``ordered_text``)."""
-    return ordered_text(rows, ["run_id"], order, F.to_json(struct), "objects", separator=",")
+def _subtask_lists(outcomes: DataFrame, pricing: Pricing) -> DataFrame:
+    """Plan and usage objects of a run as JSON list text, in bounded parts (see ``ordered_text``)."""
+    in_price, out_price = pricing.usd_columns("assigned_model")
+    i, o = F.col("real_input_tokens"), F.col("real_output_tokens")
+    label = short_model("assigned_model")
+    planned = F.struct(
+        F.col("id"),
+        F.col("title"),
+        F.col("estimated_tokens").alias("estimatedTokens"),
+        label.alias("model"),
+        F.lit("pending").alias("status"),
+    )
+    used = F.struct(
+        F.col("id"),
+        F.col("title"),
+        label.alias("model"),
+        i.alias("inputTokens"),
+        o.alias("outputTokens"),
+        round_exact(i * in_price + o * out_price, 6).alias("costUsd"),
+    )
+    both = F.struct(F.to_json(planned).alias("planned"), F.to_json(used).alias("used"))
+    pieces = F.array_sort(F.collect_list(F.struct(F.col("position").alias("o"), both.alias("t"))))
 
+    def joined(field: str) -> Column:
+        return F.array_join(F.transform("pieces", lambda p: p["t"][field]), ",").alias(field)
 
-def _list_event(
-    lists: DataFrame, totals: DataFrame, step: int, name: str, list_name: str, **fields: Column
-) -> DataFrame:
-    """Event with a list field; a run with several parts has one event per part."""
-    rest = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
     return (
-        totals.join(lists, "run_id", "left")
-        .select(
-            "run_id",
-            F.lit(step).alias("stage"),
-            F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
-            F.lit(name).alias("event"),
-            F.concat(
-                F.lit(f'{{"event":"{name}","{list_name}":['),
-                F.coalesce("objects", F.lit("")),
-                F.lit("],"),
-                F.substr(rest, F.lit(2)),
-            ).alias("payload"),
-        )
+        outcomes.groupBy("run_id", span("position").alias("part"))
+        .agg(pieces.alias("pieces"))
+        .select("run_id", "part", joined("planned"), joined("used"))
     )
 
 
+def _exploded(rows: DataFrame, events: list[Column], part: Column | str) -> DataFrame:
+    every = rows.select(
+        "run_id", as_column(part).cast("bigint").alias("part"), F.explode(F.array(*events)).alias("e")
+    )
+    return every.select("run_id", "e.stage", "part", "e.event", "e.payload")
+
+
 def run_events(tables: RunTables) -> DataFrame:
     """The events of build runs as ``(run_id, stage, part, event, payload)`` in (stage, part) order.
 
-    Subtasks that start and end are one event each; their ``part`` is the subtask's position.
+    Run-wide events are exploded from one row per run, subtask updates from one row per subtask
+    (``part`` is its position). The two list events have one row per part of the run's subtasks.
     """
-    runs = tables.ledger
-    label = short_model("assigned_model")
-    planned = _object_list(
-        tables.routed,
-        "position",
-        F.struct(
-            F.col("id"),
-            F.col("title"),
-            F.col("estimated_tokens").alias("estimatedTokens"),
-            label.alias("model"),
-            F.lit("pending").alias("status"),
-        ),
-    )
-    used = _object_list(
-        tables.per_subtask.join(tables.routed.select("run_id", "id", "position"), ["run_id", "id"]),
-        "position",
-        F.struct(
-            F.col("id"),
-            F.col("title"),
-            F.col("model"),
-            F.col("input_tokens").alias("inputTokens"),
-            F.col("output_tokens").alias("outputTokens"),
-            F.col("cost_usd").alias("costUsd"),
-        ),
-    )
+    report = run_report(tables)
     count = F.col("subtask_count")
-    plan_totals = runs.select("run_id").join(
-        tables.savings.drop("subtask_count"), "run_id", "left"
-    )
-
-    def updates(step: int, status: Column) -> DataFrame:
-        return _event(
-            tables.outcomes,
-            step,
-            F.col("position"),
-            "subtask_update",
-            id=F.col("id"),
-            title=F.col("title"),
-            status=status,
-            model=label,
-        )
-
-    before, between, after = V.STATUS_EXECUTING.partition("{count}")
-    frames = [
-        _status(runs, 0, "decomposing", F.lit(V.STATUS_DECOMPOSING)),
+    before, _, after = V.STATUS_EXECUTING.partition("{count}")
+    run_wide = [
+        _status(0, "decomposing", F.lit(V.STATUS_DECOMPOSING)),
+        _status(2, "executing", F.concat(F.lit(before), count.cast("string"), F.lit(after))),
+        _status(5, "assembling", F.lit(V.STATUS_ASSEMBLING)),
+        _event(
+            7,
+            "savings_breakdown",
+            provider=F.col("provider"),
+            baselineCostUsd=F.col("baseline_cost_usd"),
+            actualCostUsd=F.col("actual_cost_usd"),
+            totalSavingUsd=F.col("total_saving_usd"),
+            savingsPct=F.col("savings_pct"),
+            compressionSavingUsd=F.col("compression_saving_usd"),
+            routingSavingUsd=F.col("routing_saving_usd"),
+            baselineModel=F.col("baseline_model"),
+        ),
+        _event(8, "router_done", subtaskCount=count),
+    ]
+    lists = [
         _list_event(
-            planned,
-            plan_totals,
             1,
             "router_plan",
             "subtasks",
-            totalEstimatedTokens=F.coalesce("total_estimated_tokens", F.lit(0)),
-            savingsVsSingleCall=F.coalesce("savings_token_equiv", F.lit(0)),
-            savingsVsSingleCallPct=F.coalesce("savings_pct", F.lit(0.0)),
+            F.coalesce("planned", F.lit("")),
+            totalEstimatedTokens=F.col("total_estimated_tokens"),
+            savingsVsSingleCall=F.col("savings_token_equiv"),
+            savingsVsSingleCallPct=F.col("plan_savings_pct"),
         ),
-        _status(runs, 2, "executing", F.concat(F.lit(before), count.cast("string"), F.lit(after))),
-        updates(3, F.lit("running")),
-        updates(4, F.col("status")),
-        _status(runs, 5, "assembling", F.lit(V.STATUS_ASSEMBLING)),
         _list_event(
-            used,
-            runs,
             6,
             "real_usage",
             "perSubtask",
+            F.coalesce("used", F.lit("")),
             realInputTokens=F.col("real_input_tokens"),
             realOutputTokens=F.col("real_output_tokens"),
             realTotalTokens=F.col("real_total_tokens"),
@@ -219,20 +197,15 @@ def run_events(tables: RunTables) -> DataFrame:
             realOutputCostUsd=F.col("real_output_cost_usd"),
             realTotalCostUsd=F.col("real_total_cost_usd"),
         ),
-        _event(
-            tables.breakdown,
-            7,
-            F.lit(0),
-            "savings_breakdown",
-            provider=F.col("provider"),
-            baselineCostUsd=F.col("baseline_cost_usd"),
-            actualCostUsd=F.col("actual_cost_usd"),
-            totalSavingUsd=F.col("total_saving_usd"),
-            savingsPct=F.col("savings_pct"),
-            compressionSavingUsd=F.col("compression_saving_usd"),
-            routingSavingUsd=F.col("routing_saving_usd"),
-            baselineModel=F.col("baseline_model"),
-        ),
-        _event(runs, 8, F.lit(0), "router_done", subtaskCount=count),
     ]
-    return reduce(DataFrame.unionByName, frames)
+    label = short_model("assigned_model")
+    updates = [
+        _event(stage, "subtask_update", id=F.col("id"), title=F.col("title"), status=status, model=label)
+        for stage, status in ((3, F.lit("running")), (4, F.col("status")))
+    ]
+    with_lists = report.join(_subtask_lists(tables.outcomes, tables.pricing), "run_id", "left")
+    return (
+        _exploded(report, run_wide, F.lit(0))
+        .unionByName(_exploded(with_lists, lists, F.coalesce("part", F.lit(0))))
+        .unionByName(_exploded(tables.outcomes, updates, "position"))
+    )
