@@ -33,6 +33,10 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixture(spark, sf_dir, "prompts", spread_out=True)
 
 
+def log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return fixture(spark, sf_dir, name, spread_out=True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
 
@@ -129,59 +133,59 @@ def compression_diff(spark, sf_dir):
 
 
 def chat_scan(spark, sf_dir):
-    return request_messages(fixture(spark, sf_dir, "bodies"))
+    return request_messages(log(spark, sf_dir, "bodies"))
 
 
 def normalise_content(spark, sf_dir):
-    rows = request_messages(fixture(spark, sf_dir, "bodies")).filter(F.col("turn").isNotNull())
+    rows = request_messages(log(spark, sf_dir, "bodies")).filter(F.col("turn").isNotNull())
     return rows.select("request_id", "turn", "text")
 
 
 def clean_requirements(spark, sf_dir):
-    return fixture(spark, sf_dir, "turns").select(
+    return log(spark, sf_dir, "turns").select(
         "conv_id", "turn", T.clean_requirements("text").alias("cleaned")
     )
 
 
 def display_text(spark, sf_dir):
-    return display_rows(fixture(spark, sf_dir, "turns"))
+    return display_rows(log(spark, sf_dir, "turns"))
 
 
 def looks_deliverable(spark, sf_dir):
-    return fixture(spark, sf_dir, "turns").select(
+    return log(spark, sf_dir, "turns").select(
         "conv_id", "turn", T.looks_like_deliverable("text").alias("deliverable")
     )
 
 
 def wants_to_proceed(spark, sf_dir):
-    return conversation.wants_to_proceed(fixture(spark, sf_dir, "turns"))
+    return conversation.wants_to_proceed(log(spark, sf_dir, "turns"))
 
 
 def phase_complete(spark, sf_dir):
-    return conversation.phase_complete(fixture(spark, sf_dir, "turns"))
+    return conversation.phase_complete(log(spark, sf_dir, "turns"))
 
 
 def clean_history(spark, sf_dir):
-    return conversation.clean_history(fixture(spark, sf_dir, "turns"))
+    return conversation.clean_history(log(spark, sf_dir, "turns"))
 
 
 def chat_payload_rows(spark, sf_dir):
-    return conversation.chat_payload_rows(fixture(spark, sf_dir, "turns"), SYSTEM)
+    return conversation.chat_payload_rows(log(spark, sf_dir, "turns"), SYSTEM)
 
 
 def extract_requirements(spark, sf_dir):
-    return conversation.extract_requirements(fixture(spark, sf_dir, "turns"))
+    return conversation.extract_requirements(log(spark, sf_dir, "turns"))
 
 
 # --- intent -----------------------------------------------------------------------------------
 
 
 def intent_strong(spark, sf_dir):
-    return fixture(spark, sf_dir, "requests").select("request_id", strong_intent("text").alias("intent"))
+    return log(spark, sf_dir, "requests").select("request_id", strong_intent("text").alias("intent"))
 
 
 def intent_model_join(spark, sf_dir):
-    open_requests = intent.undecided_requests(fixture(spark, sf_dir, "requests"))
+    open_requests = intent.undecided_requests(log(spark, sf_dir, "requests"))
     asked = open_requests.select("request_id", F.length(intent_question("text")).alias("question_length"))
     answers = fixture(spark, sf_dir, "answers")
     return asked.join(answers, "request_id", "left").select(
@@ -191,7 +195,7 @@ def intent_model_join(spark, sf_dir):
 
 def classify_intent(spark, sf_dir):
     return intent.classify_intent(
-        fixture(spark, sf_dir, "requests"), fixture(spark, sf_dir, "answers")
+        log(spark, sf_dir, "requests"), fixture(spark, sf_dir, "answers")
     )
 
 
@@ -347,7 +351,7 @@ def generate_requests(spark, sf_dir):
         F.expr("CASE count(*) % 2 WHEN 0 THEN 'perform it' ELSE 'hm' END").alias("answer")
     )
     return generate.generate_requests(
-        fixture(spark, sf_dir, "turns"), answers.withColumnRenamed("conv_id", "request_id")
+        log(spark, sf_dir, "turns"), answers.withColumnRenamed("conv_id", "request_id")
     )
 
 
@@ -355,7 +359,7 @@ def generate_requests(spark, sf_dir):
 
 
 def request_payloads(spark, sf_dir):
-    prompts = fixture(spark, sf_dir, "requests").withColumnRenamed("text", "prompt")
+    prompts = log(spark, sf_dir, "requests").withColumnRenamed("text", "prompt")
     rows = prompts.withColumn(
         "provider", F.when(F.col("request_id") % 2 == 0, "bedrock").otherwise("local")
     ).withColumn("model", F.when(F.col("request_id") % 3 == 0, "m:1"))
@@ -387,7 +391,7 @@ def request_payloads(spark, sf_dir):
 
 
 def chat_requests(spark, sf_dir):
-    history = conversation.clean_history(fixture(spark, sf_dir, "turns"))
+    history = conversation.clean_history(log(spark, sf_dir, "turns"))
     listed = inference.chat_requests(history, "local", "m:1", SYSTEM)
     body = (
         "struct<model:string,messages:array<struct<role:string,content:string>>,stream:boolean,"
@@ -412,7 +416,7 @@ def echo_model(system: str, messages: str, model: str, max_tokens: int) -> tuple
 
 
 def infer_table(spark, sf_dir):
-    requests = fixture(spark, sf_dir, "requests").select(
+    requests = log(spark, sf_dir, "requests").select(
         "request_id",
         F.lit("local").alias("provider"),
         F.lit("m").alias("model"),
@@ -426,38 +430,36 @@ def infer_table(spark, sf_dir):
 
 
 def local_usage(spark, sf_dir):
-    return logs.local_usage(fixture(spark, sf_dir, "local_lines"), "line")
+    return logs.local_usage(log(spark, sf_dir, "local_lines"), "line")
 
 
 def local_stream_tokens(spark, sf_dir):
-    return logs.local_stream_tokens(fixture(spark, sf_dir, "local_lines"))
+    return logs.local_stream_tokens(log(spark, sf_dir, "local_lines"))
 
 
 def cloud_tokens(spark, sf_dir):
-    fields = fixture(spark, sf_dir, "chunks").select("call_id", "seq", cloud_fields("chunk").alias("f"))
+    fields = log(spark, sf_dir, "chunks").select("call_id", "seq", cloud_fields("chunk").alias("f"))
     return fields.select("call_id", "seq", "f.claude_token", "f.mistral_token")
 
 
 def usage_extract(spark, sf_dir):
-    return logs.cloud_chunks(fixture(spark, sf_dir, "chunks")).select(
-        "call_id", "seq", "input_tokens", "output_tokens"
-    )
+    return logs.chunk_usage(log(spark, sf_dir, "chunks"))
 
 
 def call_fold(spark, sf_dir):
-    return logs.call_fold(fixture(spark, sf_dir, "chunks"))
+    return logs.call_fold(log(spark, sf_dir, "chunks"))
 
 
 def frame_decode(spark, sf_dir):
-    return logs.decode_frames(fixture(spark, sf_dir, "frames"))
+    return logs.decode_frames(log(spark, sf_dir, "frames"))
 
 
 def frame_text(spark, sf_dir):
-    return logs.run_text(logs.decode_frames(fixture(spark, sf_dir, "frames")))
+    return logs.run_text(log(spark, sf_dir, "frames"))
 
 
 def frame_encode(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "requests")
+    rows = log(spark, sf_dir, "requests")
     payload = F.struct(F.lit("task_mode").alias("event"), F.col("text").alias("mode"))
     tokens = F.when(F.col("request_id") % 2 == 0, F.col("request_id"))
     lines = rows.select(
@@ -499,7 +501,7 @@ def chunk16(spark, sf_dir):
 
 
 def _latest(spark, sf_dir):
-    return run_state.latest_events(run_state.data_events(logs.decode_frames(fixture(spark, sf_dir, "frames"))))
+    return run_state.latest_events(run_state.data_events(log(spark, sf_dir, "frames")))
 
 
 def run_state_report(spark, sf_dir):

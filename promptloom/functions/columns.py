@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions.fixed_values import WHITESPACE_CHARS
@@ -25,6 +25,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def rows_where(
+    df: DataFrame, value: Column, keep: Callable[[Column], Column], name: str, *columns: str
+) -> DataFrame:
+    """``columns`` and the computed ``value`` of the rows whose value passes ``keep``.
+
+    A filter on a computed column is pushed below the projection and evaluates the value a second
+    time; exploding a filtered one-element array evaluates it once. Meant for parsed JSON.
+    """
+    return df.select(*columns, F.explode(F.filter(F.array(value), keep)).alias(name))
+
+
 def strip(text: Column | str) -> Column:
     """Text without leading and trailing Unicode whitespace."""
     return F.btrim(as_column(text), F.lit(WHITESPACE_CHARS))
@@ -62,21 +73,20 @@ def round_exact(value: Column | str, digits: int, ties_up: bool = False) -> Colu
     """
     power = float(10**digits)
 
-    def halves(a: Column) -> Column:
-        wide = a * _SPLIT
-        high = wide - (wide - a)
+    def halves(v: Column) -> Column:
+        size = F.abs(v)
+        wide = size * _SPLIT
+        high = wide - (wide - size)
         return F.struct(
-            a.alias("a"), high.alias("high"), (a - high).alias("low"), F.floor(a * power).alias("n")
+            F.signum(v).alias("sign"),
+            high.alias("high"),
+            (size - high).alias("low"),
+            F.floor(size * power).alias("n"),
         )
 
     def nearest(h: Column) -> Column:
         above = (h["high"] * (2 * power) - (h["n"] * 2 + 1)) + h["low"] * (2 * power)
-        tie = F.lit(True) if ties_up else h["n"] % 2 == 1
-        up = (above > 0) | ((above == 0) & tie)
-        return (h["n"] + up.cast("int")) / power
-
-    value = as_column(value).cast("double")
-    return let(
-        value,
-        lambda v: F.when(v < 0, -let(let(-v, halves), nearest)).otherwise(let(let(v, halves), nearest)),
-    )
+        up = (above >= 0) if ties_up else (above > 0) | ((above == 0) & (h["n"] % 2 == 1))
+        return h["sign"] * (h["n"] + up.cast("int")) / power
+
+    return let(let(as_column(value).cast("double"), halves), nearest)

@@ -83,23 +83,28 @@ def cloud_fields(chunk: Column | str) -> Column:
     return let(F.from_json(as_column(chunk), _CLOUD_SCHEMA), read)
 
 
-def frame_text(line: Column | str) -> Column:
-    """Text of a ``0:`` frame; null for other or malformed lines."""
+def frame_kind(line: Column | str) -> Column:
+    """``text`` or ``data`` by the prefix of a frame line; null for other lines."""
     line = as_column(line)
-    return F.when(
-        F.startswith(line, F.lit("0:")), F.get(json_elements(F.substr(line, F.lit(3))), F.lit(0))
-    )
+    return F.when(F.startswith(line, F.lit("0:")), "text").when(F.startswith(line, F.lit("2:")), "data")
+
 
+def frame_values(line: Column | str) -> Column:
+    """The value of a text or data frame as a one-element array of strings.
 
-def frame_data(line: Column | str) -> Column:
-    """First element (JSON text) of a ``2:`` frame; null for other or malformed lines."""
+    A text delta's text, or the first element of a data frame as JSON text. Null or empty for other
+    and malformed lines.
+    """
     line = as_column(line)
-    wrapped = F.concat(F.lit("["), F.substr(line, F.lit(3)), F.lit("]"))
-    values = F.from_json(wrapped, "array<array<string>>")
+    body = F.substr(line, F.lit(3))
+    text = F.transform(json_elements(body), lambda t: F.coalesce(t, F.lit("null")))
+    wrapped = F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<array<string>>")
     first = let(
-        values, lambda v: F.when(F.size(v) == 1, F.get(F.get(v, F.lit(0)), F.lit(0)))
+        wrapped,
+        lambda v: F.when(F.size(v) == 1, F.array_compact(F.slice(F.get(v, F.lit(0)), 1, 1))),
     )
-    return F.when(F.startswith(line, F.lit("2:")), first)
+    kind = frame_kind(line)
+    return F.when(kind == "text", text).when(kind == "data", first)
 
 
 def text_frame(text: Column | str) -> Column:

@@ -13,7 +13,7 @@ from promptloom.functions.text import (
     looks_like_deliverable,
     requirements_from_reply,
 )
-from promptloom.operators.grouping import attach_span_values, ordered_text, span_values
+from promptloom.operators.grouping import ordered_text, span_values, spans_with_rows
 
 _TURN_COLUMNS = ("conv_id", "turn", "role", "text")
 
@@ -26,23 +26,16 @@ def clean_history(turns: DataFrame) -> DataFrame:
     usable = F.col("role").isin("user", "assistant") & ~is_blank("text")
     last_user = F.when(usable & (F.col("role") == "user"), F.col("turn"))
     spans = span_values(turns, ["conv_id"], "turn", {"last_user_turn": (last_user, F.max)})
-    kept = (
-        attach_span_values(turns.filter(usable), ["conv_id"], "turn", spans)
-        .filter(F.col("turn") <= F.col("last_user_turn"))
-        .select(*_TURN_COLUMNS)
+    kept = spans_with_rows(
+        spans, turns.filter(usable), ["conv_id"], "turn", F.col("turn") <= F.col("last_user_turn")
     )
-    empty = (
-        spans.filter(F.col("last_user_turn").isNull())
-        .select("conv_id")
-        .distinct()
-        .select(
-            "conv_id",
-            F.lit(0).cast("bigint").alias("turn"),
-            F.lit("user").alias("role"),
-            F.lit(V.EMPTY_HISTORY_TEXT).alias("text"),
-        )
+    is_greeting = F.col("last_user_turn").isNull() & F.col("_first_span")
+    return kept.filter(F.col("turn").isNotNull() | is_greeting).select(
+        "conv_id",
+        F.coalesce("turn", F.lit(0)).cast("bigint").alias("turn"),
+        F.coalesce("role", F.lit("user")).alias("role"),
+        F.coalesce("text", F.lit(V.EMPTY_HISTORY_TEXT)).alias("text"),
     )
-    return kept.unionByName(empty)
 
 
 def chat_payload_rows(turns: DataFrame, system: str = "") -> DataFrame:
@@ -85,20 +78,25 @@ def extract_requirements(turns: DataFrame) -> DataFrame:
             "user_turn": (F.when(is_user, F.col("turn")), F.max),
         },
     )
-    chosen = attach_span_values(turns.filter(is_user | is_marked), ["conv_id"], "turn", spans).filter(
-        F.when(F.col("marker_turn").isNull(), is_user).otherwise(F.col("turn") == F.col("marker_turn"))
-    )
-    text = F.when(F.col("marker_turn").isNull(), F.col("text")).otherwise(
-        requirements_from_reply("text")
+    no_marker = F.col("marker_turn").isNull()
+    chosen = spans_with_rows(
+        spans,
+        turns.filter(is_user | is_marked),
+        ["conv_id"],
+        "turn",
+        F.when(no_marker, is_user).otherwise(F.col("turn") == F.col("marker_turn")),
     )
-    summaries = ordered_text(chosen, ["conv_id"], "turn", text, "summary", separator=" | ")
-    silent = (
-        spans.filter(F.col("marker_turn").isNull() & F.col("user_turn").isNull())
-        .select("conv_id")
-        .distinct()
-        .select("conv_id", F.lit(0).cast("bigint").alias("part"), F.lit("").alias("summary"))
+    is_silent = no_marker & F.col("user_turn").isNull() & F.col("_first_span")
+    text = F.when(no_marker, F.col("text")).otherwise(requirements_from_reply("text"))
+    return ordered_text(
+        chosen.filter(F.col("turn").isNotNull() | is_silent),
+        ["conv_id"],
+        "turn",
+        text,
+        "summary",
+        separator=" | ",
+        part="_span",
     )
-    return summaries.unionByName(silent)
 
 
 def completion_flags(turns: DataFrame) -> DataFrame:

@@ -32,13 +32,19 @@ def span_values(
     values: Mapping[str, GroupValue],
     bits: int = SPAN_BITS,
 ) -> DataFrame:
-    """One row per (keys, ``_span``) carrying the key's group-wide min/max values."""
+    """One row per (keys, ``_span``) carrying the key's group-wide min/max values.
+
+    ``_first_span`` marks one span per key.
+    """
     partial = rows.groupBy(*keys, span(order, bits).alias("_span")).agg(
         *[pick(value).alias(name) for name, (value, pick) in values.items()]
     )
     whole_key = Window.partitionBy(*keys)
     return partial.select(
-        *keys, "_span", *[pick(name).over(whole_key).alias(name) for name, (_, pick) in values.items()]
+        *keys,
+        "_span",
+        (F.col("_span") == F.min("_span").over(whole_key)).alias("_first_span"),
+        *[pick(name).over(whole_key).alias(name) for name, (_, pick) in values.items()],
     )
 
 
@@ -49,6 +55,31 @@ def attach_span_values(
     return rows.withColumn("_span", span(order, bits)).join(spans, [*keys, "_span"]).drop("_span")
 
 
+def spans_with_rows(
+    spans: DataFrame,
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    condition: Column,
+    bits: int = SPAN_BITS,
+) -> DataFrame:
+    """Spans with those of their rows that meet ``condition``, or once with null row columns.
+
+    Keys of which nothing is left stay visible, so no further scan is needed to find them. The
+    result is partitioned by (keys, ``_span``).
+    """
+    located = rows.select(
+        *[F.col(k).alias(f"_r_{k}") for k in keys],
+        span(order, bits).alias("_r_span"),
+        *[c for c in rows.columns if c not in keys],
+    )
+    same_span = [F.col(k) == F.col(f"_r_{k}") for k in keys] + [F.col("_span") == F.col("_r_span")]
+    on = condition
+    for equal in same_span:
+        on = equal & on
+    return spans.join(located, on, "left").drop(*[f"_r_{k}" for k in keys], "_r_span")
+
+
 def ordered_text(
     rows: DataFrame,
     keys: Sequence[str],
@@ -57,15 +88,18 @@ def ordered_text(
     name: str,
     separator: str = "",
     bits: int = SPAN_BITS,
+    part: str | None = None,
 ) -> DataFrame:
     """Texts of a key joined in order, as ``(keys, part, name)``.
 
-    ``part`` is the span number: a key whose order numbers stay within one span has one row, longer
-    ones have several whose concatenation (with the separator) in ``part`` order is the whole text.
+    ``part`` is the span number (taken from the column ``part`` where given): a key whose order
+    numbers stay within one span has one row, longer ones have several whose concatenation (with the
+    separator) in ``part`` order is the whole text.
     """
     pieces = F.array_sort(
         F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))
     )
-    return rows.groupBy(*keys, span(order, bits).alias("part")).agg(
+    by_part = F.col(part) if part else span(order, bits)
+    return rows.groupBy(*keys, by_part.alias("part")).agg(
         F.array_join(F.transform(pieces, lambda p: p["t"]), separator).alias(name)
     )

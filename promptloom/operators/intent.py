@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptloom.functions.columns import rows_where
 from promptloom.functions.intent import answer_intent, strong_intent, weak_intent
 
 
@@ -26,9 +27,9 @@ def classify_intent(
     Keywords decide in the scan. Only the undecided rows' key and weak vote reach the join with
     ``answers`` (key, answer; one row per key); request texts are never shuffled.
     """
-    decided = requests.select(
-        key, strong_intent(text).alias("intent"), F.lit("strong").alias("decided_by")
-    ).filter(F.col("intent").isNotNull())
+    decided = rows_where(
+        requests, strong_intent(text), lambda i: i.isNotNull(), "intent", key
+    ).withColumn("decided_by", F.lit("strong"))
     voted = undecided_requests(requests, text).select(key, weak_intent(text).alias("weak"))
     answered = answer_intent("answer").isNotNull()
     joined = voted.join(answers.select(key, "answer"), key, "left").select(

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
-from promptloom.functions.responses import cloud_fields, frame_data, frame_text, local_fields
+from promptloom.functions.columns import let, rows_where
+from promptloom.functions.responses import cloud_fields, frame_kind, frame_values, local_fields
 from promptloom.functions.text import chunks
 from promptloom.operators.grouping import attach_span_values, ordered_text, span_values
 
@@ -24,13 +25,12 @@ def local_stream_tokens(lines: DataFrame) -> DataFrame:
 
     Blank and malformed lines are skipped; the done line's own token counts.
     """
-    parsed = lines.select("call_id", "seq", local_fields("line").alias("_r")).select(
-        "call_id", "seq", F.col("_r.text").alias("token"), F.col("_r.done").alias("done")
-    )
+    fields = local_fields("line")
+    done = lines.select("call_id", "seq", fields["done"].alias("done"))
     spans = span_values(
-        parsed, ["call_id"], "seq", {"first_done": (F.when(F.col("done"), F.col("seq")), F.min)}
+        done, ["call_id"], "seq", {"first_done": (F.when(F.col("done"), F.col("seq")), F.min)}
     )
-    tokens = parsed.filter(F.col("token") != "").select("call_id", "seq", "token")
+    tokens = rows_where(lines, fields["text"], lambda t: t != "", "token", "call_id", "seq")
     return (
         attach_span_values(tokens, ["call_id"], "seq", spans)
         .filter(F.col("first_done").isNull() | (F.col("seq") <= F.col("first_done")))
@@ -38,46 +38,44 @@ def local_stream_tokens(lines: DataFrame) -> DataFrame:
     )
 
 
-def cloud_chunks(chunk_rows: DataFrame, family: Column | str = "claude") -> DataFrame:
-    """Token and reported usage of every cloud stream chunk.
+def _token_of(fields: Column, family: Column | str) -> Column:
+    """Token of parsed chunk fields; ``family`` is ``claude`` or ``mistral``, or a column of these."""
+    if isinstance(family, str):
+        return fields[f"{family}_token"]
+    return F.when(family == "mistral", fields["mistral_token"]).otherwise(fields["claude_token"])
 
-    ``family``: ``claude`` or ``mistral``, one for all rows or a column.
-    """
-    family = F.lit(family) if isinstance(family, str) else family
-    fields = chunk_rows.select(
-        "call_id", "seq", family.alias("_family"), cloud_fields("chunk").alias("_f")
-    )
-    return fields.select(
-        "call_id",
-        "seq",
-        F.when(F.col("_family") == "mistral", F.col("_f.mistral_token"))
-        .otherwise(F.col("_f.claude_token"))
-        .alias("token"),
-        F.col("_f.usage.input_tokens").alias("input_tokens"),
-        F.col("_f.usage.output_tokens").alias("output_tokens"),
+
+def chunk_usage(chunk_rows: DataFrame) -> DataFrame:
+    """Usage reported by each cloud stream chunk; nulls where it reports none."""
+    return chunk_rows.select("call_id", "seq", cloud_fields("chunk")["usage"].alias("_u")).select(
+        "call_id", "seq", "_u.input_tokens", "_u.output_tokens"
     )
 
 
-def call_usage(parsed: DataFrame) -> DataFrame:
+def chunk_tokens(chunk_rows: DataFrame, family: Column | str = "claude") -> DataFrame:
+    """Non-empty tokens ``(call_id, seq, token)`` of cloud stream chunks."""
+    token = let(cloud_fields("chunk"), lambda f: _token_of(f, family))
+    return rows_where(chunk_rows, token, lambda t: t != "", "token", "call_id", "seq")
+
+
+def call_usage(usage: DataFrame) -> DataFrame:
     """Largest input and output count reported in a call, each on its own; 0 when none is."""
-    return parsed.groupBy("call_id").agg(
+    return usage.groupBy("call_id").agg(
         F.greatest(F.coalesce(F.max("input_tokens"), F.lit(0)), F.lit(0)).alias("input_tokens"),
         F.greatest(F.coalesce(F.max("output_tokens"), F.lit(0)), F.lit(0)).alias("output_tokens"),
     )
 
 
-def call_text(parsed: DataFrame) -> DataFrame:
-    """Non-empty tokens of a call joined in order, as ``(call_id, part, text)``."""
-    tokens = parsed.filter(F.col("token") != "")
+def call_text(tokens: DataFrame) -> DataFrame:
+    """Tokens of a call joined in order, as ``(call_id, part, text)``."""
     return ordered_text(tokens, ["call_id"], "seq", F.col("token"), "text")
 
 
 def call_fold(chunk_rows: DataFrame, family: Column | str = "claude") -> DataFrame:
     """Text and usage of each call; a call without tokens has one empty part."""
-    parsed = cloud_chunks(chunk_rows, family)
     return (
-        call_usage(parsed)
-        .join(call_text(parsed), "call_id", "left")
+        call_usage(chunk_usage(chunk_rows))
+        .join(call_text(chunk_tokens(chunk_rows, family)), "call_id", "left")
         .select(
             "call_id",
             F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
@@ -91,20 +89,20 @@ def call_fold(chunk_rows: DataFrame, family: Column | str = "claude") -> DataFra
 def decode_frames(lines: DataFrame) -> DataFrame:
     """Text and data frames ``(run_id, seq, kind, text, payload)``; other lines are ignored."""
     decoded = lines.select(
-        "run_id", "seq", frame_text("line").alias("text"), frame_data("line").alias("payload")
+        "run_id", "seq", frame_kind("line").alias("kind"), F.explode(frame_values("line")).alias("value")
     )
-    return decoded.filter(F.col("text").isNotNull() | F.col("payload").isNotNull()).select(
+    return decoded.select(
         "run_id",
         "seq",
-        F.when(F.col("text").isNotNull(), "text").otherwise(F.lit("data")).alias("kind"),
-        "text",
-        "payload",
+        "kind",
+        F.when(F.col("kind") == "text", F.col("value")).alias("text"),
+        F.when(F.col("kind") == "data", F.col("value")).alias("payload"),
     )
 
 
-def run_text(decoded: DataFrame) -> DataFrame:
-    """Text deltas of a run joined in order, as ``(run_id, part, text)``."""
-    deltas = decoded.filter(F.col("kind") == "text")
+def run_text(lines: DataFrame) -> DataFrame:
+    """Text deltas of a run's frames joined in order, as ``(run_id, part, text)``."""
+    deltas = decode_frames(lines.filter(frame_kind("line") == "text"))
     return ordered_text(deltas, ["run_id"], "seq", F.col("text"), "text")
 
 

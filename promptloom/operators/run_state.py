@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptloom.functions.columns import rows_where
+from promptloom.functions.responses import frame_kind
+from promptloom.operators.logs import decode_frames
+
 #: Events that set a part of the run state; the last one of each kind wins.
 STATE_EVENTS = (
     "phase_complete",
@@ -18,21 +22,27 @@ STATE_EVENTS = (
 )
 
 
-def data_events(decoded: DataFrame) -> DataFrame:
-    """Events ``(run_id, seq, event, subtask_id, status, payload)`` of decoded data frames."""
+def data_events(lines: DataFrame) -> DataFrame:
+    """Events ``(run_id, seq, event, subtask_id, status, payload)`` of a run's frame lines."""
+    decoded = decode_frames(lines.filter(frame_kind("line") == "data"))
     head = F.from_json("payload", "struct<event:string,id:bigint,status:string>")
-    return (
-        decoded.filter(F.col("payload").isNotNull())
-        .select("run_id", "seq", head.alias("_h"), "payload")
-        .select(
-            "run_id",
-            "seq",
-            F.col("_h.event").alias("event"),
-            F.when(F.col("_h.event") == "subtask_update", F.col("_h.id")).alias("subtask_id"),
-            F.when(F.col("_h.event") == "subtask_update", F.col("_h.status")).alias("status"),
-            "payload",
-        )
-        .filter(F.col("event").isin(*STATE_EVENTS, "subtask_update"))
+    events = rows_where(
+        decoded,
+        head,
+        lambda h: h["event"].isin(*STATE_EVENTS, "subtask_update"),
+        "_h",
+        "run_id",
+        "seq",
+        "payload",
+    )
+    is_update = F.col("_h.event") == "subtask_update"
+    return events.select(
+        "run_id",
+        "seq",
+        F.col("_h.event").alias("event"),
+        F.when(is_update, F.col("_h.id")).alias("subtask_id"),
+        F.when(is_update, F.col("_h.status")).alias("status"),
+        "payload",
     )
 
 

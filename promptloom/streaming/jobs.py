@@ -15,8 +15,7 @@ from promptloom.functions import fixed_values as V
 from promptloom.functions.tokens import Scorer
 from promptloom.operators.compression import compress
 from promptloom.operators.conversation import completion_aggregates, completion_flags, with_complete
-from promptloom.operators.grouping import ordered_text
-from promptloom.operators.logs import call_usage, cloud_chunks, decode_frames
+from promptloom.operators.logs import call_text, call_usage, chunk_tokens, chunk_usage
 from promptloom.operators.run_state import data_events
 
 
@@ -27,22 +26,20 @@ def compress_stream(
     return prompts.transform(compress(text, ratio, scorer))
 
 
-def call_usage_stream(chunk_rows: DataFrame, family: Column | str = "claude") -> DataFrame:
+def call_usage_stream(chunk_rows: DataFrame) -> DataFrame:
     """Running usage per call (update mode): two counters of state per call."""
-    return call_usage(cloud_chunks(chunk_rows, family))
+    return call_usage(chunk_usage(chunk_rows))
 
 
 def call_text_stream(chunk_rows: DataFrame, family: Column | str = "claude") -> DataFrame:
     """Running text per call and part (update mode): the state of a part is one span of tokens."""
-    tokens = cloud_chunks(chunk_rows, family).filter(F.col("token") != "")
-    return ordered_text(tokens, ["call_id"], "seq", F.col("token"), "text")
+    return call_text(chunk_tokens(chunk_rows, family))
 
 
 def run_events_stream(lines: DataFrame) -> DataFrame:
     """Latest event per run, kind and subtask (update mode); reduce with ``operators.run_state``."""
-    events = data_events(decode_frames(lines))
     last = F.max(F.struct("seq", "status", "payload")).alias("_l")
-    return events.groupBy("run_id", "event", "subtask_id").agg(last).select(
+    return data_events(lines).groupBy("run_id", "event", "subtask_id").agg(last).select(
         "run_id", "event", "subtask_id", "_l.*"
     )
 
