@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from promptloom.functions import fixed_values as V
-from promptloom.functions.text import normalise_content
+from promptloom.functions.text import display_text, normalise_content
+from promptloom.operators.grouping import span
 
 _REQUEST_SCHEMA = "struct<messages:array<struct<role:string,content:variant>>,phase:string>"
 _PHASES = ("elicit", "generate")
@@ -31,10 +32,39 @@ def spread(scan: DataFrame, *columns: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Scan a text log, one row per line, with the file it came from."""
+    """Scan text files, one row ``(file, line)`` per line, in no particular order."""
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
+def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Scan text logs whose line order matters, as ``(file, seq, line)`` with ``seq`` from 0.
+
+    Lines are numbered inside each split of a file, and the splits before it are counted; so one
+    large file is read and numbered by many tasks.
+    """
+    split = ["file", "_start"]
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_id"),
+        F.col("value").alias("line"),
+    )
+    in_split = F.row_number().over(Window.partitionBy(*split).orderBy("_id")).cast("bigint") - 1
+    splits_before = (
+        Window.partitionBy("file").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offsets = (
+        lines.groupBy(*split)
+        .count()
+        .select(*split, F.coalesce(F.sum("count").over(splits_before), F.lit(0)).alias("_offset"))
+    )
+    return (
+        lines.withColumn("_n", in_split)
+        .join(offsets, split)
+        .select("file", (F.col("_offset") + F.col("_n")).alias("seq"), "line")
+    )
+
+
 def request_messages(bodies: DataFrame, key: str = "request_id", body: str = "body") -> DataFrame:
     """Message rows ``(key, phase, status, turn, role, text)`` of chat request bodies.
 
@@ -63,23 +93,18 @@ def read_chat_requests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_frames(frames: DataFrame, path: str, order: str = "seq", line: str = "line") -> None:
-    """Write frame lines as text, one folder per run and span of lines, in order inside a file."""
-    from promptloom.operators.grouping import span
+    """Hand over frame lines as text, one folder per run and part, in order inside a file.
 
+    A folder per run suits the runs that a reader asked for; keep a whole corpus as a table.
+    """
     parted = frames.withColumn("part", span(order))
     parted.repartition("run_id", "part").sortWithinPartitions("run_id", "part", order).select(
-        "run_id", "part", line
+        "run_id", "part", F.col(line).alias("line")
     ).write.partitionBy("run_id", "part").text(path)
 
 
 def display_rows(turns: DataFrame) -> DataFrame:
     """Turns as shown to a reader: first marker removed, empty ones dropped."""
-    from promptloom.functions.text import display_text
-
     return turns.select("conv_id", "turn", "role", display_text("text").alias("display")).filter(
         F.col("display").isNotNull()
     )
-
-
-DEFAULT_PHASE = _PHASES[0]
-MARKER = V.COMPLETE_MARKER
