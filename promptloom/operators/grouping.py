@@ -1,8 +1,8 @@
 """Grouped operators that stay parallel when one key holds a large share of all rows.
 
 Rows of a key are cut into spans of consecutive order numbers. Everything that touches full rows is
-keyed by (key, span), which holds at most ``2 ** SPAN_BITS`` rows when order numbers are unique
-within a key; only one small row per span is ever brought together by key alone.
+keyed by (key, span), which holds at most ``2 ** bits`` rows as order numbers are unique within a
+key; only one small row per span is ever brought together by key alone.
 """
 
 from __future__ import annotations
@@ -13,14 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: A span covers 2 ** SPAN_BITS order numbers.
-SPAN_BITS = 12
+#: A span covers 2 ** bits order numbers: few for long texts such as turns or subtask outputs, more
+#: for short ones such as stream tokens, so that any usual call or conversation is one span.
+TURN_BITS = 12
+TOKEN_BITS = 16
 
 #: (value, aggregate): a min or max over the rows of a key.
 GroupValue = tuple[Column, Callable[[Column | str], Column]]
 
 
-def span(order: str, bits: int = SPAN_BITS) -> Column:
+def span(order: str, bits: int = TURN_BITS) -> Column:
     """Span number of an integer order column."""
     return F.shiftright(F.col(order).cast("bigint"), bits)
 
@@ -30,7 +32,7 @@ def span_values(
     keys: Sequence[str],
     order: str,
     values: Mapping[str, GroupValue],
-    bits: int = SPAN_BITS,
+    bits: int = TURN_BITS,
 ) -> DataFrame:
     """One row per (keys, ``_span``) carrying the key's group-wide min/max values.
 
@@ -49,7 +51,7 @@ def span_values(
 
 
 def attach_span_values(
-    rows: DataFrame, keys: Sequence[str], order: str, spans: DataFrame, bits: int = SPAN_BITS
+    rows: DataFrame, keys: Sequence[str], order: str, spans: DataFrame, bits: int = TURN_BITS
 ) -> DataFrame:
     """Rows with the values of :func:`span_values`; the join key (keys, span) cannot be hot."""
     return rows.withColumn("_span", span(order, bits)).join(spans, [*keys, "_span"]).drop("_span")
@@ -61,7 +63,7 @@ def spans_with_rows(
     keys: Sequence[str],
     order: str,
     condition: Column,
-    bits: int = SPAN_BITS,
+    bits: int = TURN_BITS,
 ) -> DataFrame:
     """Spans with those of their rows that meet ``condition``, or once with null row columns.
 
@@ -87,7 +89,7 @@ def ordered_text(
     text: Column,
     name: str,
     separator: str = "",
-    bits: int = SPAN_BITS,
+    bits: int = TURN_BITS,
     part: str | None = None,
 ) -> DataFrame:
     """Texts of a key joined in order, as ``(keys, part, name)``.

@@ -9,7 +9,7 @@ from promptloom.functions import fixed_values as V
 from promptloom.functions.columns import let, rows_where
 from promptloom.functions.responses import cloud_fields, frame_kind, frame_values, local_fields
 from promptloom.functions.text import chunks
-from promptloom.operators.grouping import attach_span_values, ordered_text, span_values
+from promptloom.operators.grouping import TOKEN_BITS, attach_span_values, ordered_text, span_values
 
 
 def local_usage(responses: DataFrame, body: str = "body") -> DataFrame:
@@ -27,12 +27,11 @@ def local_stream_tokens(lines: DataFrame) -> DataFrame:
     """
     fields = local_fields("line")
     done = lines.select("call_id", "seq", fields["done"].alias("done"))
-    spans = span_values(
-        done, ["call_id"], "seq", {"first_done": (F.when(F.col("done"), F.col("seq")), F.min)}
-    )
+    first_done = (F.when(F.col("done"), F.col("seq")), F.min)
+    spans = span_values(done, ["call_id"], "seq", {"first_done": first_done}, TOKEN_BITS)
     tokens = rows_where(lines, fields["text"], lambda t: t != "", "token", "call_id", "seq")
     return (
-        attach_span_values(tokens, ["call_id"], "seq", spans)
+        attach_span_values(tokens, ["call_id"], "seq", spans, TOKEN_BITS)
         .filter(F.col("first_done").isNull() | (F.col("seq") <= F.col("first_done")))
         .select("call_id", "seq", "token")
     )
@@ -68,7 +67,7 @@ def call_usage(usage: DataFrame) -> DataFrame:
 
 def call_text(tokens: DataFrame) -> DataFrame:
     """Tokens of a call joined in order, as ``(call_id, part, text)``."""
-    return ordered_text(tokens, ["call_id"], "seq", F.col("token"), "text")
+    return ordered_text(tokens, ["call_id"], "seq", F.col("token"), "text", bits=TOKEN_BITS)
 
 
 def call_fold(chunk_rows: DataFrame, family: Column | str = "claude") -> DataFrame:
@@ -103,7 +102,7 @@ def decode_frames(lines: DataFrame) -> DataFrame:
 def run_text(lines: DataFrame) -> DataFrame:
     """Text deltas of a run's frames joined in order, as ``(run_id, part, text)``."""
     deltas = decode_frames(lines.filter(frame_kind("line") == "text"))
-    return ordered_text(deltas, ["run_id"], "seq", F.col("text"), "text")
+    return ordered_text(deltas, ["run_id"], "seq", F.col("text"), "text", bits=TOKEN_BITS)
 
 
 def split_chunks(rows: DataFrame, text: str = "text", width: int = V.CHUNK_WIDTH) -> DataFrame:

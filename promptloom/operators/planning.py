@@ -126,12 +126,13 @@ def route(tasks: DataFrame, pricing: Pricing, limit: int = V.ROUTING_TOKEN_LIMIT
 def subtask_outcome(routed: DataFrame, responses: DataFrame) -> DataFrame:
     """Subtasks with the result of their model call.
 
-    ``responses``: ``(run_id, id, text, error, input_tokens, output_tokens)``, one row per subtask.
-    An error gives an error text and no usage; no response leaves the subtask pending.
+    ``responses``: ``(run_id, position, text, error, input_tokens, output_tokens)``, one row per
+    subtask; ids come from a model's plan and may repeat, positions do not. An error gives an error
+    text and no usage; no response leaves the subtask pending.
     """
     answers = responses.select(
         "run_id",
-        "id",
+        "position",
         F.col("text").alias("_text"),
         F.col("error").alias("_error"),
         F.col("input_tokens").alias("_in"),
@@ -146,7 +147,7 @@ def subtask_outcome(routed: DataFrame, responses: DataFrame) -> DataFrame:
     def usage(column: str) -> Column:
         return F.when(failed, 0).otherwise(F.coalesce(F.col(column), F.lit(0))).cast("bigint")
 
-    return routed.join(answers, ["run_id", "id"], "left").select(
+    return routed.join(answers, ["run_id", "position"], "left").select(
         *routed.columns,
         F.when(failed, message).otherwise(F.coalesce(F.col("_text"), F.lit(""))).alias("output"),
         F.when(F.col("_answered").isNull(), "pending")

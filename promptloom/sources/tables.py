@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from promptloom.functions.text import display_text, normalise_content
-from promptloom.operators.grouping import span
+from promptloom.operators.grouping import TOKEN_BITS, span
 
 _REQUEST_SCHEMA = "struct<messages:array<struct<role:string,content:variant>>,phase:string>"
 _PHASES = ("elicit", "generate")
@@ -97,7 +97,7 @@ def write_frames(frames: DataFrame, path: str, order: str = "seq", line: str = "
 
     A folder per run suits the runs that a reader asked for; keep a whole corpus as a table.
     """
-    parted = frames.withColumn("part", span(order))
+    parted = frames.withColumn("part", span(order, TOKEN_BITS))
     parted.repartition("run_id", "part").sortWithinPartitions("run_id", "part", order).select(
         "run_id", "part", F.col(line).alias("line")
     ).write.partitionBy("run_id", "part").text(path)

@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 from promptloom.functions import text as T
 from promptloom.functions.intent import answer_intent, strong_intent, weak_intent
 from promptloom.operators import conversation as C
-from promptloom.operators.grouping import SPAN_BITS
+from promptloom.operators.grouping import TURN_BITS
 from promptloom.operators.inference import chat_requests
 from promptloom.operators.intent import classify_intent, undecided_requests
 from promptloom.sources.tables import display_rows, read_chat_requests, request_messages
 
-SPAN = 1 << SPAN_BITS
+SPAN = 1 << TURN_BITS
 
 
 def turns(spark, *rows):

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.responses import data_frame, finish_frame, text_frame
 from promptloom.operators import logs, run_state
-from promptloom.operators.grouping import SPAN_BITS
+from promptloom.operators.grouping import TOKEN_BITS
 from promptloom.sources.tables import read_numbered_lines, write_frames
 
-SPAN = 1 << SPAN_BITS
+SPAN = 1 << TOKEN_BITS
 
 
 def lines(spark, *rows, key="run_id", value="line"):
@@ -36,8 +36,8 @@ def test_local_stream(spark):
 
 
 def test_done_line_in_another_span(spark):
-    many = spark.range(3 * SPAN).selectExpr("1L AS call_id", "id AS seq", """concat('{"message":{"content":"t"},"done":', id >= 4200, '}') AS line""")
-    assert logs.local_stream_tokens(many).agg(F.count("*"), F.max("seq")).first() == (4201, 4200)
+    many = spark.range(3 * SPAN).selectExpr("1L AS call_id", "id AS seq", """concat('{"message":{"content":"t"},"done":', id >= 70000, '}') AS line""")
+    assert logs.local_stream_tokens(many).agg(F.count("*"), F.max("seq")).first() == (70001, 70000)
 
 
 CHUNKS = [

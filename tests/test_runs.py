@@ -8,12 +8,12 @@ from promptloom.functions.models import Pricing, Tier, default_pricing, resolve_
 from promptloom.operators import inference as I
 from promptloom.operators import ledger as L
 from promptloom.operators import planning as P
-from promptloom.operators.grouping import SPAN_BITS
+from promptloom.operators.grouping import TURN_BITS
 from promptloom.plans.generate import run_events, run_report, run_tables
 
 LOCAL, CLOUD = default_pricing(), default_pricing(" Bedrock ")
 TASK = "run_id bigint, position bigint, id bigint, title string, prompt string, estimated_tokens bigint"
-RESPONSE = "run_id bigint, id bigint, text string, error string, input_tokens bigint, output_tokens bigint"
+RESPONSE = "run_id bigint, position bigint, text string, error string, input_tokens bigint, output_tokens bigint"
 
 
 def plan_rows(spark, *raws):
@@ -70,7 +70,7 @@ def small_run(spark):
         [(1, 0, 1, "a", "p", 600), (1, 1, 2, "b", "p", 601), (1, 2, 3, "c", "p", 100), (1, 3, 4, "d", "p", 10)], TASK
     )
     responses = spark.createDataFrame(
-        [(1, 1, "out", None, 100, 50), (1, 2, "big", None, 200, None), (1, 3, None, "boom", 9, 9)], RESPONSE
+        [(1, 0, "out", None, 100, 50), (1, 1, "big", None, 200, None), (1, 2, None, "boom", 9, 9)], RESPONSE
     )
     calls = spark.createDataFrame(
         [(1, 40, 10, 1000), (2, 7, 3, 0)], "run_id bigint, input_tokens bigint, output_tokens bigint, uncompressed_tokens bigint"
@@ -166,7 +166,7 @@ def test_events(spark):
 
 
 def test_run_with_many_subtasks_comes_in_parts(spark):
-    n = 2 * (1 << SPAN_BITS) + 5
+    n = 2 * (1 << TURN_BITS) + 5
     tasks = spark.range(n).selectExpr(
         "1L AS run_id", "id AS position", "id + 1 AS id", "concat('t', id) AS title", "'p' AS prompt", "10L AS estimated_tokens"
     )
@@ -174,7 +174,7 @@ def test_run_with_many_subtasks_comes_in_parts(spark):
     calls = spark.createDataFrame([(1, 0, 0, 0)], "run_id bigint, input_tokens bigint, output_tokens bigint, uncompressed_tokens bigint")
     tables = run_tables(tasks, responses, calls, LOCAL)
     plans = [json.loads(r.payload) for r in run_events(tables).filter("event = 'router_plan'").orderBy("part").collect()]
-    assert [len(p["subtasks"]) for p in plans] == [1 << SPAN_BITS, 1 << SPAN_BITS, 5]
+    assert [len(p["subtasks"]) for p in plans] == [1 << TURN_BITS, 1 << TURN_BITS, 5]
     assert all(p["totalEstimatedTokens"] == 10 * n for p in plans)
     assert P.assemble(tables.outcomes).count() == 3
 
