@@ -25,7 +25,9 @@ _SEGMENT = r'"[^"\\]*+(?:\\++"?+[^"\\]*+)*+"?+|[^"]++'
 _BARE_TOKEN = r"[{}\[\]:,]|[^" + V.WS + r"{}\[\]:,]++"
 _INNER_TOKEN = r"[^" + V.WS + r"]++"
 
-_LOWER_CASE_WORD = r"^[\p{Ll}&&[^\x{17f}]]++\z"
+# Plain words; not the long s, which folds to "s".
+_LOWER_WORD = r"^[\p{Ll}&&[^\x{17f}]]++\z"
+_CAPITALISED_WORD = r"^\p{Lu}[\p{Ll}&&[^\x{17f}]]++\z"
 _NUMBER = r"^\p{Nd}+(?:\.\p{Nd}+)*+\z"
 _IDENTIFIER = r"_|^[a-z]+[A-Z][a-zA-Z]*\z"
 _CAPITALISED = r"^\p{IsUppercase}[^\p{IsLowercase}\p{IsTitlecase}]*+[\p{IsLowercase}\p{IsTitlecase}]"
@@ -96,14 +98,17 @@ def _score(token: Column, core: Column) -> Column:
         .when(is_blank(token), 0.0)
         .otherwise(V.SCORE_PUNCTUATION_ONLY)
     )
-    # Most tokens are lower-case words; one test spares them the other patterns.
-    lower_case_word = _by_length(
+    # Most tokens are plain words; one or two tests spare them the other patterns.
+    lower_word = _by_length(
         core,
         F.when(core.isin(*V.STOP_WORDS), V.SCORE_STOP_WORD).when(
             core.isin(*V.TECH_WORDS), V.SCORE_TECH
         ),
     )
-    word = _by_length(
+    capitalised_word = F.when(
+        F.lower(core).isin(*V.TECH_WORDS), V.SCORE_TECH
+    ).otherwise(V.SCORE_CAPITALISED)
+    other = _by_length(
         core,
         F.when(F.rlike(core, F.lit(_NUMBER)), V.SCORE_NUMBER)
         .when(F.rlike(core, F.lit(_IDENTIFIER)), V.SCORE_IDENTIFIER)
@@ -113,8 +118,9 @@ def _score(token: Column, core: Column) -> Column:
     )
     return (
         F.when(core == "", mark)
-        .when(F.rlike(core, F.lit(_LOWER_CASE_WORD)), lower_case_word)
-        .otherwise(word)
+        .when(F.rlike(core, F.lit(_LOWER_WORD)), lower_word)
+        .when(F.rlike(core, F.lit(_CAPITALISED_WORD)), capitalised_word)
+        .otherwise(other)
     )
 
 
@@ -158,46 +164,41 @@ def keep_threshold(scores: Column, ratio: Column | float) -> Column:
     return F.get(F.sort_array(scores, asc=False), rank - 1)
 
 
-def _replace_all(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
-    for pattern, replacement in rules:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
-    return text
-
-
 # Tokens hold no whitespace, so once blanks around marks are gone, commas and colons have no blank
 # next to them and runs of them are adjacent.
-_TIGHTEN = ((r" *([{}\[\]:,]) *", "$1"),)
-_QUOTE_SPACING = ((r'" +', '"'), (r' +"', '"'))
-_COMMA_RUNS = ((r",{2,}", ","),)
-_COMMA_BY_BRACKET = ((r"([:{\[]),+", "$1"), (r",+([}\]])", "$1"))
-_TRAILING_COMMA = ((r",\z", ""),)
-_LABELS = (
+_TIDY = (
+    (r" *([{}\[\]:,]) *", "$1"),
+    (r'" +', '"'),
+    (r' +"', '"'),
+    (r",{2,}", ","),
+    (r"([:{\[]),+", "$1"),
+    (r",+([}\]])", "$1"),
+    (r",\z", ""),
     (rf",(?=[A-Za-z][{V.WORD}.\-]*+:)", " "),
     (r"(^|[ ,{\[]) *:+ *", "$1"),
     (r": *(?=[:,])", ""),
     (r" {2,}", " "),
 )
+_MARKS = r'["{}\[\]:]'
+# All that the rules above do to text without such marks (outer commas are stripped anyway).
+_TIDY_PROSE = ((r" *,[ ,]*", ","),)
 
 
-def reconstruct(kept: Column) -> Column:
-    """Join kept tokens and tidy the spacing, comma and colon leftovers of dropped words.
+def _replace_all(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
+    return text
 
-    Rules that only concern quotes, brackets or labels run only on text that has them.
-    """
 
-    def tidy_quotes(text: Column) -> Column:
-        return F.when(
-            F.contains(text, F.lit(V.QUOTE)), _replace_all(text, _QUOTE_SPACING)
-        ).otherwise(text)
+def reconstruct(kept: Column) -> Column:
+    """Join kept tokens and tidy the spacing, comma and colon leftovers of dropped words."""
 
-    def tidy_marks(text: Column) -> Column:
-        every_rule = _COMMA_RUNS + _COMMA_BY_BRACKET + _TRAILING_COMMA + _LABELS
-        return F.when(
-            F.rlike(text, F.lit(r"[{}\[\]:]")), _replace_all(text, every_rule)
-        ).otherwise(_replace_all(text, _COMMA_RUNS + _TRAILING_COMMA))
+    def tidy(text: Column) -> Column:
+        return F.when(F.rlike(text, F.lit(_MARKS)), _replace_all(text, _TIDY)).otherwise(
+            _replace_all(text, _TIDY_PROSE)
+        )
 
-    joined = _replace_all(F.array_join(kept, " "), _TIGHTEN)
-    return F.btrim(let(let(joined, tidy_quotes), tidy_marks), F.lit(" :,"))
+    return F.btrim(let(F.array_join(kept, " "), tidy), F.lit(" :,"))
 
 
 def compression_ratio(original: Column, compressed: Column) -> Column:
