@@ -522,7 +522,9 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def stream_compress(spark, sf_dir):
-    stream = jobs.compress_stream(fixture_stream(spark, sf_dir, "prompts"))
+    stream = jobs.compress_stream(
+        fixture_stream(spark, sf_dir, "prompts"), partitions=2 * spark.sparkContext.defaultParallelism
+    )
     return jobs.drain(stream, _folder(spark, "compress"), [], "append")
 
 

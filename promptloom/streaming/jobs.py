@@ -20,10 +20,18 @@ from promptloom.operators.run_state import data_events
 
 
 def compress_stream(
-    prompts: DataFrame, text: str = "text", ratio: float = V.DEFAULT_PRESERVE_RATIO, scorer: Scorer | None = None
+    prompts: DataFrame,
+    text: str = "text",
+    ratio: float = V.DEFAULT_PRESERVE_RATIO,
+    scorer: Scorer | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
-    """Compress arriving prompts; stateless, the same expressions as in batch."""
-    return prompts.transform(compress(text, ratio, scorer))
+    """Compress arriving prompts; stateless, the same expressions as in batch.
+
+    Name ``partitions`` only if a micro-batch arrives in fewer splits than there are cores.
+    """
+    arrived = prompts.repartition(partitions) if partitions else prompts
+    return arrived.transform(compress(text, ratio, scorer))
 
 
 def call_usage_stream(chunk_rows: DataFrame) -> DataFrame:
