@@ -211,6 +211,17 @@ def compression_multiplier(original: Column, compressed: Column) -> Column:
     return F.when(compressed > 0, round_exact(original / compressed, 2)).otherwise(F.lit(1.0))
 
 
+def _tagged(tokens: Column, base: Column, ratio: Column | float) -> Column:
+    return let(
+        boost_keys(tokens, base),
+        lambda scores: F.struct(
+            tokens.alias("tokens"),
+            scores.alias("scores"),
+            keep_threshold(scores, ratio).alias("threshold"),
+        ),
+    )
+
+
 def tagged_tokens(
     text: Column | str, ratio: Column | float = V.DEFAULT_PRESERVE_RATIO, scorer: Scorer | None = None
 ) -> Column:
@@ -218,21 +229,47 @@ def tagged_tokens(
 
     Every array is bound once (see :func:`let`).
     """
+    return let(
+        F.coalesce(tokenize(text), F.array().cast("array<string>")),
+        lambda tokens: let(
+            score_tokens(tokens, scorer), lambda base: _tagged(tokens, base, ratio)
+        ),
+    )
 
-    def tag(tokens: Column) -> Column:
-        return let(
-            score_tokens(tokens, scorer),
-            lambda base: let(
-                boost_keys(tokens, base),
-                lambda scores: F.struct(
-                    tokens.alias("tokens"),
-                    scores.alias("scores"),
-                    keep_threshold(scores, ratio).alias("threshold"),
-                ),
-            ),
-        )
 
-    return let(F.coalesce(tokenize(text), F.array().cast("array<string>")), tag)
+def _finished(tagged: Column, text: Column, exact_scores: bool, detailed: bool) -> Column:
+    tokens, scores, threshold = tagged["tokens"], tagged["scores"], tagged["threshold"]
+
+    def shown(score: Column) -> Column:
+        # Default scores have two digits already.
+        return score if exact_scores else round_exact(score, 2)
+
+    def survives(token: Column, i: Column) -> Column:
+        return (F.get(scores, i) >= threshold) | is_skeleton(token)
+
+    def fields(kept: Column) -> Column:
+        original, left = F.size(tokens), F.size(kept)
+        columns = [
+            F.when(original > 0, reconstruct(kept)).otherwise(text).alias("compressed"),
+            original.alias("original_tokens"),
+            left.alias("compressed_tokens"),
+            compression_ratio(original, left).alias("ratio"),
+            compression_multiplier(original, left).alias("multiplier"),
+        ]
+        if detailed:
+            columns.append(
+                F.transform(
+                    tokens,
+                    lambda t, i: F.struct(
+                        t.alias("text"),
+                        survives(t, i).alias("kept"),
+                        shown(F.get(scores, i)).alias("score"),
+                    ),
+                ).alias("tokens")
+            )
+        return F.struct(*columns)
+
+    return let(F.filter(tokens, survives), fields)
 
 
 def compress_struct(
@@ -247,40 +284,24 @@ def compress_struct(
     ``detailed``, ``tokens array<struct<text, kept, score>>`` in token order. Text without tokens
     comes back unchanged with stats (0, 0, 0.0, 1.0).
     """
-    text = as_column(text)
+    return let(
+        tagged_tokens(text, ratio, scorer),
+        lambda tagged: _finished(tagged, as_column(text), scorer is None, detailed),
+    )
+
 
-    def finish(tagged: Column) -> Column:
-        tokens, scores, threshold = tagged["tokens"], tagged["scores"], tagged["threshold"]
-
-        def score(value: Column) -> Column:
-            # Default scores have two digits already.
-            return value if scorer is None else round_exact(value, 2)
-
-        def survives(token: Column, i: Column) -> Column:
-            return (F.get(scores, i) >= threshold) | is_skeleton(token)
-
-        def fields(kept: Column) -> Column:
-            original, left = F.size(tokens), F.size(kept)
-            columns = [
-                F.when(original > 0, reconstruct(kept)).otherwise(text).alias("compressed"),
-                original.alias("original_tokens"),
-                left.alias("compressed_tokens"),
-                compression_ratio(original, left).alias("ratio"),
-                compression_multiplier(original, left).alias("multiplier"),
-            ]
-            if detailed:
-                columns.append(
-                    F.transform(
-                        tokens,
-                        lambda t, i: F.struct(
-                            t.alias("text"),
-                            survives(t, i).alias("kept"),
-                            score(F.get(scores, i)).alias("score"),
-                        ),
-                    ).alias("tokens")
-                )
-            return F.struct(*columns)
-
-        return let(F.filter(tokens, survives), fields)
-
-    return let(tagged_tokens(text, ratio, scorer), finish)
+def compress_scored_struct(
+    text: Column | str,
+    tokens: Column | str,
+    scores: Column | str,
+    ratio: Column | float = V.DEFAULT_PRESERVE_RATIO,
+    detailed: bool = False,
+) -> Column:
+    """Like :func:`compress_struct` for token and score arrays that are columns already."""
+    return let(
+        F.struct(as_column(tokens).alias("k"), as_column(scores).cast("array<double>").alias("s")),
+        lambda given: let(
+            _tagged(given["k"], given["s"], ratio),
+            lambda tagged: _finished(tagged, as_column(text), False, detailed),
+        ),
+    )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
-from promptloom.functions.tokens import Scorer, compress_struct
+from promptloom.functions.tokens import Scorer, compress_scored_struct, compress_struct, tokenize
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -43,6 +43,28 @@ def compress_detailed(
     return run
 
 
+def compress_scored(
+    score_tokens: Callable[[Column], Column],
+    text: str = "text",
+    ratio: Column | float = V.DEFAULT_PRESERVE_RATIO,
+    detailed: bool = False,
+) -> Transform:
+    """:func:`compress` with scores from a function of the whole token array.
+
+    Meant for a pandas UDF ``array<string> -> array<double>`` around a model; key boost and
+    threshold still apply.
+    """
+
+    def run(df: DataFrame) -> DataFrame:
+        others = [c for c in df.columns if c != text]
+        tokens = F.coalesce(tokenize(text), F.array().cast("array<string>"))
+        scored = df.withColumn("_k", tokens).withColumn("_s", score_tokens(F.col("_k")))
+        result = compress_scored_struct(text, "_k", "_s", ratio, detailed)
+        return scored.select(*others, result.alias("_c")).select(*others, "_c.*")
+
+    return run
+
+
 def compression_diff(
     text: str = "text",
     ratio: Column | float = V.DEFAULT_PRESERVE_RATIO,

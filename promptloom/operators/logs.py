@@ -44,10 +44,11 @@ def _token_of(fields: Column, family: Column | str) -> Column:
     return F.when(family == "mistral", fields["mistral_token"]).otherwise(fields["claude_token"])
 
 
-def chunk_usage(chunk_rows: DataFrame) -> DataFrame:
+def chunk_usage(chunk_rows: DataFrame, *more: str) -> DataFrame:
     """Usage reported by each cloud stream chunk; nulls where it reports none."""
-    return chunk_rows.select("call_id", "seq", cloud_fields("chunk")["usage"].alias("_u")).select(
-        "call_id", "seq", "_u.input_tokens", "_u.output_tokens"
+    usage = cloud_fields("chunk")["usage"].alias("_u")
+    return chunk_rows.select("call_id", "seq", *more, usage).select(
+        "call_id", "seq", *more, "_u.input_tokens", "_u.output_tokens"
     )
 
 
@@ -57,9 +58,9 @@ def chunk_tokens(chunk_rows: DataFrame, family: Column | str = "claude") -> Data
     return rows_where(chunk_rows, token, lambda t: t != "", "token", "call_id", "seq")
 
 
-def call_usage(usage: DataFrame) -> DataFrame:
+def call_usage(usage: DataFrame, *more_keys: Column) -> DataFrame:
     """Largest input and output count reported in a call, each on its own; 0 when none is."""
-    return usage.groupBy("call_id").agg(
+    return usage.groupBy("call_id", *more_keys).agg(
         F.greatest(F.coalesce(F.max("input_tokens"), F.lit(0)), F.lit(0)).alias("input_tokens"),
         F.greatest(F.coalesce(F.max("output_tokens"), F.lit(0)), F.lit(0)).alias("output_tokens"),
     )

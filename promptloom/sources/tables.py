@@ -85,10 +85,10 @@ def request_messages(bodies: DataFrame, key: str = "request_id", body: str = "bo
 
 
 def read_chat_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Message rows of request files, one JSON body per line; the key is file and line text."""
+    """Message rows of request files, one JSON body per line; requests are numbered, with gaps."""
     lines = read_lines(spark, path)
     return request_messages(
-        lines.select(F.xxhash64("file", "line").alias("request_id"), F.col("line").alias("body"))
+        lines.select(F.monotonically_increasing_id().alias("request_id"), F.col("line").alias("body"))
     )
 
 

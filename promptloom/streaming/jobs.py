@@ -39,6 +39,25 @@ def call_usage_stream(chunk_rows: DataFrame) -> DataFrame:
     return call_usage(chunk_usage(chunk_rows))
 
 
+def closed_call_usage_stream(
+    chunk_rows: DataFrame, event_time: str, idle: str, late: str = "10 minutes"
+) -> DataFrame:
+    """Usage per call, once it has been idle (append mode); the state of closed calls is dropped.
+
+    A chunk that arrives after the watermark (``late`` behind the newest event) has passed its call
+    is left out, and one after a longer pause than ``idle`` counts as another call.
+    """
+    usage = chunk_usage(chunk_rows, event_time).withWatermark(event_time, late)
+    closed = call_usage(usage, F.session_window(event_time, idle).alias("active"))
+    return closed.select(
+        "call_id",
+        F.col("active.start").alias("started"),
+        F.col("active.end").alias("closed"),
+        "input_tokens",
+        "output_tokens",
+    )
+
+
 def call_text_stream(chunk_rows: DataFrame, family: Column | str = "claude") -> DataFrame:
     """Running text per call and part (update mode): the state of a part is one span of tokens."""
     return call_text(chunk_tokens(chunk_rows, family))

@@ -9,7 +9,7 @@ from checks.queries import documents, length_scorer
 from promptloom.functions import fixed_values as V
 from promptloom.functions import tokens as K
 from promptloom.functions.columns import let, round_exact
-from promptloom.operators.compression import compress, compress_detailed, compression_diff
+from promptloom.operators.compression import compress, compress_detailed, compress_scored, compression_diff
 
 SAMPLE = (
     '{"app_type": "I would really like a modern shop website for handmade crafts", '
@@ -157,11 +157,11 @@ def test_custom_scorers(spark):
     def reversed_rank(tokens: pd.Series) -> pd.Series:
         return tokens.map(lambda t: [float(len(t) - i) for i in range(len(t))])
 
-    tagged = texts(spark, "a bb ccc dddd").select(K.tokenize("text").alias("t")).withColumn("s", reversed_rank("t"))
-    kept = tagged.select(
-        F.filter("t", lambda t, i: F.get("s", i) >= K.keep_threshold(F.col("s"), 0.5)).alias("k")
-    ).first()
-    assert kept.k == ["a", "bb"]
+    rows = texts(spark, "a bb ccc dddd", "", None, '"x": y').transform(
+        compress_scored(reversed_rank, ratio=0.5, detailed=True)
+    )
+    got = [(r.compressed, r.original_tokens, r.compressed_tokens) for r in rows.orderBy("id").collect()]
+    assert got == [("a bb", 4, 2), ("", 0, 0), (None, 0, 0), ('"x"', 5, 4)]
 
 
 def test_diff_is_every_token_in_order(spark):

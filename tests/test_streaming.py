@@ -41,6 +41,22 @@ def test_call_fold(spark, arriving):
     assert rows(text) == rows(logs.call_text(logs.chunk_tokens(table)))
 
 
+def test_closed_calls_leave_the_state(spark):
+    usage = """concat('{"usage":{"input_tokens":', n, '}}') AS chunk"""
+    path = new_folder(spark, "arriving")
+    for minute, n in ((0, 5), (1, 9), (90, 4), (300, 1)):
+        spark.sql(f"SELECT 1L AS call_id, {minute}L AS seq, timestamp'2024-01-01' + make_interval(0,0,0,0,0,{minute}) AS ts, {n} AS n").selectExpr(
+            "call_id", "seq", "ts", usage
+        ).coalesce(1).write.mode("append").parquet(path)
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    closed = jobs.closed_call_usage_stream(stream, "ts", "30 minutes")
+    out = jobs.drain(closed, new_folder(spark, "s"), [], "append")
+    assert sorted((str(r.started), r.input_tokens) for r in out.collect()) == [
+        ("2024-01-01 00:00:00", 9), ("2024-01-01 01:30:00", 4),
+    ]
+
+
 def test_run_state(spark, arriving):
     table, stream = arriving("frames", "seq")
     latest = jobs.drain(jobs.run_events_stream(stream), new_folder(spark, "s"), ["run_id", "event", "subtask_id"])
