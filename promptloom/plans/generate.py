@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
-from promptloom.functions.columns import as_column, round_exact
+from promptloom.functions.columns import round_exact
 from promptloom.functions.intent import strong_intent, weak_intent
 from promptloom.functions.models import Pricing, short_model
 from promptloom.functions.text import decompose_prompt, perform_prompt
@@ -79,89 +79,72 @@ def run_report(tables: RunTables) -> DataFrame:
     return ledger.run_report(tables.totals, tables.pricing)
 
 
-def _event(stage: int, name: str, **fields: Column) -> Column:
+def _event(stage: int, part: Column, name: str, **fields: Column) -> Column:
     payload = F.struct(F.lit(name).alias("event"), *[c.alias(n) for n, c in fields.items()])
     return F.struct(
-        F.lit(stage).alias("stage"), F.lit(name).alias("event"), F.to_json(payload).alias("payload")
-    )
-
-
-def _list_event(stage: int, name: str, list_name: str, objects: Column, **fields: Column) -> Column:
-    """Event whose list field is already written as JSON text."""
-    rest = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]))
-    payload = F.concat(
-        F.lit(f'{{"event":"{name}","{list_name}":['), objects, F.lit("],"), F.substr(rest, F.lit(2))
+        F.lit(stage).alias("stage"),
+        part.cast("bigint").alias("part"),
+        F.lit(name).alias("event"),
+        F.to_json(payload).alias("payload"),
     )
-    return F.struct(F.lit(stage).alias("stage"), F.lit(name).alias("event"), payload.alias("payload"))
 
 
 def _status(stage: int, name: str, message: Column) -> Column:
+    payload = F.struct(
+        F.lit("router_status").alias("event"), F.lit(name).alias("stage"), message.alias("message")
+    )
     return F.struct(
         F.lit(stage).alias("stage"),
+        F.lit(0).cast("bigint").alias("part"),
         F.lit("router_status").alias("event"),
-        F.to_json(
-            F.struct(
-                F.lit("router_status").alias("event"), F.lit(name).alias("stage"), message.alias("message")
-            )
-        ).alias("payload"),
+        F.to_json(payload).alias("payload"),
     )
 
 
-def _subtask_lists(outcomes: DataFrame, pricing: Pricing) -> DataFrame:
-    """Plan and usage objects of a run as JSON list text, in bounded parts (see ``ordered_text``)."""
+def _fields(task: Column, *names: str) -> Column:
+    return F.struct(*[task[n].alias(n) for n in names])
+
+
+def _listed_subtasks(outcomes: DataFrame, pricing: Pricing) -> DataFrame:
+    """Subtasks of a run in order, as ``(run_id, part, tasks)`` with at most one span in a part."""
     in_price, out_price = pricing.usd_columns("assigned_model")
     i, o = F.col("real_input_tokens"), F.col("real_output_tokens")
-    label = short_model("assigned_model")
-    planned = F.struct(
+    task = F.struct(
+        F.col("position").alias("position"),
         F.col("id"),
         F.col("title"),
         F.col("estimated_tokens").alias("estimatedTokens"),
-        label.alias("model"),
+        short_model("assigned_model").alias("model"),
+        F.col("status").alias("result"),
         F.lit("pending").alias("status"),
-    )
-    used = F.struct(
-        F.col("id"),
-        F.col("title"),
-        label.alias("model"),
         i.alias("inputTokens"),
         o.alias("outputTokens"),
         round_exact(i * in_price + o * out_price, 6).alias("costUsd"),
     )
-    both = F.struct(F.to_json(planned).alias("planned"), F.to_json(used).alias("used"))
-    pieces = F.array_sort(F.collect_list(F.struct(F.col("position").alias("o"), both.alias("t"))))
-
-    def joined(field: str) -> Column:
-        return F.array_join(F.transform("pieces", lambda p: p["t"][field]), ",").alias(field)
-
-    return (
-        outcomes.groupBy("run_id", span("position").alias("part"))
-        .agg(pieces.alias("pieces"))
-        .select("run_id", "part", joined("planned"), joined("used"))
+    return outcomes.groupBy("run_id", span("position").alias("part")).agg(
+        F.array_sort(F.collect_list(task)).alias("tasks")
     )
 
 
-def _exploded(rows: DataFrame, events: list[Column], part: Column | str) -> DataFrame:
-    every = rows.select(
-        "run_id", as_column(part).cast("bigint").alias("part"), F.explode(F.array(*events)).alias("e")
-    )
-    return every.select("run_id", "e.stage", "part", "e.event", "e.payload")
-
-
 def run_events(tables: RunTables) -> DataFrame:
     """The events of build runs as ``(run_id, stage, part, event, payload)`` in (stage, part) order.
 
-    Run-wide events are exploded from one row per run, subtask updates from one row per subtask
-    (``part`` is its position). The two list events have one row per part of the run's subtasks.
+    Positions count from 0. A list event has one row per part of the run's subtasks; the ``part`` of
+    a subtask update is the subtask's position. All events of a run are exploded from one row per
+    part, so the outcomes are read twice: for the totals and for the lists.
     """
     report = run_report(tables)
+    rows = report.join(_listed_subtasks(tables.outcomes, tables.pricing), "run_id", "left")
+    part, tasks = F.coalesce("part", F.lit(0)), F.col("tasks")
     count = F.col("subtask_count")
     before, _, after = V.STATUS_EXECUTING.partition("{count}")
-    run_wide = [
+    once = [
         _status(0, "decomposing", F.lit(V.STATUS_DECOMPOSING)),
         _status(2, "executing", F.concat(F.lit(before), count.cast("string"), F.lit(after))),
         _status(5, "assembling", F.lit(V.STATUS_ASSEMBLING)),
         _event(
             7,
+            F.lit(0),
             "savings_breakdown",
             provider=F.col("provider"),
             baselineCostUsd=F.col("baseline_cost_usd"),
@@ -172,23 +155,26 @@ def run_events(tables: RunTables) -> DataFrame:
             routingSavingUsd=F.col("routing_saving_usd"),
             baselineModel=F.col("baseline_model"),
         ),
-        _event(8, "router_done", subtaskCount=count),
+        _event(8, F.lit(0), "router_done", subtaskCount=count),
     ]
-    lists = [
-        _list_event(
+
+    def listed(*names: str) -> Column:
+        return F.coalesce(F.transform(tasks, lambda t: _fields(t, *names)), F.array())
+
+    per_part = [
+        _event(
             1,
+            part,
             "router_plan",
-            "subtasks",
-            F.coalesce("planned", F.lit("")),
+            subtasks=listed("id", "title", "estimatedTokens", "model", "status"),
             totalEstimatedTokens=F.col("total_estimated_tokens"),
             savingsVsSingleCall=F.col("savings_token_equiv"),
             savingsVsSingleCallPct=F.col("plan_savings_pct"),
         ),
-        _list_event(
+        _event(
             6,
+            part,
             "real_usage",
-            "perSubtask",
-            F.coalesce("used", F.lit("")),
             realInputTokens=F.col("real_input_tokens"),
             realOutputTokens=F.col("real_output_tokens"),
             realTotalTokens=F.col("real_total_tokens"),
@@ -196,16 +182,28 @@ def run_events(tables: RunTables) -> DataFrame:
             realInputCostUsd=F.col("real_input_cost_usd"),
             realOutputCostUsd=F.col("real_output_cost_usd"),
             realTotalCostUsd=F.col("real_total_cost_usd"),
+            perSubtask=listed("id", "title", "model", "inputTokens", "outputTokens", "costUsd"),
         ),
     ]
-    label = short_model("assigned_model")
-    updates = [
-        _event(stage, "subtask_update", id=F.col("id"), title=F.col("title"), status=status, model=label)
-        for stage, status in ((3, F.lit("running")), (4, F.col("status")))
-    ]
-    with_lists = report.join(_subtask_lists(tables.outcomes, tables.pricing), "run_id", "left")
-    return (
-        _exploded(report, run_wide, F.lit(0))
-        .unionByName(_exploded(with_lists, lists, F.coalesce("part", F.lit(0))))
-        .unionByName(_exploded(tables.outcomes, updates, "position"))
+
+    def updates(task: Column) -> Column:
+        def update(stage: int, status: Column) -> Column:
+            return _event(
+                stage,
+                task["position"],
+                "subtask_update",
+                id=task["id"],
+                title=task["title"],
+                status=status,
+                model=task["model"],
+            )
+
+        return F.array(update(3, F.lit("running")), update(4, task["result"]))
+
+    event_type = "array<struct<stage:int,part:bigint,event:string,payload:string>>"
+    events = F.concat(
+        F.when(part == 0, F.array(*once)).otherwise(F.array()).cast(event_type),
+        F.array(*per_part).cast(event_type),
+        F.coalesce(F.flatten(F.transform(tasks, updates)), F.array()).cast(event_type),
     )
+    return rows.select("run_id", F.explode(events).alias("e")).select("run_id", "e.*")
