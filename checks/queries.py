@@ -408,14 +408,13 @@ def chat_requests(spark, sf_dir):
     )
 
 
-def echo_model(system: str, messages: str, model: str, max_tokens: int) -> tuple[str, int, int]:
-    """A stand-in model: refuses questions about poems, else answers with what it was asked."""
-    if "Poem" in messages:
-        raise ValueError("no poems")
-    return f"{model}: {messages}", len(messages), max_tokens
-
-
 def infer_table(spark, sf_dir):
+    def echo(system: str, messages: str, model: str, max_tokens: int) -> tuple[str, int, int]:
+        """A stand-in model: refuses to write poems, else answers with what it was asked."""
+        if "Poem" in messages:
+            raise ValueError("no poems")
+        return f"{model}: {messages}", len(messages), max_tokens
+
     requests = log(spark, sf_dir, "requests").select(
         "request_id",
         F.lit("local").alias("provider"),
@@ -423,7 +422,7 @@ def infer_table(spark, sf_dir):
         F.lit(SYSTEM).alias("system"),
         F.col("text").alias("messages"),
     )
-    return inference.infer_table(requests, {"local": echo_model}, ["request_id"], 64)
+    return inference.infer_table(requests, {"local": echo}, ["request_id"], 64)
 
 
 # --- logs -------------------------------------------------------------------------------------

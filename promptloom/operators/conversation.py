@@ -61,11 +61,14 @@ def chat_payload_rows(turns: DataFrame, system: str = "") -> DataFrame:
     return messages.unionByName(prompts)
 
 
-def extract_requirements(turns: DataFrame) -> DataFrame:
+def extract_requirements(turns: DataFrame, attach: DataFrame | None = None) -> DataFrame:
     """Requirement summary per conversation as ``(conv_id, part, summary)``.
 
     The latest assistant turn with the completion marker, cleaned; without one, every user text in
     order joined by `` | ``. See :func:`ordered_text` for ``part``.
+
+    ``attach`` is a table with one row per ``conv_id`` whose columns are added. It is joined to the
+    small table of spans, which saves shuffling the summaries for it.
     """
     is_user = F.col("role") == "user"
     is_marked = (F.col("role") == "assistant") & has_marker("text")
@@ -78,6 +81,9 @@ def extract_requirements(turns: DataFrame) -> DataFrame:
             "user_turn": (F.when(is_user, F.col("turn")), F.max),
         },
     )
+    attached = [c for c in attach.columns if c != "conv_id"] if attach is not None else []
+    if attach is not None:
+        spans = spans.join(attach, "conv_id", "left")
     no_marker = F.col("marker_turn").isNull()
     chosen = spans_with_rows(
         spans,
@@ -90,7 +96,7 @@ def extract_requirements(turns: DataFrame) -> DataFrame:
     text = F.when(no_marker, F.col("text")).otherwise(requirements_from_reply("text"))
     return ordered_text(
         chosen.filter(F.col("turn").isNotNull() | is_silent),
-        ["conv_id"],
+        ["conv_id", *attached],
         "turn",
         text,
         "summary",

@@ -30,14 +30,17 @@ def generate_requests(
     ``answers`` is ``(request_id, answer)`` with ``request_id`` the conversation. Each part of a
     summary (see :func:`extract_requirements`) is a request of its own.
     """
-    summaries = extract_requirements(turns).withColumnRenamed("conv_id", "request_id")
+    summaries = extract_requirements(
+        turns, answers.select(F.col("request_id").alias("conv_id"), "answer")
+    ).withColumnRenamed("conv_id", "request_id")
     keys = ["request_id", "part", "summary"]
     voted = summaries.select(
         *keys,
+        "answer",
         compress_struct("summary", ratio).alias("_c"),
         strong_intent("summary").alias("_strong"),
         weak_intent("summary").alias("_weak"),
-    ).join(answers.select("request_id", "answer"), "request_id", "left")
+    )
     intent = resolve_intent(F.col("_strong"), F.col("answer"), F.col("_weak"))
     return voted.select(*keys, "_c.*", intent.alias("intent")).withColumn(
         "prompt",

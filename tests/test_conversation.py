@@ -7,6 +7,7 @@ from promptloom.operators import conversation as C
 from promptloom.operators.grouping import TURN_BITS
 from promptloom.operators.inference import chat_requests
 from promptloom.operators.intent import classify_intent, undecided_requests
+from promptloom.plans.generate import generate_requests
 from promptloom.sources.tables import display_rows, read_chat_requests, request_messages
 
 SPAN = 1 << TURN_BITS
@@ -254,6 +255,20 @@ def test_no_task_gets_the_whole_hot_conversation(spark, hot):
     assert len(exchanges) == 4 and len(by_key_alone) == 1
 
 
+def test_requests_shuffle_texts_once(spark, hot):
+    answers = spark.range(600).selectExpr("id AS request_id", "'BUILD' AS answer")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = generate_requests(hot, answers)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # Spans, the key's totals, spans again, rows, answers; nothing above the summaries.
+    assert plan.count("Exchange hashpartitioning") == 5
+    assert "Exchange" not in plan[: plan.index("ObjectHashAggregate")]
+    rows = generate_requests(hot, answers).filter("request_id IN (-1, 7)").collect()
+    assert len(rows) == 5 and {r.intent for r in rows} == {"build"}
+
+
 def test_chat_requests(spark, hot):
     df = turns(spark, (1, 1, "assistant", "b"), (1, 0, "user", 'a"'))
     local = chat_requests(df, "local", "m", "sys").first().request
