@@ -346,12 +346,54 @@ def run_events(spark, sf_dir):
     )
 
 
+def _answers(spark, sf_dir):
+    turns = read_table(spark, f"{sf_dir}/conversations.parquet")
+    answer = F.expr("CASE count(*) % 2 WHEN 0 THEN 'perform it' ELSE 'hm' END")
+    return turns.groupBy(F.col("conv_id").alias("request_id")).agg(answer.alias("answer"))
+
+
 def generate_requests(spark, sf_dir):
-    answers = read_table(spark, f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(
-        F.expr("CASE count(*) % 2 WHEN 0 THEN 'perform it' ELSE 'hm' END").alias("answer")
+    return generate.generate_requests(log(spark, sf_dir, "turns"), _answers(spark, sf_dir))
+
+
+def generate_events(spark, sf_dir):
+    turns = log(spark, sf_dir, "turns")
+    requests = generate.generate_requests(turns, _answers(spark, sf_dir), detailed=True)
+    compressed = generate.request_events(requests)
+    calls = turns.groupBy(F.col("conv_id").alias("run_id")).agg(
+        F.count("*").alias("input_tokens"), (F.max("turn") * 7).alias("output_tokens")
     )
-    return generate.generate_requests(
-        log(spark, sf_dir, "turns"), answers.withColumnRenamed("conv_id", "request_id")
+    used = generate.perform_events(ledger.usage_perform(calls)).withColumnRenamed("run_id", "request_id")
+    phases = generate.phase_events(conversation.phase_complete(turns)).withColumnRenamed("conv_id", "request_id")
+    zero = F.lit(0).cast("bigint")
+    every = (
+        compressed.unionByName(used.withColumn("part", zero)).unionByName(phases.withColumn("part", zero))
+    )
+    body = F.from_json(
+        "payload",
+        "struct<originalTokens:int,compressedTokens:int,ratio:double,multiplier:double,compressedPrompt:string,"
+        "original:string,tokens:array<struct<text:string,kept:boolean,score:double>>,mode:string,"
+        "realTotalTokens:bigint,realTotalCostUsd:double,nextPhase:string>",
+    )
+    kept = F.array_join(
+        F.transform("b.tokens", lambda t: F.concat(t["text"], F.when(t["kept"], "+").otherwise("-"))), " "
+    )
+    return every.select("request_id", "part", "stage", "event", body.alias("b")).select(
+        "request_id",
+        "part",
+        "stage",
+        "event",
+        F.col("b.originalTokens").alias("original_tokens"),
+        F.col("b.compressedTokens").alias("compressed_tokens"),
+        "b.ratio",
+        "b.multiplier",
+        F.col("b.compressedPrompt").alias("compressed"),
+        "b.original",
+        kept.alias("tokens"),
+        "b.mode",
+        F.col("b.realTotalTokens").alias("total_tokens"),
+        F.col("b.realTotalCostUsd").alias("cost_usd"),
+        F.col("b.nextPhase").alias("next_phase"),
     )
 
 
@@ -557,6 +599,7 @@ REGISTERED: tuple[Query, ...] = (
     model_labels, parse_plan, route_subtasks, price_lookup, plan_savings, subtask_outcome,
     assemble_output, usage_ledger, usage_per_subtask, usage_perform, savings_breakdown,
     usage_shares, savings_shares, fmt_usd, run_report, run_events, generate_requests,
+    generate_events,
     request_payloads, chat_requests, infer_table, local_usage, local_stream_tokens, cloud_tokens, usage_extract,
     call_fold, frame_decode, frame_text, frame_encode, chunk16, run_state_report,
     run_state_subtasks, stream_compress, stream_call_usage, stream_call_text, stream_run_state,

@@ -22,7 +22,10 @@ from promptloom.operators.planning import route, subtask_outcome
 
 
 def generate_requests(
-    turns: DataFrame, answers: DataFrame, ratio: float = V.DEFAULT_PRESERVE_RATIO
+    turns: DataFrame,
+    answers: DataFrame,
+    ratio: float = V.DEFAULT_PRESERVE_RATIO,
+    detailed: bool = False,
 ) -> DataFrame:
     """Conversations to next model requests, ``(request_id, part, ...)``.
 
@@ -37,7 +40,7 @@ def generate_requests(
     voted = summaries.select(
         *keys,
         "answer",
-        compress_struct("summary", ratio).alias("_c"),
+        compress_struct("summary", ratio, detailed=detailed).alias("_c"),
         strong_intent("summary").alias("_strong"),
         weak_intent("summary").alias("_weak"),
     )
@@ -50,6 +53,66 @@ def generate_requests(
     )
 
 
+def request_events(requests: DataFrame) -> DataFrame:
+    """Compression and mode events of detailed :func:`generate_requests` rows.
+
+    ``(request_id, part, stage, event, payload)``, in stage order within a part.
+    """
+    events = [
+        _named_event(
+            0,
+            "compression_stats",
+            originalTokens=F.col("original_tokens"),
+            compressedTokens=F.col("compressed_tokens"),
+            ratio=F.col("ratio"),
+            multiplier=F.col("multiplier"),
+            compressedPrompt=F.col("compressed"),
+        ),
+        _named_event(
+            1,
+            "compression_diff",
+            original=F.col("summary"),
+            tokens=F.col("tokens"),
+            multiplier=F.col("multiplier"),
+        ),
+        _named_event(2, "task_mode", mode=F.col("intent")),
+    ]
+    return requests.select("request_id", "part", F.explode(F.array(*events)).alias("e")).select(
+        "request_id", "part", "e.*"
+    )
+
+
+def perform_events(usage: DataFrame) -> DataFrame:
+    """Usage event per directly answered run of ``ledger.usage_perform``, as ``(run_id, event, payload)``."""
+    no_subtasks = F.array().cast("array<struct<id:bigint>>")
+    event = _named_event(
+        3,
+        "real_usage",
+        realInputTokens=F.col("real_input_tokens"),
+        realOutputTokens=F.col("real_output_tokens"),
+        realTotalTokens=F.col("real_total_tokens"),
+        realCostUnits=F.col("real_cost_units").cast("bigint"),
+        realInputCostUsd=F.col("real_input_cost_usd"),
+        realOutputCostUsd=F.col("real_output_cost_usd"),
+        realTotalCostUsd=F.col("real_total_cost_usd"),
+        perSubtask=no_subtasks,
+    )
+    return usage.select("run_id", event.alias("e")).select("run_id", "e.*")
+
+
+def phase_events(flags: DataFrame) -> DataFrame:
+    """Event per conversation whose scoping is complete, as ``(conv_id, event, payload)``."""
+    event = _named_event(0, "phase_complete", nextPhase=F.lit("generate"))
+    return flags.filter("complete").select("conv_id", event.alias("e")).select("conv_id", "e.*")
+
+
+def _named_event(stage: int, name: str, **fields: Column) -> Column:
+    payload = F.struct(F.lit(name).alias("event"), *[c.alias(n) for n, c in fields.items()])
+    return F.struct(
+        F.lit(stage).alias("stage"), F.lit(name).alias("event"), F.to_json(payload).alias("payload")
+    )
+
+
 @dataclass(frozen=True)
 class RunTables:
     """The tables of a set of build runs, each a lazy DataFrame."""
