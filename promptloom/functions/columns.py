@@ -36,9 +36,9 @@ def rows_where(
     return df.select(*columns, F.explode(F.filter(F.array(value), keep)).alias(name))
 
 
-def strip(text: Column | str) -> Column:
+def strip(text: Column | str, characters: str = WHITESPACE_CHARS) -> Column:
     """Text without leading and trailing Unicode whitespace."""
-    return F.btrim(as_column(text), F.lit(WHITESPACE_CHARS))
+    return F.btrim(as_column(text), F.lit(characters))
 
 
 def is_blank(text: Column | str) -> Column:

@@ -93,7 +93,8 @@ def display_text(text: Column | str) -> Column:
         rest = F.substring(t, at + len(V.COMPLETE_MARKER), F.length(t))
         return F.when(at > 0, F.concat(F.substring(t, F.lit(1), at - 1), rest)).otherwise(t)
 
-    return F.nullif(strip(let(as_column(text), without_first)), F.lit(""))
+    shown = strip(let(as_column(text), without_first), V.DISPLAY_WHITESPACE_CHARS)
+    return F.nullif(shown, F.lit(""))
 
 
 def has_marker(text: Column | str) -> Column:

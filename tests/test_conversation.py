@@ -51,8 +51,8 @@ def test_lead_in_only_near_the_start(spark):
 
 
 def test_display_text(spark):
-    got = one(spark, T.display_text, " a REQUIREMENTS_COMPLETE b REQUIREMENTS_COMPLETE", "REQUIREMENTS_COMPLETE\n", "x", " ")
-    assert got == ["a  b REQUIREMENTS_COMPLETE", None, "x", None]
+    got = one(spark, T.display_text, " a REQUIREMENTS_COMPLETE b REQUIREMENTS_COMPLETE", "REQUIREMENTS_COMPLETE\n", "x", " ", "\ufeffb\x1c")
+    assert got == ["a  b REQUIREMENTS_COMPLETE", None, "x", None, "b\x1c"]
     rows = turns(spark, (1, 0, "user", "hi"), (1, 1, "assistant", " REQUIREMENTS_COMPLETE "))
     assert [r.display for r in display_rows(rows).collect()] == ["hi"]
 
