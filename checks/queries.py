@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.fixtures import decomposition, fixture, fixture_stream
-from promptloom.functions import fixed_values as V
 from promptloom.functions import text as T
 from promptloom.functions import tokens as K
 from promptloom.functions.columns import let
