@@ -3,9 +3,10 @@
 import pytest
 
 import __spark_entry__ as entry
+from checks import oracle, queries
 from checks.compare import connect, difference
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = queries.queries(), oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -15,6 +16,7 @@ def con(sf_dir):
 
 def test_every_sql_belongs_to_a_query():
     assert set(SQL) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
