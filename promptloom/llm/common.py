@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 from collections.abc import Iterable, Iterator, Sequence
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +59,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20)
         if batch.num_rows == 0:
             continue
         sizes = np.fromiter(
-            (0 if n is None else n for n in pa.compute.binary_length(batch[column]).to_pylist()),
+            (0 if n is None else n for n in pc.binary_length(batch[column]).to_pylist()),
             dtype=np.int64,
             count=batch.num_rows,
         )
@@ -97,6 +100,12 @@ def groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[p
         yield pa.Table.from_batches(held)
 
 
+def worker_cache(name: str) -> dict:
+    """A dictionary that the tasks of one Python worker share, one after the other."""
+    holder = sys.modules.setdefault("_promptloom_worker", ModuleType("_promptloom_worker"))
+    return holder.__dict__.setdefault(name, {})
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of every node of an edge: the smallest node reachable from it.
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import packing
+from promptloom.llm import ngram_join, packing, secret_scan, toxicity
 from promptloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,11 +19,24 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-REGISTERED: tuple[Query, ...] = (op9_packing,)
+REGISTERED: tuple[Query, ...] = (op2_secret_scan, op5_toxicity, op6_ngram_join, op9_packing)
 
 
 def queries() -> dict[str, Query]:
