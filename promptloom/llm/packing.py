@@ -18,47 +18,78 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import slices, written
+from promptloom.llm.common import slices, worker_cache, written
 
 #: Tokens of a length class. Pieces are placed as if they had the class's longest length.
 WIDTH = 8
 #: Hash buckets in which the pieces of one class are ranked side by side.
 RANK_BUCKETS = 256
-#: Entries of a task's table of token ids by text run, and the longest run kept in it.
-CACHE_RUNS, CACHE_CHARS = 200_000, 64
+#: Signs that the pre-tokenizer takes apart from the word before them, whatever follows.
+SIGNS = ",.!?;:%*#$&|"
+#: Entries of a worker's tables of token ids by text run and by word, and the longest run kept.
+CACHE_RUNS, CACHE_WORDS, CACHE_CHARS = 400_000, 600_000, 64
 #: The program ends when its number of sequences is proven to be within this share of the least.
 GAP = 2e-4
 #: A bound on the steps of the linear program; a program cut short still gives a valid packing.
 MOST_STEPS = 20_000
 
 
-def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to little-endian 32-bit ids.
+class _Runs:
+    """Little-endian 32-bit ids of texts, by the runs between their blanks.
 
-    The normaliser and the pre-tokenizer of the vocabulary treat blanks as ends of everything, so a
-    text's ids are those of its runs between blanks, and a run seen before is looked up.
+    The vocabulary's normaliser and pre-tokenizer treat blanks as ends of everything, so a text's ids
+    are those of its runs. The normaliser lower-cases character by character and the pre-tokenizer
+    takes letters and signs apart, so a word with signs behind it has the word's ids, then theirs.
+    Runs and words are remembered by the worker process.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    seen: dict[str, bytes] = {}
-
-    def encode(texts: list[str]) -> list[bytes]:
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({r for rs in runs for r in rs if r not in seen})
-        if len(seen) + len(new) > CACHE_RUNS:
-            seen.clear()
-            new = list({r for rs in runs for r in rs})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for r, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                seen[r] = np.array(e.ids, dtype="<u4").tobytes()
-        result = [b"".join([seen[r] for r in rs]) for rs in runs]
-        for r in [r for r in new if len(r) > CACHE_CHARS]:
-            del seen[r]
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.runs: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _learn(self, new: set[str]) -> None:
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
+        parts: dict[str, tuple[str, ...]] = {}
+        for run in new:
+            low = run.lower()
+            word = low.rstrip(SIGNS)
+            if word.isalpha() and len(low) == len(run) and (word.isascii() or max(word) < "\u0250"):
+                parts[run] = (word, low[len(word) :]) if len(word) < len(low) else (word,)
+            else:
+                parts[run] = (run,)
+        words = list({w for ws in parts.values() for w in ws if w not in self.words})
+        for i in range(0, len(words), 1024):
+            self.words.update(zip(words[i : i + 1024], self._encode(words[i : i + 1024]), strict=True))
+        for run, ws in parts.items():
+            self.runs[run] = self.words[ws[0]] if len(ws) == 1 else self.words[ws[0]] + self.words[ws[1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.runs) >= CACHE_RUNS:
+            self.runs.clear()
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        new = {r for runs in split for r in runs}.difference(self.runs)
+        self._learn(new)
+        result = [b"".join(map(self.runs.__getitem__, runs)) for runs in split]
+        for run in new:
+            if len(run) > CACHE_CHARS:
+                del self.runs[run]
+                self.words.pop(run, None)
         return result
 
-    return encode
+
+def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    known = worker_cache("token runs")
+    if path not in known:
+        known[path] = _Runs(path)
+    return known[path].encode
 
 
 PIECES = (
