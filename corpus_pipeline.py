@@ -5,18 +5,55 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from promptloom.llm import packing
+from promptloom.llm import mixing, ngram_join, packing, secret_scan, toxicity
 from promptloom.llm.common import table, written
-from promptloom.llm.queries import tokenizer
+from promptloom.llm.queries import WEIGHTS, domain, tokenizer
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject; it is fitted on all documents it is given."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.withColumn("_score", model.score(F.col("text")))
+    return scored.where("_score < 0.5").drop("_score")
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates; one row of repeated ones."""
+    found = ngram_join.jaccard_components(docs)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    unnamed = docs.where("doc_id IS NULL")
+    one = docs.join(kept, F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
+    return one.unionByName(unnamed)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, every secret replaced by a mark; ``n_chars`` counts the new text."""
+    clean = secret_scan.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture to the target weights takes them."""
+    taken = mixing.copies(docs, WEIGHTS, most_epochs=2, share=0.8, seed=7, domain=domain())
+    return mixing.mixed(docs, taken).select(docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the kept documents in sequences of 2048 tokens."""
+    """Pieces of the documents in sequences of 2048 tokens."""
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("packing", pack_stage)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", keep_one_of_each_group),
+    ("secret_scan", mask_secrets),
+    ("mixing", mix_sources),
+    ("packing", pack_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

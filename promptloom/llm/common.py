@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import sys
 import tempfile
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from types import ModuleType
 
 import numpy as np
@@ -137,6 +137,42 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return members.union(now.select("v", "v")).groupBy("node").agg(F.min("component").alias("component"))
 
 
+# --- columns --------------------------------------------------------------------------------------
+
+#: Values that are summed one after the other when running totals are made.
+BLOCK = 256
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_total(values: Column) -> Column:
+    """Sums of the values before each one, by blocks so that long arrays stay cheap."""
+
+    def within(block: Column) -> Column:
+        start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("all"))
+        return F.aggregate(
+            block,
+            start,
+            lambda acc, x: F.struct(
+                (acc["sum"] + x).alias("sum"), F.array_append(acc["all"], acc["sum"]).alias("all")
+            ),
+        )
+
+    blocks = F.when(
+        F.size(values) > 0,
+        F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(BLOCK)), lambda i: within(F.slice(values, i + 1, BLOCK))),
+    ).otherwise(F.array().cast("array<struct<sum:bigint,all:array<bigint>>>"))
+    return let(
+        blocks,
+        lambda bs: F.flatten(
+            F.zip_with(bs, within(F.transform(bs, lambda b: b["sum"]))["all"], lambda b, s: F.transform(b["all"], lambda x: x + s))
+        ),
+    )
+
+
 # --- hashes of words of a buffer of UTF-8 texts ------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C13)
@@ -183,9 +219,14 @@ class Words:
         self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         self.first = np.searchsorted(self.start, self.text_start)
         ahead, back = _power_tables(len(self.buffer) + 1)
-        sums = np.zeros(len(self.buffer) + 1, dtype=np.uint64)
-        np.cumsum((_LOWER if lower else _BYTE)[self.buffer] * ahead[: len(self.buffer)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * back[self.start])
+        self.sums = np.zeros(len(self.buffer) + 1, dtype=np.uint64)
+        np.cumsum((_LOWER if lower else _BYTE)[self.buffer] * ahead[: len(self.buffer)], out=self.sums[1:])
+        self.back = back
+        self.hash = self.ranges(self.start, self.end)
+
+    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of each range of ``buffer``."""
+        return mix((self.sums[end] - self.sums[start]) * self.back[start])
 
     def windows(self, width: int) -> np.ndarray:
         """Hash of the ``width`` words from each word on; the last ones run over the text's end."""

@@ -10,7 +10,7 @@ then met by whole epochs and a prefix, by tokens, of one more epoch in seeded or
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
@@ -156,5 +156,3 @@ def mixed(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id") -> DataFram
     rows = docs.join(often.where("_copies > 0"), same).drop(*on)
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
 
-
-__all__ = ["LEVELS", "Iterator", "budgets", "copies", "fill", "mixed", "word_tokens"]

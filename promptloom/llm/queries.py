@@ -4,13 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-
-from promptloom.llm import ngram_join, packing, secret_scan, toxicity
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from promptloom.llm import (
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    quality_rules,
+    secret_scan,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    vector_filters,
+)
 from promptloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Target weights of the mixture: domains, then languages within them; sources weigh what they hold.
+WEIGHTS = {
+    ("web",): 0.4,
+    ("curated",): 0.6,
+    **{(d, lang): w for d in ("web", "curated") for lang, w in (("en", 0.55), ("de", 0.15), ("fr", 0.15), ("es", 0.15))},
+}
+
+
+def domain() -> Column:
+    """The tree's first level: one large crawl, and everything else."""
+    return F.when(F.col("source") == "src0", "web").otherwise("curated")
+
 
 def tokenizer(name: str) -> str:
     """Path of a public tokenizer's file."""
@@ -19,10 +43,22 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -32,11 +68,35 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.copies(docs, WEIGHTS, most_epochs=2, share=0.8, seed=7, domain=domain())
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-REGISTERED: tuple[Query, ...] = (op2_secret_scan, op5_toxicity, op6_ngram_join, op9_packing)
+def op10_vector_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+REGISTERED: tuple[Query, ...] = (
+    op1_line_dedup,
+    op2_secret_scan,
+    op3_quality_rules,
+    op4_suffix_dedup,
+    op5_toxicity,
+    op6_ngram_join,
+    op7_mixing,
+    op8_token_counts,
+    op9_packing,
+    op10_vector_filters,
+)
 
 
 def queries() -> dict[str, Query]:

@@ -19,12 +19,13 @@ whole table within each class of lengths, bounds the share of ordinary text amon
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from promptloom.llm.common import let, running_total
+
 #: Kinds in their order, with the pattern and the condition that a match has to meet.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -53,40 +54,6 @@ _ALPHABETS = (
     (r"^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     (r"", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-="),
 )
-#: Values that are summed one after the other when running totals are made.
-BLOCK = 256
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def running_total(values: Column) -> Column:
-    """Sums of the values before each one, by blocks so that long arrays stay cheap."""
-
-    def within(block: Column) -> Column:
-        start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.array().cast("array<bigint>").alias("all"))
-        return F.aggregate(
-            block,
-            start,
-            lambda acc, x: F.struct(
-                (acc["sum"] + x).alias("sum"), F.array_append(acc["all"], acc["sum"]).alias("all")
-            ),
-        )
-
-    blocks = F.when(
-        F.size(values) > 0,
-        F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(BLOCK)), lambda i: within(F.slice(values, i + 1, BLOCK))),
-    ).otherwise(F.array().cast("array<struct<sum:bigint,all:array<bigint>>>"))
-    return let(
-        blocks,
-        lambda bs: F.flatten(
-            F.zip_with(bs, within(F.transform(bs, lambda b: b["sum"]))["all"], lambda b, s: F.transform(b["all"], lambda x: x + s))
-        ),
-    )
-
-
 SPANS = "array<struct<start:bigint,end:bigint,kind:int,text:string,value:string>>"
 
 

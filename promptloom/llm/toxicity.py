@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import Words, crc32_text, mix, slices, text_bytes, written
+from promptloom.llm.common import Words, crc32_text, keep_ids, mix, slices, text_bytes, written
 
 #: The classifier is fitted on so many labelled rows at most.
 MAX_LABELLED = 20_000
@@ -37,13 +37,18 @@ ANY_LETTER = "abcdefghijklmnopqrstuvwxyz"
 #: Costs in natural logarithms: a sign for a letter, a hidden letter, a run that loses letters.
 SIGN_COST, HIDDEN_COST, RUN_COST = 1.0, 3.0, 0.5
 #: The prior that a lexicon word has over other letter sequences, and the paths that are kept.
-WORD_PRIOR, PATHS = 4.0, 4
+WORD_PRIOR, PATHS = 8.0, 4
+#: Letters of a stem.
+STEMS = (5, 6, 7)
 #: No word is longer; longer tokens are no disguised words.
 LONGEST_WORD = 40
 CACHE_TOKENS = 200_000
 #: Character classes: 0 ends words, 1-26 a-z, the rest other letters.
 CLASSES = 64
 
+#: Signs that stand for a letter each; a word hides so many at most.
+HIDING, MOST_HIDDEN = "*#%&?", 2
+
 _EDGE = ".,;:!?\"'()[]{}<>«»„“”…%&#=~^"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _THRICE = re.compile(r"(.)\1\1")
@@ -104,6 +109,11 @@ def character_model(counts: DataFrame) -> np.ndarray:
     return np.log(table / table.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
+def features(word: str) -> list[str]:
+    """A word and its stems: its first letters with a mark, for words that only differ in endings."""
+    return [word, *(word[:n] + "~" for n in STEMS if len(word) > n)]
+
+
 # --- restoration ---------------------------------------------------------------------------------
 
 
@@ -116,14 +126,14 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             if n == 1:
                 places.append([(c, 0.0)])
             else:
-                places.append([(c, RUN_COST), (c + c, 0.0 if n == 2 else RUN_COST)])
+                places.append([(c, RUN_COST if n > 2 else 4 * RUN_COST), (c + c, RUN_COST if n > 2 else 0.0)])
         elif c in SIGNS:
             options = [(x, SIGN_COST) for x in SIGNS[c]]
             if n > 1:
                 options += [(x + x, SIGN_COST) for x in SIGNS[c]]
             places.append(options)
-        elif c in "*#%&?":
-            places.extend([[(x, HIDDEN_COST) for x in ANY_LETTER]] * min(n, 3))
+        elif c in HIDING:
+            places.extend([[(x, HIDDEN_COST) for x in ANY_LETTER]] * n)
     return places
 
 
@@ -149,11 +159,12 @@ def disguised(core: str) -> bool:
         2 < len(core) <= LONGEST_WORD
         and any(c.isalpha() for c in core)
         and (not core.isalpha() or _THRICE.search(core) is not None)
+        and sum(map(core.count, HIDING)) <= MOST_HIDDEN
     )
 
 
 class Restorer:
-    """Words of a text, disguised ones restored; with a lexicon, only its words."""
+    """Words and stems of a text, disguised words restored; with a lexicon, only its entries."""
 
     def __init__(self, model: np.ndarray, lexicon: Iterable[str] | None = None):
         self.model = model
@@ -165,14 +176,17 @@ class Restorer:
         if not paths:
             return ""
         known = self.lexicon or ()
-        return max((score + WORD_PRIOR * (word in known), word) for score, word in paths)[1]
+        return max((score + WORD_PRIOR * any(f in known for f in features(word)), word) for score, word in paths)[1]
 
     def _words(self, token: str) -> tuple[str, ...]:
         words = set(_LETTERS.findall(token))
-        for core in {token.strip(_EDGE + "*$|-_/"), token.strip(_EDGE)}:
+        plain = token.strip(_EDGE + "*$|-_/")
+        ending = token.strip(_EDGE + "*|-_/")
+        for core in {plain, ending if len(ending) - len(plain) <= 2 else plain}:
             if disguised(core):
                 words.add(self._best(core))
-        return tuple(words if self.lexicon is None else words & self.lexicon)
+        found = {f for w in words for f in features(w)}
+        return tuple(found if self.lexicon is None else found & self.lexicon)
 
     def words(self, text: str) -> set[str]:
         text = text.lower()
@@ -191,9 +205,9 @@ class Restorer:
                 letters = "".join(run.split())
                 word = self._best(letters) if disguised(letters) else letters
                 if self.lexicon is None:
-                    found.add(word)
+                    found.update(features(word))
                 else:
-                    found.update(w for w in self.lexicon if w == word or (len(w) > 4 and w in word))
+                    found.update(w for w in self.lexicon if w in features(word) or (len(w) > 4 and w in word))
         return found
 
 
@@ -278,13 +292,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     # the sample is bounded by max_labelled
     rows = texts.join(F.broadcast(sample), "doc_id").select("toxic", "text")
     rows = written(rows.mapInArrow(run, "toxic int, kind bigint, words array<string>"), "labelled")
-    kinds = rows.groupBy("kind").agg(F.max("toxic").alias("toxic"))
+    # one row stands for the copies of a text
+    kinds = rows.groupBy("kind").agg(F.max(F.struct("toxic", "words")).alias("row")).select("row.*")
     total, toxic = kinds.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     share = min(max(toxic / max(total, 1), 1e-6), 1 - 1e-6)
-    by_word = rows.select("kind", "toxic", F.explode("words").alias("word")).groupBy("word", "kind").agg(F.max("toxic").alias("toxic"))
-    by_word = by_word.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("hits"))
+    hits = kinds.where("toxic = 1").select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("hits"))
+    hits = written(hits.where(F.col("hits") >= LEXICON_TEXTS), "hits")
+    clean = kinds.where("toxic = 0").select(F.explode("words").alias("word"))
+    clean = keep_ids(clean, hits.select("word"), "word").groupBy("word").agg(F.count(F.lit(1)).alias("clean"))
+    by_word = hits.join(clean, "word", "left").withColumn("n", F.col("hits") + F.coalesce("clean", F.lit(0)))
     excess = (F.col("hits") - share * F.col("n")) / F.sqrt(share * (1 - share) * F.col("n"))
-    marked = by_word.where((F.col("hits") >= LEXICON_TEXTS) & (excess >= LEXICON_SCORE) & (F.col("hits") > 0.5 * F.col("n")))
+    marked = by_word.where((excess >= LEXICON_SCORE) & (F.col("hits") > 0.5 * F.col("n")))
     words = sorted(r[0] for r in marked.where(F.length("word").between(2, LONGEST_WORD)).select("word").collect())
     place = {w: i for i, w in enumerate(words)}
     # at most one short list of numbers for each of the sampled rows
