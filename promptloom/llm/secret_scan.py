@@ -40,7 +40,7 @@ FALSE_DISCOVERIES = 0.01
 #: Ordinary text: chance that two symbols are equal, and changes between letter and digit by character.
 TEXT_COLLISION, TEXT_CHANGES = 0.075, 0.06
 #: Randomness is given up beyond so many standard deviations.
-GIVE_UP = 4.0
+GIVE_UP = 3.5
 #: Lower ends of the classes of lengths, and how finely probabilities are counted (by their logarithm).
 LENGTHS = (16, 20, 24, 32, 48, 64, 128)
 STEPS = 40
