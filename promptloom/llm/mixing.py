@@ -60,7 +60,7 @@ def budgets(leaves: DataFrame, weights: Mapping[tuple, float], total: float, lev
         above, path = list(levels[: depth - 1]), list(levels[:depth])
         nodes = leaves.groupBy(*path).agg(F.sum("room").alias("room"))
         if now is None:
-            nodes = nodes.withColumn("above", F.lit(float(total)))
+            nodes = nodes.withColumn("above", F.lit(float(total))).withColumn("_root", F.lit(0))
         else:
             on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in above]
             nodes = nodes.join(now.select(*[F.col(c).alias(f"_{c}") for c in above], F.col("budget").alias("above")), on)
@@ -75,7 +75,7 @@ def budgets(leaves: DataFrame, weights: Mapping[tuple, float], total: float, lev
             return children[path].assign(budget=given)
 
         schema = ", ".join([*(f"`{c}` string" for c in path), "budget double"])
-        now = nodes.groupBy(*(above or [F.lit(0)])).applyInPandas(split, schema)
+        now = nodes.groupBy(*(above or ["_root"])).applyInPandas(split, schema)
     return now
 
 
