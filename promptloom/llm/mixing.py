@@ -10,7 +10,7 @@ then met by whole epochs and a prefix, by tokens, of one more epoch in seeded or
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import numpy as np
 import pandas as pd
@@ -48,13 +48,26 @@ def fill(budget: float, weights: np.ndarray, room: np.ndarray) -> np.ndarray:
     return share
 
 
+def _splitter(path: list[str], weights: dict[tuple, float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def split(children: pd.DataFrame) -> pd.DataFrame:
+        """Budgets of the children of one node, in an order that does not depend on that of the rows."""
+        keys = [tuple(None if pd.isna(x) else x for x in row) for row in children[path].itertuples(index=False)]
+        weight = np.array([weights.get(k, r) for k, r in zip(keys, children["room"], strict=True)], dtype=float)
+        order = sorted(range(len(keys)), key=lambda i: tuple((x is None, str(x)) for x in keys[i]))
+        given = np.zeros(len(keys))
+        room = children["room"].to_numpy(float)
+        given[order] = fill(float(children["above"].iloc[0]), weight[order], room[order])
+        return children[path].assign(budget=given)
+
+    return split
+
+
 def budgets(leaves: DataFrame, weights: Mapping[tuple, float], total: float, levels: tuple[str, ...] = LEVELS) -> DataFrame:
     """``leaves`` (levels, ``room``) with ``budget``: each level is split below its parent's node.
 
     ``weights`` maps paths, such as ``("web",)`` or ``("web", "en", None)``, to weights; a node
     without one weighs as much as the room below it holds. One task gets the children of one node.
     """
-    named = dict(weights)
     now: DataFrame | None = None
     for depth in range(1, len(levels) + 1):
         above, path = list(levels[: depth - 1]), list(levels[:depth])
@@ -66,16 +79,8 @@ def budgets(leaves: DataFrame, weights: Mapping[tuple, float], total: float, lev
             nodes = nodes.join(now.select(*[F.col(c).alias(f"_{c}") for c in above], F.col("budget").alias("above")), on)
             nodes = nodes.select(*path, "room", "above")
 
-        def split(children: pd.DataFrame, path: list[str] = path) -> pd.DataFrame:
-            keys = [tuple(None if pd.isna(x) else x for x in row) for row in children[path].itertuples(index=False)]
-            weight = np.array([named.get(k, r) for k, r in zip(keys, children["room"], strict=True)], dtype=float)
-            order = sorted(range(len(keys)), key=lambda i: tuple((x is None, str(x)) for x in keys[i]))
-            given = np.zeros(len(keys))
-            given[order] = fill(float(children["above"].iloc[0]), weight[order], children["room"].to_numpy(float)[order])
-            return children[path].assign(budget=given)
-
         schema = ", ".join([*(f"`{c}` string" for c in path), "budget double"])
-        now = nodes.groupBy(*(above or ["_root"])).applyInPandas(split, schema)
+        now = nodes.groupBy(*(above or ["_root"])).applyInPandas(_splitter(path, dict(weights)), schema)
     return now
 
 

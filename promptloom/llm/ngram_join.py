@@ -1,7 +1,8 @@
 """Exact Jaccard join of word n-gram sets by a count-vector R-tree.
 
 A document's set holds the 64-bit hashes of its distinct word n-grams. The hashes fall into
-``GROUPS`` groups, and how many fall into each makes the document a point. Two sets share at most
+groups, at least ``GROUPS`` and more for larger sets, and how many fall into each makes the document a
+point. Two sets share at most
 the sum of the smaller coordinates of their points, so a tree whose nodes know their largest
 coordinates and their sizes prunes most pairs of nodes; the pairs of points that are left are
 verified on the sets.
@@ -14,7 +15,8 @@ common element cannot come later. Work goes in two rounds, since only components
    are cut, as the next round makes up for it.
 2. Of all first elements only those remain under which documents of different components still
    meet. Large groups are cut into blocks, every pair of which meets. Pairs within a component
-   cannot change the result and are not looked at.
+   cannot change the result and are not looked at. Of the pairs between two components the most
+   promising are verified first, and the others where the two are still apart.
 """
 
 from __future__ import annotations
@@ -24,17 +26,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.llm.common import Words, components, groups, keep_ids, mix, slices, text_bytes, written
 
-#: Groups of hashes: coordinates of a point.
-GROUPS = 128
+#: Least number of groups of hashes, and elements of a set for each group (both powers of two).
+GROUPS, BY_GROUP = 64, 16
 #: Children of a node of the tree, and pairs of nodes that are opened at a time.
 FANOUT, OPEN = 16, 256
 #: What meets in one task: documents with their sets, elements of these sets, and points.
 MOST_TEXTS, MOST_ELEMENTS, MOST_POINTS = 8_000, 4_000_000, 4_096
+#: Pairs of two components that are verified first.
+FIRST_PAIRS = 2
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -53,11 +57,15 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     return sets
 
 
-def _points(sets: list[np.ndarray]) -> np.ndarray:
-    shift = np.uint64(64 - (GROUPS - 1).bit_length())
-    return np.array(
-        [np.bincount((mix(s) >> shift).astype(np.int64), minlength=GROUPS) for s in sets], dtype=np.int32
-    ).reshape(len(sets), GROUPS)
+def point(elements: np.ndarray) -> np.ndarray:
+    """Counts by the leading bits of the elements' mixed hashes."""
+    bits = max((GROUPS - 1).bit_length(), (len(elements) // BY_GROUP).bit_length())
+    return np.bincount((mix(elements) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint16)
+
+
+def folded(points: list[np.ndarray], groups_: int) -> np.ndarray:
+    """Points as rows of ``groups_`` coordinates, neighbouring groups added up."""
+    return np.array([p.reshape(groups_, -1).sum(axis=1) for p in points], dtype=np.int32).reshape(-1, groups_)
 
 
 POINTS = "doc_id bigint, n_shingles bigint, sig binary, point binary, firsts array<bigint>"
@@ -75,7 +83,7 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     batch["doc_id"],
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([p.tobytes() for p in _points(sets)], pa.binary()),
+                    pa.array([point(s).tobytes() for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(
                         np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32),
                         np.concatenate(firsts).view(np.int64),
@@ -112,6 +120,22 @@ class _Level:
         return near & ((100 + percent) * shared >= percent * (self.least[a] + self.least[b]))
 
 
+def near_pairs(points: list[np.ndarray], sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of pairs (as positions) that the bound does not exclude, each pair once.
+
+    Sets that can be similar differ in size by less than a factor of two, so points of one number of
+    groups meet each other and those of twice as many.
+    """
+    number = np.array([len(p) for p in points])
+    for groups_ in np.unique(number).tolist():
+        here = np.flatnonzero((number == groups_) | (number == 2 * groups_))
+        for a, b in near_points(folded([points[i] for i in here.tolist()], groups_), sizes[here], percent):
+            a, b = here[a], here[b]
+            own = (number[a] == groups_) | (number[b] == groups_)
+            if own.any():
+                yield a[own], b[own]
+
+
 def near_points(high: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of pairs of points (as positions) that the bound does not exclude, each pair once."""
     order = np.lexsort((*high.T[:4], sizes))
@@ -148,7 +172,7 @@ def spanning_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int,
     """Verified links (as positions) that connect whatever the sets' links connect."""
     group = np.arange(len(sets))
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    for a, b in near_points(_points(sets), sizes, percent):
+    for a, b in near_pairs([point(s) for s in sets], sizes, percent):
         apart = group[a] != group[b]
         for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
             if group[i] != group[j] and similar(sets[i], sets[j], percent):
@@ -194,39 +218,62 @@ def _first_round(
     return written(links, "links"), cut
 
 
-def _second_round(texts: DataFrame, unique: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between documents of different components (column ``component``)."""
+CANDIDATES = "a bigint, b bigint, one bigint, two bigint, margin int"
+
+
+def _candidates(unique: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components that the bound does not exclude, with the two components.
+
+    ``margin`` is how far the bound exceeds what the similarity needs, in hundredths of an element.
+    """
     elements = unique.select("component", F.explode("firsts").alias("key"))
     mixed = elements.groupBy("key").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
     )
     blocks = F.ceil(F.col("n") / MOST_POINTS).cast("int")
     mixed = written(mixed.where("low < high").select("key", blocks.alias("blocks")), "mixed")
-    met = keep_ids(unique.select("rep", F.explode("firsts").alias("key")), mixed, "key")
+    met = keep_ids(unique.select("rep", F.posexplode("firsts").alias("before", "key")), mixed, "key")
     # every two blocks of a key meet in one place: the row goes to each pair that its block is in
     met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "rep"
+        "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "before"
     )
     met = met.join(unique.select("rep", "component", "n_shingles", "point"), "rep")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in groups(batches, ["key", "one", "two"]):
+        for group in groups(batches, ["key", "x", "y"]):
             part = group["component"].to_numpy()
             if part.min() == part.max():
                 continue
-            reps, block = group["rep"].to_numpy(), group["block"].to_numpy()
-            cross = group["one"][0].as_py() != group["two"][0].as_py()
-            high = np.frombuffer(b"".join(group["point"].to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
-            for a, b in near_points(high, group["n_shingles"].to_numpy(), percent):
-                apart = (part[a] != part[b]) & ((block[a] != block[b]) | (not cross))
-                a, b = reps[a[apart]], reps[b[apart]]
+            reps, block, n = group["rep"].to_numpy(), group["block"].to_numpy(), group["n_shingles"].to_numpy()
+            after = n - group["before"].to_numpy()
+            cross = group["x"][0].as_py() != group["y"][0].as_py()
+            found = [np.frombuffer(p, dtype=np.uint16) for p in group["point"].to_pylist()]
+            for a, b in near_pairs(found, n, percent):
+                # a pair counts under its smallest common element, where both have enough left
+                needed = percent * (n[a] + n[b])
+                left = (100 + percent) * np.minimum(after[a], after[b])
+                apart = (part[a] != part[b]) & ((block[a] != block[b]) | (not cross)) & (left >= needed)
+                a, b, needed = a[apart], b[apart], needed[apart]
+                if not len(a):
+                    continue
+                shared = [int(np.minimum(*folded([found[i], found[j]], min(len(found[i]), len(found[j])))).sum()) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+                margin = np.array(shared, dtype=np.int64) * (100 + percent) - needed
+                columns = [
+                    np.minimum(reps[a], reps[b]), np.maximum(reps[a], reps[b]),
+                    np.minimum(part[a], part[b]), np.maximum(part[a], part[b]),
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"]
+                    [*[pa.array(c, pa.int64()) for c in columns], pa.array(np.minimum(margin, 2**31 - 1), pa.int32())],
+                    ["a", "b", "one", "two", "margin"],
                 )
 
-    pairs = met.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two").mapInArrow(run, EDGES)
-    pairs = written(pairs.distinct(), "pairs")
+    rows = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, CANDIDATES)
+    return written(rows.groupBy("a", "b", "one", "two").agg(F.max("margin").alias("margin")), "pairs")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The linked ones of ``pairs`` (``a``, ``b``), decided on the sets of their texts."""
     wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
 
     def as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,11 +288,26 @@ def _second_round(texts: DataFrame, unique: DataFrame, width: int, percent: int)
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "set_a"):
-            one, two = ([np.frombuffer(s, dtype=np.uint64) for s in batch[c].to_pylist()] for c in ("set_a", "set_b"))
-            linked = [similar(x, y, percent) for x, y in zip(one, two, strict=True)]
+            x, y = ([np.frombuffer(s, dtype=np.uint64) for s in batch[c].to_pylist()] for c in ("set_a", "set_b"))
+            linked = [similar(p, q, percent) for p, q in zip(x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(verify, EDGES)
+    return written(both.select("a", "b", "set_a", "set_b").mapInArrow(verify, EDGES), "links")
+
+
+def _second_round(texts: DataFrame, unique: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links that join what links between documents of different components join."""
+    pairs = _candidates(unique, percent)
+    best = Window.partitionBy("one", "two").orderBy(F.desc("margin"), "a", "b")
+    ranked = written(pairs.withColumn("nth", F.row_number().over(best)), "ranked")
+    links = _verified(texts, ranked.where(F.col("nth") <= FIRST_PAIRS).select("a", "b"), width, percent)
+    rest = ranked.where(F.col("nth") > FIRST_PAIRS)
+    ends = ranked.join(links, ["a", "b"], "left_semi").select(F.col("one").alias("a"), F.col("two").alias("b"))
+    found = written(components(ends), "found")
+    for side in ("one", "two"):
+        named = found.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
+        rest = rest.join(named, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
+    return links.union(_verified(texts, rest.where("_one <> _two").select("a", "b"), width, percent))
 
 
 def _with_components(unique: DataFrame, links: DataFrame) -> DataFrame:
@@ -283,7 +345,7 @@ def jaccard_components(
         links = links.union(more)
         cut = cut and more.limit(1).count() > 0
         unique = _with_components(unique.drop("component"), links)
-    more = written(_second_round(texts, unique, width, percent), "links")
+    more = _second_round(texts, unique, width, percent)
     found = components(links.union(more)).select(F.col("node").alias("rep"), "component")
 
     named = reps.join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
