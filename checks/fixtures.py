@@ -84,7 +84,9 @@ _FRAME_LINE = """CASE event_id % 16
   WHEN 8 THEN concat('2:[{"event":"router_status","stage":"s","message":"step ', event_id, '"}]')
   WHEN 9 THEN concat('2:[{"event":"real_usage","realInputTokens":', event_id % 77,
     ',"realOutputTokens":', event_id % 55, ',"realTotalTokens":', event_id % 77 + event_id % 55,
-    ',"realCostUnits":2.5,"realTotalCostUsd":0.25}]')
+    ',"realCostUnits":2.5,"realTotalCostUsd":0.25,"perSubtask":[{"id":1,"title":"a","model":"m1",',
+    '"inputTokens":', event_id % 77, ',"outputTokens":4,"costUsd":0.5},{"id":"b","title":"b","model":"m2",',
+    '"inputTokens":1,"outputTokens":', event_id % 55, '}]}]')
   WHEN 10 THEN concat('2:[{"event":"savings_breakdown","provider":"local","baselineCostUsd":0.5,',
     '"actualCostUsd":0,"totalSavingUsd":0.5,"savingsPct":1.0,"compressionSavingUsd":0.1,',
     '"routingSavingUsd":0.4,"baselineModel":"', event_type, '"}]')
@@ -92,7 +94,9 @@ _FRAME_LINE = """CASE event_id % 16
   WHEN 12 THEN '2:[{"event":"unheard_of","x":1},{"event":"task_mode","mode":"perform"}]'
   WHEN 13 THEN '2:[{"event":"router_status"'
   WHEN 14 THEN concat('d:{"finishReason":"stop","usage":{"completionTokens":', event_id, '}}')
-  ELSE '0:"ok","more"' END"""
+  WHEN 15 THEN CASE event_type WHEN 'view' THEN concat('2:[{"event":"compression_diff","original":"o","multiplier":1.5,',
+    '"tokens":[{"text":"a","kept":true,"score":0.5},{"text":"t', event_id, '","kept":false,"score":0.25}]}]')
+    ELSE '0:"ok","more"' END END"""
 
 _BODY = f"""CASE (conv_id + turn) % 5
   WHEN 0 THEN concat('{{"messages": [{{"role": "', role, '", "content": "', {_JSON_TEXT},
@@ -196,7 +200,8 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, spread_out: bool = Fals
     for table, exprs in FIXTURES[name]:
         scan = read_table(spark, f"{sf_dir}/{table}.parquet")
         used = [c for c in scan.columns if any(c in e for e in exprs)]
-        scan = spread(scan.select(*used), *[c for c in used if c != "text"]) if spread_out else scan
+        if spread_out:  # the given tables are one file each
+            scan = spread(scan.select(*used), 2 * spark.sparkContext.defaultParallelism, *[c for c in used if c != "text"])
         parts.append(scan.selectExpr(*exprs))
     result = parts[0]
     for part in parts[1:]:

@@ -37,7 +37,8 @@ def log(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    scan = read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(scan, 2 * spark.sparkContext.defaultParallelism, "doc_id")
 
 
 # --- compression ------------------------------------------------------------------------------
@@ -93,10 +94,10 @@ def keep_threshold(spark, sf_dir):
 
 
 def tag_tokens(spark, sf_dir):
-    detail = prompts(spark, sf_dir).transform(compression.compress_detailed("text", 0.3))
-    return detail.select(
+    tokens = K.compress_struct("text", 0.3, wanted=("tokens",))["tokens"]
+    return prompts(spark, sf_dir).select(
         "id",
-        F.array_join(F.transform("tokens", lambda t: t["kept"].cast("int").cast("string")), "").alias("kept"),
+        F.array_join(F.transform(tokens, lambda t: t["kept"].cast("int").cast("string")), "").alias("kept"),
     )
 
 
@@ -107,8 +108,7 @@ def reconstruct(spark, sf_dir):
 
 
 def compression_stats(spark, sf_dir):
-    out = prompts(spark, sf_dir).transform(compression.compress("text", 0.29))
-    return out.drop("compressed")
+    return prompts(spark, sf_dir).transform(compression.compression_stats("text", 0.29))
 
 
 def compress_prompt(spark, sf_dir):
@@ -125,7 +125,10 @@ def compress_detailed(spark, sf_dir):
 
 
 def compression_diff(spark, sf_dir):
-    return documents(spark, sf_dir).transform(compression.compression_diff("text"))
+    """All tokens of a document in one row, so that the result is quick to compare."""
+    tokens = K.compress_struct("text", wanted=("tokens",))["tokens"]
+    line = lambda t: F.concat_ws("|", t["kept"].cast("int"), F.round(t["score"] * 100).cast("int"), t["text"])
+    return documents(spark, sf_dir).select("doc_id", F.array_join(F.transform(tokens, line), " ").alias("tokens"))
 
 
 # --- conversations ----------------------------------------------------------------------------
@@ -308,7 +311,7 @@ def run_events(spark, sf_dir):
     used = "array<struct<id:bigint,title:string,model:string,inputTokens:bigint,outputTokens:bigint>>"
     body = F.from_json(
         "payload",
-        "struct<id:bigint,title:string,status:string,model:string,baselineModel:string,message:string,"
+        "struct<id:string,title:string,status:string,model:string,baselineModel:string,message:string,"
         "totalEstimatedTokens:bigint,realTotalTokens:bigint,savingsVsSingleCall:bigint,"
         "realInputTokens:bigint,realOutputTokens:bigint,realCostUnits:double,realTotalCostUsd:double,"
         "totalSavingUsd:double,savingsVsSingleCallPct:double,savingsPct:double,subtaskCount:bigint,"
@@ -323,7 +326,7 @@ def run_events(spark, sf_dir):
     return events.withColumn("b", body).select(
         "run_id",
         "stage",
-        "part",
+        "position",
         "event",
         "b.id",
         "b.title",
@@ -362,12 +365,11 @@ def generate_events(spark, sf_dir):
     calls = turns.groupBy(F.col("conv_id").alias("run_id")).agg(
         F.count("*").alias("input_tokens"), (F.max("turn") * 7).alias("output_tokens")
     )
+    answered = requests.filter(F.col("intent") == "perform").select(F.col("request_id").alias("run_id"))
+    calls = calls.join(answered, "run_id", "left_semi")
     used = generate.perform_events(ledger.usage_perform(calls)).withColumnRenamed("run_id", "request_id")
     phases = generate.phase_events(conversation.phase_complete(turns)).withColumnRenamed("conv_id", "request_id")
-    zero = F.lit(0).cast("bigint")
-    every = (
-        compressed.unionByName(used.withColumn("part", zero)).unionByName(phases.withColumn("part", zero))
-    )
+    every = compressed.unionByName(used).unionByName(phases)
     body = F.from_json(
         "payload",
         "struct<originalTokens:int,compressedTokens:int,ratio:double,multiplier:double,compressedPrompt:string,"
@@ -377,9 +379,8 @@ def generate_events(spark, sf_dir):
     kept = F.array_join(
         F.transform("b.tokens", lambda t: F.concat(t["text"], F.when(t["kept"], "+").otherwise("-"))), " "
     )
-    return every.select("request_id", "part", "stage", "event", body.alias("b")).select(
+    return every.select("request_id", "stage", "event", body.alias("b")).select(
         "request_id",
-        "part",
         "stage",
         "event",
         F.col("b.originalTokens").alias("original_tokens"),
@@ -439,9 +440,8 @@ def chat_requests(spark, sf_dir):
         "options:struct<num_predict:int>>"
     )
     lines = F.transform("r.messages", lambda m: F.concat(m["role"], F.lit("="), m["content"]))
-    return listed.select("conv_id", "part", F.from_json("request", body).alias("r")).select(
+    return listed.select("conv_id", F.from_json("request", body).alias("r")).select(
         "conv_id",
-        "part",
         "r.model",
         "r.stream",
         F.col("r.options.num_predict").alias("num_predict"),
@@ -463,7 +463,7 @@ def infer_table(spark, sf_dir):
         F.lit(SYSTEM).alias("system"),
         F.col("text").alias("messages"),
     )
-    return inference.infer_table(requests, {"local": echo}, ["request_id"], 64)
+    return inference.infer_table(requests, {"local": echo}, ["request_id"], 64, concurrency=4)
 
 
 # --- logs -------------------------------------------------------------------------------------
@@ -548,6 +548,22 @@ def run_state_report(spark, sf_dir):
     return run_state.run_report(_latest(spark, sf_dir))
 
 
+def run_state_diff(spark, sf_dir):
+    return run_state.run_diff(_latest(spark, sf_dir))
+
+
+def run_state_usage(spark, sf_dir):
+    return run_state.run_usage(_latest(spark, sf_dir))
+
+
+def call_finish(spark, sf_dir):
+    lines = logs.finish_lines(logs.call_fold(log(spark, sf_dir, "chunks")))
+    head = F.from_json(F.substr("line", F.lit(3)), "struct<finishReason:string,usage:struct<completionTokens:bigint>>")
+    return lines.select("call_id", head.alias("h")).select(
+        "call_id", F.col("h.finishReason").alias("reason"), F.col("h.usage.completionTokens").alias("completion_tokens")
+    )
+
+
 def run_state_subtasks(spark, sf_dir):
     return run_state.run_subtasks(_latest(spark, sf_dir))
 
@@ -574,8 +590,8 @@ def stream_call_usage(spark, sf_dir):
 
 
 def stream_call_text(spark, sf_dir):
-    stream = jobs.call_text_stream(fixture_stream(spark, sf_dir, "chunks"))
-    return jobs.drain(stream, _folder(spark, "text"), ["call_id", "part"])
+    stream = jobs.call_tokens_stream(fixture_stream(spark, sf_dir, "chunks"))
+    return logs.call_text(jobs.drain(stream, _folder(spark, "text"), [], "append"))
 
 
 def stream_run_state(spark, sf_dir):
@@ -600,8 +616,8 @@ REGISTERED: tuple[Query, ...] = (
     usage_shares, savings_shares, fmt_usd, run_report, run_events, generate_requests,
     generate_events,
     request_payloads, chat_requests, infer_table, local_usage, local_stream_tokens, cloud_tokens, usage_extract,
-    call_fold, frame_decode, frame_text, frame_encode, chunk16, run_state_report,
-    run_state_subtasks, stream_compress, stream_call_usage, stream_call_text, stream_run_state,
+    call_fold, call_finish, frame_decode, frame_text, frame_encode, chunk16, run_state_report,
+    run_state_subtasks, run_state_diff, run_state_usage, stream_compress, stream_call_usage, stream_call_text, stream_run_state,
     stream_phase_complete,
 )
 

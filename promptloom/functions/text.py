@@ -35,24 +35,30 @@ def normalise_content(content: Column | str) -> Column:
     """Plain text of a message content held as VARIANT.
 
     A string is taken as it is; a list gives the ``text`` of its objects (empty when absent) and its
-    other elements as text; anything else is written as text. A missing content is empty.
+    other elements as text (``True``, ``None``); anything else is written as text. A missing content is
+    empty. Lists and objects inside a list are written as JSON.
     """
 
     def part_text(part: Column) -> Column:
         is_object = F.startswith(F.schema_of_variant(part), F.lit("OBJECT"))
         return F.coalesce(
-            F.when(is_object, F.try_variant_get(part, "$.text", "string")).otherwise(
-                part.cast("string")
+            F.when(is_object, F.coalesce(F.try_variant_get(part, "$.text", "string"), F.lit(""))).otherwise(
+                literal_text(part)
             ),
-            F.lit(""),
+            F.lit("None"),
         )
 
+    def literal_text(value: Column) -> Column:
+        """Text of a scalar: true and false are written with a capital."""
+        is_flag = F.schema_of_variant(value) == "BOOLEAN"
+        return F.when(is_flag, F.initcap(value.cast("string"))).otherwise(value.cast("string"))
+
     content = as_column(content)
     parts = F.try_variant_get(content, "$", "array<variant>")
     joined = F.array_join(F.transform(parts, part_text), "")
     return F.coalesce(
         F.when(F.startswith(F.schema_of_variant(content), F.lit("ARRAY")), joined),
-        content.cast("string"),
+        literal_text(content),
         F.lit(""),
     )
 

@@ -7,7 +7,7 @@ functions, so compression is narrow (no explode, no shuffle, no Python worker).
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -237,7 +237,11 @@ def tagged_tokens(
     )
 
 
-def _finished(tagged: Column, text: Column, exact_scores: bool, detailed: bool) -> Column:
+#: Groups of result fields; a struct holds those asked for, and the work for others is not done.
+TEXT_AND_STATS, ALL_FIELDS = ("text", "stats"), ("text", "stats", "tokens")
+
+
+def _finished(tagged: Column, text: Column, exact_scores: bool, wanted: Sequence[str]) -> Column:
     tokens, scores, threshold = tagged["tokens"], tagged["scores"], tagged["threshold"]
 
     def shown(score: Column) -> Column:
@@ -247,29 +251,35 @@ def _finished(tagged: Column, text: Column, exact_scores: bool, detailed: bool)
     def survives(token: Column, i: Column) -> Column:
         return (F.get(scores, i) >= threshold) | is_skeleton(token)
 
-    def fields(kept: Column) -> Column:
+    def flagged(t: Column, i: Column) -> Column:
+        return F.struct(t.alias("text"), survives(t, i).alias("kept"), shown(F.get(scores, i)).alias("score"))
+
+    def texts(flags: Column) -> Column:
+        return F.transform(F.filter(flags, lambda t: t["kept"]), lambda t: t["text"])
+
+    def fields(kept: Column, flags: Column | None) -> Column:
         original, left = F.size(tokens), F.size(kept)
-        columns = [
-            F.when(original > 0, reconstruct(kept)).otherwise(text).alias("compressed"),
-            original.alias("original_tokens"),
-            left.alias("compressed_tokens"),
-            compression_ratio(original, left).alias("ratio"),
-            compression_multiplier(original, left).alias("multiplier"),
-        ]
-        if detailed:
-            columns.append(
-                F.transform(
-                    tokens,
-                    lambda t, i: F.struct(
-                        t.alias("text"),
-                        survives(t, i).alias("kept"),
-                        shown(F.get(scores, i)).alias("score"),
-                    ),
-                ).alias("tokens")
-            )
+        columns = []
+        if "text" in wanted:
+            columns.append(F.when(original > 0, reconstruct(kept)).otherwise(text).alias("compressed"))
+        if "stats" in wanted:
+            columns += [
+                original.alias("original_tokens"),
+                left.alias("compressed_tokens"),
+                compression_ratio(original, left).alias("ratio"),
+                compression_multiplier(original, left).alias("multiplier"),
+            ]
+        if flags is not None:
+            columns.append(flags.alias("tokens"))
         return F.struct(*columns)
 
-    return let(F.filter(tokens, survives), fields)
+    if "tokens" not in wanted:
+        return let(F.filter(tokens, survives), lambda kept: fields(kept, None))
+    # which tokens are kept is decided once; the kept texts are taken from the flags
+    all_flags = F.transform(tokens, flagged)
+    if len(wanted) == 1:
+        return F.struct(all_flags.alias("tokens"))
+    return let(all_flags, lambda flags: let(texts(flags), lambda kept: fields(kept, flags)))
 
 
 def compress_struct(
@@ -277,16 +287,19 @@ def compress_struct(
     ratio: Column | float = V.DEFAULT_PRESERVE_RATIO,
     scorer: Scorer | None = None,
     detailed: bool = False,
+    wanted: Sequence[str] | None = None,
 ) -> Column:
     """Compress one text column.
 
     Gives ``struct<compressed, original_tokens, compressed_tokens, ratio, multiplier>`` and, when
     ``detailed``, ``tokens array<struct<text, kept, score>>`` in token order. Text without tokens
-    comes back unchanged with stats (0, 0, 0.0, 1.0).
+    comes back unchanged with stats (0, 0, 0.0, 1.0). ``wanted`` names the groups of fields instead,
+    out of ``ALL_FIELDS``: the text, the statistics, the tokens.
     """
+    groups = wanted or (ALL_FIELDS if detailed else TEXT_AND_STATS)
     return let(
         tagged_tokens(text, ratio, scorer),
-        lambda tagged: _finished(tagged, as_column(text), scorer is None, detailed),
+        lambda tagged: _finished(tagged, as_column(text), scorer is None, groups),
     )
 
 
@@ -302,6 +315,6 @@ def compress_scored_struct(
         F.struct(as_column(tokens).alias("k"), as_column(scores).cast("array<double>").alias("s")),
         lambda given: let(
             _tagged(given["k"], given["s"], ratio),
-            lambda tagged: _finished(tagged, as_column(text), False, detailed),
+            lambda tagged: _finished(tagged, as_column(text), False, ALL_FIELDS if detailed else TEXT_AND_STATS),
         ),
     )

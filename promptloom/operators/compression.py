@@ -43,6 +43,20 @@ def compress_detailed(
     return run
 
 
+def compression_stats(
+    text: str = "text",
+    ratio: Column | float = V.DEFAULT_PRESERVE_RATIO,
+    scorer: Scorer | None = None,
+) -> Transform:
+    """The statistics of :func:`compress` alone; no text is put together."""
+
+    def run(df: DataFrame) -> DataFrame:
+        others = [c for c in df.columns if c != text]
+        return df.select(*others, compress_struct(text, ratio, scorer, wanted=("stats",)).alias("_c")).select(*others, "_c.*")
+
+    return run
+
+
 def compress_scored(
     score_tokens: Callable[[Column], Column],
     text: str = "text",
@@ -74,7 +88,7 @@ def compression_diff(
 
     def run(df: DataFrame) -> DataFrame:
         others = [c for c in df.columns if c != text]
-        detail = compress_struct(text, ratio, scorer, detailed=True)["tokens"]
+        detail = compress_struct(text, ratio, scorer, wanted=("tokens",))["tokens"]
         return df.select(*others, F.posexplode(detail).alias("position", "_t")).select(
             *others,
             "position",

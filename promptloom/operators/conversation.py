@@ -13,7 +13,7 @@ from promptloom.functions.text import (
     looks_like_deliverable,
     requirements_from_reply,
 )
-from promptloom.operators.grouping import ordered_text, span_values, spans_with_rows
+from promptloom.operators.grouping import key_values, ordered_text, rows_by_key
 
 _TURN_COLUMNS = ("conv_id", "turn", "role", "text")
 
@@ -21,16 +21,14 @@ _TURN_COLUMNS = ("conv_id", "turn", "role", "text")
 def clean_history(turns: DataFrame) -> DataFrame:
     """Non-blank user and assistant turns up to the last such user turn.
 
-    A conversation with nothing left becomes one user turn with the fixed greeting.
+    A conversation with nothing left becomes one user turn with the fixed greeting. The turns are read
+    twice: a conversation's last user turn has to be known before its turns can be told apart.
     """
     usable = F.col("role").isin("user", "assistant") & ~is_blank("text")
     last_user = F.when(usable & (F.col("role") == "user"), F.col("turn"))
-    spans = span_values(turns, ["conv_id"], "turn", {"last_user_turn": (last_user, F.max)})
-    kept = spans_with_rows(
-        spans, turns.filter(usable), ["conv_id"], "turn", F.col("turn") <= F.col("last_user_turn")
-    )
-    is_greeting = F.col("last_user_turn").isNull() & F.col("_first_span")
-    return kept.filter(F.col("turn").isNotNull() | is_greeting).select(
+    values = key_values(turns, ["conv_id"], {"last_user_turn": (last_user, F.max)})
+    kept = rows_by_key(values, turns.filter(usable), ["conv_id"], F.col("turn") <= F.col("last_user_turn"))
+    return kept.select(
         "conv_id",
         F.coalesce("turn", F.lit(0)).cast("bigint").alias("turn"),
         F.coalesce("role", F.lit("user")).alias("role"),
@@ -62,46 +60,31 @@ def chat_payload_rows(turns: DataFrame, system: str = "") -> DataFrame:
 
 
 def extract_requirements(turns: DataFrame, attach: DataFrame | None = None) -> DataFrame:
-    """Requirement summary per conversation as ``(conv_id, part, summary)``.
+    """Requirement summary per conversation as ``(conv_id, summary)``.
 
     The latest assistant turn with the completion marker, cleaned; without one, every user text in
-    order joined by `` | ``. See :func:`ordered_text` for ``part``.
+    order joined by `` | ``. The turns are read twice: which of them a conversation needs is only
+    known from all of them; texts are shuffled once.
 
     ``attach`` is a table with one row per ``conv_id`` whose columns are added. It is joined to the
-    small table of spans, which saves shuffling the summaries for it.
+    small table of marker turns, which saves shuffling the summaries for it.
     """
     is_user = F.col("role") == "user"
     is_marked = (F.col("role") == "assistant") & has_marker("text")
-    spans = span_values(
-        turns,
-        ["conv_id"],
-        "turn",
-        {
-            "marker_turn": (F.when(is_marked, F.col("turn")), F.max),
-            "user_turn": (F.when(is_user, F.col("turn")), F.max),
-        },
-    )
+    values = key_values(turns, ["conv_id"], {"marker_turn": (F.when(is_marked, F.col("turn")), F.max)})
     attached = [c for c in attach.columns if c != "conv_id"] if attach is not None else []
     if attach is not None:
-        spans = spans.join(attach, "conv_id", "left")
+        values = values.join(attach, "conv_id", "left")
     no_marker = F.col("marker_turn").isNull()
-    chosen = spans_with_rows(
-        spans,
+    chosen = rows_by_key(
+        values,
         turns.filter(is_user | is_marked),
         ["conv_id"],
-        "turn",
         F.when(no_marker, is_user).otherwise(F.col("turn") == F.col("marker_turn")),
     )
-    is_silent = no_marker & F.col("user_turn").isNull() & F.col("_first_span")
     text = F.when(no_marker, F.col("text")).otherwise(requirements_from_reply("text"))
     return ordered_text(
-        chosen.filter(F.col("turn").isNotNull() | is_silent),
-        ["conv_id", *attached],
-        "turn",
-        text,
-        "summary",
-        separator=" | ",
-        part="_span",
+        chosen, ["conv_id", *attached], "turn", text, "summary", separator=" | "
     )
 
 

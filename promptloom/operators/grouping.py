@@ -1,85 +1,47 @@
-"""Grouped operators that stay parallel when one key holds a large share of all rows.
+"""Values and ordered texts of a key, for grouped operators.
 
-Rows of a key are cut into spans of consecutive order numbers. Everything that touches full rows is
-keyed by (key, span), which holds at most ``2 ** bits`` rows as order numbers are unique within a
-key; only one small row per span is ever brought together by key alone.
+What a key needs to know as a whole (its last user turn, its first done line) is a minimum or maximum by
+key, combined before its shuffle, and joined back to the key's rows by an equi-join that the engine
+can split under a hot key. Null is a key of its own throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: A span covers 2 ** bits order numbers: few for long texts such as turns or subtask outputs, more
-#: for short ones such as stream tokens, so that any usual call or conversation is one span.
-TURN_BITS = 12
-TOKEN_BITS = 16
+#: Order numbers whose texts are joined first. It bounds what one row of the first step gathers and has
+#: no influence on the result.
+FIRST_STEP_BITS = 12
 
 #: (value, aggregate): a min or max over the rows of a key.
 GroupValue = tuple[Column, Callable[[Column | str], Column]]
 
 
-def span(order: str, bits: int = TURN_BITS) -> Column:
-    """Span number of an integer order column."""
-    return F.shiftright(F.col(order).cast("bigint"), bits)
+def key_values(rows: DataFrame, keys: Sequence[str], values: Mapping[str, GroupValue]) -> DataFrame:
+    """One row per key with its minimum and maximum values."""
+    return rows.groupBy(*keys).agg(*[pick(value).alias(name) for name, (value, pick) in values.items()])
 
 
-def span_values(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    values: Mapping[str, GroupValue],
-    bits: int = TURN_BITS,
+def rows_by_key(
+    values: DataFrame, rows: DataFrame, keys: Sequence[str], condition: Column, how: str = "left"
 ) -> DataFrame:
-    """One row per (keys, ``_span``) carrying the key's group-wide min/max values.
+    """Values of each key next to those of its rows that meet ``condition``.
 
-    ``_first_span`` marks one span per key.
+    A left join keeps keys of which no row is left, once, with null row columns.
     """
-    partial = rows.groupBy(*keys, span(order, bits).alias("_span")).agg(
-        *[pick(value).alias(name) for name, (value, pick) in values.items()]
-    )
-    whole_key = Window.partitionBy(*keys)
-    return partial.select(
-        *keys,
-        "_span",
-        (F.col("_span") == F.min("_span").over(whole_key)).alias("_first_span"),
-        *[pick(name).over(whole_key).alias(name) for name, (_, pick) in values.items()],
-    )
-
-
-def attach_span_values(
-    rows: DataFrame, keys: Sequence[str], order: str, spans: DataFrame, bits: int = TURN_BITS
-) -> DataFrame:
-    """Rows with the values of :func:`span_values`; the join key (keys, span) cannot be hot."""
-    return rows.withColumn("_span", span(order, bits)).join(spans, [*keys, "_span"]).drop("_span")
+    located = rows.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in rows.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    on = reduce(lambda a, b: a & b, [*same, condition])
+    return values.join(located, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def spans_with_rows(
-    spans: DataFrame,
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    condition: Column,
-    bits: int = TURN_BITS,
-) -> DataFrame:
-    """Spans with those of their rows that meet ``condition``, or once with null row columns.
-
-    Keys of which nothing is left stay visible, so no further scan is needed to find them. The
-    result is partitioned by (keys, ``_span``).
-    """
-    located = rows.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        span(order, bits).alias("_r_span"),
-        *[c for c in rows.columns if c not in keys],
-    )
-    same_span = [F.col(k) == F.col(f"_r_{k}") for k in keys] + [F.col("_span") == F.col("_r_span")]
-    on = condition
-    for equal in same_span:
-        on = equal & on
-    return spans.join(located, on, "left").drop(*[f"_r_{k}" for k in keys], "_r_span")
+def joined_pieces(pieces: Column, separator: str = "") -> Column:
+    """Texts of an array of ``struct<o, t>``, in order."""
+    return F.array_join(F.transform(F.array_sort(pieces), lambda p: p["t"]), separator)
 
 
 def ordered_text(
@@ -89,19 +51,22 @@ def ordered_text(
     text: Column,
     name: str,
     separator: str = "",
-    bits: int = TURN_BITS,
-    part: str | None = None,
+    **others: GroupValue,
 ) -> DataFrame:
-    """Texts of a key joined in order, as ``(keys, part, name)``.
+    """One row per key: its texts joined in order, as ``(keys, name)``, and the ``others``.
 
-    ``part`` is the span number (taken from the column ``part`` where given): a key whose order
-    numbers stay within one span has one row, longer ones have several whose concatenation (with the
-    separator) in ``part`` order is the whole text.
+    Null texts join as empty ones, or not at all where the order is null too; rows of equal order
+    follow their text. Neighbouring order numbers are joined first and the joined texts then, so a
+    task holds few pieces at a time before it makes the key's one text.
     """
-    pieces = F.array_sort(
-        F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t")))
+    step = F.shiftright(F.col(order).cast("bigint"), FIRST_STEP_BITS)
+    piece = F.struct(F.col(order).alias("o"), F.coalesce(text, F.lit("")).alias("t"))
+    pieces = F.collect_list(F.when(text.isNotNull() | F.col(order).isNotNull(), piece))
+    first = rows.groupBy(*keys, step.alias("_step")).agg(
+        F.when(F.size(pieces) > 0, joined_pieces(pieces, separator)).alias("_text"),
+        *[pick(value).alias(n) for n, (value, pick) in others.items()],
     )
-    by_part = F.col(part) if part else span(order, bits)
-    return rows.groupBy(*keys, by_part.alias("part")).agg(
-        F.array_join(F.transform(pieces, lambda p: p["t"]), separator).alias(name)
+    parts = F.collect_list(F.when(F.col("_text").isNotNull(), F.struct(F.col("_step").alias("o"), F.col("_text").alias("t"))))
+    return first.groupBy(*keys).agg(
+        joined_pieces(parts, separator).alias(name), *[pick(n).alias(n) for n, (_, pick) in others.items()]
     )

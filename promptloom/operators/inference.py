@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from promptloom.functions import fixed_values as V
 from promptloom.functions.columns import as_column
 from promptloom.functions.models import is_local_provider, resolve_provider
-from promptloom.operators.grouping import span
 
 #: (system, messages_json, model, max_tokens) -> (text, input_tokens, output_tokens)
 ModelCall = Callable[[str, str, str, int], tuple[str, int, int]]
@@ -92,15 +92,11 @@ def chat_requests(
     system: str = "",
     max_tokens: int = V.CHAT_MAX_TOKENS,
 ) -> DataFrame:
-    """Chat request bodies ``(conv_id, part, request)`` of message rows.
-
-    A conversation is one request; one that is longer than a span of turns has several parts, each
-    of them a request with the system prompt.
-    """
+    """Chat request bodies ``(conv_id, request)`` of message rows, one per conversation."""
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     as_message = lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))
     listed = (
-        messages.groupBy("conv_id", span("turn").alias("part"))
+        messages.groupBy("conv_id")
         .agg(turns.alias("_turns"))
         .withColumn("_messages", F.transform("_turns", as_message))
     )
@@ -112,36 +108,46 @@ def chat_requests(
         request = local_payload(every, F.lit(model or V.LOCAL_HEAVY_MODEL), max_tokens, stream=True)
     else:
         request = cloud_payload(every, F.lit(system), max_tokens)
-    return listed.select("conv_id", "part", request.alias("request"))
+    return listed.select("conv_id", request.alias("request"))
 
 
 _RESULT = "text string, input_tokens bigint, output_tokens bigint, error string"
 
 
 def infer_table(
-    requests: DataFrame, calls: dict[str, ModelCall], keys: list[str], max_tokens: int
+    requests: DataFrame,
+    calls: dict[str, ModelCall],
+    keys: list[str],
+    max_tokens: int | str,
+    concurrency: int = 1,
 ) -> DataFrame:
     """Call a model for every request row and return ``keys, text, usage, error``.
 
     ``requests`` has ``provider, model, system, messages`` (JSON text); ``calls`` maps a provider to
-    the function that serves it. A failed call gives its error text and no usage.
+    the function that serves it. ``max_tokens`` is a limit for all rows or the name of a column of
+    limits. A task has up to ``concurrency`` calls under way at a time, which then have to be
+    thread-safe. A failed call gives its error text and no usage.
     """
-    columns = [*keys, "provider", "model", "system", "messages"]
+    limits = F.col(max_tokens) if isinstance(max_tokens, str) else F.lit(max_tokens)
+    columns = [*keys, "provider", "model", "system", "messages", limits.cast("int").alias("_limit")]
     key_fields = [requests.schema[k] for k in keys]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields] + [_RESULT])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            results = []
-            for row in batch.itertuples(index=False):
-                try:
-                    text, i, o = calls[row.provider](row.system, row.messages, row.model, max_tokens)
-                    results.append((text, i, o, None))
-                except Exception as e:
-                    results.append((None, 0, 0, str(e)))
-            answers = pd.DataFrame(
-                results, columns=["text", "input_tokens", "output_tokens", "error"], index=batch.index
-            )
-            yield pd.concat([batch[keys], answers], axis=1)
+        def answer(row: tuple) -> tuple:
+            provider, model, system, messages, limit = row
+            try:
+                return (*calls[provider](system, messages, model, limit), None)
+            except Exception as e:
+                return None, 0, 0, str(e)
+
+        fields = ["provider", "model", "system", "messages", "_limit"]
+        with ThreadPoolExecutor(concurrency) as pool:
+            for batch in batches:
+                results = list(pool.map(answer, batch[fields].itertuples(index=False, name=None)))
+                answers = pd.DataFrame(
+                    results, columns=["text", "input_tokens", "output_tokens", "error"], index=batch.index
+                )
+                yield pd.concat([batch[keys], answers], axis=1)
 
     return requests.select(*columns).mapInPandas(run, schema)

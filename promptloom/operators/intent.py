@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.functions.columns import rows_where
 from promptloom.functions.intent import answer_intent, strong_intent, weak_intent
 
 
@@ -24,17 +23,16 @@ def classify_intent(
 ) -> DataFrame:
     """``(key, intent, decided_by)`` per request.
 
-    Keywords decide in the scan. Only the undecided rows' key and weak vote reach the join with
-    ``answers`` (key, answer; one row per key); request texts are never shuffled.
+    The texts are read once and become two votes; only keys and votes reach the join with
+    ``answers`` (key, answer; one row per key).
     """
-    decided = rows_where(
-        requests, strong_intent(text), lambda i: i.isNotNull(), "intent", key
-    ).withColumn("decided_by", F.lit("strong"))
-    voted = undecided_requests(requests, text).select(key, weak_intent(text).alias("weak"))
+    strong = F.col("_v.strong")
+    votes = F.struct(strong_intent(text).alias("strong"), weak_intent(text).alias("weak"))
+    # exploded, so that the votes are computed below the join and only once
+    voted = requests.select(key, F.explode(F.array(votes)).alias("_v"))
     answered = answer_intent("answer").isNotNull()
-    joined = voted.join(answers.select(key, "answer"), key, "left").select(
+    return voted.join(answers.select(key, "answer"), key, "left").select(
         key,
-        resolve_intent(F.lit(None), F.col("answer"), F.col("weak")).alias("intent"),
-        F.when(answered, "model").otherwise(F.lit("weak")).alias("decided_by"),
+        resolve_intent(strong, F.col("answer"), F.col("_v.weak")).alias("intent"),
+        F.when(strong.isNotNull(), "strong").when(answered, "model").otherwise(F.lit("weak")).alias("decided_by"),
     )
-    return decided.unionByName(joined)

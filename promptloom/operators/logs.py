@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
 from promptloom.functions.columns import let, rows_where
-from promptloom.functions.responses import cloud_fields, frame_kind, frame_values, local_fields
+from promptloom.functions.responses import cloud_fields, finish_frame, frame_kind, frame_values, local_fields
 from promptloom.functions.text import chunks
-from promptloom.operators.grouping import TOKEN_BITS, attach_span_values, ordered_text, span_values
+from promptloom.operators.grouping import key_values, ordered_text
 
 
 def local_usage(responses: DataFrame, body: str = "body") -> DataFrame:
@@ -23,16 +23,18 @@ def local_usage(responses: DataFrame, body: str = "body") -> DataFrame:
 def local_stream_tokens(lines: DataFrame) -> DataFrame:
     """Non-empty tokens ``(call_id, seq, token)`` of streamed lines, up to the first done line.
 
-    Blank and malformed lines are skipped; the done line's own token counts.
+    Blank and malformed lines are skipped; the done line's own token counts. The log is read twice, as
+    a call's first done line has to be known before its tokens can be told apart; each pass parses a
+    line once, and only calls with a done line are in the small table that is joined.
     """
     fields = local_fields("line")
-    done = lines.select("call_id", "seq", fields["done"].alias("done"))
-    first_done = (F.when(F.col("done"), F.col("seq")), F.min)
-    spans = span_values(done, ["call_id"], "seq", {"first_done": first_done}, TOKEN_BITS)
+    done = rows_where(lines, fields["done"], lambda d: d, "_done", "call_id", "seq")
+    first_done = key_values(done, ["call_id"], {"first_done": (F.col("seq"), F.min)})
     tokens = rows_where(lines, fields["text"], lambda t: t != "", "token", "call_id", "seq")
+    ends = first_done.withColumnRenamed("call_id", "_call")
     return (
-        attach_span_values(tokens, ["call_id"], "seq", spans, TOKEN_BITS)
-        .filter(F.col("first_done").isNull() | (F.col("seq") <= F.col("first_done")))
+        tokens.join(ends, F.col("call_id").eqNullSafe(F.col("_call")), "left")
+        .filter(F.col("first_done").isNull() | F.col("seq").isNull() | (F.col("seq") <= F.col("first_done")))
         .select("call_id", "seq", "token")
     )
 
@@ -67,23 +69,45 @@ def call_usage(usage: DataFrame, *more_keys: Column) -> DataFrame:
 
 
 def call_text(tokens: DataFrame) -> DataFrame:
-    """Tokens of a call joined in order, as ``(call_id, part, text)``."""
-    return ordered_text(tokens, ["call_id"], "seq", F.col("token"), "text", bits=TOKEN_BITS)
+    """Tokens of a call joined in order, as ``(call_id, text)``."""
+    return ordered_text(tokens, ["call_id"], "seq", F.col("token"), "text")
 
 
 def call_fold(chunk_rows: DataFrame, family: Column | str = "claude") -> DataFrame:
-    """Text and usage of each call; a call without tokens has one empty part."""
-    return (
-        call_usage(chunk_usage(chunk_rows))
-        .join(call_text(chunk_tokens(chunk_rows, family)), "call_id", "left")
-        .select(
-            "call_id",
-            F.coalesce("part", F.lit(0)).cast("bigint").alias("part"),
-            F.coalesce("text", F.lit("")).alias("text"),
-            "input_tokens",
-            "output_tokens",
-        )
+    """One row per call: its text, its usage and how many chunks had a token.
+
+    Each chunk is parsed once, and text and counts are folded by the same aggregation.
+    """
+    parsed = let(
+        cloud_fields("chunk"),
+        lambda f: F.struct(F.nullif(_token_of(f, family), F.lit("")).alias("token"), f["usage"].alias("usage")),
     )
+    chunk = chunk_rows.select("call_id", "seq", parsed.alias("_c")).select(
+        "call_id", "seq", "_c.token", "_c.usage.input_tokens", "_c.usage.output_tokens"
+    )
+    folded = ordered_text(
+        chunk,
+        ["call_id"],
+        "seq",
+        F.col("token"),
+        "text",
+        input_tokens=(F.col("input_tokens"), F.max),
+        output_tokens=(F.col("output_tokens"), F.max),
+        n_tokens=(F.col("token").isNotNull().cast("bigint"), F.sum),
+    )
+    none = F.lit(0).cast("bigint")
+    return folded.select(
+        "call_id",
+        "text",
+        F.greatest(F.coalesce("input_tokens", none), none).alias("input_tokens"),
+        F.greatest(F.coalesce("output_tokens", none), none).alias("output_tokens"),
+        "n_tokens",
+    )
+
+
+def finish_lines(folded: DataFrame) -> DataFrame:
+    """Closing frame line ``(call_id, line)`` of each folded call, with its count of token chunks."""
+    return folded.select("call_id", finish_frame("stop", F.col("n_tokens")).alias("line"))
 
 
 def decode_frames(lines: DataFrame) -> DataFrame:
@@ -101,9 +125,9 @@ def decode_frames(lines: DataFrame) -> DataFrame:
 
 
 def run_text(lines: DataFrame) -> DataFrame:
-    """Text deltas of a run's frames joined in order, as ``(run_id, part, text)``."""
+    """Text deltas of a run's frames joined in order, as ``(run_id, text)``."""
     deltas = decode_frames(lines.filter(frame_kind("line") == "text"))
-    return ordered_text(deltas, ["run_id"], "seq", F.col("text"), "text", bits=TOKEN_BITS)
+    return ordered_text(deltas, ["run_id"], "seq", F.col("text"), "text")
 
 
 def split_chunks(rows: DataFrame, text: str = "text", width: int = V.CHUNK_WIDTH) -> DataFrame:

@@ -37,7 +37,8 @@ def parse_plan(plans: DataFrame, raw: str = "raw", requirements: str = "requirem
 
     ``ok``: a JSON array of objects, absent fields (or null ones) filled with defaults; an empty
     array gives no rows. ``fallback``: not JSON, one subtask for everything. ``error``: JSON of
-    another shape, or an id or estimate that is no number; one row without subtask fields.
+    another shape, or an estimate that is no number; one row without subtask fields. Ids are text,
+    since a model may write them as either.
     """
     parsed = plans.select(
         "run_id", F.col(requirements).alias("requirements"), strip_fences(raw).alias("_text")
@@ -60,7 +61,6 @@ def parse_plan(plans: DataFrame, raw: str = "raw", requirements: str = "requirem
         items,
         lambda item: F.coalesce(
             ~_is_object(item)
-            | _unusable_number(item, "id")
             | _unusable_number(item, "estimated_tokens"),
             F.lit(True),
         ),
@@ -73,7 +73,7 @@ def parse_plan(plans: DataFrame, raw: str = "raw", requirements: str = "requirem
 
     def subtask(item: Column, i: Column) -> Column:
         return F.struct(
-            F.coalesce(_field(item, "id", "bigint"), i.cast("bigint") + 1).alias("id"),
+            F.coalesce(_field(item, "id", "string"), (i + 1).cast("string")).alias("id"),
             F.coalesce(
                 _field(item, "title", "string"), F.concat(F.lit("Subtask "), (i + 1).cast("string"))
             ).alias("title"),
@@ -85,10 +85,10 @@ def parse_plan(plans: DataFrame, raw: str = "raw", requirements: str = "requirem
             .alias("estimated_tokens"),
         )
 
-    shape = "array<struct<id:bigint,title:string,prompt:string,estimated_tokens:bigint>>"
+    shape = "array<struct<id:string,title:string,prompt:string,estimated_tokens:bigint>>"
     fallback = F.array(
         F.struct(
-            F.lit(1).cast("bigint").alias("id"),
+            F.lit("1").alias("id"),
             F.lit(V.FALLBACK_TITLE).alias("title"),
             F.col("requirements").alias("prompt"),
             F.lit(V.FALLBACK_ESTIMATED_TOKENS).cast("bigint").alias("estimated_tokens"),
@@ -110,12 +110,17 @@ def parse_plan(plans: DataFrame, raw: str = "raw", requirements: str = "requirem
     )
 
 
+def planned_tasks(parsed: DataFrame) -> DataFrame:
+    """Subtasks of the plans that can run; a plan that failed has none."""
+    return parsed.filter(F.col("plan_status") != "error").drop("plan_status")
+
+
 def assigned_model(
     estimated_tokens: Column | str, pricing: Pricing, limit: int = V.ROUTING_TOKEN_LIMIT
 ) -> Column:
-    """Light model up to the limit, heavy model above it."""
-    light = as_column(estimated_tokens) <= limit
-    return F.when(light, pricing.light.model).otherwise(F.lit(pricing.heavy.model))
+    """Light model up to the limit, heavy model above it; without an estimate none."""
+    estimate = as_column(estimated_tokens)
+    return F.when(estimate <= limit, pricing.light.model).when(estimate > limit, pricing.heavy.model)
 
 
 def route(tasks: DataFrame, pricing: Pricing, limit: int = V.ROUTING_TOKEN_LIMIT) -> DataFrame:
@@ -178,7 +183,7 @@ def section(tasks: DataFrame) -> Column:
 
 
 def assemble(tasks: DataFrame, order: str = "position") -> DataFrame:
-    """Sections of a run joined in list order, as ``(run_id, part, code)``."""
+    """Sections of a run joined in list order, as ``(run_id, code)``."""
     return ordered_text(tasks, ["run_id"], order, section(tasks), "code", separator="\n")
 
 

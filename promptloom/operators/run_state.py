@@ -25,7 +25,7 @@ STATE_EVENTS = (
 def data_events(lines: DataFrame) -> DataFrame:
     """Events ``(run_id, seq, event, subtask_id, status, payload)`` of a run's frame lines."""
     decoded = decode_frames(lines.filter(frame_kind("line") == "data"))
-    head = F.from_json("payload", "struct<event:string,id:bigint,status:string>")
+    head = F.from_json("payload", "struct<event:string,id:string,status:string>")
     events = rows_where(
         decoded,
         head,
@@ -49,14 +49,11 @@ def data_events(lines: DataFrame) -> DataFrame:
 def latest_events(events: DataFrame) -> DataFrame:
     """The last event per run, kind and (for updates) subtask; payload only where it is state.
 
-    Sequence numbers alone are aggregated; payloads come back by a join on the row's own key.
+    One pass over the log: the last row of a group is found before the shuffle in each task.
     """
-    keys = ["run_id", "event", "subtask_id"]
-    last = events.groupBy(*keys).agg(F.max("seq").alias("seq"))
     payload = F.when(F.col("event") != "subtask_update", F.col("payload")).alias("payload")
-    rows = events.select("run_id", "seq", "event", "subtask_id", "status", payload)
-    # (run_id, seq) names one line, so no join key repeats.
-    return rows.join(last.select("run_id", "seq"), ["run_id", "seq"], "left_semi")
+    last = F.max(F.struct("seq", "status", payload)).alias("_l")
+    return events.groupBy("run_id", "event", "subtask_id").agg(last).select("run_id", "event", "subtask_id", "_l.*")
 
 
 def _payload(event: str) -> Column:
@@ -151,7 +148,7 @@ def run_subtasks(latest: DataFrame) -> DataFrame:
             F.explode(
                 F.from_json(
                     "payload",
-                    "struct<subtasks:array<struct<id:bigint,title:string,estimatedTokens:bigint,"
+                    "struct<subtasks:array<struct<id:string,title:string,estimatedTokens:bigint,"
                     "model:string,status:string>>>",
                 )["subtasks"]
             ).alias("t"),
@@ -182,3 +179,31 @@ def run_subtasks(latest: DataFrame) -> DataFrame:
         .alias("status"),
         "reported_status",
     )
+
+
+def run_diff(latest: DataFrame) -> DataFrame:
+    """Tokens of each run's last compression diff: ``(run_id, position, token, kept, score)``."""
+    diff = F.from_json("payload", "struct<tokens:array<struct<text:string,kept:boolean,score:double>>>")["tokens"]
+    rows = latest.filter(F.col("event") == "compression_diff").select(
+        "run_id", F.posexplode(diff).alias("position", "_t")
+    )
+    return rows.select(
+        "run_id", "position", F.col("_t.text").alias("token"), F.col("_t.kept").alias("kept"), F.col("_t.score").alias("score")
+    )
+
+
+def run_usage(latest: DataFrame) -> DataFrame:
+    """Real usage of each run's subtasks, from its last usage event; missing costs are 0."""
+    item = "id:string,title:string,model:string,inputTokens:bigint,outputTokens:bigint,costUsd:double"
+    used = F.from_json("payload", f"struct<perSubtask:array<struct<{item}>>>")["perSubtask"]
+    rows = latest.filter(F.col("event") == "real_usage").select("run_id", F.posexplode(used).alias("position", "_t"))
+    return rows.select(
+        "run_id",
+        "position",
+        F.col("_t.id").alias("subtask_id"),
+        F.col("_t.title").alias("title"),
+        F.col("_t.model").alias("model"),
+        F.col("_t.inputTokens").alias("input_tokens"),
+        F.col("_t.outputTokens").alias("output_tokens"),
+        F.coalesce("_t.costUsd", F.lit(0.0)).alias("cost_usd"),
+    )

@@ -15,7 +15,6 @@ from promptloom.functions.text import decompose_prompt, perform_prompt
 from promptloom.functions.tokens import compress_struct
 from promptloom.operators import ledger
 from promptloom.operators.conversation import extract_requirements
-from promptloom.operators.grouping import span
 from promptloom.operators.intent import resolve_intent
 from promptloom.operators.ledger import run_totals
 from promptloom.operators.planning import route, subtask_outcome
@@ -27,16 +26,15 @@ def generate_requests(
     ratio: float = V.DEFAULT_PRESERVE_RATIO,
     detailed: bool = False,
 ) -> DataFrame:
-    """Conversations to next model requests, ``(request_id, part, ...)``.
+    """Conversations to next model requests, ``(request_id, ...)``, one for each.
 
     Summary, compressed summary with statistics, intent, and the prompt that the intent calls for.
-    ``answers`` is ``(request_id, answer)`` with ``request_id`` the conversation. Each part of a
-    summary (see :func:`extract_requirements`) is a request of its own.
+    ``answers`` is ``(request_id, answer)`` with ``request_id`` the conversation.
     """
     summaries = extract_requirements(
         turns, answers.select(F.col("request_id").alias("conv_id"), "answer")
     ).withColumnRenamed("conv_id", "request_id")
-    keys = ["request_id", "part", "summary"]
+    keys = ["request_id", "summary"]
     voted = summaries.select(
         *keys,
         "answer",
@@ -56,7 +54,7 @@ def generate_requests(
 def request_events(requests: DataFrame) -> DataFrame:
     """Compression and mode events of detailed :func:`generate_requests` rows.
 
-    ``(request_id, part, stage, event, payload)``, in stage order within a part.
+    ``(request_id, stage, event, payload)``, in stage order.
     """
     events = [
         _named_event(
@@ -77,9 +75,7 @@ def request_events(requests: DataFrame) -> DataFrame:
         ),
         _named_event(2, "task_mode", mode=F.col("intent")),
     ]
-    return requests.select("request_id", "part", F.explode(F.array(*events)).alias("e")).select(
-        "request_id", "part", "e.*"
-    )
+    return requests.select("request_id", F.explode(F.array(*events)).alias("e")).select("request_id", "e.*")
 
 
 def perform_events(usage: DataFrame) -> DataFrame:
@@ -145,11 +141,11 @@ def run_report(tables: RunTables) -> DataFrame:
     return ledger.run_report(tables.totals, tables.pricing)
 
 
-def _event(stage: int, part: Column, name: str, **fields: Column) -> Column:
+def _event(stage: int, position: Column, name: str, **fields: Column) -> Column:
     payload = F.struct(F.lit(name).alias("event"), *[c.alias(n) for n, c in fields.items()])
     return F.struct(
         F.lit(stage).alias("stage"),
-        part.cast("bigint").alias("part"),
+        position.cast("bigint").alias("position"),
         F.lit(name).alias("event"),
         F.to_json(payload).alias("payload"),
     )
@@ -161,7 +157,7 @@ def _status(stage: int, name: str, message: Column) -> Column:
     )
     return F.struct(
         F.lit(stage).alias("stage"),
-        F.lit(0).cast("bigint").alias("part"),
+        F.lit(0).cast("bigint").alias("position"),
         F.lit("router_status").alias("event"),
         F.to_json(payload).alias("payload"),
     )
@@ -172,7 +168,7 @@ def _fields(task: Column, *names: str) -> Column:
 
 
 def _listed_subtasks(outcomes: DataFrame, pricing: Pricing) -> DataFrame:
-    """Subtasks of a run in order, as ``(run_id, part, tasks)`` with at most one span in a part."""
+    """Subtasks of a run in order, as ``(run_id, tasks)``."""
     in_price, out_price = pricing.usd_columns("assigned_model")
     i, o = F.col("real_input_tokens"), F.col("real_output_tokens")
     task = F.struct(
@@ -187,21 +183,19 @@ def _listed_subtasks(outcomes: DataFrame, pricing: Pricing) -> DataFrame:
         o.alias("outputTokens"),
         round_exact(i * in_price + o * out_price, 6).alias("costUsd"),
     )
-    return outcomes.groupBy("run_id", span("position").alias("part")).agg(
-        F.array_sort(F.collect_list(task)).alias("tasks")
-    )
+    return outcomes.groupBy("run_id").agg(F.array_sort(F.collect_list(task)).alias("tasks"))
 
 
 def run_events(tables: RunTables) -> DataFrame:
-    """The events of build runs as ``(run_id, stage, part, event, payload)`` in (stage, part) order.
+    """The events of build runs as ``(run_id, stage, position, event, payload)`` in (stage, position) order.
 
-    Positions count from 0. A list event has one row per part of the run's subtasks; the ``part`` of
-    a subtask update is the subtask's position. All events of a run are exploded from one row per
-    part, so the outcomes are read twice: for the totals and for the lists.
+    ``position`` tells the updates of one stage apart and is that of the subtask; it is 0 elsewhere.
+    A subtask that has no response yet is running and gets no result. All events of a run are exploded
+    from one row, which holds its list of subtasks as its plan event does.
     """
     report = run_report(tables)
     rows = report.join(_listed_subtasks(tables.outcomes, tables.pricing), "run_id", "left")
-    part, tasks = F.coalesce("part", F.lit(0)), F.col("tasks")
+    tasks = F.col("tasks")
     count = F.col("subtask_count")
     before, _, after = V.STATUS_EXECUTING.partition("{count}")
     once = [
@@ -227,10 +221,10 @@ def run_events(tables: RunTables) -> DataFrame:
     def listed(*names: str) -> Column:
         return F.coalesce(F.transform(tasks, lambda t: _fields(t, *names)), F.array())
 
-    per_part = [
+    lists = [
         _event(
             1,
-            part,
+            F.lit(0),
             "router_plan",
             subtasks=listed("id", "title", "estimatedTokens", "model", "status"),
             totalEstimatedTokens=F.col("total_estimated_tokens"),
@@ -239,7 +233,7 @@ def run_events(tables: RunTables) -> DataFrame:
         ),
         _event(
             6,
-            part,
+            F.lit(0),
             "real_usage",
             realInputTokens=F.col("real_input_tokens"),
             realOutputTokens=F.col("real_output_tokens"),
@@ -264,12 +258,15 @@ def run_events(tables: RunTables) -> DataFrame:
                 model=task["model"],
             )
 
-        return F.array(update(3, F.lit("running")), update(4, task["result"]))
+        running = update(3, F.lit("running"))
+        return F.when(task["result"] == "pending", F.array(running)).otherwise(
+            F.array(running, update(4, task["result"]))
+        )
 
-    event_type = "array<struct<stage:int,part:bigint,event:string,payload:string>>"
+    event_type = "array<struct<stage:int,position:bigint,event:string,payload:string>>"
     events = F.concat(
-        F.when(part == 0, F.array(*once)).otherwise(F.array()).cast(event_type),
-        F.array(*per_part).cast(event_type),
+        F.array(*once).cast(event_type),
+        F.array(*lists).cast(event_type),
         F.coalesce(F.flatten(F.transform(tasks, updates)), F.array()).cast(event_type),
     )
     return rows.select("run_id", F.explode(events).alias("e")).select("run_id", "e.*")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from promptloom.functions.text import display_text, normalise_content
-from promptloom.operators.grouping import TOKEN_BITS, span
 
 _REQUEST_SCHEMA = "struct<messages:array<struct<role:string,content:variant>>,phase:string>"
 _PHASES = ("elicit", "generate")
@@ -18,17 +17,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def spread(scan: DataFrame, *columns: str) -> DataFrame:
-    """Spread a scan over all cores when it has fewer splits than the session has cores.
+def spread(scan: DataFrame, partitions: int | None, *columns: str) -> DataFrame:
+    """Spread a scan in front of heavy per-row work over ``partitions``; None leaves it as it is.
 
-    Meant for a plain scan in front of heavy per-row work. A table with enough splits, which is any
-    large one, is returned as it is; no shuffle is added. Rows are hashed by ``columns`` (all when
-    none is named), so long documents do not end up together by their length.
+    Meant for tables in few files. Rows are hashed by ``columns`` (all when none is named), so long
+    documents do not end up together by their length.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores * 4, *[F.col(c) for c in columns or scan.columns])
+    return scan.repartition(partitions, *[F.col(c) for c in columns or scan.columns]) if partitions else scan
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -85,22 +80,24 @@ def request_messages(bodies: DataFrame, key: str = "request_id", body: str = "bo
 
 
 def read_chat_requests(spark: SparkSession, path: str) -> DataFrame:
-    """Message rows of request files, one JSON body per line; requests are numbered, with gaps."""
-    lines = read_lines(spark, path)
-    return request_messages(
-        lines.select(F.monotonically_increasing_id().alias("request_id"), F.col("line").alias("body"))
+    """Message rows of request files, one JSON body per line, by ``(file, seq)`` of the line.
+
+    The key stays the same however the files are split, so answers of an earlier run can be joined.
+    """
+    lines = read_numbered_lines(spark, path).select(
+        F.struct("file", "seq").alias("request_id"), F.col("line").alias("body")
     )
+    return request_messages(lines).select("request_id.*", "phase", "status", "turn", "role", "text")
 
 
 def write_frames(frames: DataFrame, path: str, order: str = "seq", line: str = "line") -> None:
-    """Hand over frame lines as text, one folder per run and part, in order inside a file.
+    """Hand over frame lines as text, one folder per run, in order inside its file.
 
     A folder per run suits the runs that a reader asked for; keep a whole corpus as a table.
     """
-    parted = frames.withColumn("part", span(order, TOKEN_BITS))
-    parted.repartition("run_id", "part").sortWithinPartitions("run_id", "part", order).select(
-        "run_id", "part", F.col(line).alias("line")
-    ).write.partitionBy("run_id", "part").text(path)
+    frames.repartition("run_id").sortWithinPartitions("run_id", order).select(
+        "run_id", F.col(line).alias("line")
+    ).write.partitionBy("run_id").text(path)
 
 
 def display_rows(turns: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from promptloom.functions import fixed_values as V
 from promptloom.functions.tokens import Scorer
 from promptloom.operators.compression import compress
 from promptloom.operators.conversation import completion_aggregates, completion_flags, with_complete
-from promptloom.operators.logs import call_text, call_usage, chunk_tokens, chunk_usage
+from promptloom.operators.logs import call_usage, chunk_tokens, chunk_usage
 from promptloom.operators.run_state import data_events
 
 
@@ -40,7 +40,7 @@ def call_usage_stream(chunk_rows: DataFrame) -> DataFrame:
 
 
 def closed_call_usage_stream(
-    chunk_rows: DataFrame, event_time: str, idle: str, late: str = "10 minutes"
+    chunk_rows: DataFrame, event_time: str, idle: str, late: str
 ) -> DataFrame:
     """Usage per call, once it has been idle (append mode); the state of closed calls is dropped.
 
@@ -58,9 +58,12 @@ def closed_call_usage_stream(
     )
 
 
-def call_text_stream(chunk_rows: DataFrame, family: Column | str = "claude") -> DataFrame:
-    """Running text per call and part (update mode): the state of a part is one span of tokens."""
-    return call_text(chunk_tokens(chunk_rows, family))
+def call_tokens_stream(chunk_rows: DataFrame, family: Column | str = "claude") -> DataFrame:
+    """Tokens of arriving chunks (append mode), without state; fold what was written by ``call_text``.
+
+    A call's text is then never written again as it grows, and reading it touches its tokens once.
+    """
+    return chunk_tokens(chunk_rows, family)
 
 
 def run_events_stream(lines: DataFrame) -> DataFrame:

@@ -213,14 +213,17 @@ def test_let_evaluates_once(spark):
     assert all(r.s.a == r.s.b for r in df.collect())
 
 
-def test_spread_only_when_splits_are_few(spark, sf_dir, tmp_path):
+def test_spread_is_asked_for(spark, sf_dir):
     from promptloom.sources.tables import spread
 
-    assert documents(spark, sf_dir).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
-    spark.range(1000).repartition(16).write.parquet(str(tmp_path / "many"))
-    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
-    try:
-        scan = spark.read.parquet(str(tmp_path / "many"))
-        assert spread(scan) is scan
-    finally:
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+    scan = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert spread(scan, None) is scan
+    assert spread(scan, 5, "doc_id").rdd.getNumPartitions() == 5
+
+
+@pytest.mark.parametrize("name", ["compression_diff", "compression_stats", "tag_tokens"])
+def test_no_text_is_rebuilt_where_none_is_asked_for(spark, sf_dir, name):
+    from checks import queries
+
+    plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan

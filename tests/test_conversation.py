@@ -4,13 +4,12 @@ from pyspark.sql import functions as F
 from promptloom.functions import text as T
 from promptloom.functions.intent import answer_intent, strong_intent, weak_intent
 from promptloom.operators import conversation as C
-from promptloom.operators.grouping import TURN_BITS
 from promptloom.operators.inference import chat_requests
 from promptloom.operators.intent import classify_intent, undecided_requests
 from promptloom.plans.generate import generate_requests
 from promptloom.sources.tables import display_rows, read_chat_requests, request_messages
 
-SPAN = 1 << TURN_BITS
+SPAN = 4096
 
 
 def turns(spark, *rows):
@@ -120,10 +119,8 @@ def test_extract_requirements(spark):
         (2, 0, "user", "a"), (2, 1, "assistant", "x"), (2, 2, "user", " "), (2, 3, "user", "c"),
         (2, 4, "user", None), (3, 0, "assistant", "x"), (4, 0, "user", "REQUIREMENTS_COMPLETE"),
     )
-    got = {(r.conv_id, r.part): r.summary for r in C.extract_requirements(df).collect()}
-    assert got == {
-        (1, 0): "new", (2, 0): "a |   | c | ", (3, 0): "", (4, 0): "REQUIREMENTS_COMPLETE",
-    }
+    got = {r.conv_id: r.summary for r in C.extract_requirements(df).collect()}
+    assert got == {1: "new", 2: "a |   | c | ", 3: "", 4: "REQUIREMENTS_COMPLETE"}
 
 
 def test_phase_complete(spark):
@@ -186,7 +183,7 @@ def test_intent_join_does_not_shuffle_texts(spark, sf_dir):
 
 def test_request_scan(spark, tmp_path):
     bodies = [
-        '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":[{"text":"a"},{"x":1},"b",3]}],"phase":"generate"}',
+        '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":[{"text":"a"},{"x":1},"b",3,true,null]}],"phase":"generate"}',
         '{"messages":[{"content":5},{"role":"user"}]}',
         '{"phase":"dance"}',
         "{}",
@@ -196,13 +193,14 @@ def test_request_scan(spark, tmp_path):
     got = sorted((tuple(r) for r in request_messages(df).collect()), key=str)
     assert got == sorted(
         [
-            (0, "generate", "ok", 0, "user", "hi"), (0, "generate", "ok", 1, "assistant", "ab3"),
+            (0, "generate", "ok", 0, "user", "hi"), (0, "generate", "ok", 1, "assistant", "ab3TrueNone"),
             (1, "elicit", "ok", 0, None, "5"), (1, "elicit", "ok", 1, "user", ""),
             (2, "dance", "unknown_phase", None, None, None), (3, "elicit", "ok", None, None, None),
         ],
         key=str,
     )
-    assert read_chat_requests(spark, str(tmp_path)).count() == 6
+    read = read_chat_requests(spark, str(tmp_path)).collect()
+    assert sorted({r.seq for r in read}) == [0, 1, 2, 3] and len(read) == 6
 
 
 # --- one conversation that holds most rows ----------------------------------------------------
@@ -218,12 +216,26 @@ def hot(spark):
     return long.unionByName(short).repartition(8).cache()
 
 
-def test_hot_conversation_is_cut_into_parts_and_whole(spark, hot):
-    parts = C.extract_requirements(hot).filter("conv_id = -1").orderBy("part").collect()
-    assert [p.part for p in parts] == [0, 1, 2, 3]
-    whole = " | ".join(p.summary for p in parts)
-    assert whole == " | ".join(f"t{i}" for i in range(4 * SPAN) if i % 3 != 1)
-    assert C.extract_requirements(hot).count() == 4 + 500
+def test_hot_conversation_is_one_summary(spark, hot):
+    (whole,) = C.extract_requirements(hot).filter("conv_id = -1").collect()
+    assert whole.summary == " | ".join(f"t{i}" for i in range(4 * SPAN) if i % 3 != 1)
+    assert C.extract_requirements(hot).count() == 1 + 500
+
+
+@pytest.mark.parametrize("first, step", [(4094, 1), (65_534, 1), (1_700_000_000_000_000, 1_000_003), (-3, 1)])
+def test_order_numbers_do_not_cut_a_conversation(spark, first, step):
+    df = turns(spark, *[(1, first + i * step, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(5)])
+    assert [r.summary for r in C.extract_requirements(df).collect()] == ["t0 | t2 | t4"]
+    assert C.clean_history(df).count() == 5
+    assert chat_requests(C.clean_history(df)).count() == 1
+    answers = spark.createDataFrame([(1, "BUILD")], "request_id bigint, answer string")
+    assert generate_requests(df, answers).count() == 1
+
+
+def test_null_conversation_is_a_key_of_its_own(spark):
+    df = turns(spark, (None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 2, "user", "c"), (1, 0, "user", "x"))
+    assert {r.conv_id: r.summary for r in C.extract_requirements(df).collect()} == {None: "a | c", 1: "x"}
+    assert C.clean_history(df).count() == 4
 
 
 def test_marker_in_a_far_span_decides_for_all_spans(spark, hot):
@@ -231,7 +243,7 @@ def test_marker_in_a_far_span_decides_for_all_spans(spark, hot):
         "text", F.when((F.col("conv_id") == -1) & (F.col("turn") == 3 * SPAN + 1), "The plan: x REQUIREMENTS_COMPLETE").otherwise(F.col("text"))
     )
     rows = C.extract_requirements(marked).filter("conv_id = -1").collect()
-    assert [(r.part, r.summary) for r in rows] == [(3, "x")]
+    assert [r.summary for r in rows] == ["x"]
 
 
 def test_last_user_turn_in_an_early_span(spark, hot):
@@ -241,18 +253,16 @@ def test_last_user_turn_in_an_early_span(spark, hot):
     assert tuple(kept) == (last + 1, last)
 
 
-def test_no_task_gets_the_whole_hot_conversation(spark, hot):
-    """Full rows meet only under (key, span)."""
+def test_key_values_are_joined_not_windowed(spark, hot):
+    """A key's values come from an aggregation and reach its rows by a join that can be split."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = C.extract_requirements(hot)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "CartesianProduct" not in plan
-    exchanges = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
-    # Only the table of spans is brought together by conversation alone.
-    by_key_alone = [e for e in exchanges if "hashpartitioning(conv_id#" in e and "span" not in e and "_grouping" not in e]
-    assert len(exchanges) == 4 and len(by_key_alone) == 1
+    assert "Window" not in plan
+    assert "Window" not in C.clean_history(hot)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_requests_shuffle_texts_once(spark, hot):
@@ -262,11 +272,10 @@ def test_requests_shuffle_texts_once(spark, hot):
         plan = generate_requests(hot, answers)._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # Spans, the key's totals, spans again, rows, answers; nothing above the summaries.
-    assert plan.count("Exchange hashpartitioning") == 5
-    assert "Exchange" not in plan[: plan.index("ObjectHashAggregate")]
+    exchanged = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert len(exchanged) <= 6 and "Window" not in plan
     rows = generate_requests(hot, answers).filter("request_id IN (-1, 7)").collect()
-    assert len(rows) == 5 and {r.intent for r in rows} == {"build"}
+    assert len(rows) == 2 and {r.intent for r in rows} == {"build"}
 
 
 def test_chat_requests(spark, hot):
@@ -281,4 +290,4 @@ def test_chat_requests(spark, hot):
         '{"anthropic_version":"bedrock-2023-05-31","max_tokens":512,"system":"sys","messages":'
         '[{"role":"user","content":"a\\""},{"role":"assistant","content":"b"}]}'
     )
-    assert chat_requests(hot).filter("conv_id = -1").count() == 4
+    assert chat_requests(hot).filter("conv_id = -1").count() == 1

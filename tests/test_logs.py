@@ -5,10 +5,8 @@ from pyspark.sql import functions as F
 
 from promptloom.functions.responses import data_frame, finish_frame, text_frame
 from promptloom.operators import logs, run_state
-from promptloom.operators.grouping import TOKEN_BITS
 from promptloom.sources.tables import read_numbered_lines, write_frames
 
-SPAN = 1 << TOKEN_BITS
 
 
 def lines(spark, *rows, key="run_id", value="line"):
@@ -36,7 +34,7 @@ def test_local_stream(spark):
 
 
 def test_done_line_in_another_span(spark):
-    many = spark.range(3 * SPAN).selectExpr("1L AS call_id", "id AS seq", """concat('{"message":{"content":"t"},"done":', id >= 70000, '}') AS line""")
+    many = spark.range(3 * 65536).selectExpr("1L AS call_id", "id AS seq", """concat('{"message":{"content":"t"},"done":', id >= 70000, '}') AS line""")
     assert logs.local_stream_tokens(many).agg(F.count("*"), F.max("seq")).first() == (70001, 70000)
 
 
@@ -67,7 +65,7 @@ def test_usage_extract(spark):
 def test_call_fold(spark, family, text):
     rows = [(1, i, c) for i, c in enumerate(CHUNKS)] + [(2, 0, "{}")]
     got = sorted(tuple(r) for r in logs.call_fold(lines(spark, *rows, key="call_id", value="chunk"), family).collect())
-    assert got == [(1, 0, text, 15, 7), (2, 0, "", 0, 0)]
+    assert [r[:4] for r in got] == [(1, text, 15, 7), (2, "", 0, 0)] and got[1][4] == 0
 
 
 def test_family_column(spark):
@@ -76,11 +74,26 @@ def test_family_column(spark):
     assert sorted((r.call_id, r.token) for r in logs.chunk_tokens(rows, family).collect()) == [(1, "He"), (2, "M")]
 
 
-def test_long_call_comes_in_parts(spark):
-    n = 2 * SPAN + 10
-    rows = spark.range(n).selectExpr("1L AS call_id", "id AS seq", """concat('{"type":"content_block_delta","delta":{"text":"', id, ' "}}') AS chunk""")
-    parts = logs.call_fold(rows.repartition(8)).orderBy("part").collect()
-    assert len(parts) == 3 and "".join(p.text for p in parts) == "".join(f"{i} " for i in range(n))
+@pytest.mark.parametrize("first, step", [(0, 1), (4_090, 1), (65_530, 1), (1_700_000_000_000_000, 1_000_003)])
+def test_call_is_one_row_whatever_its_numbers(spark, first, step):
+    n = 20_000
+    rows = spark.range(n).selectExpr("1L AS call_id", f"{first}L + id * {step} AS seq", """concat('{"type":"content_block_delta","delta":{"text":"', id, ' "}}') AS chunk""")
+    (call,) = logs.call_fold(rows.repartition(8)).collect()
+    assert call.text == "".join(f"{i} " for i in range(n)) and call.n_tokens == n
+
+
+def test_calls_without_key_are_kept(spark):
+    rows = lines(spark, (None, 0, '{"message":{"content":"a"}}'), (None, 1, '{"message":{"content":"b"},"done":true}'),
+                 (None, 2, '{"message":{"content":"c"}}'), (3, None, '{"message":{"content":"d"}}'), key="call_id", value="line")
+    got = [(r.call_id, r.token) for r in logs.local_stream_tokens(rows).collect()]
+    assert sorted(got, key=str) == [(3, "d"), (None, "a"), (None, "b")]
+
+
+def test_log_is_parsed_once_for_the_fold(spark, sf_dir):
+    from checks.queries import call_fold
+
+    plan = call_fold(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
 
 
 def test_frames(spark):
@@ -112,7 +125,7 @@ def test_encode(spark):
 def test_frames_through_files(spark, tmp_path):
     frames = lines(spark, *[(run, i, f'0:"{run}.{i} "') for run in (1, 2) for i in range(50)])
     write_frames(frames, str(tmp_path / "out"))
-    back = read_numbered_lines(spark, str(tmp_path / "out" / "run_id=2" / "part=0"))
+    back = read_numbered_lines(spark, str(tmp_path / "out" / "run_id=2"))
     decoded = logs.run_text(back.withColumn("run_id", F.lit(2).cast("bigint")))
     assert decoded.first().text == "".join(f"2.{i} " for i in range(50))
 
@@ -165,5 +178,5 @@ def test_run_state(spark):
     assert (two.run_id, two.can_generate, two.task_mode, two.router_status, two.multiplier) == (2, True, None, "", None)
     tasks = run_state.run_subtasks(latest).orderBy("subtask_id").collect()
     assert [(t.subtask_id, t.planned, t.status, t.reported_status) for t in tasks] == [
-        (1, True, "pending", "running"), (2, True, "done", "done"), (9, False, None, "running"),
+        ("1", True, "pending", "running"), ("2", True, "done", "done"), ("9", False, None, "running"),
     ]

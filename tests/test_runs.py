@@ -8,7 +8,6 @@ from promptloom.functions.models import Pricing, Tier, default_pricing, resolve_
 from promptloom.operators import inference as I
 from promptloom.operators import ledger as L
 from promptloom.operators import planning as P
-from promptloom.operators.grouping import TURN_BITS
 from promptloom.plans.generate import run_events, run_report, run_tables
 
 LOCAL, CLOUD = default_pricing(), default_pricing(" Bedrock ")
@@ -35,14 +34,16 @@ def test_parse_plan(spark):
         '[{"id": 1}] trailing',
         "```\n[{\"title\": \"a\"}]```",
         '[{"id": 1}, 2]',
+        '[{"id": "a"}]',
     )
     assert got == [
-        (0, "ok", 3, "t", "p", 70), (0, "ok", 2, "Subtask 2", "req", 500),
-        (1, "fallback", 1, "Full implementation", "req", 800),
+        (0, "ok", "3", "t", "p", 70), (0, "ok", "2", "Subtask 2", "req", 500),
+        (1, "fallback", "1", "Full implementation", "req", 800),
         (3, "error", None, None, None, None), (4, "error", None, None, None, None),
-        (5, "ok", 1, "Subtask 1", "req", 12), (6, "error", None, None, None, None),
-        (7, "fallback", 1, "Full implementation", "req", 800),
-        (8, "ok", 1, "a", "req", 500), (9, "error", None, None, None, None),
+        (5, "ok", "1", "Subtask 1", "req", 12), (6, "error", None, None, None, None),
+        (7, "fallback", "1", "Full implementation", "req", 800),
+        (8, "ok", "1", "a", "req", 500), (9, "error", None, None, None, None),
+        (10, "ok", "a", "Subtask 1", "req", 500),
     ]
 
 
@@ -148,35 +149,41 @@ def test_report_is_one_aggregation(spark):
 
 
 def test_events(spark):
-    events = run_events(run_tables(*small_run(spark), LOCAL)).orderBy("run_id", "stage", "part").collect()
+    events = run_events(run_tables(*small_run(spark), LOCAL)).orderBy("run_id", "stage", "position").collect()
     first = [e for e in events if e.run_id == 1]
     assert [e.event for e in first] == (
-        ["router_status", "router_plan", "router_status"] + ["subtask_update"] * 8
+        ["router_status", "router_plan", "router_status"] + ["subtask_update"] * 7
         + ["router_status", "real_usage", "savings_breakdown", "router_done"]
     )
     bodies = [json.loads(e.payload) for e in first]
     assert all(b["event"] == e.event for b, e in zip(bodies, first, strict=True))
     assert [s["title"] for s in bodies[1]["subtasks"]] == ["a", "b", "c", "d"]
     assert bodies[2]["message"] == "Running 4 subtasks in parallel…"
-    assert [b["status"] for b in bodies[3:11]] == ["running"] * 4 + ["done", "done", "error", "pending"]
-    assert [s["inputTokens"] for s in bodies[12]["perSubtask"]] == [100, 200, 0, 0]
+    assert [b["status"] for b in bodies[3:10]] == ["running"] * 4 + ["done", "done", "error"]
+    assert [s["inputTokens"] for s in bodies[11]["perSubtask"]] == [100, 200, 0, 0]
     empty = {e.event: json.loads(e.payload) for e in events if e.run_id == 2}
     assert empty["router_plan"]["subtasks"] == [] and empty["router_plan"]["totalEstimatedTokens"] == 0
     assert empty["router_done"] == {"event": "router_done", "subtaskCount": 0}
 
 
-def test_run_with_many_subtasks_comes_in_parts(spark):
-    n = 2 * (1 << TURN_BITS) + 5
+def test_failed_plan_has_no_tasks_and_no_model(spark):
+    df = spark.createDataFrame([(1, '{"id": 1}', "r"), (2, "[{}]", "r")], "run_id bigint, raw string, requirements string")
+    parsed = P.parse_plan(df)
+    assert [r.run_id for r in P.planned_tasks(parsed).collect()] == [2]
+    assert {r.run_id: r.assigned_model is None for r in P.route(parsed, LOCAL).collect()} == {1: True, 2: False}
+
+
+def test_run_with_many_subtasks_is_one_plan(spark):
+    n = 2 * 4096 + 5
     tasks = spark.range(n).selectExpr(
         "1L AS run_id", "id AS position", "id + 1 AS id", "concat('t', id) AS title", "'p' AS prompt", "10L AS estimated_tokens"
     )
     responses = spark.createDataFrame([], RESPONSE)
     calls = spark.createDataFrame([(1, 0, 0, 0)], "run_id bigint, input_tokens bigint, output_tokens bigint, uncompressed_tokens bigint")
     tables = run_tables(tasks, responses, calls, LOCAL)
-    plans = [json.loads(r.payload) for r in run_events(tables).filter("event = 'router_plan'").orderBy("part").collect()]
-    assert [len(p["subtasks"]) for p in plans] == [1 << TURN_BITS, 1 << TURN_BITS, 5]
-    assert all(p["totalEstimatedTokens"] == 10 * n for p in plans)
-    assert P.assemble(tables.outcomes).count() == 3
+    (plan,) = [json.loads(r.payload) for r in run_events(tables).filter("event = 'router_plan'").collect()]
+    assert len(plan["subtasks"]) == n and plan["totalEstimatedTokens"] == 10 * n
+    assert P.assemble(tables.outcomes).count() == 1
 
 
 def test_shares(spark):
@@ -226,3 +233,6 @@ def test_infer_table(spark):
     calls = {"local": lambda s, m, model, n: (m.upper(), len(m), n), "bedrock": fails}
     got = {r.id: (r.text, r.input_tokens, r.output_tokens, r.error) for r in I.infer_table(requests, calls, ["id"], 7).collect()}
     assert got == {1: ("HI", 2, 7, None), 2: (None, 0, 0, "down"), 3: (None, 0, 0, "'none'")}
+    own = requests.withColumn("limit", F.col("id").cast("int") * 10)
+    many = I.infer_table(own, calls, ["id"], "limit", concurrency=3).collect()
+    assert {r.id: r.output_tokens for r in many} == {1: 10, 2: 0, 3: 0}

@@ -37,8 +37,8 @@ def test_call_fold(spark, arriving):
     table, stream = arriving("chunks", "seq")
     usage = jobs.drain(jobs.call_usage_stream(stream), new_folder(spark, "s"), ["call_id"])
     assert rows(usage) == rows(logs.call_usage(logs.chunk_usage(table)))
-    text = jobs.drain(jobs.call_text_stream(stream), new_folder(spark, "s"), ["call_id", "part"])
-    assert rows(text) == rows(logs.call_text(logs.chunk_tokens(table)))
+    tokens = jobs.drain(jobs.call_tokens_stream(stream), new_folder(spark, "s"), [], "append")
+    assert rows(logs.call_text(tokens)) == rows(logs.call_text(logs.chunk_tokens(table)))
 
 
 def test_closed_calls_leave_the_state(spark):
@@ -50,7 +50,7 @@ def test_closed_calls_leave_the_state(spark):
         ).coalesce(1).write.mode("append").parquet(path)
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    closed = jobs.closed_call_usage_stream(stream, "ts", "30 minutes")
+    closed = jobs.closed_call_usage_stream(stream, "ts", "30 minutes", late="10 minutes")
     out = jobs.drain(closed, new_folder(spark, "s"), [], "append")
     assert sorted((str(r.started), r.input_tokens) for r in out.collect()) == [
         ("2024-01-01 00:00:00", 9), ("2024-01-01 01:30:00", 4),
