@@ -124,7 +124,8 @@ FOUND = "a bigint, b bigint, n bigint"
 def _meet(
     ids: np.ndarray, units: np.ndarray, copies: np.ndarray, lists: list[np.ndarray], at: int, cross: np.ndarray | None, cosine: float
 ) -> list[tuple[int, int | None, int | None]]:
-    """Link counts ``(vector, None, n)`` and spanning links ``(a, b, None)`` of vectors under a filter."""
+    """Link counts ``(vector, None, n)`` of vectors under a filter, and ``(a, b, None)`` for each linked one with
+    the first that its links reach."""
     linked = np.einsum("id,jd->ij", units, units) >= cosine if len(units) < 8 else (units @ units.T) >= cosine
     linked[np.tril_indices(len(units))] = False
     if cross is not None:
@@ -132,36 +133,30 @@ def _meet(
     a, b = np.nonzero(linked)
     if not len(a):
         return []
-    # pairs that share a smaller filter are counted there
-    earlier = [x[x < at] for x in lists]
-    if len(a) < 64:
-        sets = [set(x.tolist()) for x in earlier]
-        first = np.array([sets[i].isdisjoint(sets[j]) for i, j in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
-    else:
-        names = np.unique(np.concatenate(earlier))
-        first = np.ones(len(a), dtype=bool)
-        for k in range(0, len(names), 4096):
-            part = names[k : k + 4096]
-            holds = np.zeros((len(units), len(part)), dtype=np.float32)
-            for i, x in enumerate(earlier):
-                x = x[(x >= part[0]) & (x <= part[-1])]
-                holds[i, np.searchsorted(part, x)] = 1
-            first &= (holds @ holds.T)[a, b] == 0
+    # pairs that share a smaller filter are counted there: filters are bits of a row for each vector
+    names, where = np.unique(np.concatenate(lists), return_inverse=True)
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    earlier = names[where] < at
+    bits = np.zeros((len(units), len(names) // 64 + 1), dtype=np.uint64)
+    np.bitwise_or.at(bits, (owner[earlier], where[earlier] // 64), np.uint64(1) << (where[earlier] % 64).astype(np.uint64))
+    first = np.concatenate(
+        [~(bits[a[i : i + 65536]] & bits[b[i : i + 65536]]).any(axis=1) for i in range(0, len(a), 65536)]
+    )
     a, b = a[first], b[first]
     if not len(a):
         return []
     count = np.bincount(a, copies[b], minlength=len(ids)) + np.bincount(b, copies[a], minlength=len(ids))
     out: list[tuple[int, int | None, int | None]] = [(int(ids[i]), None, int(count[i])) for i in np.flatnonzero(count)]
+    # each vector takes the smallest number among its links until none changes
     group = np.arange(len(ids))
     while True:
-        apart = group[a] != group[b]
-        if not apart.any():
-            return out
-        a, b = a[apart], b[apart]
-        # each component takes one link at a time to the smallest it touches
-        i, j = int(a[0]), int(b[0])
-        out.append((int(ids[i]), int(ids[j]), None))
-        group[group == group[j]] = group[i]
+        least = group.copy()
+        np.minimum.at(least, a, group[b])
+        np.minimum.at(least, b, group[a])
+        least = least[least]
+        if (least == group).all():
+            return out + [(int(ids[i]), int(ids[group[i]]), None) for i in np.flatnonzero(group != np.arange(len(ids)))]
+        group = least
 
 
 def near_duplicates(
