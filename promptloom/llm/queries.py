@@ -103,5 +103,54 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in REGISTERED}
 
 
+# --- SQL, where SQL can say it ---------------------------------------------------------------------
+
+_NORMALISED = r"""trim(regexp_replace(lower(unit),
+  '[\x20\x09-\x0D,.;:!?]*(?:[\x20\x09-\x0D]|$)[\x20\x09-\x0D]*', ' ', 'g'))"""
+
+_LINES = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS units FROM documents),
+  u AS (SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS pos FROM d),
+  n AS (SELECT doc_id, unit, pos, {_NORMALISED} AS norm, CAST(coalesce(sum(length(unit) + 1) OVER (
+      PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM u),
+  k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS again FROM n
+    WHERE norm <> '' AND length(norm) - length(replace(norm, ' ', '')) + 1 >= {line_dedup.LEAST_WORDS}),
+  j AS (SELECT n.*, coalesce(again, false) AS again FROM n LEFT JOIN k USING (doc_id, pos))
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (again) AS n_removed,
+    coalesce(string_agg(concat(begins, ':', begins + length(unit)), ',' ORDER BY pos) FILTER (again), '') AS spans,
+    coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT again), '') AS text FROM j GROUP BY doc_id"""
+
+
+def _reached(nodes: str, links: str) -> str:
+    """Common table expressions: the smallest node that the links of each node reach."""
+    return f"""reach AS (SELECT {nodes} AS x, {nodes} AS y FROM ids UNION
+    SELECT reach.x, l.b FROM reach JOIN {links} l ON reach.y = l.a),
+  least AS (SELECT x AS {nodes}, min(y) AS component_id FROM reach GROUP BY x)"""
+
+
+_JOIN = rf"""WITH RECURSIVE ids AS (SELECT doc_id FROM documents),
+  w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s FROM w),
+  e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+  both_ways AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+  {_reached('doc_id', 'both_ways')}
+  SELECT doc_id, len(s) AS n_shingles, component_id FROM s JOIN least USING (doc_id)"""
+
+_VECTORS = f"""WITH RECURSIVE ids AS (SELECT vec_id FROM embeddings),
+  v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+  {_reached('vec_id', 'p')},
+  n AS (SELECT a AS vec_id, count(*) AS n FROM p GROUP BY a)
+  SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+  FROM ids LEFT JOIN n USING (vec_id) JOIN least USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL; what is missing is tested against brute force, exact round trips or held-out rows."""
+    return {"op1_line_dedup": _LINES, "op6_ngram_join": _JOIN, "op10_vector_filters": _VECTORS}

@@ -14,6 +14,10 @@ is one small row until its bytes are needed:
    same method until they differ or cover ``span`` bytes, the other suffixes follow from their
    first byte and the next name, and both orders are merged. Neighbours in the order with a common
    prefix of ``span`` bytes are the same string, and all but the earliest repeat.
+   An anchor inside a passage shorter than ``span`` may have as many surroundings as there are documents.
+   Its stretches are cut by the distance of the strings from the anchor, and each part is dealt by the
+   bytes that all its strings contain; what meets nothing else there is done. Where even such a part has
+   too many kinds, its strings are compared by a digest of 128 bits each, one by one.
 3. the repeated places of a document are put together and cut out of its bytes.
 """
 
@@ -33,17 +37,19 @@ from promptloom.llm.common import Words, keep_ids, mix, slices, text_bytes, writ
 SPAN, GRAM = 100, 32
 #: Bytes of stretches that are sorted at a time; stretches of one anchor stay together.
 MOST_BYTES = 1 << 20
-#: A place is a start and how many starts follow it, in one number.
-PLACE = 128
+#: A place is a start, how far its anchor is from there, and how many starts it stands for, in one number.
+PLACE, COUNT = 1 << 14, 1 << 7
+#: An anchor with more kinds of stretches is dealt out again, by strings of neighbouring distances from it.
+MOST_KINDS, NEIGHBOURS = 2_000, 16
 
 
 def stretches(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, ...]:
-    """Stretches of strings with one anchor: (text, start, strings, anchor hash, hash of the bytes)."""
+    """Stretches of strings with one anchor: (text, place, anchor hash, hash of the bytes)."""
     words = Words(texts)
     n = len(words.buffer)
     empty = np.zeros(0, dtype=np.int64)
     if n < span:
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty
     pieces = words.ranges(np.arange(n - GRAM + 1), np.arange(n - GRAM + 1) + GRAM)
     # position of the smallest piece among the next `width`, the last of equal ones, by doubling
     width, size = span - GRAM + 1, 1
@@ -57,16 +63,15 @@ def stretches(texts: list[bytes], span: int = SPAN) -> tuple[np.ndarray, ...]:
     inside = np.arange(len(at)) + span <= words.text_start[text + 1] - 1
     starts = np.flatnonzero(inside)
     if not len(starts):
-        return empty, empty, empty, empty, empty
+        return empty, empty, empty, empty
     new = np.ones(len(starts), dtype=bool)
     new[1:] = (at[starts[1:]] != at[starts[:-1]]) | (text[starts[1:]] != text[starts[:-1]])
     first = starts[new]
     count = np.diff(np.append(np.flatnonzero(new), len(starts)))
     whole = mix(words.ranges(first, first + count - 1 + span) + count.astype(np.uint64))
-    return (
-        text[first], first - words.text_start[text[first]], count,
-        pieces[at[first]].view(np.int64), whole.view(np.int64),
-    )
+    start = first - words.text_start[text[first]]
+    place = start * PLACE + (at[first] - first) * COUNT + count
+    return text[first], place, pieces[at[first]].view(np.int64), whole.view(np.int64)
 
 
 def _names(keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -182,8 +187,8 @@ def _all_stretches(texts: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             ids = batch["doc_id"].to_numpy()
-            text, start, count, anchor, whole = stretches(text_bytes(batch["text"]))
-            columns = [anchor, whole, ids[text], start * PLACE + count]
+            text, place, anchor, whole = stretches(text_bytes(batch["text"]))
+            columns = [anchor, whole, ids[text], place]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["anchor", "whole", "doc_id", "place"])
 
     return texts.mapInArrow(run, STRETCHES)
@@ -226,20 +231,100 @@ def _by_anchor(found: DataFrame) -> DataFrame:
     return found.repartition("anchor").sortWithinPartitions(*order).mapInArrow(run, PLACES)
 
 
-def _sorted_repeats(texts: DataFrame, mixed: DataFrame) -> DataFrame:
-    """Repeated strings among first stretches that share an anchor, by suffix sorting."""
+def _read_back(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """``(doc_id, text, wanted)``: the documents of places (``doc_id``, ``place``, ``anchor``) with their lists."""
     # a list for each document, no longer than the document
-    wanted = mixed.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
+    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "place")).alias("wanted"))
     wanted = written(wanted, "wanted")
     ids = written(wanted.select("doc_id"), "ids")
-    read = keep_ids(texts, ids, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "wanted")
+    return keep_ids(texts, ids, "doc_id").join(wanted, "doc_id").select("doc_id", "text", "wanted")
+
+
+def finer_parts(anchor: int, place: int, text: bytes, neighbours: int) -> Iterator[tuple[int, int]]:
+    """Parts ``(anchor, place)`` of a stretch: strings of ``neighbours`` distances from the anchor each.
+
+    The new anchor is made of the old one, the distances, and the bytes that all strings of such
+    distances contain.
+    """
+    start, distance, count = place // PLACE, place // COUNT % COUNT, place % COUNT
+    at = start + distance
+    for block in range((distance - count + 1) // neighbours, distance // neighbours + 1):
+        far, near = min(distance, (block + 1) * neighbours - 1), max(distance - count + 1, block * neighbours)
+        core = text[at - block * neighbours : at - (block + 1) * neighbours + 1 + SPAN]
+        digest = hashlib.blake2b(core, digest_size=8, key=b"%d/%d" % (anchor, block)).digest()
+        yield (
+            int.from_bytes(digest, "little", signed=True),
+            (at - far) * PLACE + far * COUNT + far - near + 1,
+        )
+
+
+def _finer(texts: DataFrame, places: DataFrame, neighbours: int) -> DataFrame:
+    """Places cut by :func:`finer_parts`, those whose new anchor occurs more than once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            out = []
+            for doc, text, wanted in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"]), batch["wanted"].to_pylist(), strict=True):
+                for w in wanted:
+                    out += [(doc, place, anchor) for anchor, place in finer_parts(w["anchor"], w["place"], text, neighbours)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "place", "anchor"])
+
+    parts = written(_read_back(texts, places).mapInArrow(run, PLACES), "parts")
+    again = written(parts.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    return parts.join(again, "anchor").select("doc_id", "place", "anchor", "n")
+
+
+def _split_hot(places: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Places of anchors with few kinds, and those of anchors with many, if there are any."""
+    hot = written(counts.where(F.col("n") > MOST_KINDS).select("anchor"), "hot")
+    if hot.isEmpty():
+        return places, None
+    return keep_ids(places, hot, "anchor", "left_anti"), keep_ids(places, hot, "anchor")
+
+
+def _equal_strings(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """Repeats among single strings, by digests of 128 bits; equal ones are combined before they meet."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 2 << 20):
+            out: list[tuple] = []
+            for doc, text, wanted in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"]), batch["wanted"].to_pylist(), strict=True):
+                for w in wanted:
+                    start = w["place"] // PLACE
+                    for i in range(start, start + w["place"] % COUNT):
+                        out.append((doc, i * PLACE + 1, hashlib.blake2b(text[i : i + SPAN], digest_size=16).digest()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)],
+                ["doc_id", "place", "string"],
+            )
+
+    strings = written(_read_back(texts, places).mapInArrow(run, "doc_id bigint, place bigint, string binary"), "strings")
+    firsts = strings.groupBy("string").agg(F.min(F.struct("doc_id", "place")).alias("first"))
+    later = strings.join(firsts, "string").where(F.struct("doc_id", "place") != F.col("first"))
+    return later.select("doc_id", "place")
+
+
+def _sorted_repeats(texts: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Repeated strings among first stretches that share an anchor, by suffix sorting."""
+    counts = mixed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    mixed, hot = _split_hot(mixed, counts)
+    if hot is None:
+        return _suffix_sorted(texts, mixed)
+    parts = _finer(texts, hot, NEIGHBOURS)
+    parts, hot = _split_hot(parts.drop("n"), parts.select("anchor", "n").distinct())
+    found = _suffix_sorted(texts, mixed.select("doc_id", "place", "anchor").union(parts.select("doc_id", "place", "anchor")))
+    return found if hot is None else found.union(_equal_strings(texts, hot))
+
+
+def _suffix_sorted(texts: DataFrame, places: DataFrame) -> DataFrame:
+    read = _read_back(texts, places)
 
     def bytes_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             out: list[tuple] = []
-            for doc, text, places in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"]), batch["wanted"].to_pylist(), strict=True):
-                for w in places:
-                    start, count = divmod(w["place"], PLACE)
+            for doc, text, wanted in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"]), batch["wanted"].to_pylist(), strict=True):
+                for w in wanted:
+                    start, count = w["place"] // PLACE, w["place"] % COUNT
                     out.append((w["anchor"], doc, start, text[start : start + count - 1 + SPAN]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int64()] * 3 + [pa.binary()], strict=True)],
@@ -304,7 +389,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 place = np.array(found or [], dtype=np.int64)
                 edge = np.zeros(len(text) + 1, dtype=np.int64)
                 np.add.at(edge, np.minimum(place // PLACE, len(text)), 1)
-                np.add.at(edge, np.minimum(place // PLACE + place % PLACE - 1 + SPAN, len(text)), -1)
+                np.add.at(edge, np.minimum(place // PLACE + place % COUNT - 1 + SPAN, len(text)), -1)
                 covered = np.cumsum(edge[:-1]) > 0
                 kept = np.frombuffer(text, dtype=np.uint8)[~covered].tobytes()
                 turns = np.flatnonzero(np.diff(covered.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)

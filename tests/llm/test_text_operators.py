@@ -183,7 +183,10 @@ def test_suffixes_equal_brute_force(spark, real, edge, empty):
     assert suffix_dedup.dedup(empty).count() == 0
 
 
-def test_suffixes_of_shifted_and_periodic_passages(spark):
+@pytest.mark.parametrize("kinds", [2_000, 3])
+def test_suffixes_of_shifted_and_periodic_passages(spark, monkeypatch, kinds):
+    # few kinds make anchors hot, so that their stretches are dealt out again
+    monkeypatch.setattr(suffix_dedup, "MOST_KINDS", kinds)
     rng = np.random.default_rng(5)
 
     def noise(n):
@@ -191,6 +194,9 @@ def test_suffixes_of_shifted_and_periodic_passages(spark):
 
     passage = noise(700)
     texts = [noise(150) + passage[rng.integers(0, 300) : rng.integers(400, 700)] + noise(150) for _ in range(30)]
+    line = noise(70)
+    texts += [noise(90) + line + noise(rng.integers(0, 90)) for _ in range(12)]
+    texts += [passage[80:140] + line + passage[200:260] for _ in range(3)]
     texts += ["ab" * 400, noise(10) + "ab" * 300, "q" * 99, "q" * 100, "q" * 101, "é" * 120]
     docs = [(i, t) for i, t in enumerate(texts)]
     expected = brute_suffixes([(i, t.encode()) for i, t in docs])
