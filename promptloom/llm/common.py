@@ -53,7 +53,7 @@ def keep_ids(rows: DataFrame, ids: DataFrame, key: str, how: str = "inner") -> D
     return rows.join(F.broadcast(ids) if small else ids.hint("shuffle_merge"), key, how)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that ``column`` holds about ``limit`` bytes at most (one row at least)."""
     for batch in batches:
         if batch.num_rows == 0:

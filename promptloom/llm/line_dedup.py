@@ -29,8 +29,10 @@ def n_words(norm: Column) -> Column:
 
 def units(docs: DataFrame, separator: str, least_words: int) -> DataFrame:
     """``(doc_id, copy, pos, one, two)``: two digests of each unit long enough to be compared."""
-    texts = docs.select("doc_id", "copy", F.posexplode(F.split("text", separator, -1)).alias("pos", "unit"))
-    texts = texts.withColumn("norm", normalised(F.col("unit"))).where(n_words(F.col("norm")) >= least_words)
+    # normalised inside the generator: a filter on a computed column would normalise every unit again
+    normed = F.transform(F.split("text", separator, -1), normalised)
+    texts = docs.select("doc_id", "copy", F.posexplode(normed).alias("pos", "norm"))
+    texts = texts.where(n_words(F.col("norm")) >= least_words)
     return texts.select(
         "doc_id", "copy", "pos", F.xxhash64("norm").alias("one"), F.xxhash64(F.lit("second"), F.col("norm")).alias("two")
     )

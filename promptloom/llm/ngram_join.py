@@ -33,8 +33,10 @@ from promptloom.llm.common import Words, components, groups, keep_ids, mix, slic
 
 #: Least number of groups of hashes, and elements of a set for each group (both powers of two).
 GROUPS, BY_GROUP = 64, 16
-#: Children of a node of the tree, and pairs of nodes that are opened at a time.
-FANOUT, OPEN = 16, 256
+#: Children of a node of the tree, and coordinates that are compared at a time.
+FANOUT, CELLS = 16, 1 << 21
+#: Bytes of texts that are hashed at a time.
+HASHED = 1 << 20
 #: What meets in one task: documents with their sets, elements of these sets, and points.
 MOST_TEXTS, MOST_ELEMENTS, MOST_POINTS = 8_000, 4_000_000, 4_096
 #: Pairs of two components that are verified first.
@@ -43,6 +45,12 @@ FIRST_PAIRS = 2
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's ``width``-word shingles; a shorter text is one."""
+    sizes = np.cumsum([len(t) for t in texts])
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // HASHED)) + 1).tolist(), len(texts)]
+    return [s for a, b in zip(cuts, cuts[1:], strict=False) if b > a for s in _shingle_sets(texts[a:b], width)]
+
+
+def _shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     words = Words(texts, lower=True)
     hashes = words.windows(width)
     sets = []
@@ -144,11 +152,13 @@ def near_points(high: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[t
         levels.append(levels[-1].above())
     a, b = np.triu_indices(len(levels[-1].least))
     open_pairs = [(len(levels) - 1, a, b)]
+    most = max(1, CELLS // (FANOUT * FANOUT * high.shape[1]))
     while open_pairs:
         depth, a, b = open_pairs.pop()
-        if len(a) > OPEN:
-            open_pairs.append((depth, a[OPEN:], b[OPEN:]))
-            a, b = a[:OPEN], b[:OPEN]
+        at_once = most if depth else most * FANOUT * FANOUT
+        if len(a) > at_once:
+            open_pairs.append((depth, a[at_once:], b[at_once:]))
+            a, b = a[:at_once], b[:at_once]
         keep = levels[depth].may_link(a, b, percent) & ((a < b) if depth == 0 else True)
         a, b = a[keep], b[keep]
         if depth == 0:
