@@ -28,7 +28,7 @@ from promptloom.llm.common import BROADCAST_IDS, Words, mix, slices, text_bytes,
 FLOORS = {"length": 1.0, "word_length": 0.5, "symbols": 0.06, "upper": 0.08, "dup_lines": 0.15, "repeats": 0.15}
 D = len(FLOORS)
 #: Share of a group that an estimate rests on, concentration steps, and the quantile of rejection.
-SHARE, STEPS, FAR = 0.75, 6, 1 - 1e-7
+SHARE, STEPS, FAR = 0.75, 6, 0.997
 #: A smaller group is estimated with the others of its language; a smaller language with the rest.
 LEAST_GROUP = 60
 #: Bins of distances for each doubling.
