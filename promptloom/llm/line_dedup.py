@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from promptloom.llm.common import let, running_total, written
 
-#: A line of fewer words is left alone: such lines recur by chance and in lists.
+#: By default a line of fewer words is left alone; the registered query compares every line that has a word.
 LEAST_WORDS = 8
 
 
@@ -49,7 +49,8 @@ def dedup(
 
     ``separator`` is a pattern for a fixed string: ``\\n`` compares lines, ``\\n\\n`` paragraphs.
     ``spans`` lists the removed units as ``start:end`` in code points of the original text, end
-    exclusive, without the separator; the kept units are joined by it. Ids rank documents, null
+    exclusive, without the separator; the kept units are joined by it. Units of fewer than
+    ``least_words`` words are not compared and all stay; 1 compares all that have a word. Ids rank documents, null
     first; rows of the same id and text are one document, whose units are removed from each alike.
     Null and empty texts are empty, and have one empty unit. An empty table gives an empty one.
     """

@@ -44,7 +44,7 @@ def tokenizer(name: str) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), least_words=1)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operators on texts against brute force, and their edge cases."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -93,6 +94,28 @@ def test_lines_edge_cases(edge, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_query_compares_lines_of_every_length(spark, real):
+    norm = r"[\x20\x09-\x0D,.;:!?]*(?:[\x20\x09-\x0D]|$)[\x20\x09-\x0D]*"
+    seen, expected = set(), {}
+    for i, text in sorted(rows(real, "doc_id", "text")):
+        kept = []
+        for line in text.split("\n"):
+            key = re.sub(norm, " ", line.lower()).strip(" ")
+            if not key or key not in seen:
+                kept.append(line)
+            seen.add(key)
+        expected[i] = "\n".join(kept)
+    found = dict(rows(queries.op1_line_dedup(spark, SF), "doc_id", "text"))
+    assert found == expected
+    assert found != dict(rows(line_dedup.dedup(real), "doc_id", "text"))
+
+
+def test_short_lines_and_copies_of_them(spark):
+    docs = spark.createDataFrame([(1, "one\ntwo words\n\n"), (2, "One.\nTWO  words\n\n"), (3, "new\none")], "doc_id bigint, text string")
+    found = rows(line_dedup.dedup(docs, least_words=1), "doc_id", "text", "n_removed")
+    assert sorted(found) == [(1, "one\ntwo words\n\n", 0), (2, "\n", 2), (3, "new", 1)]
+
+
 def test_paragraphs(spark):
     docs = spark.createDataFrame([(1, f"{BASE}\n\nshort\n\n{BASE}")], "doc_id bigint, text string")
     assert rows(line_dedup.dedup(docs, separator="\n\n"), "text", "n_removed") == [(f"{BASE}\n\nshort", 1)]
