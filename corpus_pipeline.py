@@ -22,8 +22,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; one row of repeated ones."""
-    found = ngram_join.jaccard_components(docs)
+    """The document of smallest id of each group of near duplicates; one row of repeated ones.
+
+    Near duplicates share 80 % of their five-word shingles, or are linked by such documents.
+    """
+    found = ngram_join.jaccard_components(docs, width=5, percent=80)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     unnamed = docs.where("doc_id IS NULL")
     one = docs.join(kept, F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])

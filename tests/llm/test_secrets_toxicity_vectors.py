@@ -209,3 +209,25 @@ def test_pipeline_stages(spark):
     ids = {r.doc_id for r in kept.collect()}
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {r.doc_id for r in packed.collect()} == ids
+
+
+def shingles(text, width):
+    words = text.split()
+    return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)}
+
+
+def test_near_copies_between_the_limits_go(spark):
+    rng = np.random.default_rng(13)
+    texts = []
+    for changed in range(1, 9):
+        base = [f"w{i}" for i in rng.permutation(5000)[:100]]
+        # neighbouring changes break fewer five-word shingles for each four-word one
+        copy = ["other" if 40 <= k < 40 + changed else w for k, w in enumerate(base)]
+        texts += [" ".join(base), " ".join(copy)]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    alike = {w: [len(shingles(a, w) & shingles(b, w)) / len(shingles(a, w) | shingles(b, w)) for a, b in zip(texts[::2], texts[1::2], strict=True)] for w in (4, 5)}
+    between = [k for k, (four, five) in enumerate(zip(alike[4], alike[5], strict=True)) if five >= 0.8 and four < 0.85]
+    assert between and min(alike[5]) < 0.8
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, SF).collect()}
+    assert kept == {i for i in range(len(texts)) if i % 2 == 0 or alike[5][i // 2] < 0.8}
