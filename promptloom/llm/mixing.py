@@ -52,10 +52,13 @@ def _splitter(path: list[str], weights: dict[tuple, float]) -> Callable[[pd.Data
     def split(children: pd.DataFrame) -> pd.DataFrame:
         """Budgets of the children of one node, in an order that does not depend on that of the rows."""
         keys = [tuple(None if pd.isna(x) else x for x in row) for row in children[path].itertuples(index=False)]
-        weight = np.array([weights.get(k, r) for k, r in zip(keys, children["room"], strict=True)], dtype=float)
+        room = children["room"].to_numpy(float)
+        listed = float(sum(weights[k] for k in keys if k in weights))
+        # room is counted in tokens: beside listed siblings it is brought to the scale of their weights
+        scale = listed / room.sum() if listed > 0 and room.sum() > 0 else 1.0
+        weight = np.array([weights.get(k, r * scale) for k, r in zip(keys, room, strict=True)], dtype=float)
         order = sorted(range(len(keys)), key=lambda i: tuple((x is None, str(x)) for x in keys[i]))
         given = np.zeros(len(keys))
-        room = children["room"].to_numpy(float)
         given[order] = fill(float(children["above"].iloc[0]), weight[order], room[order])
         return children[path].assign(budget=given)
 
@@ -66,7 +69,8 @@ def budgets(leaves: DataFrame, weights: Mapping[tuple, float], total: float, lev
     """``leaves`` (levels, ``room``) with ``budget``: each level is split below its parent's node.
 
     ``weights`` maps paths, such as ``("web",)`` or ``("web", "en", None)``, to weights; a node
-    without one weighs as much as the room below it holds. One task gets the children of one node.
+    without one weighs its share of the room times the sum of its siblings' weights, or its room where
+    no sibling has one. One task gets the children of one node.
     """
     now: DataFrame | None = None
     for depth in range(1, len(levels) + 1):

@@ -428,3 +428,15 @@ def test_mixing_fills_siblings_before_ancestors(spark):
     by_lang = taken.groupby(["lang", "source"])["budget"].first().groupby("lang").sum()
     # English has 200 of its 500, German makes up for it, French gets no more than its half
     assert by_lang.round(6).to_dict() == {"en": 200.0, "de": 800.0, "fr": 1000.0}
+
+
+@pytest.mark.parametrize("unlisted", ["it", None])
+def test_unlisted_language_leaves_room_for_its_siblings(spark, unlisted):
+    made = [(i, "w " * 100, lang, "s") for i, lang in enumerate(["en"] * 50 + ["de"] * 17 + [unlisted] * 33)]
+    docs = spark.createDataFrame(made, "doc_id bigint, text string, lang string, source string")
+    weights = {("all",): 1.0, ("all", "en"): 0.55, ("all", "de"): 0.15}
+    taken = mixing.copies(docs, weights, most_epochs=2, total=5000.0).toPandas()
+    by_lang = {(None if lang is None or lang != lang else lang): b for lang, b in zip(taken["lang"], taken["budget"], strict=True)}
+    # 0.33 of the room, times the 0.7 of its siblings, beside these
+    parts = {"en": 0.55, "de": 0.15, unlisted: 0.33 * 0.7}
+    assert all(abs(by_lang[k] - 5000 * w / sum(parts.values())) < 1e-6 for k, w in parts.items())
