@@ -2,8 +2,9 @@
 
 Everything is a column expression: a text stays one row, its matches are arrays, and nothing runs
 in Python. Besides the patterns, every run of at least ``SHORTEST`` letters, digits and ``+/_-=`` that
-mixes letters with digits is a candidate. Its alphabet is inferred (hex, base 32, lower case,
-alphanumeric, base 64) and three statistics of its symbols are taken:
+mixes letters with digits is a candidate. Signs separate its parts or belong to base 64, whose other
+symbols are uniform without them, so they are taken out. The alphabet of the rest is inferred (hex,
+base 32, lower case, base 58, alphanumeric) and three statistics of its symbols are taken:
 
 * chi-squared against a uniform alphabet, which counts how many pairs of symbols are equal;
 * runs: how often letters and digits alternate;
@@ -49,10 +50,11 @@ _ALPHABETS = (
     (r"^[0-9a-f]+$", "0123456789abcdef"),
     (r"^[0-9A-F]+$", "0123456789ABCDEF"),
     (r"^[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
+    (r"^[a-z2-7]+$", "abcdefghijklmnopqrstuvwxyz234567"),
     (r"^[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz"),
     (r"^[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-    (r"^[A-Za-z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
-    (r"", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_-="),
+    (r"^[1-9A-HJ-NP-Za-km-z]+$", "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"),
+    (r"", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
 )
 SPANS = "array<struct<start:bigint,end:bigint,kind:int,text:string,value:string>>"
 
@@ -117,9 +119,19 @@ def _poisson_from(k: Column, mean: Column) -> Column:
 
 def log_probability(candidate: Column) -> Column:
     """Logarithm of the chance that ordinary text looks as random; null for what cannot be random."""
-    alphabet = reduce(
-        lambda rest, a: F.when(candidate.rlike(a[0]), F.lit(a[1])).otherwise(rest), reversed(_ALPHABETS[:-1]), F.lit(_ALPHABETS[-1][1])
-    )
+
+    def alphabet(plain: Column) -> Column:
+        return reduce(
+            lambda rest, a: F.when(plain.rlike(a[0]), F.lit(a[1])).otherwise(rest), reversed(_ALPHABETS[:-1]), F.lit(_ALPHABETS[-1][1])
+        )
+
+    def uneven(equal: Column, n: Column) -> Column:
+        # pairs of equal symbols are chi-squared up to a linear map
+        pairs = n * (n - 1) / 2
+        return (equal - pairs * TEXT_COLLISION) / (F.sqrt(pairs * TEXT_COLLISION * (1 - TEXT_COLLISION)) * 1.2)
+
+    signs = [F.length(candidate) - F.length(F.replace(candidate, F.lit(x), F.lit(""))) for x in "+/_-="]
+    equal_signs = reduce(lambda a, b: a + b, [(x * (x - 1) / 2).cast("double") for x in signs])
 
     def tests(symbols: Column, letters: Column, k: Column) -> Column:
         n = F.size(symbols).cast("double")
@@ -129,11 +141,7 @@ def log_probability(candidate: Column) -> Column:
         )
         zero = F.lit(0.0)
         equal = F.aggregate(counts, zero, lambda s, c: s + c * (c - 1) / 2)
-        # pairs of equal symbols are chi-squared up to a linear map
-        text_sd = F.sqrt(pairs * TEXT_COLLISION * (1 - TEXT_COLLISION)) * 1.2
-        uneven = (equal - pairs * TEXT_COLLISION) / text_sd
         random_sd = F.sqrt(pairs / k * (1 - 1 / k))
-        too_uneven = (equal - pairs / k) / random_sd
 
         nexts = F.slice(symbols, 2, F.size(symbols) - 1)
         changes = F.aggregate(
@@ -141,30 +149,41 @@ def log_probability(candidate: Column) -> Column:
             zero,
             lambda s, x: s + x,
         )
-        mean = F.aggregate(symbols, zero, lambda s, x: s + x) / n
-        spread = F.aggregate(symbols, zero, lambda s, x: s + (x - mean) * (x - mean))
-        joint = F.aggregate(
-            F.zip_with(F.slice(symbols, 1, F.size(symbols) - 1), nexts, lambda a, b: (a - mean) * (b - mean)),
-            zero,
-            lambda s, x: s + x,
-        )
-        serial = F.when(spread > 0, joint / spread * F.sqrt(n)).otherwise(F.lit(99.0))
+        mean_of = F.aggregate(symbols, zero, lambda s, x: s + x) / n
+
+        def judged(equal: Column, mean: Column) -> Column:
+            too_uneven = (equal - pairs / k) / random_sd
+            spread = F.aggregate(symbols, zero, lambda s, x: s + (x - mean) * (x - mean))
+            joint = F.aggregate(
+                F.zip_with(F.slice(symbols, 1, F.size(symbols) - 1), nexts, lambda a, b: (a - mean) * (b - mean)),
+                zero,
+                lambda s, x: s + x,
+            )
+            serial = F.when(spread > 0, joint / spread * F.sqrt(n)).otherwise(F.lit(99.0))
+
+            # words keep to text with the signs between them, if not without
+            evenness = F.greatest(uneven(equal, n), uneven(equal + equal_signs, F.length(candidate).cast("double")))
+            p_uneven = F.greatest(_normal_below(evenness), F.lit(1e-12))
+            p_runs = F.greatest(_poisson_from(changes, n * TEXT_CHANGES), F.lit(1e-12))
+            fisher = -(F.log(p_uneven) + F.log(p_runs))
+            # survival of chi-squared with four degrees of freedom at twice this sum
+            return F.when((too_uneven < GIVE_UP) & (F.abs(serial) < GIVE_UP), F.log(F.lit(1.0) + fisher) - fisher)
 
-        p_uneven = F.greatest(_normal_below(uneven), F.lit(1e-12))
-        p_runs = F.greatest(_poisson_from(changes, n * TEXT_CHANGES), F.lit(1e-12))
-        fisher = -(F.log(p_uneven) + F.log(p_runs))
-        # survival of chi-squared with four degrees of freedom at twice this sum
-        return F.when((too_uneven < GIVE_UP) & (F.abs(serial) < GIVE_UP), F.log(F.lit(1.0) + fisher) - fisher)
+        # bound once: within the lambdas they would be counted anew for every symbol
+        return let(F.struct(equal.alias("equal"), mean_of.alias("mean")), lambda m: judged(m["equal"], m["mean"]))
 
     return let(
-        F.struct(F.split(candidate, "").alias("c"), alphabet.alias("a")),
-        lambda s: let(
-            F.struct(
-                F.transform(F.filter(s["c"], lambda x: x != ""), lambda x: F.instr(s["a"], x).cast("double")).alias("symbols"),
-                F.transform(F.filter(s["c"], lambda x: x != ""), lambda x: x.rlike("[0-9]")).alias("letters"),
-                F.length(s["a"]).cast("double").alias("k"),
+        F.regexp_replace(candidate, "[^A-Za-z0-9]+", ""),
+        lambda plain: let(
+            F.struct(F.split(plain, "").alias("c"), alphabet(plain).alias("a")),
+            lambda s: let(
+                F.struct(
+                    F.transform(F.filter(s["c"], lambda x: x != ""), lambda x: F.instr(s["a"], x).cast("double")).alias("symbols"),
+                    F.transform(F.filter(s["c"], lambda x: x != ""), lambda x: x.rlike("[0-9]")).alias("letters"),
+                    F.length(s["a"]).cast("double").alias("k"),
+                ),
+                lambda t: tests(t["symbols"], t["letters"], t["k"]),
             ),
-            lambda t: tests(t["symbols"], t["letters"], t["k"]),
         ),
     )
 

@@ -65,6 +65,32 @@ def test_battery_finds_random_strings_and_leaves_words(spark):
     assert not [i for i in hits if i >= len(keys)]
 
 
+def test_battery_finds_long_and_separated_random_strings(spark):
+    rng = np.random.default_rng(17)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+    def drawn(symbols, n):
+        return "".join(rng.choice(list(symbols), n))
+
+    def parts(symbols, *sizes):
+        return "-".join(drawn(symbols, n) for n in sizes)
+
+    kinds = {
+        "base64": [drawn(alnum + "+/", n) for n in range(1000, 4001, 300)],
+        "base64url": [drawn(alnum + "-_", n) for n in range(1000, 4001, 300)],
+        "hyphenated hex": [parts("0123456789abcdef", 8, 4, 4, 4, 12) for _ in range(30)],
+        "lower case with one sign": [parts("abcdefghijklmnopqrstuvwxyz0123456789", 50, n) for n in range(14, 50)],
+    }
+    strings = [(kind, k) for kind, keys in kinds.items() for k in keys]
+    plain = ["how-to-build-2-apps-in-2024-with-friends", "src/main/java/report2024/finalversion", "chapter-1-introduction-to-the-history"]
+    rows = [(i, f"see {k} here") for i, (_, k) in enumerate(strings + [("", p) for p in plain])]
+    found = secret_scan.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    hits = {r.doc_id for r in found if "random" in r.spans}
+    by_kind = Counter(kind for i, (kind, _) in enumerate(strings) if i in hits)
+    assert all(by_kind[kind] >= 0.9 * len(keys) for kind, keys in kinds.items()), by_kind
+    assert not [i for i in hits if i >= len(strings)]
+
+
 def test_redaction_covers_every_span(spark):
     docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(TEXTS)], "doc_id bigint, text string, _found int")
     clean = {r.doc_id: r.text for r in secret_scan.redact(docs.drop("_found")).collect()}
@@ -221,8 +247,8 @@ def test_near_copies_between_the_limits_go(spark):
     texts = []
     for changed in range(1, 9):
         base = [f"w{i}" for i in rng.permutation(5000)[:100]]
-        # neighbouring changes break fewer five-word shingles for each four-word one
-        copy = ["other" if 40 <= k < 40 + changed else w for k, w in enumerate(base)]
+        # changes of neighbouring words break hardly more five-word shingles than four-word ones
+        copy = [f"new{k}" if 40 <= k < 40 + changed else w for k, w in enumerate(base)]
         texts += [" ".join(base), " ".join(copy)]
     docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     alike = {w: [len(shingles(a, w) & shingles(b, w)) / len(shingles(a, w) | shingles(b, w)) for a, b in zip(texts[::2], texts[1::2], strict=True)] for w in (4, 5)}
