@@ -22,15 +22,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; one row of repeated ones.
+    """The row of smallest id, then digest of the text, of each group of near duplicates; rows without id all stay.
 
-    Near duplicates share 80 % of their five-word shingles, or are linked by such documents.
+    Near duplicates share 80 % of their five-word shingles, or are linked by such documents. Rows of
+    the same id are compared by their texts like any others; of those equal in both the smallest row,
+    by the columns in their order, stays.
     """
-    found = ngram_join.jaccard_components(docs, width=5, percent=80)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    unnamed = docs.where("doc_id IS NULL")
-    one = docs.join(kept, F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
-    return one.unionByName(unnamed)
+    # a row goes by the digest of its id and text, so that ids that several texts share stay apart
+    named = docs.where("doc_id IS NOT NULL").withColumn("_row", F.xxhash64("doc_id", "text"))
+    found = ngram_join.jaccard_components(named, width=5, percent=80, id_col="_row")
+    groups = found.select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group")).distinct()
+    places = named.select("doc_id", "_row", F.xxhash64(F.lit("second"), F.col("text")).alias("_text"))
+    first = F.min(F.struct("doc_id", "_text", "_row"))
+    kept = places.join(groups, F.col("_row") == F.col("_key")).groupBy("_group").agg(first["_row"].alias("_kept"))
+    one = named.join(kept.select("_kept"), F.col("_row") == F.col("_kept")).groupBy("_row")
+    one = one.agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return one.unionByName(docs.where("doc_id IS NULL"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

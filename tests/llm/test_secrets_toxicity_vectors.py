@@ -257,3 +257,12 @@ def test_near_copies_between_the_limits_go(spark):
     df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, df, SF).collect()}
     assert kept == {i for i in range(len(texts)) if i % 2 == 0 or alike[5][i // 2] < 0.8}
+
+
+def test_different_texts_that_share_an_id_stay(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, "en"), (2, a + " more", "en"), (2, b, "en"), (2, b, "de"), (2, None, "en"), (None, a, "en"), (3, c, "en"), (3, "", "en")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(5)
+    kept = [tuple(r) for r in corpus_pipeline.keep_one_of_each_group(spark, df, SF).collect()]
+    gone = [(2, a + " more", "en"), (2, b, "en")]
+    assert sorted(kept, key=str) == sorted([r for r in rows if r not in gone], key=str)
