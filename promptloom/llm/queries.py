@@ -8,16 +8,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promptloom.llm import (
+    hard_negatives,
     line_dedup,
     mixing,
     ngram_join,
     packing,
+    pruned_graph,
     quality_rules,
     secret_scan,
     suffix_dedup,
     token_counts,
     toxicity,
     vector_filters,
+    whitening,
 )
 from promptloom.llm.common import table
 
@@ -85,6 +88,23 @@ def op10_vector_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest of every hundredth vector among all others, by Euclidean distance."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return pruned_graph.search(pruned_graph.build(vectors), vectors.where("vec_id % 100 = 0"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 leading whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector; the label of every seventh is moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", moved), "vec_id % 50 = 0")
+
+
 REGISTERED: tuple[Query, ...] = (
     op1_line_dedup,
     op2_secret_scan,
@@ -96,6 +116,9 @@ REGISTERED: tuple[Query, ...] = (
     op8_token_counts,
     op9_packing,
     op10_vector_filters,
+    op11_graph_search,
+    op12_whitening,
+    op13_hard_negatives,
 )
 
 
@@ -150,7 +173,20 @@ _VECTORS = f"""WITH RECURSIVE ids AS (SELECT vec_id FROM embeddings),
   SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
   FROM ids LEFT JOIN n USING (vec_id) JOIN least USING (vec_id)"""
 
+_NEGATIVES = """WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+  SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, s.vec_id) AS INTEGER) AS rank,
+    s.vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+  QUALIFY rank <= 3"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL; what is missing is tested against brute force, exact round trips or held-out rows."""
-    return {"op1_line_dedup": _LINES, "op6_ngram_join": _JOIN, "op10_vector_filters": _VECTORS}
+    return {"op1_line_dedup": _LINES, "op6_ngram_join": _JOIN, "op10_vector_filters": _VECTORS, "op13_hard_negatives": _NEGATIVES}
