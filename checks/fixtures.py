@@ -156,6 +156,31 @@ FIXTURES: dict[str, list[tuple[str, list[str]]]] = {
         )
     ],
     "plans": [("documents", ["doc_id AS run_id", f"{_PLAN} AS raw", "text AS requirements"])],
+    "replies": [
+        (
+            "documents",
+            [
+                "CASE WHEN doc_id % 19 = 5 THEN -doc_id ELSE doc_id END AS run_id",
+                f"{_PLAN} AS text",
+                "CASE WHEN doc_id % 17 = 3 THEN 'down' END AS error",
+                "n_chars % 301 AS input_tokens",
+                "CASE WHEN doc_id % 7 <> 0 THEN n_chars % 97 END AS output_tokens",
+            ],
+        )
+    ],
+    "task_responses": [
+        (
+            "documents",
+            [
+                "CASE WHEN doc_id % 13 = 7 THEN -1 ELSE CAST(floor(doc_id / 5) AS BIGINT) END AS run_id",
+                "CASE WHEN doc_id % 13 = 7 THEN doc_id ELSE doc_id % 5 END AS position",
+                "concat('code ', doc_id, ' ', lang) AS text",
+                "CASE WHEN doc_id % 11 = 4 THEN 'boom' END AS error",
+                "(doc_id * 37) % 1009 AS input_tokens",
+                "CASE WHEN doc_id % 13 <> 0 THEN (doc_id * 71) % 997 END AS output_tokens",
+            ],
+        )
+    ],
     "chunks": [("events", ["user_id AS call_id", "event_id AS seq", f"{_CHUNK} AS chunk"])],
     "local_lines": [("events", ["user_id AS call_id", "event_id AS seq", f"{_LOCAL_LINE} AS line"])],
     "frames": [("events", ["user_id AS run_id", "event_id AS seq", f"{_FRAME_LINE} AS line"])],

@@ -16,7 +16,7 @@ from promptloom.functions.intent import intent_question, strong_intent
 from promptloom.functions.models import default_pricing, resolve_provider, short_model
 from promptloom.functions.responses import cloud_fields, data_frame, finish_frame, text_frame
 from promptloom.operators import compression, conversation, inference, intent, ledger, logs, planning, run_state
-from promptloom.plans import generate
+from promptloom.plans import generate, pipeline
 from promptloom.session import new_folder
 from promptloom.sources.tables import display_rows, read_table, request_messages, spread
 from promptloom.streaming import jobs
@@ -305,16 +305,17 @@ def run_report(spark, sf_dir):
     return generate.run_report(_tables(spark, sf_dir, LOCAL))
 
 
-def run_events(spark, sf_dir):
-    events = generate.run_events(_tables(spark, sf_dir, CLOUD))
-    planned = "array<struct<id:bigint,title:string,estimatedTokens:bigint,model:string,status:string>>"
-    used = "array<struct<id:bigint,title:string,model:string,inputTokens:bigint,outputTokens:bigint>>"
+def _event_fields(events, *keys, id_type="bigint"):
+    """Events with the fields of their payloads as comparable columns."""
+    planned = f"array<struct<id:{id_type},title:string,estimatedTokens:bigint,model:string,status:string>>"
+    used = f"array<struct<id:{id_type},title:string,model:string,inputTokens:bigint,outputTokens:bigint>>"
     body = F.from_json(
         "payload",
         "struct<id:string,title:string,status:string,model:string,baselineModel:string,message:string,"
         "totalEstimatedTokens:bigint,realTotalTokens:bigint,savingsVsSingleCall:bigint,"
         "realInputTokens:bigint,realOutputTokens:bigint,realCostUnits:double,realTotalCostUsd:double,"
         "totalSavingUsd:double,savingsVsSingleCallPct:double,savingsPct:double,subtaskCount:bigint,"
+        "compressedPrompt:string,original:string,mode:string,"
         f"subtasks:{planned},perSubtask:{used}>",
     )
 
@@ -324,9 +325,7 @@ def run_events(spark, sf_dir):
         )
 
     return events.withColumn("b", body).select(
-        "run_id",
-        "stage",
-        "position",
+        *keys,
         "event",
         "b.id",
         "b.title",
@@ -345,9 +344,38 @@ def run_events(spark, sf_dir):
             listed("b.subtasks", "id", "title", "estimatedTokens", "model", "status"),
             listed("b.perSubtask", "id", "title", "model", "inputTokens", "outputTokens"),
         ).alias("listed"),
+        F.coalesce("b.compressedPrompt", "b.original", "b.mode").alias("text"),
+    )
+
+
+def run_events(spark, sf_dir):
+    events = generate.run_events(_tables(spark, sf_dir, CLOUD))
+    return _event_fields(events, "run_id", "stage", "position").drop("text")
+
+
+def _run_log(spark, sf_dir, pricing):
+    return pipeline.run_log(
+        log(spark, sf_dir, "turns"),
+        _answers(spark, sf_dir),
+        fixture(spark, sf_dir, "replies"),
+        fixture(spark, sf_dir, "task_responses"),
+        pricing,
     )
 
 
+def run_pipeline(spark, sf_dir):
+    return pipeline.run_rows(_run_log(spark, sf_dir, CLOUD))
+
+
+def run_pipeline_events(spark, sf_dir):
+    return _event_fields(pipeline.event_rows(_run_log(spark, sf_dir, CLOUD)), "run_id", "seq", id_type="string")
+
+
+def run_pipeline_text(spark, sf_dir):
+    """What a reader of a run's frames puts together again."""
+    return logs.run_text(pipeline.run_frames(_run_log(spark, sf_dir, LOCAL)))
+
+
 def _answers(spark, sf_dir):
     turns = read_table(spark, f"{sf_dir}/conversations.parquet")
     answer = F.expr("CASE count(*) % 2 WHEN 0 THEN 'perform it' ELSE 'hm' END")
@@ -613,7 +641,7 @@ REGISTERED: tuple[Query, ...] = (
     intent_strong, intent_model_join, classify_intent, prompt_templates,
     model_labels, parse_plan, route_subtasks, price_lookup, plan_savings, subtask_outcome,
     assemble_output, usage_ledger, usage_per_subtask, usage_perform, savings_breakdown,
-    usage_shares, savings_shares, fmt_usd, run_report, run_events, generate_requests,
+    usage_shares, savings_shares, fmt_usd, run_report, run_events, run_pipeline, run_pipeline_events, run_pipeline_text, generate_requests,
     generate_events,
     request_payloads, chat_requests, infer_table, local_usage, local_stream_tokens, cloud_tokens, usage_extract,
     call_fold, call_finish, frame_decode, frame_text, frame_encode, chunk16, run_state_report,

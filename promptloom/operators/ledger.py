@@ -157,12 +157,13 @@ def savings_breakdown(totals: DataFrame, pricing: Pricing) -> DataFrame:
     return _priced(totals, pricing).select("run_id", *_breakdown_fields(pricing))
 
 
-def run_report(totals: DataFrame, pricing: Pricing) -> DataFrame:
-    """One row per run: plan totals, real usage and savings, in one projection."""
+def run_report(totals: DataFrame, pricing: Pricing, *keep: str) -> DataFrame:
+    """One row per run: plan totals, real usage and savings, in one projection; ``keep`` names further columns."""
     plan = {"total_estimated_tokens": None, "savings_token_equiv": None, "savings_pct": "plan_savings_pct"}
     priced = _priced(totals, pricing).withColumn("_plan", F.struct(*_saving_fields(pricing)))
     return priced.select(
         "run_id",
+        *keep,
         "subtask_count",
         *[F.col(f"_plan.{n}").alias(alias or n) for n, alias in plan.items()],
         *_ledger_fields(),

@@ -32,80 +32,70 @@ def _unusable_number(item: Column, name: str) -> Column:
     return _field(item, name, "string").isNotNull() & _field(item, name, "bigint").isNull()
 
 
-def parse_plan(plans: DataFrame, raw: str = "raw", requirements: str = "requirements") -> DataFrame:
-    """Subtask rows ``(run_id, plan_status, id, title, prompt, estimated_tokens)`` of plan texts.
+_SUBTASKS = "array<struct<id:string,title:string,prompt:string,estimated_tokens:bigint>>"
 
-    ``ok``: a JSON array of objects, absent fields (or null ones) filled with defaults; an empty
-    array gives no rows. ``fallback``: not JSON, one subtask for everything. ``error``: JSON of
-    another shape, or an estimate that is no number; one row without subtask fields. Ids are text,
-    since a model may write them as either.
-    """
-    parsed = plans.select(
-        "run_id", F.col(requirements).alias("requirements"), strip_fences(raw).alias("_text")
-    ).select(
-        "run_id",
-        "requirements",
-        let(
-            F.try_parse_json("_text"),
+
+def plan_struct(raw: Column | str, requirements: Column | str) -> Column:
+    """``struct<status, subtasks>`` of a plan text; see :func:`parse_plan` for both."""
+    whole = as_column(requirements)
+
+    def parsed(text: Column) -> Column:
+        return let(
+            F.try_parse_json(text),
             lambda v: F.struct(
-                F.get(json_elements("_text"), F.lit(0)).isNotNull().alias("valid"),
+                F.get(json_elements(text), F.lit(0)).isNotNull().alias("valid"),
                 F.when(
                     F.startswith(F.schema_of_variant(v), F.lit("ARRAY")),
                     F.try_variant_get(v, "$", _ITEMS),
                 ).alias("items"),
             ),
-        ).alias("_p"),
-    )
-    items = F.col("_p.items")
-    bad_item = F.exists(
-        items,
-        lambda item: F.coalesce(
-            ~_is_object(item)
-            | _unusable_number(item, "estimated_tokens"),
-            F.lit(True),
-        ),
-    )
-    status = (
-        F.when(~F.col("_p.valid"), "fallback")
-        .when(items.isNull() | bad_item, "error")
-        .otherwise(F.lit("ok"))
-    )
+        )
+
+    def unusable(item: Column) -> Column:
+        return F.coalesce(~_is_object(item) | _unusable_number(item, "estimated_tokens"), F.lit(True))
 
     def subtask(item: Column, i: Column) -> Column:
+        number = (i + 1).cast("string")
+        estimate = F.coalesce(_field(item, "estimated_tokens", "bigint"), F.lit(V.DEFAULT_ESTIMATED_TOKENS))
         return F.struct(
-            F.coalesce(_field(item, "id", "string"), (i + 1).cast("string")).alias("id"),
-            F.coalesce(
-                _field(item, "title", "string"), F.concat(F.lit("Subtask "), (i + 1).cast("string"))
-            ).alias("title"),
-            F.coalesce(_field(item, "prompt", "string"), F.col("requirements")).alias("prompt"),
-            F.coalesce(
-                _field(item, "estimated_tokens", "bigint"), F.lit(V.DEFAULT_ESTIMATED_TOKENS)
-            )
-            .cast("bigint")
-            .alias("estimated_tokens"),
+            F.coalesce(_field(item, "id", "string"), number).alias("id"),
+            F.coalesce(_field(item, "title", "string"), F.concat(F.lit("Subtask "), number)).alias("title"),
+            F.coalesce(_field(item, "prompt", "string"), whole).alias("prompt"),
+            estimate.cast("bigint").alias("estimated_tokens"),
         )
 
-    shape = "array<struct<id:string,title:string,prompt:string,estimated_tokens:bigint>>"
-    fallback = F.array(
-        F.struct(
-            F.lit("1").alias("id"),
-            F.lit(V.FALLBACK_TITLE).alias("title"),
-            F.col("requirements").alias("prompt"),
-            F.lit(V.FALLBACK_ESTIMATED_TOKENS).cast("bigint").alias("estimated_tokens"),
+    fallback = F.struct(
+        F.lit("1").alias("id"),
+        F.lit(V.FALLBACK_TITLE).alias("title"),
+        whole.alias("prompt"),
+        F.lit(V.FALLBACK_ESTIMATED_TOKENS).cast("bigint").alias("estimated_tokens"),
+    )
+
+    def read(p: Column) -> Column:
+        bad = p["items"].isNull() | F.exists(p["items"], unusable)
+        return F.struct(
+            F.when(~p["valid"], "fallback").when(bad, "error").otherwise(F.lit("ok")).alias("status"),
+            F.when(~p["valid"], F.array(fallback).cast(_SUBTASKS))
+            .when(~bad, F.transform(p["items"], subtask).cast(_SUBTASKS))
+            .alias("subtasks"),
         )
-    ).cast(shape)
-    no_fields = F.array(F.lit(None)).cast(shape)
+
+    return let(strip_fences(raw), lambda text: let(parsed(text), read))
+
+
+def parse_plan(plans: DataFrame, raw: str = "raw", requirements: str = "requirements") -> DataFrame:
+    """Subtask rows ``(run_id, plan_status, id, title, prompt, estimated_tokens)`` of plan texts.
+
+    ``ok``: a JSON array of objects, absent fields (or null ones) filled with defaults; an empty
+    array gives no rows. ``fallback``: not JSON, one subtask for everything. ``error``: JSON of
+    another shape, or an estimate that is no number; one row without subtask fields. Ids are text,
+    since a model may write them as either.
+    """
+    no_fields = F.array(F.lit(None)).cast(_SUBTASKS)
+    subtasks = F.coalesce("_p.subtasks", no_fields)
     return (
-        parsed.withColumn("plan_status", status)
-        .select(
-            "run_id",
-            "plan_status",
-            F.posexplode(
-                F.when(F.col("plan_status") == "fallback", fallback)
-                .when(F.col("plan_status") == "error", no_fields)
-                .otherwise(F.transform(items, subtask).cast(shape))
-            ).alias("position", "_s"),
-        )
+        plans.select("run_id", plan_struct(raw, requirements).alias("_p"))
+        .select("run_id", F.col("_p.status").alias("plan_status"), F.posexplode(subtasks).alias("position", "_s"))
         .select("run_id", "plan_status", "position", "_s.*")
     )
 
