@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks.fixtures import decomposition, fixture, fixture_stream
@@ -19,7 +20,7 @@ from promptloom.operators import compression, conversation, inference, intent, l
 from promptloom.plans import generate, pipeline
 from promptloom.session import new_folder
 from promptloom.sources.tables import display_rows, read_table, request_messages, spread
-from promptloom.streaming import jobs
+from promptloom.streaming import jobs, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -600,9 +601,9 @@ def run_state_subtasks(spark, sf_dir):
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's shared folder; a temporary one on a local master only."""
-    local = spark.sparkContext.master.startswith("local")
-    return new_folder(spark, name, tempfile.mkdtemp(prefix="promptloom-") if local else None)
+    """A new folder below the cluster's shared folder; only one local process may go without that setting."""
+    alone = spark.sparkContext.master.split("[")[0] == "local"
+    return new_folder(spark, name, os.path.join(tempfile.gettempdir(), "promptloom") if alone else None)
 
 
 def stream_compress(spark, sf_dir):
@@ -633,6 +634,47 @@ def stream_phase_complete(spark, sf_dir):
     return jobs.drain(stream, _folder(spark, "phase"), ["conv_id"])
 
 
+def _timed(stream: DataFrame, order: str) -> DataFrame:
+    """The stream with an event time that follows a column."""
+    return stream.withColumn("ts", F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col(order).cast("int")))
+
+
+def stream_run_state_timed(spark, sf_dir):
+    stream = _timed(fixture_stream(spark, sf_dir, "frames"), "seq")
+    changes = keyed.run_state_stream(stream, "ts", "10 minutes", "1 minute")
+    rows = jobs.drain(changes, _folder(spark, "timed"), [], "append", keyed=True)
+    return run_state.run_report(keyed.latest_run_events(rows))
+
+
+def stream_completion_timed(spark, sf_dir):
+    changes = keyed.completion_stream(_timed(fixture_stream(spark, sf_dir, "turns"), "turn"), "ts", "10 minutes", "1 minute")
+    return keyed.completion_rows(jobs.drain(changes, _folder(spark, "completion"), [], "append", keyed=True))
+
+
+def _chunks(spark, sf_dir):
+    """Frame lines of every run as text chunks that are cut inside the lines, numbered by run."""
+    nth = F.row_number().over(Window.partitionBy("run_id").orderBy("seq")).cast("bigint") - 1
+    cut = F.col("seq").cast("int") % 7
+    pieces = F.array(F.substr("line", F.lit(1), cut), F.concat(F.substr("line", cut + 1), F.lit("\n")))
+    numbered = fixture(spark, sf_dir, "frames").withColumn("nth", nth)
+    return numbered.select("run_id", "nth", F.posexplode(pieces).alias("piece", "data")).select(
+        "run_id", (F.col("nth") * 2 + F.col("piece")).alias("part"), "data"
+    )
+
+
+def frame_lines(spark, sf_dir):
+    return logs.decode_frames(keyed.lines_of_chunks(_chunks(spark, sf_dir)))
+
+
+def stream_frame_lines(spark, sf_dir):
+    """Chunks that arrive in several files, dealt out of order."""
+    path = _folder(spark, "chunks")
+    _chunks(spark, sf_dir).withColumn("data", F.encode("data", "utf-8")).repartition(3, F.hash("part")).write.parquet(path)
+    arriving = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    lines = keyed.line_stream(_timed(arriving, "part"), "ts", "1 day", "1 minute")
+    return logs.decode_frames(jobs.drain(lines, _folder(spark, "lines"), [], "append", keyed=True))
+
+
 REGISTERED: tuple[Query, ...] = (
     word_count, tokenize, score_tokens, key_boost, custom_scorer, keep_threshold, tag_tokens,
     reconstruct, compression_stats, compress_prompt, compress_detailed, compression_diff,
@@ -646,7 +688,7 @@ REGISTERED: tuple[Query, ...] = (
     request_payloads, chat_requests, infer_table, local_usage, local_stream_tokens, cloud_tokens, usage_extract,
     call_fold, call_finish, frame_decode, frame_text, frame_encode, chunk16, run_state_report,
     run_state_subtasks, run_state_diff, run_state_usage, stream_compress, stream_call_usage, stream_call_text, stream_run_state,
-    stream_phase_complete,
+    stream_phase_complete, stream_run_state_timed, stream_completion_timed, frame_lines, stream_frame_lines,
 )
 
 _KEYS = {"model_labels": "short_model", "run_state_report": "run_state"}

@@ -88,12 +88,13 @@ def extract_requirements(turns: DataFrame, attach: DataFrame | None = None) -> D
     )
 
 
-def completion_flags(turns: DataFrame) -> DataFrame:
-    """Per-turn flags that :func:`phase_complete` reduces; also used on streams."""
+def completion_flags(turns: DataFrame, *more: str) -> DataFrame:
+    """Per-turn flags that :func:`phase_complete` reduces; also used on streams. ``more`` columns are kept."""
     is_user = F.col("role") == "user"
     is_reply = F.col("role") == "assistant"
     return turns.select(
         "conv_id",
+        *more,
         F.when(is_user, F.col("turn")).alias("user_turn"),
         F.when(is_user, asks_to_proceed("text")).alias("proceed"),
         F.when(is_reply, F.col("turn")).alias("reply_turn"),

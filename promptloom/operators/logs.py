@@ -110,14 +110,15 @@ def finish_lines(folded: DataFrame) -> DataFrame:
     return folded.select("call_id", finish_frame("stop", F.col("n_tokens")).alias("line"))
 
 
-def decode_frames(lines: DataFrame) -> DataFrame:
-    """Text and data frames ``(run_id, seq, kind, text, payload)``; other lines are ignored."""
+def decode_frames(lines: DataFrame, *more: str) -> DataFrame:
+    """Text and data frames ``(run_id, seq, kind, text, payload)``; other lines are ignored. ``more`` columns are kept."""
     decoded = lines.select(
-        "run_id", "seq", frame_kind("line").alias("kind"), F.explode(frame_values("line")).alias("value")
+        "run_id", "seq", *more, frame_kind("line").alias("kind"), F.explode(frame_values("line")).alias("value")
     )
     return decoded.select(
         "run_id",
         "seq",
+        *more,
         "kind",
         F.when(F.col("kind") == "text", F.col("value")).alias("text"),
         F.when(F.col("kind") == "data", F.col("value")).alias("payload"),

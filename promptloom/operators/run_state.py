@@ -22,9 +22,9 @@ STATE_EVENTS = (
 )
 
 
-def data_events(lines: DataFrame) -> DataFrame:
-    """Events ``(run_id, seq, event, subtask_id, status, payload)`` of a run's frame lines."""
-    decoded = decode_frames(lines.filter(frame_kind("line") == "data"))
+def data_events(lines: DataFrame, *more: str) -> DataFrame:
+    """Events ``(run_id, seq, event, subtask_id, status, payload)`` of a run's frame lines; ``more`` columns are kept."""
+    decoded = decode_frames(lines.filter(frame_kind("line") == "data"), *more)
     head = F.from_json("payload", "struct<event:string,id:string,status:string>")
     events = rows_where(
         decoded,
@@ -34,6 +34,7 @@ def data_events(lines: DataFrame) -> DataFrame:
         "run_id",
         "seq",
         "payload",
+        *more,
     )
     is_update = F.col("_h.event") == "subtask_update"
     return events.select(
@@ -43,6 +44,7 @@ def data_events(lines: DataFrame) -> DataFrame:
         F.when(is_update, F.col("_h.id")).alias("subtask_id"),
         F.when(is_update, F.col("_h.status")).alias("status"),
         "payload",
+        *more,
     )
 
 

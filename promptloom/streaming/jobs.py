@@ -80,24 +80,39 @@ def phase_complete_stream(turns: DataFrame) -> DataFrame:
     return with_complete(flags.groupBy("conv_id").agg(*completion_aggregates()))
 
 
+#: State store of the stateful operators of :mod:`promptloom.streaming.keyed`.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_KEYED_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def run_to_table(
-    stream: DataFrame, path: str, checkpoint: str, output_mode: str = "update"
+    stream: DataFrame, path: str, checkpoint: str, output_mode: str = "update", keyed: bool = False
 ) -> StreamingQuery:
     """Start a stream that writes every micro-batch's changed rows below ``path``.
 
-    A replayed batch overwrites its own folder, so results are exactly-once.
+    A replayed batch overwrites its own folder, so results are exactly-once. ``keyed`` starts the query
+    with the state store that the operators of ``streaming.keyed`` need; the session's own is left
+    as it is, as a query keeps the settings it was started with.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return (
-        stream.writeStream.foreachBatch(write)
-        .outputMode(output_mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    conf = stream.sparkSession.conf
+    before = conf.get(_STORE, None)
+    try:
+        if keyed:
+            conf.set(_STORE, _KEYED_STORE)
+        return (
+            stream.writeStream.foreachBatch(write)
+            .outputMode(output_mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+        )
+    finally:
+        if keyed:
+            conf.unset(_STORE) if before is None else conf.set(_STORE, before)
 
 
 def latest_rows(spark: SparkSession, path: str, keys: list[str], schema: StructType) -> DataFrame:
@@ -111,9 +126,11 @@ def latest_rows(spark: SparkSession, path: str, keys: list[str], schema: StructT
     return written.join(newest, same, "left_semi").drop("batch_id")
 
 
-def drain(stream: DataFrame, folder: str, keys: list[str], output_mode: str = "update") -> DataFrame:
+def drain(
+    stream: DataFrame, folder: str, keys: list[str], output_mode: str = "update", keyed: bool = False
+) -> DataFrame:
     """Run a stream over everything that has arrived and return its current rows."""
     spark = stream.sparkSession
-    query = run_to_table(stream, f"{folder}/rows", f"{folder}/checkpoint", output_mode)
+    query = run_to_table(stream, f"{folder}/rows", f"{folder}/checkpoint", output_mode, keyed)
     query.awaitTermination()
     return latest_rows(spark, f"{folder}/rows", keys, stream.schema)
