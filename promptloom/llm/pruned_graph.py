@@ -49,11 +49,14 @@ class Graph:
     def __init__(self, x: np.ndarray, near: np.ndarray | None = None):
         self.scale = _scale(x)
         self.x = np.ascontiguousarray(x * self.scale, dtype=np.float32)
-        self.norm = np.einsum("ij,ij->i", self.x, self.x)
-        mean = self.x.mean(axis=0, dtype=np.float64).astype(np.float32)
-        self.entry = int(np.argmin(self.norm - 2 * (self.x @ mean)))
+        self.entry = int(np.argmin(self.away(np.arange(len(x)), self.x.mean(axis=0, dtype=np.float64).astype(np.float32))))
         self.near = np.full((len(x), SLACK), -1, dtype=np.int32) if near is None else near
 
+    def away(self, nodes: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Squared distances of nodes from one vector or from a vector each, of the differences, so that near ones are told apart."""
+        apart = self.x[nodes] - q
+        return np.einsum("ij,ij->i", apart, apart)
+
     # --- search
 
     def search(self, queries: np.ndarray, beam: int, steps: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -71,13 +74,12 @@ class Graph:
 
     def _search(self, q: np.ndarray, beam: int, steps: bool) -> tuple[np.ndarray, np.ndarray]:
         m = len(q)
-        q_norm = np.einsum("ij,ij->i", q, q)
         found = np.full((m, beam), -1, dtype=np.int32)
         far = np.full((m, beam), np.inf, dtype=np.float32)
         done = np.zeros((m, beam), dtype=bool)
         seen = np.zeros((m, len(self.x)), dtype=bool)
         found[:, 0], seen[:, self.entry] = self.entry, True
-        far[:, 0] = self.norm[self.entry] - 2 * (q @ self.x[self.entry]) + q_norm
+        far[:, 0] = self.away(np.full(m, self.entry), q)
         who = np.arange(m)
         opened, opened_far = [], []
         while True:
@@ -99,7 +101,7 @@ class Graph:
             node = near[row, col]
             seen[who[row], node] = True
             away = np.full(near.shape, np.inf, dtype=np.float32)
-            away[row, col] = np.maximum(self.norm[node] - 2 * np.einsum("ij,ij->i", self.x[node], q[who[row]]) + q_norm[who[row]], 0)
+            away[row, col] = self.away(node, q[who[row]])
             both = np.concatenate([far[who], away], axis=1)
             order = np.argpartition(both, beam - 1, axis=1)[:, :beam]
             order = np.take_along_axis(order, np.take_along_axis(both, order, axis=1).argsort(axis=1, kind="stable"), axis=1)
@@ -120,12 +122,12 @@ class Graph:
 
     def _prune(self, nodes: np.ndarray, others: np.ndarray) -> np.ndarray:
         usable = (others >= 0) & (others != nodes[:, None])
-        theirs = self.x[others] * usable[:, :, None]
-        norm = np.where(usable, self.norm[others], np.inf)
-        away = norm - 2 * np.matmul(theirs, self.x[nodes][:, :, None])[:, :, 0] + self.norm[nodes][:, None]
+        # seen from the node itself, nearest first
+        theirs = (self.x[others] - self.x[nodes][:, None, :]) * usable[:, :, None]
+        away = np.where(usable, np.einsum("ijk,ijk->ij", theirs, theirs), np.inf)
         order = away.argsort(axis=1, kind="stable")
-        others, away = np.take_along_axis(others, order, axis=1), np.maximum(np.take_along_axis(away, order, axis=1), 0)
-        theirs, norm = np.take_along_axis(theirs, order[:, :, None], axis=1), np.take_along_axis(norm, order, axis=1)
+        others, away = np.take_along_axis(others, order, axis=1), np.take_along_axis(away, order, axis=1)
+        theirs = np.take_along_axis(theirs, order[:, :, None], axis=1)
         between = np.matmul(theirs, theirs.transpose(0, 2, 1))
         alive = np.isfinite(away)
         out = np.full((len(nodes), DEGREE), -1, dtype=np.int32)
@@ -137,20 +139,20 @@ class Graph:
             first = alive.argmax(axis=1)
             out[some, k] = others[rows, first][some]
             alive[rows, first] = False
-            apart = norm[rows, first][:, None] + norm - 2 * between[rows, first]
+            apart = away[rows, first][:, None] + away - 2 * between[rows, first]
             alive &= ALPHA * ALPHA * apart > away
         return out
 
     # --- building
 
     def build(self) -> np.ndarray:
-        """The neighbours of every node; nodes are inserted in their order."""
+        """The neighbours of every node; nodes are inserted in random order, as those of one batch do not see each other."""
         n = len(self.x)
         here = min(n, FIRST)
         all_first = np.broadcast_to(np.arange(here, dtype=np.int32), (here, here))
         # the entry must be among the first, and stays the entry
-        swap = self.entry
-        order = np.arange(n)
+        order = np.random.default_rng(n).permutation(n)
+        swap = int(np.flatnonzero(order == self.entry)[0])
         order[[0, swap]] = order[[swap, 0]]
         first = order[:here].astype(np.int32)
         self.near[first, :DEGREE] = self.prune(first, first[all_first])

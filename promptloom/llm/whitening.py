@@ -30,8 +30,9 @@ SCALE, SHIFT, LARGEST = 64.0, 1_000_000, float(1 << 50)
 GUARD, DEGREE, ROUNDS, LANCZOS = 16, 10, 100, 10
 #: A polynomial may raise the largest direction over the smallest wanted one by no more than this.
 MOST_RATIO = 1e6
-#: Residuals that are accepted, as a share of the largest eigenvalue, and eigenvalues that count as zero.
-ACCEPTED, ZERO = 1e-10, 1e-11
+#: Residuals that are accepted, and those of pairs that are settled, as shares of the largest eigenvalue; and
+#: eigenvalues that count as zero.
+ACCEPTED, SETTLED, ZERO = 1e-10, 1e-14, 1e-11
 #: Dimensions whose partial sums go to one task.
 PART = 256
 
@@ -60,18 +61,20 @@ def lanczos(apply: Apply, start: np.ndarray, steps: int) -> tuple[float, float]:
     return float(values[0]) - betas[-1], float(values[-1])
 
 
-def filtered(apply: Apply, block: np.ndarray, low: float, cut: float, values: np.ndarray, wanted: int, degree: int) -> np.ndarray:
-    """``block`` under the Chebyshev polynomial that is small on ``[low, cut]``, scaled at the largest value."""
-    top = float(values[0])
+def filtered(apply: Apply, block: np.ndarray, low: float, cut: float, top: float, wanted: float, degree: int) -> np.ndarray:
+    """``block`` under the Chebyshev polynomial that is small on ``[low, cut]``, scaled at ``top``, the block's largest value.
+
+    The degree is lower where it would raise ``top`` too far over ``wanted``, the smallest wanted value.
+    """
     half, centre = max((cut - low) / 2, 1e-9 * top), (cut + low) / 2
 
     def growth(x: float) -> float:
         t = max(1.0, (x - centre) / half)
         return t + np.sqrt(t * t - 1)
 
-    ratio = growth(top) / growth(float(values[wanted - 1]))
+    ratio = growth(top) / growth(wanted)
     steps = degree if ratio <= 1 else int(np.clip(np.log(MOST_RATIO) / np.log(ratio), 1, degree))
-    first = sigma = half / (top - centre)
+    first = sigma = half / max(top - centre, half)
     before, now = block, (apply(block) - centre * block) * (sigma / half)
     for _ in range(steps - 1):
         after = 1 / (2 / first - sigma)
@@ -80,6 +83,16 @@ def filtered(apply: Apply, block: np.ndarray, low: float, cut: float, values: np
     return now
 
 
+def apart_from(apply: Apply, known: np.ndarray) -> Apply:
+    """``apply`` on what is orthogonal to the columns of ``known``."""
+
+    def outside(x: np.ndarray) -> np.ndarray:
+        y = apply(x - known @ (known.T @ x))
+        return y - known @ (known.T @ y)
+
+    return outside if known.shape[1] else apply
+
+
 def leading_pairs(apply: Apply, size: int, components: int, guard: int = GUARD, degree: int = DEGREE, seed: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """The largest ``components`` eigenvalues of ``apply``, falling, that are not zero, and their eigenvectors as columns.
 
@@ -99,24 +112,29 @@ def leading_pairs(apply: Apply, size: int, components: int, guard: int = GUARD,
         if values[0] <= 0:
             return np.zeros(0), np.zeros((size, 0))
         wanted = int((values[:components] > ZERO * values[0]).sum())
-        residual = float(np.linalg.norm(image - block * values, axis=0)[:wanted].max()) / float(values[0])
-        if residual <= ACCEPTED and residual > last / 2:
+        residuals = np.linalg.norm(image - block * values, axis=0)[:wanted]
+        residual, share = float(residuals.max() / values[0]), float((residuals / values[:wanted]).max())
+        # small eigenvalues too are settled before it ends
+        if residual <= ACCEPTED and share > 0.8 * last:
             break
-        last = residual
+        slow, last = share > last / 2, share
         if width == size:
             # the block is the whole space; one more turn settles the rounding of the first
             block = np.linalg.qr(block)[0]
             continue
+        # leading pairs that are settled are kept out, so that they don't drown the others
+        settled = min(int((np.cumprod(residuals <= SETTLED * values[0])).sum()), wanted - 1)
+        kept, rest = block[:, :settled], block[:, settled:]
         cut = max(float(values[-1]), low)
-        block = np.linalg.qr(filtered(apply, block, low, cut, values, wanted, degree))[0]
+        if slow:
+            # the block may end inside an eigenspace, which nothing parts from itself but much from the rest
+            cut = low + 0.75 * (cut - low)
+        rest = filtered(apart_from(apply, kept), rest, low, cut, float(values[settled]), float(values[wanted - 1]), degree)
+        block = np.linalg.qr(np.hstack([kept, rest]))[0]
     else:
         raise RuntimeError(f"not certified after {ROUNDS} rounds: residual {residual:.1e} of the largest eigenvalue")
     if width < size:
-        def outside(x: np.ndarray) -> np.ndarray:
-            x = x - block @ (block.T @ x)
-            y = apply(x)
-            return y - block @ (block.T @ y)
-
+        outside = apart_from(apply, block)
         start = rng.standard_normal(size)
         _, most = lanczos(outside, start - block @ (block.T @ start), LANCZOS)
         # a Ritz value of the rest is no larger than its largest eigenvalue
