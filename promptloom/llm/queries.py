@@ -47,7 +47,8 @@ def tokenizer(name: str) -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents"), least_words=1)
+    """Documents without their repeated passages: runs of repeated sentences of ``line_dedup.LEAST_RUN`` words, whole copies at any length."""
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), least_words=1, sentences=True, least_run=line_dedup.LEAST_RUN)
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,16 +132,25 @@ def queries() -> dict[str, Query]:
 _NORMALISED = r"""trim(regexp_replace(lower(unit),
   '[\x20\x09-\x0D,.;:!?]*(?:[\x20\x09-\x0D]|$)[\x20\x09-\x0D]*', ' ', 'g'))"""
 
-_LINES = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS units FROM documents),
-  u AS (SELECT doc_id, unnest(units) AS unit, generate_subscripts(units, 1) AS pos FROM d),
-  n AS (SELECT doc_id, unit, pos, {_NORMALISED} AS norm, CAST(coalesce(sum(length(unit) + 1) OVER (
-      PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM u),
-  k AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS again FROM n
-    WHERE norm <> '' AND length(norm) - length(replace(norm, ' ', '')) + 1 >= {line_dedup.LEAST_WORDS}),
-  j AS (SELECT n.*, coalesce(again, false) AS again FROM n LEFT JOIN k USING (doc_id, pos))
-  SELECT doc_id, count(*) AS n_units, count(*) FILTER (again) AS n_removed,
-    coalesce(string_agg(concat(begins, ':', begins + length(unit)), ',' ORDER BY pos) FILTER (again), '') AS spans,
-    coalesce(string_agg(unit, chr(10) ORDER BY pos) FILTER (NOT again), '') AS text FROM j GROUP BY doc_id"""
+_SENTENCES = rf"""string_split(regexp_replace(line, '([.!?][\x20\x09\x0B-\x0D])', concat('\1', chr(57344)), 'g'), chr(57344))"""
+
+_LINES = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+  l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM d),
+  s AS (SELECT doc_id, line_no, unnest({_SENTENCES}) AS unit, generate_subscripts({_SENTENCES}, 1) AS sentence_no, len({_SENTENCES}) AS sentences FROM l),
+  u AS (SELECT *, row_number() OVER w AS pos, CAST(coalesce(sum(length(unit) + CASE WHEN sentence_no = sentences THEN 1 ELSE 0 END)
+    OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS begins FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY line_no, sentence_no)),
+  n AS (SELECT *, {_NORMALISED} AS norm FROM u),
+  k AS (SELECT doc_id, pos, length(norm) - length(replace(norm, ' ', '')) + 1 AS words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth,
+    count(*) OVER (PARTITION BY doc_id) AS of_all, row_number() OVER (PARTITION BY norm ORDER BY doc_id, pos) > 1 AS again FROM n WHERE norm <> ''),
+  i AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM k WHERE again),
+  r AS (SELECT doc_id, pos, sum(words) OVER run >= {line_dedup.LEAST_RUN} OR count(*) OVER run = of_all AS goes
+    FROM i WINDOW run AS (PARTITION BY doc_id, run)),
+  j AS (SELECT n.*, r.goes IS NOT NULL AS again, coalesce(goes, false) AS goes FROM n LEFT JOIN r USING (doc_id, pos)),
+  t AS (SELECT doc_id, line_no, string_agg(unit, '' ORDER BY pos) AS line FROM j WHERE NOT goes GROUP BY doc_id, line_no),
+  x AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY line_no) AS text FROM t GROUP BY doc_id)
+  SELECT doc_id, count(*) AS n_units, count(*) FILTER (again) AS n_repeated, count(*) FILTER (goes) AS n_removed,
+    coalesce(string_agg(concat(begins, ':', begins + length(unit)), ',' ORDER BY pos) FILTER (goes), '') AS spans,
+    coalesce(any_value(x.text), '') AS text FROM j LEFT JOIN x USING (doc_id) GROUP BY doc_id"""
 
 
 def _reached(nodes: str, links: str) -> str:

@@ -94,20 +94,69 @@ def test_lines_edge_cases(edge, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
-def test_query_compares_lines_of_every_length(spark, real):
+def brute_runs(docs, least_run):
+    """Runs of repeated sentences, of documents in the order of their ids."""
     norm = r"[\x20\x09-\x0D,.;:!?]*(?:[\x20\x09-\x0D]|$)[\x20\x09-\x0D]*"
-    seen, expected = set(), {}
-    for i, text in sorted(rows(real, "doc_id", "text")):
-        kept = []
-        for line in text.split("\n"):
-            key = re.sub(norm, " ", line.lower()).strip(" ")
-            if not key or key not in seen:
-                kept.append(line)
-            seen.add(key)
-        expected[i] = "\n".join(kept)
-    found = dict(rows(queries.op1_line_dedup(spark, SF), "doc_id", "text"))
-    assert found == expected
-    assert found != dict(rows(line_dedup.dedup(real), "doc_id", "text"))
+    seen, out = set(), {}
+    for i, text in sorted(docs):
+        units, at = [], 0  # line, place, text, normalised
+        for line_no, line in enumerate((text or "").split("\n")):
+            for unit in re.split(r"(?<=[.!?][\x20\x09\x0B-\x0D])", line):
+                units.append((line_no, at, unit, re.sub(norm, " ", unit.lower()).strip(" ")))
+                at += len(unit)
+            at += 1
+        compared = [k for k, u in enumerate(units) if u[3]]
+        again = []
+        for k in compared:
+            again.append(units[k][3] in seen)
+            seen.add(units[k][3])
+        gone, start = set(), 0
+        for end in range(len(compared) + 1):
+            if end == len(compared) or not again[end]:
+                run = compared[start:end]
+                if run and (sum(len(units[k][3].split(" ")) for k in run) >= least_run or len(run) == len(compared)):
+                    gone.update(run)
+                start = end + 1
+        lines = {}
+        for k, u in enumerate(units):
+            if k not in gone:
+                lines[u[0]] = lines.get(u[0], "") + u[2]
+        spans = ",".join(f"{units[k][1]}:{units[k][1] + len(units[k][2])}" for k in sorted(gone))
+        out[i] = (len(units), sum(again), len(gone), spans, "\n".join(lines.values()))
+    return out
+
+
+RUN_COLUMNS = ("n_units", "n_repeated", "n_removed", "spans", "text")
+
+
+def test_query_removes_runs_of_repeated_sentences(spark, real):
+    found = {r[0]: r[1:] for r in rows(queries.op1_line_dedup(spark, SF), "doc_id", *RUN_COLUMNS)}
+    assert found == brute_runs(rows(real, "doc_id", "text"), line_dedup.LEAST_RUN)
+    assert sum(r[1] > r[2] > 0 for r in found.values()) > 0
+
+
+def test_runs_across_lines_blanks_and_cuts(spark):
+    first = "One two three. Four five six! Seven eight?\n\nNine ten. Eleven"
+    texts = [
+        first, first, "New. One two three. Four five six! New again.", "one TWO three.\n\n \nfour five, six\nnew", "Nine ten.", "Nine ten.  ",
+        "Nine ten. Other words. Nine ten. Nine ten.", None, "", "...\n! ?", "Four five six! Seven eight?",
+    ]
+    docs = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    for least in (0, 4, 6, 100):
+        found = line_dedup.dedup(df, least_words=1, sentences=True, least_run=least)
+        assert {r[0]: r[1:] for r in rows(found, "doc_id", *RUN_COLUMNS)} == brute_runs(docs, least)
+    # repeated rows are one document; other columns are not read
+    twice = df.union(df).withColumn("gone", F.lit(1)).withColumn("copy", F.lit("x")).withColumn("n_repeated", F.lit(None))
+    found = line_dedup.dedup(twice, least_words=1, sentences=True, least_run=6)
+    assert sorted(rows(found, "doc_id", *RUN_COLUMNS), key=str) == sorted(2 * [(i, *v) for i, v in brute_runs(docs, 6).items()], key=str)
+
+
+def test_a_document_of_many_lines(spark):
+    lines = [f"line {i} of a long document" for i in range(25_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines + lines)), (2, lines[0])], "doc_id bigint, text string")
+    found = {r[0]: r[1:] for r in rows(line_dedup.dedup(docs, least_words=1, sentences=True, least_run=18), "doc_id", "n_units", "n_removed", "text")}
+    assert found == {1: (50_000, 25_000, "\n".join(lines)), 2: (1, 1, "")}
 
 
 def test_short_lines_and_copies_of_them(spark):
