@@ -16,10 +16,12 @@ from promptloom.functions.columns import let
 from promptloom.functions.intent import intent_question, strong_intent
 from promptloom.functions.models import default_pricing, resolve_provider, short_model
 from promptloom.functions.responses import cloud_fields, data_frame, finish_frame, text_frame
-from promptloom.operators import compression, conversation, inference, intent, ledger, logs, planning, run_state
+from promptloom.operators import answers, compression, conversation, inference, intent, ledger, logs, planning, run_state
+from promptloom.operators import pricing as prices
 from promptloom.plans import generate, pipeline
 from promptloom.session import new_folder
-from promptloom.sources.tables import display_rows, read_table, request_messages, spread
+from promptloom.sources.frames import read_frame_files, write_frame_files
+from promptloom.sources.tables import display_rows, read_table, request_messages, spread, write_table
 from promptloom.streaming import jobs, keyed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,6 +249,46 @@ def price_lookup(spark, sf_dir):
     )
 
 
+def _tiers(spark, sf_dir):
+    """Tiers of two providers from the given tables: bounds by the length of documents in a language."""
+    docs = read_table(spark, f"{sf_dir}/documents.parquet")
+    bounds = docs.groupBy("lang").agg(F.floor(F.max("n_chars") / 8).cast("bigint").alias("up_to"))
+    own = bounds.select(F.lit("own").alias("provider"), F.concat(F.lit("m-"), "lang").alias("model"), "up_to")
+    two = spark.createDataFrame([("local", LOCAL.heavy.model, None), ("local", LOCAL.light.model, 600)], "provider string, model string, up_to bigint")
+    return own.unionByName(two)
+
+
+def route_tiers(spark, sf_dir):
+    tasks = fixture(spark, sf_dir, "tasks").select("run_id", "position", "estimated_tokens")
+    provider = F.when(F.col("run_id") % 2 == 0, "local").otherwise(F.lit("own"))
+    return prices.route_tiers(tasks.withColumn("provider", provider), _tiers(spark, sf_dir), "provider")
+
+
+def _price_history(spark, sf_dir):
+    """Today's prices, and earlier ones of every event type as a model."""
+    events = read_table(spark, f"{sf_dir}/events.parquet")
+    older = events.groupBy("event_type", F.col("ts").cast("date").alias("valid_from")).agg(F.count("*").cast("double").alias("n")).select(
+        F.lit("bedrock").alias("provider"), F.col("event_type").alias("model"), "valid_from", F.lit(2.0).alias("weight"),
+        F.col("n").alias("usd_per_1m_input"), (F.col("n") * 5).alias("usd_per_1m_output"),
+    )
+    return prices.price_table(spark, LOCAL, CLOUD).unionByName(older)
+
+
+def price_as_of(spark, sf_dir):
+    """The price of each event's model on the day after it, where the model has a history; else the default."""
+    calls = fixture(spark, sf_dir, "models").join(read_table(spark, f"{sf_dir}/events.parquet").select("event_id", "ts"), "event_id")
+    calls = calls.select("event_id", resolve_provider("provider").alias("provider"), "model", F.date_sub(F.col("ts").cast("date"), 1).alias("day"))
+    found = prices.with_prices(calls, _price_history(spark, sf_dir), "day", model="model")
+    return found.select("event_id", *[F.col(f"price.{f}").alias(f) for f in prices.PRICE_FIELDS])
+
+
+def priced_ledger(spark, sf_dir):
+    """The ledger of today's prices, read from the table."""
+    calls = prices.priced_calls(_outcomes(spark, sf_dir, CLOUD), decomposition(spark, sf_dir), "bedrock", CLOUD.light.model)
+    priced = prices.with_prices(calls, _price_history(spark, sf_dir), F.lit("2030-01-01").cast("date"))
+    return prices.priced_ledger(priced)
+
+
 def plan_savings(spark, sf_dir):
     return ledger.plan_savings(planning.route(fixture(spark, sf_dir, "tasks"), LOCAL), LOCAL)
 
@@ -495,6 +537,78 @@ def infer_table(spark, sf_dir):
     return inference.infer_table(requests, {"local": echo}, ["request_id"], 64, concurrency=4)
 
 
+def infer_once(spark, sf_dir):
+    """Half of the requests first, then all of them over what is stored."""
+    def echo(system: str, messages: str, model: str, max_tokens: int) -> tuple[str, int, int]:
+        if "Poem" in messages:
+            raise ValueError("no poems")
+        return f"{model}: {messages}", len(messages), max_tokens
+
+    requests = log(spark, sf_dir, "requests").select(
+        "request_id", F.lit("local").alias("provider"), F.lit("m").alias("model"), F.lit(SYSTEM).alias("system"), F.col("text").alias("messages")
+    )
+    store, serve = _folder(spark, "answers"), {"local": echo}
+    answers.infer_once(requests.where("request_id % 2 = 0"), serve, ["request_id"], 64, store, concurrency=4, wait=0.0)
+    return answers.infer_once(requests, serve, ["request_id"], 64, store, concurrency=4, wait=0.0)
+
+
+def _fields(request, **paths):
+    """Fields of request bodies by path, as text."""
+    body = F.try_parse_json(request)
+    return [F.try_variant_get(body, path, "string").alias(name) for name, path in paths.items()]
+
+
+def intent_requests(spark, sf_dir):
+    asked = inference.intent_requests(log(spark, sf_dir, "requests"), "bedrock", SYSTEM)
+    return asked.select("request_id", "provider", "model", *_fields("request", max_tokens="$.max_tokens", system="$.system", text="$.messages[0].content"))
+
+
+def decompose_requests(spark, sf_dir):
+    asked = inference.decompose_requests(generate_requests(spark, sf_dir), LOCAL, SYSTEM)
+    return asked.select(
+        "request_id", "provider", "model", *_fields("request", max_tokens="$.options.num_predict", system="$.messages[0].content", text="$.messages[1].content")
+    )
+
+
+def subtask_requests(spark, sf_dir):
+    routed = planning.route(fixture(spark, sf_dir, "tasks"), CLOUD)
+    asked = inference.subtask_requests(routed, "bedrock")
+    return asked.select("run_id", "position", "provider", "model", *_fields("request", max_tokens="$.max_tokens", text="$.messages[0].content"))
+
+
+def single_prompt_requests(spark, sf_dir):
+    model = F.when(F.col("request_id") % 3 == 0, "x.Mistral-7b").otherwise("claude")
+    asked = inference.single_prompt_requests(generate_requests(spark, sf_dir), model)
+    prompt, content = _fields("request", prompt="$.prompt", content="$.messages[0].content")
+    return asked.select("request_id", "model", *_fields("request", max_tokens="$.max_tokens"), F.coalesce(prompt, content).alias("text"))
+
+
+# --- tables -----------------------------------------------------------------------------------
+
+
+def table_io(spark, sf_dir):
+    """Documents written and read again in each format."""
+    docs = read_table(spark, f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    parts = []
+    for kind in ("parquet", "json", "text"):
+        path = _folder(spark, f"table-{kind}")
+        as_text = docs.select(F.to_json(F.struct("doc_id", "lang", "text")).alias("value"))
+        write_table(as_text if kind == "text" else docs, path, kind)
+        back = read_table(spark, path, kind, "doc_id bigint, lang string, text string")
+        if kind == "text":
+            back = back.select(F.from_json("value", "doc_id bigint, lang string, text string").alias("r")).select("r.*")
+        parts.append(back.select(F.lit(kind).alias("kind"), "doc_id", "lang", "text"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def frame_files(spark, sf_dir):
+    """Frames written to few files and read back."""
+    path = _folder(spark, "frames")
+    write_frame_files(fixture(spark, sf_dir, "frames"), path, files=8)
+    lines = read_frame_files(spark, path).withColumn("run_id", F.col("run_id").cast("bigint"))
+    return logs.decode_frames(lines)
+
+
 # --- logs -------------------------------------------------------------------------------------
 
 
@@ -689,6 +803,8 @@ REGISTERED: tuple[Query, ...] = (
     call_fold, call_finish, frame_decode, frame_text, frame_encode, chunk16, run_state_report,
     run_state_subtasks, run_state_diff, run_state_usage, stream_compress, stream_call_usage, stream_call_text, stream_run_state,
     stream_phase_complete, stream_run_state_timed, stream_completion_timed, frame_lines, stream_frame_lines,
+    route_tiers, price_as_of, priced_ledger, infer_once, intent_requests, decompose_requests, subtask_requests,
+    single_prompt_requests, table_io, frame_files,
 )
 
 _KEYS = {"model_labels": "short_model", "run_state_report": "run_state"}

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
 from promptloom.functions.columns import as_column
-from promptloom.functions.models import is_local_provider, resolve_provider
+from promptloom.functions.intent import intent_question, strong_intent
+from promptloom.functions.models import Pricing, is_local_provider, resolve_provider
+from promptloom.functions.text import generation_prompt
 
 #: (system, messages_json, model, max_tokens) -> (text, input_tokens, output_tokens)
 ModelCall = Callable[[str, str, str, int], tuple[str, int, int]]
@@ -111,6 +113,40 @@ def chat_requests(
     return listed.select("conv_id", request.alias("request"))
 
 
+# --- requests of the stages of a run -------------------------------------------------------------------
+
+
+def _stage_requests(rows: DataFrame, keys: list[str], prompt: Column, limit: int, provider: str, model: Column | str | None, system: str) -> DataFrame:
+    """Request bodies ``(keys, provider, model, request)`` of one user turn each, under a stage's limit of tokens."""
+    named = rows.select(*keys, F.lit(provider).alias("provider"), (F.lit(None).cast("string") if model is None else as_column(model)).alias("model"), prompt.alias("prompt"))
+    return request_table(named, system=system, max_tokens=limit).drop("prompt")
+
+
+def intent_requests(requests: DataFrame, provider: str = "local", system: str = "", key: str = "request_id", text: str = "text") -> DataFrame:
+    """Questions to the model for requests that no strong keyword decides: the start of the text, and a word for an answer."""
+    asked = requests.where(strong_intent(text).isNull())
+    return _stage_requests(asked, [key], intent_question(text), V.INTENT_MAX_TOKENS, provider, None, system)
+
+
+def decompose_requests(requests: DataFrame, pricing: Pricing, system: str = "") -> DataFrame:
+    """Calls for the plan of each build run of ``plans.generate.generate_requests``, to the light model."""
+    builds = requests.where(F.col("intent") == "build")
+    return _stage_requests(builds, ["request_id"], F.col("prompt"), V.DECOMPOSER_MAX_TOKENS, pricing.provider, F.lit(pricing.light.model), system)
+
+
+def subtask_requests(routed: DataFrame, provider: str, system: str = "") -> DataFrame:
+    """Calls of routed subtasks, each to its assigned model; subtasks without one have no call."""
+    ready = routed.where(F.col("assigned_model").isNotNull())
+    return _stage_requests(ready, ["run_id", "position"], F.col("prompt"), V.SUBTASK_MAX_TOKENS, provider, "assigned_model", system)
+
+
+def single_prompt_requests(requests: DataFrame, model: Column | str, key: str = "request_id") -> DataFrame:
+    """One-prompt cloud calls ``(key, model, request)`` of the build prompts of ``plans.generate.generate_requests``."""
+    prompts = requests.select(key, as_column(model).alias("model"), generation_prompt("summary", "compressed").alias("_prompt"))
+    body = single_prompt_payload("_prompt", "model", V.SINGLE_PROMPT_MAX_TOKENS)
+    return prompts.select(key, "model", body.alias("request"))
+
+
 _RESULT = "text string, input_tokens bigint, output_tokens bigint, error string"
 
 

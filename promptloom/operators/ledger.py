@@ -53,22 +53,34 @@ def _decomposition_rows(decomposition: DataFrame, zeros: tuple[str, ...]) -> Dat
     )
 
 
-def run_totals(outcomes: DataFrame, decomposition: DataFrame, pricing: Pricing) -> DataFrame:
-    """Integer totals of each run: planned, used (both also for the heavy model) and uncompressed.
+#: Integer totals of a run, over its subtask calls and its planning call.
+TOTALS = (*_PLAN_SUMS, *_USAGE_SUMS, "subtask_count", "uncompressed_tokens")
 
-    ``decomposition``: ``(run_id, input_tokens, output_tokens, uncompressed_tokens)``, one row per
-    run. Runs without subtasks are kept.
-    """
-    calls = outcomes.select(
+
+def call_rows(outcomes: DataFrame, pricing: Pricing, *keep: str) -> DataFrame:
+    """What each subtask adds to the totals of its run; ``keep`` names further columns."""
+    return outcomes.select(
         "run_id",
+        *keep,
         *_plan_rows(outcomes, pricing),
         *_usage_rows(pricing),
         F.lit(1).cast("bigint").alias("subtask_count"),
         F.lit(0).cast("bigint").alias("uncompressed_tokens"),
     )
-    names = (*_PLAN_SUMS, *_USAGE_SUMS, "subtask_count", "uncompressed_tokens")
-    zeros = (*_PLAN_SUMS, "heavy_input_tokens", "heavy_output_tokens", "subtask_count")
-    return _total(calls.unionByName(_decomposition_rows(decomposition, zeros)), names)
+
+
+def planning_rows(decomposition: DataFrame) -> DataFrame:
+    """What the planning call adds to the totals of its run."""
+    return _decomposition_rows(decomposition, (*_PLAN_SUMS, "heavy_input_tokens", "heavy_output_tokens", "subtask_count"))
+
+
+def run_totals(outcomes: DataFrame, decomposition: DataFrame, pricing: Pricing) -> DataFrame:
+    """Integer totals of each run: planned, used (both also for the heavy model) and uncompressed.
+
+    ``decomposition``: ``(run_id, input_tokens, output_tokens, uncompressed_tokens)``, one row per
+    run. Runs without subtasks are kept.
+    """
+    return _total(call_rows(outcomes, pricing).unionByName(planning_rows(decomposition)), TOTALS)
 
 
 def _saving_fields(pricing: Pricing) -> list[Column]:
@@ -109,7 +121,8 @@ def _cost_fields(pricing: Pricing) -> list[Column]:
     ]
 
 
-def _ledger_fields() -> list[Column]:
+def usage_fields() -> list[Column]:
+    """Rounded usage of ``input_tokens``, ``output_tokens``, ``_units``, ``_in_usd`` and ``_out_usd``."""
     i, o = F.col("input_tokens"), F.col("output_tokens")
     return [
         i.alias("real_input_tokens"),
@@ -149,7 +162,7 @@ def _priced(totals: DataFrame, pricing: Pricing) -> DataFrame:
 
 def usage_ledger(totals: DataFrame, pricing: Pricing) -> DataFrame:
     """Real usage and cost per run: the planning call (light model) plus every subtask."""
-    return _priced(totals, pricing).select("run_id", "subtask_count", *_ledger_fields())
+    return _priced(totals, pricing).select("run_id", "subtask_count", *usage_fields())
 
 
 def savings_breakdown(totals: DataFrame, pricing: Pricing) -> DataFrame:
@@ -166,7 +179,7 @@ def run_report(totals: DataFrame, pricing: Pricing, *keep: str) -> DataFrame:
         *keep,
         "subtask_count",
         *[F.col(f"_plan.{n}").alias(alias or n) for n, alias in plan.items()],
-        *_ledger_fields(),
+        *usage_fields(),
         *_breakdown_fields(pricing),
     )
 

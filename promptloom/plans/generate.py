@@ -117,6 +117,7 @@ class RunTables:
     routed: DataFrame
     outcomes: DataFrame
     totals: DataFrame
+    decomposition: DataFrame
 
 
 def run_tables(
@@ -133,7 +134,7 @@ def run_tables(
     """
     routed = route(tasks, pricing, limit)
     outcomes = subtask_outcome(routed, responses)
-    return RunTables(pricing, routed, outcomes, run_totals(outcomes, decomposition, pricing))
+    return RunTables(pricing, routed, outcomes, run_totals(outcomes, decomposition, pricing), decomposition)
 
 
 def run_report(tables: RunTables) -> DataFrame:
@@ -163,74 +164,79 @@ def _status(stage: int, name: str, message: Column) -> Column:
     )
 
 
-def _fields(task: Column, *names: str) -> Column:
-    return F.struct(*[task[n].alias(n) for n in names])
-
+def run_events(tables: RunTables) -> DataFrame:
+    """The events of build runs as ``(run_id, stage, position, event, payload)`` in (stage, position) order.
 
-def _listed_subtasks(outcomes: DataFrame, pricing: Pricing) -> DataFrame:
-    """Subtasks of a run in order, as ``(run_id, tasks)``."""
+    ``position`` tells the updates of one stage apart and is that of the subtask; it is 0 elsewhere.
+    A subtask that has no response yet is running and gets no result. Every outcome is read once: it becomes
+    its updates, and its share of the run's totals and lists, which one aggregation adds up.
+    """
+    pricing, outcomes = tables.pricing, tables.outcomes
     in_price, out_price = pricing.usd_columns("assigned_model")
     i, o = F.col("real_input_tokens"), F.col("real_output_tokens")
-    task = F.struct(
-        F.col("position").alias("position"),
+    event_type = "struct<stage:int,position:bigint,event:string,payload:string>"
+
+    def update(stage: int, status: Column) -> Column:
+        return _event(
+            stage, F.col("position"), "subtask_update", id=F.col("id"), title=F.col("title"), status=status, model=short_model("assigned_model")
+        )
+
+    listed = F.struct(
+        F.col("position"),
         F.col("id"),
         F.col("title"),
         F.col("estimated_tokens").alias("estimatedTokens"),
         short_model("assigned_model").alias("model"),
-        F.col("status").alias("result"),
         F.lit("pending").alias("status"),
         i.alias("inputTokens"),
         o.alias("outputTokens"),
         round_exact(i * in_price + o * out_price, 6).alias("costUsd"),
     )
-    return outcomes.groupBy("run_id").agg(F.array_sort(F.collect_list(task)).alias("tasks"))
+    running, ended = update(3, F.lit("running")), update(4, F.col("status"))
+    own = F.when(F.col("status") == "pending", F.array(running)).otherwise(F.array(running, ended)).cast(f"array<{event_type}>")
+    share = F.struct(*[F.col(c) for c in ledger.TOTALS], listed.alias("task"))
+    rows = ledger.call_rows(outcomes, pricing, "position", "id", "title", "assigned_model", "status", "real_input_tokens", "real_output_tokens")
+    share_type = rows.select(share.alias("s")).schema["s"].dataType
+    none = F.lit(None).cast(share_type)
+    both = F.concat(
+        F.array(F.struct(F.lit(None).cast(event_type).alias("e"), share.alias("s"))),
+        F.transform(own, lambda e: F.struct(e.alias("e"), none.alias("s"))),
+    )
+    exploded = rows.select("run_id", F.explode(both).alias("x")).select("run_id", "x.e.*", "x.s.*")
+    planning = ledger.planning_rows(tables.decomposition)
+    grouped = exploded.unionByName(planning, allowMissingColumns=True).groupBy("run_id", "stage", "position").agg(
+        F.max("event").alias("event"),
+        F.max("payload").alias("payload"),
+        *[F.sum(n).alias(n) for n in ledger.TOTALS],
+        F.array_sort(F.collect_list("task")).alias("tasks"),
+    )
+    report = ledger.run_report(grouped, pricing, "stage", "position", "event", "payload", "tasks")
+    whole = F.array(*_whole_run_events()).cast(f"array<{event_type}>")
+    events = F.when(F.col("stage").isNull(), whole).otherwise(F.array(F.struct("stage", "position", "event", "payload")))
+    return report.select("run_id", F.explode(events).alias("e")).select("run_id", "e.*")
 
 
-def run_events(tables: RunTables) -> DataFrame:
-    """The events of build runs as ``(run_id, stage, position, event, payload)`` in (stage, position) order.
-
-    ``position`` tells the updates of one stage apart and is that of the subtask; it is 0 elsewhere.
-    A subtask that has no response yet is running and gets no result. All events of a run are exploded
-    from one row, which holds its list of subtasks as its plan event does.
-    """
-    report = run_report(tables)
-    rows = report.join(_listed_subtasks(tables.outcomes, tables.pricing), "run_id", "left")
-    tasks = F.col("tasks")
+def _whole_run_events() -> list[Column]:
+    """The events of a run as a whole, of its report and the list ``tasks`` of its subtasks."""
     count = F.col("subtask_count")
     before, _, after = V.STATUS_EXECUTING.partition("{count}")
-    once = [
-        _status(0, "decomposing", F.lit(V.STATUS_DECOMPOSING)),
-        _status(2, "executing", F.concat(F.lit(before), count.cast("string"), F.lit(after))),
-        _status(5, "assembling", F.lit(V.STATUS_ASSEMBLING)),
-        _event(
-            7,
-            F.lit(0),
-            "savings_breakdown",
-            provider=F.col("provider"),
-            baselineCostUsd=F.col("baseline_cost_usd"),
-            actualCostUsd=F.col("actual_cost_usd"),
-            totalSavingUsd=F.col("total_saving_usd"),
-            savingsPct=F.col("savings_pct"),
-            compressionSavingUsd=F.col("compression_saving_usd"),
-            routingSavingUsd=F.col("routing_saving_usd"),
-            baselineModel=F.col("baseline_model"),
-        ),
-        _event(8, F.lit(0), "router_done", subtaskCount=count),
-    ]
 
-    def listed(*names: str) -> Column:
-        return F.coalesce(F.transform(tasks, lambda t: _fields(t, *names)), F.array())
+    def fields(*names: str) -> Column:
+        return F.transform("tasks", lambda t: F.struct(*[t[n].alias(n) for n in names]))
 
-    lists = [
+    return [
+        _status(0, "decomposing", F.lit(V.STATUS_DECOMPOSING)),
         _event(
             1,
             F.lit(0),
             "router_plan",
-            subtasks=listed("id", "title", "estimatedTokens", "model", "status"),
+            subtasks=fields("id", "title", "estimatedTokens", "model", "status"),
             totalEstimatedTokens=F.col("total_estimated_tokens"),
             savingsVsSingleCall=F.col("savings_token_equiv"),
             savingsVsSingleCallPct=F.col("plan_savings_pct"),
         ),
+        _status(2, "executing", F.concat(F.lit(before), count.cast("string"), F.lit(after))),
+        _status(5, "assembling", F.lit(V.STATUS_ASSEMBLING)),
         _event(
             6,
             F.lit(0),
@@ -242,31 +248,20 @@ def run_events(tables: RunTables) -> DataFrame:
             realInputCostUsd=F.col("real_input_cost_usd"),
             realOutputCostUsd=F.col("real_output_cost_usd"),
             realTotalCostUsd=F.col("real_total_cost_usd"),
-            perSubtask=listed("id", "title", "model", "inputTokens", "outputTokens", "costUsd"),
+            perSubtask=fields("id", "title", "model", "inputTokens", "outputTokens", "costUsd"),
         ),
+        _event(
+            7,
+            F.lit(0),
+            "savings_breakdown",
+            provider=F.col("provider"),
+            baselineCostUsd=F.col("baseline_cost_usd"),
+            actualCostUsd=F.col("actual_cost_usd"),
+            totalSavingUsd=F.col("total_saving_usd"),
+            savingsPct=F.col("savings_pct"),
+            compressionSavingUsd=F.col("compression_saving_usd"),
+            routingSavingUsd=F.col("routing_saving_usd"),
+            baselineModel=F.col("baseline_model"),
+        ),
+        _event(8, F.lit(0), "router_done", subtaskCount=count),
     ]
-
-    def updates(task: Column) -> Column:
-        def update(stage: int, status: Column) -> Column:
-            return _event(
-                stage,
-                task["position"],
-                "subtask_update",
-                id=task["id"],
-                title=task["title"],
-                status=status,
-                model=task["model"],
-            )
-
-        running = update(3, F.lit("running"))
-        return F.when(task["result"] == "pending", F.array(running)).otherwise(
-            F.array(running, update(4, task["result"]))
-        )
-
-    event_type = "array<struct<stage:int,position:bigint,event:string,payload:string>>"
-    events = F.concat(
-        F.array(*once).cast(event_type),
-        F.array(*lists).cast(event_type),
-        F.coalesce(F.flatten(F.transform(tasks, updates)), F.array()).cast(event_type),
-    )
-    return rows.select("run_id", F.explode(events).alias("e")).select("run_id", "e.*")

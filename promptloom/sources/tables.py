@@ -12,9 +12,23 @@ _REQUEST_SCHEMA = "struct<messages:array<struct<role:string,content:variant>>,ph
 _PHASES = ("elicit", "generate")
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Scan a parquet table as it is."""
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, kind: str = "parquet", schema: str | None = None) -> DataFrame:
+    """Scan a table as it is: ``parquet``, ``json`` (an object a line) or ``text`` (the column ``value``).
+
+    JSON is read by the ``schema`` it was written with; without one, Spark would read all of it once more to infer one.
+    """
+    if kind == "json" and schema is None:
+        raise ValueError("name the schema of a JSON table")
+    reader = spark.read.schema(schema) if schema and kind != "text" else spark.read
+    return reader.format(kind).load(path)
+
+
+def write_table(rows: DataFrame, path: str, kind: str = "parquet", mode: str = "error") -> None:
+    """Write a table; as ``text`` its one string column, in which line breaks have to be escaped."""
+    if kind == "text" and len(rows.columns) != 1:
+        raise ValueError("a text table has one column")
+    options = {"ignoreNullFields": "false"} if kind == "json" else {}
+    rows.write.format(kind).mode(mode).options(**options).save(path)
 
 
 def spread(scan: DataFrame, partitions: int | None, *columns: str) -> DataFrame:
