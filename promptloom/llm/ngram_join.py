@@ -11,8 +11,9 @@ Trees are built where linked documents must meet. Taken in order of hash, two se
 similarity share one of their first ``n - ceil(percent * n / 100) + 1`` elements, for the smallest
 common element cannot come later. Work goes in two rounds, since only components are asked for:
 
-1. Documents with the same smallest hash meet, which finds most links; groups too large for a task
-   are cut, as the next round makes up for it.
+1. Documents with the same smallest hash meet, which finds most links; then those with the same
+   smallest hash under a few other orders, where they are not yet of one component, so that large groups of near copies
+   become one. Groups too large for a task are cut, as the next round makes up for it.
 2. Of all first elements only those remain under which documents of different components still
    meet. Large groups are cut into blocks, every pair of which meets. Pairs within a component
    cannot change the result and are not looked at. Of the pairs between two components the most
@@ -22,14 +23,15 @@ common element cannot come later. Work goes in two rounds, since only components
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import Words, components, groups, keep_ids, mix, slices, text_bytes, written
+from promptloom.llm.common import Words, components, fresh, groups, keep_ids, mix, slices, text_bytes, written
 
 #: Least number of groups of hashes, and elements of a set for each group (both powers of two).
 GROUPS, BY_GROUP = 64, 16
@@ -38,7 +40,11 @@ FANOUT, CELLS = 16, 1 << 21
 #: Bytes of texts that are hashed at a time.
 HASHED = 1 << 20
 #: What meets in one task: documents with their sets, elements of these sets, and points.
-MOST_TEXTS, MOST_ELEMENTS, MOST_POINTS = 8_000, 4_000_000, 4_096
+MOST_TEXTS, MOST_ELEMENTS, MOST_POINTS = 4_000, 1_000_000, 4_096
+#: Bytes of points that meet in one task.
+MOST_BYTES = 1 << 24
+#: Other orders of the hashes whose smallest elements bring documents together.
+ORDERS = 2
 #: Pairs of two components that are verified first.
 FIRST_PAIRS = 2
 
@@ -76,7 +82,14 @@ def folded(points: list[np.ndarray], groups_: int) -> np.ndarray:
     return np.array([p.reshape(groups_, -1).sum(axis=1) for p in points], dtype=np.int32).reshape(-1, groups_)
 
 
-POINTS = "doc_id bigint, n_shingles bigint, sig binary, point binary, firsts array<bigint>"
+def smallest(elements: np.ndarray) -> list[int]:
+    """The smallest element in each of ``ORDERS`` other orders of the hashes."""
+    if not len(elements):
+        return []
+    return [int(elements[mix(elements ^ np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))).argmin()].view(np.int64)) for k in range(1, ORDERS + 1)]
+
+
+POINTS = "doc_id bigint, n_shingles bigint, sig binary, point binary, firsts array<bigint>, smallest array<bigint>"
 
 
 def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -96,8 +109,9 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
                         np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32),
                         np.concatenate(firsts).view(np.int64),
                     ),
+                    pa.array([smallest(s) for s in sets], pa.list_(pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "sig", "point", "firsts"],
+                ["doc_id", "n_shingles", "sig", "point", "firsts", "smallest"],
             )
 
     return docs.mapInArrow(run, POINTS)
@@ -120,32 +134,38 @@ class _Level:
             np.maximum.reduceat(self.most, cuts),
         )
 
-    def may_link(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-        """Whether some set below a and some set below b can reach the similarity."""
+    def may_link(self, a: np.ndarray, b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether some set below a and some set below b can reach the similarity, and how much they can share."""
         near = (100 * self.most[a] >= percent * self.least[b]) & (100 * self.most[b] >= percent * self.least[a])
         shared = np.zeros(len(a), dtype=np.int64)
         shared[near] = np.minimum(self.high[a[near]], self.high[b[near]]).sum(axis=1)
-        return near & ((100 + percent) * shared >= percent * (self.least[a] + self.least[b]))
+        return near & ((100 + percent) * shared >= percent * (self.least[a] + self.least[b])), shared
 
 
-def near_pairs(points: list[np.ndarray], sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of pairs (as positions) that the bound does not exclude, each pair once.
+def near_pairs(points: list[np.ndarray], sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of pairs (as positions) that the bound does not exclude, each pair once, with how much they can share.
 
-    Sets that can be similar differ in size by less than a factor of two, so points of one number of
-    groups meet each other and those of twice as many.
+    Sets that can be similar differ in size by the factor ``100 / percent`` at most, so points of one number of
+    groups meet each other and those of so many times as many.
     """
     number = np.array([len(p) for p in points])
+    steps = max(1, math.ceil(math.log2(100 / percent)))
     for groups_ in np.unique(number).tolist():
-        here = np.flatnonzero((number == groups_) | (number == 2 * groups_))
-        for a, b in near_points(folded([points[i] for i in here.tolist()], groups_), sizes[here], percent):
+        here = np.flatnonzero((number >= groups_) & (number <= groups_ << steps))
+        for a, b, shared in _near(folded([points[i] for i in here.tolist()], groups_), sizes[here], percent):
             a, b = here[a], here[b]
             own = (number[a] == groups_) | (number[b] == groups_)
             if own.any():
-                yield a[own], b[own]
+                yield a[own], b[own], shared[own]
 
 
 def near_points(high: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of pairs of points (as positions) that the bound does not exclude, each pair once."""
+    for a, b, _ in _near(high, sizes, percent):
+        yield a, b
+
+
+def _near(high: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     order = np.lexsort((*high.T[:4], sizes))
     levels = [_Level(high[order], sizes[order], sizes[order])]
     while len(levels[-1].least) > FANOUT:
@@ -159,11 +179,12 @@ def near_points(high: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[t
         if len(a) > at_once:
             open_pairs.append((depth, a[at_once:], b[at_once:]))
             a, b = a[:at_once], b[:at_once]
-        keep = levels[depth].may_link(a, b, percent) & ((a < b) if depth == 0 else True)
+        keep, shared = levels[depth].may_link(a, b, percent)
+        keep &= (a < b) if depth == 0 else True
         a, b = a[keep], b[keep]
         if depth == 0:
             if len(a):
-                yield order[a], order[b]
+                yield order[a], order[b], shared[keep]
             continue
         step, n = np.arange(FANOUT), len(levels[depth - 1].least)
         x = np.repeat(a[:, None] * FANOUT + step, FANOUT, axis=1).ravel()
@@ -178,11 +199,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared) and shared > 0
 
 
-def spanning_links(sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
-    """Verified links (as positions) that connect whatever the sets' links connect."""
-    group = np.arange(len(sets))
+def spanning_links(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None) -> Iterator[tuple[int, int]]:
+    """Verified links (as positions) that connect whatever the sets' links connect; ``known`` tells which are connected already."""
+    group = np.arange(len(sets)) if known is None else np.unique(known, return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    for a, b in near_pairs([point(s) for s in sets], sizes, percent):
+    for a, b, _ in near_pairs([point(s) for s in sets], sizes, percent):
         apart = group[a] != group[b]
         for i, j in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
             if group[i] != group[j] and similar(sets[i], sets[j], percent):
@@ -202,46 +223,54 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _first_round(
-    texts: DataFrame, unique: DataFrame, width: int, percent: int
-) -> tuple[DataFrame, bool]:
-    """Links between documents of the same smallest hash, and whether a group had to be cut."""
-    smallest = unique.select(F.col("rep").alias("doc_id"), F.col("firsts")[0].alias("key"), "n_shingles")
-    shared = smallest.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("elements"))
+    texts: DataFrame, unique: DataFrame, width: int, percent: int, key: Column
+) -> tuple[DataFrame | None, bool]:
+    """Links between components with documents of the same ``key`` (None without such groups), and whether a group had to be cut."""
+    keyed = unique.select(F.col("rep").alias("doc_id"), key.alias("key"), "n_shingles", "component")
+    shared = keyed.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("elements"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
     parts = F.ceil(F.greatest(F.col("n") / MOST_TEXTS, F.col("elements") / MOST_ELEMENTS))
-    shared = shared.where("n > 1").select("key", parts.alias("parts"))
+    shared = shared.where("low < high").select("key", parts.alias("parts"))
     members = written(
-        smallest.join(shared, "key").select(
-            "doc_id", "key", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")
+        keyed.join(shared, "key").select(
+            "doc_id", "key", "component", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part")
         ),
         "smallest",
     )
-    cut = bool(members.agg(F.max("parts") > 1).first()[0])
+    most = members.agg(F.max("parts")).first()[0]
+    if most is None:
+        return None, False
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for group in groups(batches, ["key", "part"]):
-            ids = group["doc_id"].to_pylist()
-            sets = shingle_sets(text_bytes(group["text"].combine_chunks()), width)
-            yield _pairs_batch([(ids[i], ids[j]) for i, j in spanning_links(sets, percent)])
+            of = group["component"].to_numpy()
+            if of.min() < of.max():
+                sets = shingle_sets(text_bytes(group["text"].combine_chunks()), width)
+                yield _pairs_batch([(int(of[i]), int(of[j])) for i, j in spanning_links(sets, percent, of)])
 
-    rows = keep_ids(texts, members, "doc_id").select("key", "part", "doc_id", "text")
+    rows = keep_ids(texts, members, "doc_id").select("key", "part", "component", "text")
     links = rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, EDGES)
-    return written(links, "links"), cut
+    return written(links, "links"), bool(most > 1)
 
 
 CANDIDATES = "a bigint, b bigint, one bigint, two bigint, margin int"
 
 
-def _candidates(unique: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that the bound does not exclude, with the two components.
+def _candidates(unique: DataFrame, percent: int) -> DataFrame | None:
+    """Pairs of different components that the bound does not exclude, with the two components; None without any.
 
     ``margin`` is how far the bound exceeds what the similarity needs, in hundredths of an element.
     """
-    elements = unique.select("component", F.explode("firsts").alias("key"))
+    elements = unique.select("component", F.explode("firsts").alias("key"), F.length("point").alias("bytes"))
     mixed = elements.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")
     )
-    blocks = F.ceil(F.col("n") / MOST_POINTS).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / MOST_POINTS, F.col("bytes") / MOST_BYTES)).cast("int")
     mixed = written(mixed.where("low < high").select("key", blocks.alias("blocks")), "mixed")
+    if mixed.limit(1).count() == 0:
+        return None
     met = keep_ids(unique.select("rep", F.posexplode("firsts").alias("before", "key")), mixed, "key")
     # every two blocks of a key meet in one place: the row goes to each pair that its block is in
     met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
@@ -251,6 +280,7 @@ def _candidates(unique: DataFrame, percent: int) -> DataFrame:
     met = met.join(unique.select("rep", "component", "n_shingles", "point"), "rep")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for group in groups(batches, ["key", "x", "y"]):
             part = group["component"].to_numpy()
             if part.min() == part.max():
@@ -259,16 +289,14 @@ def _candidates(unique: DataFrame, percent: int) -> DataFrame:
             after = n - group["before"].to_numpy()
             cross = group["x"][0].as_py() != group["y"][0].as_py()
             found = [np.frombuffer(p, dtype=np.uint16) for p in group["point"].to_pylist()]
-            for a, b in near_pairs(found, n, percent):
-                # a pair counts under its smallest common element, where both have enough left
+            for a, b, shared in near_pairs(found, n, percent):
+                # under its smallest common element a linked pair has enough left
                 needed = percent * (n[a] + n[b])
                 left = (100 + percent) * np.minimum(after[a], after[b])
                 apart = (part[a] != part[b]) & ((block[a] != block[b]) | (not cross)) & (left >= needed)
-                a, b, needed = a[apart], b[apart], needed[apart]
+                a, b, margin = a[apart], b[apart], shared[apart].astype(np.int64) * (100 + percent) - needed[apart]
                 if not len(a):
                     continue
-                shared = [int(np.minimum(*folded([found[i], found[j]], min(len(found[i]), len(found[j])))).sum()) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-                margin = np.array(shared, dtype=np.int64) * (100 + percent) - needed
                 columns = [
                     np.minimum(reps[a], reps[b]), np.maximum(reps[a], reps[b]),
                     np.minimum(part[a], part[b]), np.maximum(part[a], part[b]),
@@ -279,6 +307,7 @@ def _candidates(unique: DataFrame, percent: int) -> DataFrame:
                 )
 
     rows = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, CANDIDATES)
+    # a pair that shares several elements comes from each of their groups
     return written(rows.groupBy("a", "b", "one", "two").agg(F.max("margin").alias("margin")), "pairs")
 
 
@@ -300,30 +329,35 @@ def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> D
         for batch in slices(batches, "set_a"):
             x, y = ([np.frombuffer(s, dtype=np.uint64) for s in batch[c].to_pylist()] for c in ("set_a", "set_b"))
             linked = [similar(p, q, percent) for p, q in zip(x, y, strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            yield batch.select(["one", "two"]).filter(pa.array(linked, pa.bool_())).rename_columns(["a", "b"])
 
-    return written(both.select("a", "b", "set_a", "set_b").mapInArrow(verify, EDGES), "links")
+    return written(both.select("one", "two", "set_a", "set_b").mapInArrow(verify, EDGES), "links")
 
 
-def _second_round(texts: DataFrame, unique: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links that join what links between documents of different components join."""
+def _second_round(texts: DataFrame, unique: DataFrame, width: int, percent: int) -> DataFrame | None:
+    """Links between components that join what links between documents of different components join; None without any to look at."""
     pairs = _candidates(unique, percent)
+    if pairs is None:
+        return None
     best = Window.partitionBy("one", "two").orderBy(F.desc("margin"), "a", "b")
     ranked = written(pairs.withColumn("nth", F.row_number().over(best)), "ranked")
-    links = _verified(texts, ranked.where(F.col("nth") <= FIRST_PAIRS).select("a", "b"), width, percent)
+    links = _verified(texts, ranked.where(F.col("nth") <= FIRST_PAIRS), width, percent)
     rest = ranked.where(F.col("nth") > FIRST_PAIRS)
-    ends = ranked.join(links, ["a", "b"], "left_semi").select(F.col("one").alias("a"), F.col("two").alias("b"))
-    found = written(components(ends), "found")
+    if rest.limit(1).count() == 0:
+        return links
+    found = written(components(links), "found")
     for side in ("one", "two"):
         named = found.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
         rest = rest.join(named, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-    return links.union(_verified(texts, rest.where("_one <> _two").select("a", "b"), width, percent))
+    return links.union(_verified(texts, rest.where("_one <> _two"), width, percent))
 
 
-def _with_components(unique: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links).withColumnRenamed("node", "rep")
-    named = unique.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    return written(named, "unique")
+def _merged(unique: DataFrame, links: DataFrame | None) -> DataFrame:
+    """Documents with the components that links between their components make."""
+    if links is None:
+        return unique
+    found = components(links).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return written(unique.join(found, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now"), "unique")
 
 
 def jaccard_components(
@@ -346,17 +380,19 @@ def jaccard_components(
     unique = with_set.join(reps.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"]).dropDuplicates(["sig"])
     unique = written(unique.withColumnRenamed("doc_id", "rep"), "unique")
 
-    links, cut = _first_round(texts, unique, width, percent)
-    unique = _with_components(unique, links)
+    first = F.col("firsts")[0]
+    unique = unique.withColumn("component", F.col("rep"))
+    links, cut = _first_round(texts, unique, width, percent, first)
+    unique = _merged(unique, links)
     while cut:
         # the first document of each component stands for it, so that cut groups meet again
-        before = unique.where("rep = component")
-        more, cut = _first_round(texts, before, width, percent)
-        links = links.union(more)
+        more, cut = _first_round(texts, unique.where("rep = component"), width, percent, first)
         cut = cut and more.limit(1).count() > 0
-        unique = _with_components(unique.drop("component"), links)
-    more = _second_round(texts, unique, width, percent)
-    found = components(links.union(more)).select(F.col("node").alias("rep"), "component")
+        unique = _merged(unique, more)
+    for k in range(ORDERS):
+        more, _ = _first_round(texts, unique, width, percent, F.col("smallest")[k])
+        unique = _merged(unique, more)
+    found = _merged(unique, _second_round(texts, unique, width, percent)).select("rep", "component")
 
     named = reps.join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     return (
