@@ -11,13 +11,14 @@ then met by whole epochs and a prefix, by tokens, of one more epoch in seeded or
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import written
+from promptloom.llm.common import free_names, written
 
 LEVELS = ("domain", "lang", "source")
 #: Parts of a leaf's seeded order. Only a part that the budget's end lies in is sorted.
@@ -149,19 +150,20 @@ def copies(
     )
 
 
-def mixed(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` as often as ``taken`` (see :func:`copies`) says, with their own columns.
+def mixed(docs: DataFrame, taken: DataFrame, id_col: str = "doc_id", tokens: Column | None = None) -> DataFrame:
+    """``docs`` as often as ``taken`` (see :func:`copies`) says, with their own columns, whatever their names.
 
-    Ids that several rows share are matched by source and language too; rows equal in these are
-    taken as often as the first of them.
+    Ids that several rows share are matched by language, source and ``tokens`` too, which are counted as they
+    were for ``taken``; rows equal in these are taken as often as the first of them. An empty table gives an empty one.
     """
-    on = ["_id", "_lang", "_source"]
-    often = taken.groupBy(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("source").alias("_source")).agg(
-        F.max("copies").alias("_copies")
-    )
-    same = F.col("_id").eqNullSafe(F.col(id_col))
-    for a, b in zip(on[1:], ("lang", "source"), strict=True):
-        same = same & F.col(a).eqNullSafe(F.col(b).cast("string"))
-    rows = docs.join(often.where("_copies > 0"), same).drop(*on)
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copy", "_copies")
-
+    keys = {
+        "doc_id": F.col(id_col),
+        "lang": F.col("lang").cast("string"),
+        "source": F.col("source").cast("string"),
+        "tokens": word_tokens(F.col("text")) if tokens is None else tokens.cast("bigint"),
+    }
+    copies_, copy, *named = free_names(docs, "_copies", "_copy", *(f"_{k}" for k in keys))
+    often = taken.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)]).agg(F.max("copies").alias(copies_))
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(value) for n, value in zip(named, keys.values(), strict=True)])
+    rows = docs.join(often.where(F.col(copies_) > 0), same).drop(*named)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies_)))).drop(copy, copies_)

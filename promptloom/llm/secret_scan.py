@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import let, running_total
+from promptloom.llm.common import free_names, let, running_total
 
 #: Kinds in their order, with the pattern and the condition that a match has to meet.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -237,8 +237,10 @@ def discovery_steps(found: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[i
     return steps
 
 
-def scan(docs: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERIES) -> DataFrame:
-    """``docs`` with ``_found``: spans as an array of ``(start, end, kind, text)``, by start, then kind.
+def scan(docs: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERIES, found_col: str = "_found") -> DataFrame:
+    """``docs`` with ``found_col``: spans as an array of ``(start, end, kind, text)``, by start, then kind.
+
+    A column of that name is replaced.
 
     Two scans of the texts: one counts the candidates' probabilities, one reports. Null and empty
     texts have no spans. Overlapping matches of different kinds are all reported; candidates of the
@@ -265,7 +267,7 @@ def scan(docs: DataFrame, text_col: str = "text", rate: float = FALSE_DISCOVERIE
             )
         ),
     )
-    return docs.withColumn("_found", spans)
+    return docs.withColumn(found_col, spans)
 
 
 def _listed(spans: Column) -> Column:
@@ -274,7 +276,10 @@ def _listed(spans: Column) -> Column:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random)`` for every row."""
+    """``(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random)`` for every row.
+
+    Other columns are not read. An empty table gives an empty one.
+    """
     found = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
 
     def of(kind: int) -> Column:
@@ -294,14 +299,15 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``mark``; overlapping spans become one mark.
 
-    All other columns and all rows stay; null stays null.
+    All other columns, whatever their names, and all rows stay; null stays null. An empty table gives an empty one.
     """
-    found = scan(docs, text_col)
+    (spans,) = free_names(docs, "_found")
+    found = scan(docs, text_col, found_col=spans)
     text = F.col(text_col).cast("string")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
     # spans come by start: one that begins before the last one's end only moves that end
     cut = F.aggregate(
-        "_found",
+        spans,
         start,
         lambda acc, s: F.struct(
             F.greatest(acc["at"], s["end"]).alias("at"),
@@ -314,4 +320,4 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     clean = let(
         cut, lambda c: F.concat(F.array_join(c["parts"], ""), F.substring(text, (c["at"] + 1).cast("int"), F.length(text)))
     )
-    return found.withColumn(text_col, F.when(F.size("_found") > 0, clean).otherwise(text)).drop("_found")
+    return found.withColumn(text_col, F.when(F.size(spans) > 0, clean).otherwise(text)).drop(spans)

@@ -6,9 +6,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from promptloom.llm import secret_scan, toxicity, vector_filters
+from promptloom.llm import mixing, secret_scan, toxicity, vector_filters
 from promptloom.llm.common import components
 
 SF = "/root/testdata/sf0.01"
@@ -266,3 +267,31 @@ def test_different_texts_that_share_an_id_stay(spark):
     kept = [tuple(r) for r in corpus_pipeline.keep_one_of_each_group(spark, df, SF).collect()]
     gone = [(2, a + " more", "en"), (2, b, "en")]
     assert sorted(kept, key=str) == sorted([r for r in rows if r not in gone], key=str)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    names = ("_found", "_score", "_row", "_id", "_copies", "_copy", "_Lang", "_tokens", "group", "row", "digest", "all")
+    wide = docs.select("*", *[F.col("doc_id").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, wide, "/root/testdata/sf0.001")
+        assert after.columns == wide.columns
+        rows = after.collect()
+        assert rows and all(r[n] == r.doc_id for r in rows for n in names)
+        plain = stage(spark, docs, "/root/testdata/sf0.001")
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect())
+
+
+def test_every_stage_takes_an_empty_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
+def test_copies_are_told_apart_by_their_tokens(spark):
+    rows = [(1, "a " * 10, "en", "s"), (1, "b " * 1000, "en", "s"), *[(i, "c " * 10, "en", "s") for i in range(2, 30)]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    taken = mixing.copies(docs, {}, total=200.0)
+    often = {(r.doc_id, r.tokens): r.copies for r in taken.collect()}
+    found = Counter((r.doc_id, len(r.text.split())) for r in mixing.mixed(docs, taken).collect())
+    assert found == Counter({k: n for k, n in often.items() if n})
