@@ -16,7 +16,7 @@ from promptloom.functions.columns import let
 from promptloom.functions.intent import intent_question, strong_intent
 from promptloom.functions.models import default_pricing, resolve_provider, short_model
 from promptloom.functions.responses import cloud_fields, data_frame, finish_frame, text_frame
-from promptloom.operators import answers, compression, conversation, inference, intent, ledger, logs, planning, run_state
+from promptloom.operators import answers, compression, conversation, inference, intent, ledger, logs, long_prompts, planning, run_state
 from promptloom.operators import pricing as prices
 from promptloom.plans import generate, pipeline
 from promptloom.session import new_folder
@@ -118,6 +118,12 @@ def compress_prompt(spark, sf_dir):
     return prompts(spark, sf_dir).transform(compression.compress("text"))
 
 
+def compress_long(spark, sf_dir):
+    """The same prompts, in slices of a few words that tasks share."""
+    folder = os.path.dirname(_folder(spark, "long"))
+    return long_prompts.compress_long(prompts(spark, sf_dir), "id", width=200, folder=folder)
+
+
 def compress_detailed(spark, sf_dir):
     out = prompts(spark, sf_dir).transform(compression.compress_detailed("text", 0.55))
     scores = F.transform("tokens", lambda t: t["score"])
@@ -791,7 +797,7 @@ def stream_frame_lines(spark, sf_dir):
 
 REGISTERED: tuple[Query, ...] = (
     word_count, tokenize, score_tokens, key_boost, custom_scorer, keep_threshold, tag_tokens,
-    reconstruct, compression_stats, compress_prompt, compress_detailed, compression_diff,
+    reconstruct, compression_stats, compress_prompt, compress_long, compress_detailed, compression_diff,
     chat_scan, normalise_content, clean_requirements, display_text, looks_deliverable,
     wants_to_proceed, phase_complete, clean_history, chat_payload_rows, extract_requirements,
     intent_strong, intent_model_join, classify_intent, prompt_templates,

@@ -42,13 +42,20 @@ _TECH = (
 _NOT_ONE_PLAIN_WORD = rf"[^{V.WORD}]|\x{{17f}}"
 
 
+def _is_closed(segment: Column) -> Column:
+    """Whether a segment that starts with a quote ends with the one that closes it."""
+    ends = F.endswith(segment, F.lit(V.QUOTE)) & (F.substring(segment, -2, 1) != "\\")
+    return (F.length(segment) > 1) & ends
+
+
+def open_at_end(text: Column) -> Column:
+    """Whether a text ends inside a string."""
+    last = let(F.regexp_extract_all(text, F.lit(_SEGMENT), F.lit(0)), lambda s: F.get(s, F.size(s) - 1))
+    return F.coalesce(let(last, lambda s: F.startswith(s, F.lit(V.QUOTE)) & ~_is_closed(s)), F.lit(False))
+
+
 def _segment_tokens(segment: Column) -> Column:
-    length = F.length(segment)
-    closed = (
-        (length > 1)
-        & F.endswith(segment, F.lit(V.QUOTE))
-        & (F.substring(segment, -2, 1) != "\\")
-    )
+    length, closed = F.length(segment), _is_closed(segment)
     body = F.substring(segment, F.lit(2), length - F.when(closed, 2).otherwise(1))
     quoted = F.concat(
         text_array([V.QUOTE]),
@@ -190,15 +197,20 @@ def _replace_all(text: Column, rules: tuple[tuple[str, str], ...]) -> Column:
     return text
 
 
-def reconstruct(kept: Column) -> Column:
-    """Join kept tokens and tidy the spacing, comma and colon leftovers of dropped words."""
+def tidy_joined(joined: Column) -> Column:
+    """Tidy the spacing, comma and colon leftovers of dropped words in kept tokens joined by blanks."""
 
     def tidy(text: Column) -> Column:
         return F.when(F.rlike(text, F.lit(_MARKS)), _replace_all(text, _TIDY)).otherwise(
             _replace_all(text, _TIDY_PROSE)
         )
 
-    return F.btrim(let(F.array_join(kept, " "), tidy), F.lit(" :,"))
+    return F.btrim(let(joined, tidy), F.lit(" :,"))
+
+
+def reconstruct(kept: Column) -> Column:
+    """Join kept tokens and tidy the spacing, comma and colon leftovers of dropped words."""
+    return tidy_joined(F.array_join(kept, " "))
 
 
 def compression_ratio(original: Column, compressed: Column) -> Column:
