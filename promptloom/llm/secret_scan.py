@@ -3,17 +3,19 @@
 Everything is a column expression: a text stays one row, its matches are arrays, and nothing runs
 in Python. Besides the patterns, every run of at least ``SHORTEST`` letters, digits and ``+/_-=`` that
 mixes letters with digits is a candidate. Signs separate its parts or belong to base 64, whose other
-symbols are uniform without them, so they are taken out. The alphabet of the rest is inferred (hex,
-base 32, lower case, base 58, alphanumeric) and three statistics of its symbols are taken:
+symbols are uniform without them, so the parts are tested joined; the longest part is tested alone too if it
+could be a candidate, as a key may follow a plain prefix. The alphabet is inferred (hex,
+base 32, lower case, base 58, alphanumeric) and these statistics of the symbols are taken:
 
 * chi-squared against a uniform alphabet, which counts how many pairs of symbols are equal;
-* runs: how often letters and digits alternate;
+* runs: how often letters and digits alternate, or a small letter is followed by a capital, inside a part;
+* for hex, how many letters are all of its six;
 * serial correlation of neighbouring symbols' positions in the alphabet.
 
 The hypothesis to reject is that the candidate is ordinary text of its length, whose symbols are as
-uneven as letters of prose, whose letters and digits keep together, and which is then no secret.
-Chi-squared and runs give a probability each under it, both of which fall with the length, and are
-combined by Fisher's rule. Candidates that could not be random either (symbols far too uneven or
+uneven as letters of names and prose, whose letters and digits keep together, and which is then no secret.
+The first three give a probability each under it (the runs one by the exact tail of the Poisson law), which falls with
+the length, and are combined by Fisher's rule. Candidates that could not be random either (symbols far too uneven or
 serially bound) are never reported. The Benjamini-Hochberg rule, applied to the candidates of the
 whole table within each class of lengths, bounds the share of ordinary text among what is reported.
 """
@@ -38,8 +40,12 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Share of reported candidates that may be ordinary text.
 FALSE_DISCOVERIES = 0.01
-#: Ordinary text: chance that two symbols are equal, and changes between letter and digit by character.
-TEXT_COLLISION, TEXT_CHANGES = 0.075, 0.06
+#: Ordinary text: chance that two symbols are equal, changes by neighbouring pair, and chance that a letter is one of hex.
+TEXT_COLLISION, TEXT_CHANGES, TEXT_IN_HEX = 0.055, 0.08, 0.315
+#: A change: between letter and digit, or from a small letter to a capital.
+CHANGE = "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])"
+#: Beyond this mean the Poisson law is as good as normal, and no probability is taken for smaller than this.
+LARGE_MEAN, SMALLEST = 300.0, 1e-12
 #: Randomness is given up beyond so many standard deviations.
 GIVE_UP = 3.5
 #: Lower ends of the classes of lengths, and how finely probabilities are counted (by their logarithm).
@@ -112,80 +118,92 @@ def _normal_below(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-(z * 1.5976 + z * z * z * 0.07056)))
 
 
-def _poisson_from(k: Column, mean: Column) -> Column:
-    """Chance of at least ``k`` events where ``mean`` are expected, by the normal law with correction."""
-    return F.lit(1.0) - _normal_below((k - F.lit(0.5) - mean) / F.sqrt(mean))
+def poisson_from(k: Column, mean: Column) -> Column:
+    """Chance of at least ``k`` events where ``mean`` are expected."""
 
+    def exact(x: Column) -> Column:
+        start = F.struct(F.exp(-x["mean"]).alias("term"), F.lit(0.0).alias("below"))
+        below = F.aggregate(
+            F.sequence(F.lit(1), x["k"]),
+            start,
+            lambda acc, i: F.struct((acc["term"] * x["mean"] / i).alias("term"), (acc["below"] + acc["term"]).alias("below")),
+            lambda acc: acc["below"],
+        )
+        far = F.lit(1.0) - _normal_below((x["k"] - F.lit(0.5) - x["mean"]) / F.sqrt(x["mean"]))
+        return F.when(x["k"] <= 0, F.lit(1.0)).when(x["mean"] > LARGE_MEAN, far).otherwise(F.lit(1.0) - below)
 
-def log_probability(candidate: Column) -> Column:
-    """Logarithm of the chance that ordinary text looks as random; null for what cannot be random."""
+    return let(F.struct(k.cast("int").alias("k"), mean.cast("double").alias("mean")), exact)
 
-    def alphabet(plain: Column) -> Column:
-        return reduce(
-            lambda rest, a: F.when(plain.rlike(a[0]), F.lit(a[1])).otherwise(rest), reversed(_ALPHABETS[:-1]), F.lit(_ALPHABETS[-1][1])
-        )
 
-    def uneven(equal: Column, n: Column) -> Column:
-        # pairs of equal symbols are chi-squared up to a linear map
-        pairs = n * (n - 1) / 2
-        return (equal - pairs * TEXT_COLLISION) / (F.sqrt(pairs * TEXT_COLLISION * (1 - TEXT_COLLISION)) * 1.2)
+def _alphabet(plain: Column) -> Column:
+    return reduce(lambda rest, a: F.when(plain.rlike(a[0]), F.lit(a[1])).otherwise(rest), reversed(_ALPHABETS[:-1]), F.lit(_ALPHABETS[-1][1]))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
 
-    signs = [F.length(candidate) - F.length(F.replace(candidate, F.lit(x), F.lit(""))) for x in "+/_-="]
-    equal_signs = reduce(lambda a, b: a + b, [(x * (x - 1) / 2).cast("double") for x in signs])
+def battery(plain: Column, changes: Column, pairs_inside: Column) -> Column:
+    """Logarithm of the chance that ordinary text looks as random as the letters and digits ``plain``; null for what cannot be random.
 
-    def tests(symbols: Column, letters: Column, k: Column) -> Column:
+    ``changes`` counts the :data:`CHANGE` places among ``pairs_inside`` neighbouring symbols.
+    """
+
+    def tests(x: Column) -> Column:
+        symbols, k = x["symbols"], F.length(x["alphabet"]).cast("double")
         n = F.size(symbols).cast("double")
         pairs = n * (n - 1) / 2
-        counts = F.transform(
-            F.array_distinct(symbols), lambda a: F.size(F.filter(symbols, lambda x: x == a)).cast("double")
-        )
-        zero = F.lit(0.0)
-        equal = F.aggregate(counts, zero, lambda s, c: s + c * (c - 1) / 2)
-        random_sd = F.sqrt(pairs / k * (1 - 1 / k))
-
-        nexts = F.slice(symbols, 2, F.size(symbols) - 1)
-        changes = F.aggregate(
-            F.zip_with(F.slice(letters, 1, F.size(symbols) - 1), F.slice(letters, 2, F.size(symbols) - 1), lambda a, b: (a != b).cast("double")),
-            zero,
-            lambda s, x: s + x,
-        )
-        mean_of = F.aggregate(symbols, zero, lambda s, x: s + x) / n
-
-        def judged(equal: Column, mean: Column) -> Column:
-            too_uneven = (equal - pairs / k) / random_sd
-            spread = F.aggregate(symbols, zero, lambda s, x: s + (x - mean) * (x - mean))
-            joint = F.aggregate(
-                F.zip_with(F.slice(symbols, 1, F.size(symbols) - 1), nexts, lambda a, b: (a - mean) * (b - mean)),
-                zero,
-                lambda s, x: s + x,
+        equal = _total(
+            F.transform(
+                F.transform(F.array_distinct(symbols), lambda a: F.size(F.filter(symbols, lambda y: y == a)).cast("double")),
+                lambda c: c * (c - 1) / 2,
             )
-            serial = F.when(spread > 0, joint / spread * F.sqrt(n)).otherwise(F.lit(99.0))
+        )
 
-            # words keep to text with the signs between them, if not without
-            evenness = F.greatest(uneven(equal, n), uneven(equal + equal_signs, F.length(candidate).cast("double")))
-            p_uneven = F.greatest(_normal_below(evenness), F.lit(1e-12))
-            p_runs = F.greatest(_poisson_from(changes, n * TEXT_CHANGES), F.lit(1e-12))
-            fisher = -(F.log(p_uneven) + F.log(p_runs))
-            # survival of chi-squared with four degrees of freedom at twice this sum
-            return F.when((too_uneven < GIVE_UP) & (F.abs(serial) < GIVE_UP), F.log(F.lit(1.0) + fisher) - fisher)
+        def judged(m: Column) -> Column:
+            mean, first, second = m["mean"], F.slice(symbols, 1, F.size(symbols) - 1), F.slice(symbols, 2, F.size(symbols) - 1)
+            too_uneven = (m["equal"] - pairs / k) / F.sqrt(pairs / k * (1 - 1 / k))
+            spread = _total(F.transform(symbols, lambda y: (y - mean) * (y - mean)))
+            joint = _total(F.zip_with(first, second, lambda a, b: (a - mean) * (b - mean)))
+            serial = F.when(spread > 0, joint / spread * F.sqrt(n)).otherwise(F.lit(99.0))
+            # pairs of equal symbols are chi-squared up to a linear map
+            evenness = (m["equal"] - pairs * TEXT_COLLISION) / (F.sqrt(pairs * TEXT_COLLISION * (1 - TEXT_COLLISION)) * 1.2)
+            chances = [
+                _normal_below(evenness),
+                poisson_from(changes, F.greatest(pairs_inside * TEXT_CHANGES, F.lit(1e-9))),
+                F.when(k == 16, F.pow(F.lit(TEXT_IN_HEX), F.regexp_count(plain, F.lit("[A-Za-z]")))).otherwise(F.lit(1.0)),
+            ]
+            fisher = -reduce(lambda a, b: a + b, [F.log(F.greatest(c, F.lit(SMALLEST))) for c in chances])
+            # survival of chi-squared with six degrees of freedom at twice this sum
+            survival = let(fisher, lambda f: F.log(F.lit(1.0) + f + f * f / 2) - f)
+            return F.when((too_uneven < GIVE_UP) & (F.abs(serial) < GIVE_UP), survival)
 
         # bound once: within the lambdas they would be counted anew for every symbol
-        return let(F.struct(equal.alias("equal"), mean_of.alias("mean")), lambda m: judged(m["equal"], m["mean"]))
+        return let(F.struct(equal.alias("equal"), (_total(symbols) / n).alias("mean")), judged)
 
-    return let(
-        F.regexp_replace(candidate, "[^A-Za-z0-9]+", ""),
-        lambda plain: let(
-            F.struct(F.split(plain, "").alias("c"), alphabet(plain).alias("a")),
-            lambda s: let(
-                F.struct(
-                    F.transform(F.filter(s["c"], lambda x: x != ""), lambda x: F.instr(s["a"], x).cast("double")).alias("symbols"),
-                    F.transform(F.filter(s["c"], lambda x: x != ""), lambda x: x.rlike("[0-9]")).alias("letters"),
-                    F.length(s["a"]).cast("double").alias("k"),
-                ),
-                lambda t: tests(t["symbols"], t["letters"], t["k"]),
-            ),
-        ),
-    )
+    def placed(alphabet: Column) -> Column:
+        found = F.filter(F.split(plain, ""), lambda c: c != "")
+        return F.struct(F.transform(found, lambda c: F.instr(alphabet, c).cast("double")).alias("symbols"), alphabet.alias("alphabet"))
+
+    return let(let(_alphabet(plain), placed), tests)
+
+
+def log_probability(candidate: Column) -> Column:
+    """Logarithm of the chance that ordinary text looks as random; null for what cannot be random.
+
+    The better of two tests where the longest part is tested beside the whole, at twice its chance.
+    """
+
+    def tested_parts(p: Column) -> Column:
+        whole = battery(p["whole"], F.regexp_count(candidate, F.lit(CHANGE)), F.length(p["whole"]) - p["parts"])
+        longest = battery(p["longest"], F.regexp_count(p["longest"], F.lit(CHANGE)), F.length(p["longest"]) - 1)
+        two = (p["parts"] > 1) & (F.length(p["longest"]) >= SHORTEST)
+        return F.when(two, F.least(whole, longest) + F.log(F.lit(2.0))).otherwise(whole)
+
+    parts = F.filter(F.split(candidate, "[^A-Za-z0-9]+"), lambda x: x != "")
+    longest = lambda ps: F.array_max(F.transform(ps, lambda x: F.struct(F.length(x).alias("n"), x.alias("part"))))["part"]
+    split = let(parts, lambda ps: F.struct(F.array_join(ps, "").alias("whole"), longest(ps).alias("longest"), F.size(ps).alias("parts")))
+    return let(split, tested_parts)
 
 
 def length_class(length: Column) -> Column:

@@ -1,6 +1,7 @@
 """Secrets, toxicity and vectors against brute force, their edge cases, and the pipeline."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -92,6 +93,54 @@ def test_battery_finds_long_and_separated_random_strings(spark):
     assert not [i for i in hits if i >= len(strings)]
 
 
+NAMES = (
+    "alpha beta server model client node region data cache queue worker build release stage test image user group order invoice report draft final"
+    " version backup snapshot cluster shard index table view event stream batch task page chapter section photo video audio track album disk volume"
+    " host zone rack unit panel board sensor motor valve pump tank line route train river lake hill forest garden house street market office school"
+).split()
+
+
+def plain_name(rng):
+    """Words with numbers, joined by signs or by capitals, such as alpha12-server-model7."""
+    while True:
+        words = [str(rng.choice(NAMES)) + (str(rng.integers(0, 10 ** rng.integers(1, 4))) if rng.random() < 0.6 else "") for _ in range(rng.integers(2, 5))]
+        name = rng.choice(["-", "_", "/", ""]).join(words) if rng.random() < 0.75 else "".join(w.capitalize() for w in words)
+        if len(name) >= secret_scan.SHORTEST and re.search("[0-9]", name):
+            return name
+
+
+def test_plain_names_are_not_taken_for_secrets(spark):
+    rng = np.random.default_rng(23)
+    alnum, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"
+    drawn = lambda symbols, n: "".join(rng.choice(list(symbols), n))
+    names = [plain_name(rng) for _ in range(4000)]
+    keys = [drawn(alnum, rng.integers(24, 41)) for _ in range(130)] + [drawn(alnum + "+/", 40) for _ in range(130)]
+    prefixed = ["sk_live_" + drawn(hexes, 23) for _ in range(140)]
+
+    def reported(strings):
+        rows = [(i, f"see {k} here") for i, k in enumerate(strings)]
+        found = secret_scan.report(spark.createDataFrame(rows, "doc_id bigint, text string"))
+        return {r.doc_id for r in found.where("spans LIKE '%random%'").collect()}
+
+    alone = reported(names)
+    assert len(alone) <= 0.01 * len(names)
+    both = reported(names + keys + prefixed)
+    hits = sum(i < len(names) for i in both)
+    assert hits <= 0.01 * len(both)
+    assert sum(len(names) <= i < len(names) + len(keys) for i in both) >= 0.95 * len(keys)
+    assert sum(i >= len(names) + len(keys) for i in both) >= 0.95 * len(prefixed)
+
+
+def test_poisson_tails_are_exact(spark):
+    cases = [(k, m) for k in (0, 1, 2, 7, 30) for m in (0.5, 0.96, 5.0, 20.0)]
+    found = spark.createDataFrame(cases, "k int, m double").select("k", "m", secret_scan.poisson_from(F.col("k"), F.col("m")).alias("p")).collect()
+    for r in found:
+        below = sum(np.exp(-r.m) * r.m**i / math.factorial(i) for i in range(r.k))
+        assert abs(r.p - (1 - below)) < 1e-12
+    far = spark.range(1).select(secret_scan.poisson_from(F.lit(400), F.lit(320.0)).alias("p")).first().p
+    assert 0 < far < 1e-4
+
+
 def test_redaction_covers_every_span(spark):
     docs = spark.createDataFrame([(i, t, 9) for i, t in enumerate(TEXTS)], "doc_id bigint, text string, _found int")
     clean = {r.doc_id: r.text for r in secret_scan.redact(docs.drop("_found")).collect()}
