@@ -41,6 +41,8 @@ FANOUT, CELLS = 16, 1 << 21
 HASHED = 1 << 20
 #: What meets in one task: documents with their sets, elements of these sets, and points.
 MOST_TEXTS, MOST_ELEMENTS, MOST_POINTS = 4_000, 1_000_000, 4_096
+#: Groups of so many documents at most are compared without a tree, which would prune nothing.
+SMALL = 32
 #: Bytes of points that meet in one task.
 MOST_BYTES = 1 << 24
 #: Other orders of the hashes whose smallest elements bring documents together.
@@ -258,6 +260,117 @@ def _first_round(
 CANDIDATES = "a bigint, b bigint, one bigint, two bigint, margin int"
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of a sorted partition's rows that hold whole groups of equal ``keys``, with the positions where groups begin, and the end."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        change = np.any([v[1:] != v[:-1] for v in values], axis=0)
+        starts = np.flatnonzero(change) + 1
+        first = tuple(v[0] for v in values)
+        if held and first != last:
+            starts = np.concatenate([[0], starts])
+        if len(starts):
+            # all up to the batch's last group is whole
+            end = int(starts[-1])
+            table = pa.Table.from_batches([*held, batch.slice(0, end)])
+            before = table.num_rows - end
+            cuts = np.unique(np.concatenate([[0], starts + before]))
+            yield _combined(table), cuts
+            held = [batch.slice(end)]
+        else:
+            held.append(batch)
+        last = tuple(v[-1] for v in values)
+    if held:
+        table = pa.Table.from_batches(held)
+        yield _combined(table), np.array([0, table.num_rows])
+
+
+def _combined(table: pa.Table) -> pa.Table:
+    return table.combine_chunks()
+
+
+class _Met:
+    """Documents of several groups that meet in a task."""
+
+    def __init__(self, rows: pa.Table):
+        column = lambda c: rows[c].to_numpy()
+        self.reps, self.part, self.n = column("rep"), column("component"), column("n_shingles")
+        self.after = self.n - column("before")
+        self.block, self.cross = column("block"), column("x") != column("y")
+        self.points = [np.frombuffer(p, dtype=np.uint16) for p in rows["point"].to_pylist()]
+        self.width = np.array([len(p) for p in self.points])
+        # points of one number of groups as a matrix each
+        self.row = np.zeros(len(self.points), dtype=np.int64)
+        self.matrix: dict[int, np.ndarray] = {}
+
+    def open(self, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Pairs of different components, counted in this place, that under their smallest common element have enough left."""
+        needed = percent * (self.n[a] + self.n[b])
+        left = (100 + percent) * np.minimum(self.after[a], self.after[b])
+        least, most = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
+        here = (self.block[a] != self.block[b]) | ~self.cross[a]
+        return (self.part[a] != self.part[b]) & here & (left >= needed) & (100 * least >= percent * most)
+
+    def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The most elements that the sets of each pair can share: summed minima of their points."""
+        out = np.zeros(len(a), dtype=np.int64)
+        swap = self.width[a] > self.width[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        kinds = self.width[a] * (1 << 32) + self.width[b]
+        for kind in np.unique(kinds).tolist():
+            narrow, wide = kind >> 32, kind & ((1 << 32) - 1)
+            at = np.flatnonzero(kinds == kind)
+            some = max(1, CELLS // wide)
+            for i in range(0, len(at), some):
+                part = at[i : i + some]
+                x, y = self._matrix(narrow)[self.row[a[part]]], self._matrix(wide)[self.row[b[part]]]
+                if wide > narrow:
+                    y = y.reshape(len(part), narrow, -1).sum(axis=2)
+                out[part] = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+        return out
+
+    def _matrix(self, width: int) -> np.ndarray:
+        if width not in self.matrix:
+            at = np.flatnonzero(self.width == width)
+            self.row[at] = np.arange(len(at))
+            self.matrix[width] = np.array([self.points[i] for i in at.tolist()])
+        return self.matrix[width]
+
+    def pairs_within(self, starts: np.ndarray, ends: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of all these small groups, the rows of all groups at one distance from each other at a time."""
+        sizes = ends - starts
+        inside = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        end = np.repeat(ends, sizes)
+        for apart in range(1, int(sizes.max(initial=0))):
+            go = inside + apart < end
+            inside, end = inside[go], end[go]
+            a, b = inside, inside + apart
+            keep = self.open(a, b, percent)
+            if keep.any():
+                a, b = a[keep], b[keep]
+                yield a, b, self.shared(a, b)
+
+    def tree_pairs(self, start: int, end: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of one large group, by the tree."""
+        if self.part[start:end].min() < self.part[start:end].max():
+            for a, b, shared in near_pairs(self.points[start:end], self.n[start:end], percent):
+                yield a + start, b + start, shared
+
+    def batch(self, a: np.ndarray, b: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
+        columns = [
+            np.minimum(self.reps[a], self.reps[b]), np.maximum(self.reps[a], self.reps[b]),
+            np.minimum(self.part[a], self.part[b]), np.maximum(self.part[a], self.part[b]),
+        ]
+        return pa.RecordBatch.from_arrays(
+            [*[pa.array(c, pa.int64()) for c in columns], pa.array(np.minimum(margin, 2**31 - 1), pa.int32())],
+            ["a", "b", "one", "two", "margin"],
+        )
+
+
 def _candidates(unique: DataFrame, percent: int) -> DataFrame | None:
     """Pairs of different components that the bound does not exclude, with the two components; None without any.
 
@@ -281,30 +394,17 @@ def _candidates(unique: DataFrame, percent: int) -> DataFrame | None:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
-        for group in groups(batches, ["key", "x", "y"]):
-            part = group["component"].to_numpy()
-            if part.min() == part.max():
-                continue
-            reps, block, n = group["rep"].to_numpy(), group["block"].to_numpy(), group["n_shingles"].to_numpy()
-            after = n - group["before"].to_numpy()
-            cross = group["x"][0].as_py() != group["y"][0].as_py()
-            found = [np.frombuffer(p, dtype=np.uint16) for p in group["point"].to_pylist()]
-            for a, b, shared in near_pairs(found, n, percent):
-                # under its smallest common element a linked pair has enough left
-                needed = percent * (n[a] + n[b])
-                left = (100 + percent) * np.minimum(after[a], after[b])
-                apart = (part[a] != part[b]) & ((block[a] != block[b]) | (not cross)) & (left >= needed)
-                a, b, margin = a[apart], b[apart], shared[apart].astype(np.int64) * (100 + percent) - needed[apart]
-                if not len(a):
-                    continue
-                columns = [
-                    np.minimum(reps[a], reps[b]), np.maximum(reps[a], reps[b]),
-                    np.minimum(part[a], part[b]), np.maximum(part[a], part[b]),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*[pa.array(c, pa.int64()) for c in columns], pa.array(np.minimum(margin, 2**31 - 1), pa.int32())],
-                    ["a", "b", "one", "two", "margin"],
-                )
+        for rows, cuts in whole_groups(batches, ["key", "x", "y"]):
+            met_rows = _Met(rows)
+            small = np.diff(cuts) <= SMALL
+            found = [met_rows.pairs_within(cuts[:-1][small], cuts[1:][small], percent)]
+            for i, j in zip(cuts[:-1][~small].tolist(), cuts[1:][~small].tolist(), strict=True):
+                found.append(met_rows.tree_pairs(i, j, percent))
+            for a, b, shared in (f for one in found for f in one):
+                keep, margin = met_rows.open(a, b, percent), shared * (100 + percent) - percent * (met_rows.n[a] + met_rows.n[b])
+                keep &= margin >= 0
+                if keep.any():
+                    yield met_rows.batch(a[keep], b[keep], margin[keep])
 
     rows = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, CANDIDATES)
     # a pair that shares several elements comes from each of their groups
