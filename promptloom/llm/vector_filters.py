@@ -29,6 +29,8 @@ from promptloom.llm.common import components, groups, written
 PARTS, BLOCKS, BOUND = 4, 16, 3.6
 #: A vector belongs to so many caps at least, its best ones.
 LEAST = 20
+#: Rounds of the rotation, and coordinates of a part at least.
+TURNS, LEAST_WIDTH = 3, 8
 #: Vectors of one filter that meet in a task come from two blocks of so many.
 MOST_VECTORS = 1_024
 SEED = 20
@@ -39,24 +41,38 @@ class ProductCode:
 
     def __init__(self, size: int, seed: int = SEED):
         rng = np.random.default_rng([seed, size])
-        self.parts = min(PARTS, size)
-        # a random rotation first, so that no coordinate decides alone
-        rotation = np.linalg.qr(rng.standard_normal((size, size)))[0] if size <= 4096 else np.eye(size)
-        cuts = np.array_split(np.arange(size), self.parts)
-        self.turned = [rotation[:, cut] for cut in cuts]
+        self.width = 1 << (size - 1).bit_length()
+        # a part of a few coordinates would have few directions
+        self.parts = max(1, min(PARTS, self.width // LEAST_WIDTH))
+        self.signs = rng.choice([-1.0, 1.0], (TURNS, self.width))
+        self.cuts = np.array_split(np.arange(self.width), self.parts)
         self.blocks = []
-        for cut in cuts:
+        for cut in self.cuts:
             blocks = rng.standard_normal((BLOCKS, len(cut)))
             self.blocks.append(blocks / np.linalg.norm(blocks, axis=1, keepdims=True))
-        # the projection of a random unit vector on a direction deviates by 1 / sqrt(size)
-        self.bound = BOUND * math.sqrt(self.parts / size)
+        # the projection of a random unit vector on a direction deviates by 1 / sqrt(width)
+        self.bound = BOUND * math.sqrt(self.parts / self.width)
+
+    def turned(self, units: np.ndarray) -> np.ndarray:
+        """Vectors under a rotation, so that no coordinate decides alone: random signs and a Hadamard transform, some times over."""
+        out = np.zeros((len(units), self.width))
+        out[:, : units.shape[1]] = units
+        for signs in self.signs:
+            out *= signs
+            step = 1
+            while step < self.width:
+                halves = out.reshape(len(out), -1, 2, step)
+                out = np.stack([halves[:, :, 0] + halves[:, :, 1], halves[:, :, 0] - halves[:, :, 1]], axis=2).reshape(len(out), -1)
+                step *= 2
+        return out / math.sqrt(self.width) ** TURNS
 
     def lists(self, units: np.ndarray) -> list[np.ndarray]:
         """For each unit vector the directions whose cap holds it, ascending."""
         return [found for i in range(0, len(units), 128) for found in self._lists(units[i : i + 128])]
 
     def _lists(self, units: np.ndarray) -> list[np.ndarray]:
-        products = [units @ t @ b.T for t, b in zip(self.turned, self.blocks, strict=True)]
+        turned = self.turned(units)
+        products = [turned[:, cut] @ b.T for cut, b in zip(self.cuts, self.blocks, strict=True)]
         # the LEAST-th best direction made of the best blocks of each part
         best = np.zeros((len(units), 1))
         for p in products:
