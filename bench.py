@@ -31,6 +31,7 @@ HEADLINE = (
     "parse_plan",
     "run_report",
     "run_events",
+    "run_pipeline",
     "assemble_output",
     "local_stream_tokens",
     "call_fold",
