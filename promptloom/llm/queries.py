@@ -52,40 +52,49 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts of the fixed patterns, their digest, and all spans with those of the battery. A null text has none."""
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and line statistics of every document, whether the base rules fail, and the verdict of the outlier test."""
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that stand in a 100-byte string which starts earlier, and the digest of what is left."""
     return suffix_dedup.dedup(table(spark, sf_dir, "documents")).drop("spans", "kept")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document; rows held out by their id are scored by a model that has not seen their labels."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, linked by four-word shingles at 85 %."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken for the target weights, of 80 % of all tokens and two epochs at most."""
     docs = table(spark, sf_dir, "documents")
     return mixing.copies(docs, WEIGHTS, most_epochs=2, share=0.8, seed=7, domain=domain())
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match pieces of every document over a byte-level vocabulary."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op10_vector_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector, at a cosine of 0.93 within its label."""
     return vector_filters.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
