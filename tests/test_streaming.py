@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from checks.fixtures import fixture
+from checks.fixtures import fixture, fixture_stream
 from promptloom.operators import conversation, logs, run_state
 from promptloom.operators.compression import compress
 from promptloom.session import new_folder, shared_folder
@@ -33,6 +33,19 @@ def test_compress(spark, arriving):
     assert rows(out) == rows(table.transform(compress("text")))
 
 
+@pytest.mark.parametrize("name", ["prompts", "turns"])
+def test_tables_in_folders(spark, tmp_path, name):
+    """A table may be one file or a folder of files; the stream reads all of either."""
+    turns = [(c, t, "user", f"turn {t} of {c}") for c in range(6) for t in range(3)]
+    conversations = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    documents = spark.createDataFrame([(i, f"document {i}") for i in range(9)], "doc_id bigint, text string")
+    conversations.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    documents.repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    out = jobs.drain(fixture_stream(spark, str(tmp_path), name), new_folder(spark, "s"), [], "append")
+    table = fixture(spark, str(tmp_path), name)
+    assert rows(out) == rows(table) and out.count() == table.count() > 0
+
+
 def test_call_fold(spark, arriving):
     table, stream = arriving("chunks", "seq")
     usage = jobs.drain(jobs.call_usage_stream(stream), new_folder(spark, "s"), ["call_id"])
