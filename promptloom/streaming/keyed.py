@@ -42,32 +42,38 @@ def _type(rows: DataFrame, column: str) -> str:
     return rows.schema[column].dataType.simpleString()
 
 
-def _clock(idle: int):
-    """Base of the processors: counts rows and late rows, and keeps one timer per key."""
+def _clock(idle: int, kept: str = ""):
+    """Base of the processors: counts rows and late rows, and keeps one timer per key, beside the columns ``kept``.
+
+    Each look at the state is a call, so all that has one value per key is one value, and a timer is set anew
+    only when it goes off before its key is over.
+    """
 
     class Clock(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.clock = handle.getValueState("clock", "expires bigint, n_rows bigint, n_late bigint")
+            self.clock = handle.getValueState("clock", "expires bigint, n_rows bigint, n_late bigint" + (kept and f", {kept}"))
+
+        def state(self) -> tuple | None:
+            return self.clock.get() if self.clock.exists() else None
 
-        def seen(self, times: list[int | None], watermark: int) -> None:
-            """Counts rows and moves the key's end behind the newest of them."""
-            held = self.clock.get() if self.clock.exists() else None
-            expires, n_rows, n_late = held or (None, 0, 0)
+        def seen(self, state: tuple | None, times: list[int | None], watermark: int, *kept: Any) -> None:
+            """Counts rows, moves the key's end behind the newest of them and keeps the key's values."""
+            expires, n_rows, n_late = state[:3] if state else (None, 0, 0)
             after = max([watermark, *[t for t in times if t is not None]]) + idle
-            if expires is None or after > expires:
-                if expires is not None:
-                    self.handle.deleteTimer(expires)
+            if expires is None:
                 self.handle.registerTimer(after)
-                expires = after
             n_late += sum(t is not None and t < watermark for t in times)
-            self.clock.update((expires, n_rows + len(times), n_late))
-
-        def ended(self) -> tuple[int, int]:
-            """Rows and late rows of a key whose time is over; its state goes."""
-            _, n_rows, n_late = self.clock.get() if self.clock.exists() else (0, 0, 0)
+            self.clock.update((max(after, expires or after), n_rows + len(times), n_late, *kept))
+
+        def ended(self, watermark: int) -> tuple | None:
+            """The state of a key whose time is over, which goes; None where rows have moved its end."""
+            state = self.state()
+            if state is not None and state[0] > watermark:
+                self.handle.registerTimer(state[0])
+                return None
             self.clock.clear()
-            return n_rows, n_late
+            return state
 
         def close(self) -> None:
             pass
@@ -118,10 +124,12 @@ def run_state_stream(lines: DataFrame, event_time: str, idle: str, late: str) ->
                             run_id=key[0], event=r.event, subtask_id=r.subtask_id, seq=r.seq, status=r.status,
                             payload=r.payload, n_rows=None, n_late=None,
                         )
-            self.seen(times, timerValues.getCurrentWatermarkInMs())
+            self.seen(self.state(), times, timerValues.getCurrentWatermarkInMs())
 
         def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-            n_rows, n_late = self.ended()
+            if (state := self.ended(timerValues.getCurrentWatermarkInMs())) is None:
+                return
+            _, n_rows, n_late = state
             self.numbers.clear()
             yield Row(
                 run_id=key[0], event=None, subtask_id=None, seq=None, status=None, payload=None, n_rows=n_rows, n_late=n_late
@@ -161,14 +169,10 @@ def completion_stream(turns: DataFrame, event_time: str, idle: str, late: str) -
     schema = f"conv_id {_type(flags, 'conv_id')}, " + ", ".join(f"{n} {_type(flags, n)}" for n in names)
     sides = dict(_SIDES)
 
-    class LatestTurns(_clock(_millis(idle))):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            super().init(handle)
-            self.turns = handle.getValueState("turns", "user_turn bigint, reply_turn bigint")
-
+    class LatestTurns(_clock(_millis(idle), "user_turn bigint, reply_turn bigint")):
         def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-            held = self.turns.get() if self.turns.exists() else (None, None)
-            latest = dict(zip((turn for turn, _ in sides.values()), held, strict=True))
+            state = self.state()
+            latest = dict(zip((turn for turn, _ in sides.values()), state[3:] if state else (None, None), strict=True))
             times, new = [], {}
             for row in rows:
                 times.append(row.at)
@@ -176,17 +180,15 @@ def completion_stream(turns: DataFrame, event_time: str, idle: str, late: str) -
                     number = getattr(row, turn)
                     if number is not None and (latest[turn] is None or number >= latest[turn]):
                         latest[turn], new[turn] = number, row
-            first = not self.clock.exists()
-            self.seen(times, timerValues.getCurrentWatermarkInMs())
-            if new:
-                self.turns.update(tuple(latest.values()))
-            if new or first:
+            self.seen(state, times, timerValues.getCurrentWatermarkInMs(), *latest.values())
+            if new or state is None:
                 fields = {n: getattr(new[turn], n) if turn in new else None for turn, rest in sides.values() for n in (turn, *rest)}
                 yield Row(conv_id=key[0], **fields, n_rows=None, n_late=None)
 
         def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-            n_rows, n_late = self.ended()
-            self.turns.clear()
+            if (state := self.ended(timerValues.getCurrentWatermarkInMs())) is None:
+                return
+            _, n_rows, n_late, *_ = state
             yield Row(conv_id=key[0], **dict.fromkeys(names), n_rows=n_rows, n_late=n_late)
 
     return flags.groupBy("conv_id").transformWithState(
@@ -202,6 +204,11 @@ def completion_rows(rows: DataFrame) -> DataFrame:
 # --- lines of byte chunks ------------------------------------------------------------------------------------
 
 
+#: Chunks of a run that came early are kept in blocks of this many bits of their numbers. A block is written again when
+#: another batch brings more of it.
+BLOCK_BITS = 8
+
+
 def line_stream(chunks: DataFrame, event_time: str, idle: str, late: str) -> DataFrame:
     """Lines of logs that arrive as byte chunks ``(run_id, part, data, event_time)``, cut anywhere and in any order.
 
@@ -214,12 +221,18 @@ def line_stream(chunks: DataFrame, event_time: str, idle: str, late: str) -> Dat
     """
     parts = _timed(chunks.select("run_id", "part", F.col("data").cast("binary").alias("data"), event_time), event_time, late)
     schema = f"run_id {_type(parts, 'run_id')}, seq bigint, line string, whole boolean"
+    block_bits = BLOCK_BITS
 
-    class Lines(_clock(_millis(idle))):
+    class Lines(_clock(_millis(idle), "part bigint, seq bigint, tail binary, n_blocks bigint")):
         def init(self, handle: StatefulProcessorHandle) -> None:
             super().init(handle)
-            self.at = handle.getValueState("at", "part bigint, seq bigint, tail binary")
-            self.early = handle.getMapState("early", "part bigint", "data binary")
+            self.early = handle.getMapState("early", "block bigint", "parts array<bigint>, pieces array<binary>")
+
+        def held(self, block: int) -> dict[int, bytes]:
+            """The early chunks of a block, by number; none where the block is not kept."""
+            if not self.early.containsKey((block,)):
+                return {}
+            return {n: bytes(d) for n, d in zip(*self.early.getValue((block,)), strict=True)}
 
         def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
             arrived, times = {}, []
@@ -227,33 +240,51 @@ def line_stream(chunks: DataFrame, event_time: str, idle: str, late: str) -> Dat
                 times.append(row.at)
                 if row.part is not None:
                     arrived.setdefault(row.part, bytes(row.data or b""))
-            self.seen(times, timerValues.getCurrentWatermarkInMs())
-            part, seq, tail = self.at.get() if self.at.exists() else (0, 0, b"")
-            pieces = [bytes(tail)]
+            state = self.state()
+            part, seq, tail, n_blocks = state[3:] if state else (0, 0, b"", 0)
+            pieces, known = [bytes(tail)], {}
             while True:
+                block = part >> block_bits
+                if n_blocks and block not in known:
+                    known[block] = self.held(block)
                 data = arrived.pop(part, None)
-                if self.early.containsKey((part,)):
-                    data = bytes(self.early.getValue((part,))[0])
-                    self.early.removeKey((part,))
+                data = known.get(block, {}).get(part, data)
                 if data is None:
                     break
                 pieces.append(data)
                 part += 1
+            changed = {}
             for number, data in arrived.items():
                 if number > part:
-                    self.early.updateValue((number,), (data,))
+                    changed.setdefault(number >> block_bits, {})[number] = data
+            # blocks that the run has come through or into keep what is still ahead
+            for block in [b for b, chunks in known.items() if chunks]:
+                if block < part >> block_bits:
+                    self.early.removeKey((block,))
+                    n_blocks -= 1
+                elif min(known[block]) < part:
+                    changed.setdefault(block, {})
+            for block, new in changed.items():
+                old = known[block] if block in known else self.held(block) if n_blocks else {}
+                chunks = {n: d for n, d in (old | new).items() if n > part}
+                n_blocks += bool(chunks) - bool(old)
+                if chunks:
+                    self.early.updateValue((block,), (list(chunks), list(chunks.values())))
+                elif old:
+                    self.early.removeKey((block,))
             *lines, tail = b"".join(pieces).split(b"\n")
             for line in lines:
                 if line:
                     yield Row(run_id=key[0], seq=seq, line=line.decode("utf-8", "replace"), whole=True)
                 seq += 1
-            self.at.update((part, seq, tail))
+            self.seen(state, times, timerValues.getCurrentWatermarkInMs(), part, seq, tail, n_blocks)
 
         def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-            self.ended()
-            part, seq, tail = self.at.get() if self.at.exists() else (0, 0, b"")
+            if (state := self.ended(timerValues.getCurrentWatermarkInMs())) is None:
+                return
+            part, seq, tail, n_blocks = state[3:]
             held, whole = bytes(tail), True
-            left = sorted((k[0], bytes(v[0])) for k, v in self.early.iterator()) if self.early.exists() else []
+            left = sorted((n, bytes(d)) for _, v in self.early.iterator() for n, d in zip(*v, strict=True)) if n_blocks else []
             rest = []
             for number, data in left:
                 if number != part:
@@ -269,8 +300,8 @@ def line_stream(chunks: DataFrame, event_time: str, idle: str, late: str) -> Dat
                 if line.strip():
                     yield Row(run_id=key[0], seq=seq, line=line.decode("utf-8", "replace"), whole=start and end)
                 seq += 1
-            self.at.clear()
-            self.early.clear()
+            if n_blocks:
+                self.early.clear()
 
     return parts.groupBy("run_id").transformWithState(Lines(), schema, "Append", "EventTime")
 

@@ -168,6 +168,20 @@ def test_missing_chunks_are_told(spark):
     assert [(r.line, r.whole) for r in out.where("line = 'c'").collect()] == [("c", False)]
 
 
+def test_early_chunks_are_kept_in_blocks(spark):
+    """Chunks that come before their turn are few values of state, and none is lost between blocks."""
+    texts = {1: "".join(f"line {i}\n" for i in range(900)), 2: "one\ntwo\n" * 200}
+    chunks = [(r, p, t[p * 3 : p * 3 + 3].encode(), 0) for r, t in texts.items() for p in range((len(t) + 2) // 3)]
+    schema = "run_id bigint, part bigint, data binary, x int"
+    make = lambda some: spark.createDataFrame(some, schema).withColumn("ts", F.lit("2024-01-01").cast("timestamp")).drop("x")
+    by_turn = [[c for c in chunks if c[1] % 3 == k] for k in (2, 1, 0)]
+    late_first = [c for c in chunks if 300 < c[1] < 700]
+    out, query = drained(keyed.line_stream(arriving(spark, [make(b) for b in (late_first, *by_turn)]), "ts", "1 hour", "1 hour"), spark)
+    got = sorted((r.run_id, r.seq, r.line) for r in out.collect())
+    assert got == [(r, n, line) for r, t in texts.items() for n, line in enumerate(t.split("\n")) if line]
+    assert max(held(query)) < 40
+
+
 def test_lines_of_a_table_of_chunks(spark):
     chunks = spark.createDataFrame([(1, 0, "a\nb"), (1, 1, "c\n\n"), (1, 2, "d"), (2, 0, "")], "run_id bigint, part bigint, data string")
     assert rows(keyed.lines_of_chunks(chunks)) == [("a", 1, 0), ("bc", 1, 1), ("d", 1, 3)]
