@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from promptloom.functions import fixed_values as V
-from promptloom.functions.columns import let
+from promptloom.functions.columns import let, rows_where
 from promptloom.functions.tokens import (
     boost_keys, compression_multiplier, compression_ratio, is_skeleton, open_at_end, score_tokens, tidy_joined, tokenize,
 )
@@ -66,8 +66,15 @@ def _tokens() -> Column:
 
 
 def _following(located: DataFrame, key: str) -> DataFrame:
-    """``(key, slice, after)``: up to two tokens that come after each slice with tokens."""
-    firsts = located.select(key, "slice", F.slice(_tokens(), 1, 2).alias("first")).where(F.size("first") > 0)
+    """``(key, slice, after)``: up to two tokens that come after each slice with tokens.
+
+    Only colons and quotes after a token matter to it, so slices that start otherwise are not taken apart: they
+    give their first character.
+    """
+    start = F.regexp_extract("piece", rf"[^{V.WS}]", 0)
+    some = located.where(F.rlike("piece", F.lit(rf"[^{V.WS}]")))
+    first = F.when(start.isin(":", V.QUOTE), F.slice(_tokens(), 1, 2)).otherwise(F.array(start))
+    firsts = some.select(key, "slice", first.alias("first"))
     order = Window.partitionBy(key).orderBy("slice")
     none = F.array().cast("array<string>")
     nexts = F.concat(*[F.coalesce(F.lead("first", n).over(order), none) for n in (1, 2)])
@@ -81,9 +88,13 @@ def scored_slices(prompts: DataFrame, key: str, text: str, width: int = SLICE_CH
     rows = located.join(_following(located, key), [key, "slice"]).select(key, "slice", _tokens().alias("tokens"), "after")
 
     def boosted(t: Column) -> Column:
-        both = F.concat(t["tokens"], F.col("after"))
-        scores = let(score_tokens(t["tokens"]), lambda s: let(F.concat(s, F.transform("after", lambda _: F.lit(0.0))), lambda s2: let(both, lambda k: boost_keys(k, s2))))
-        return F.slice(scores, 1, F.size(t["tokens"]))
+        def with_next(scores: Column) -> Column:
+            padded = F.concat(scores, F.transform("after", lambda _: F.lit(0.0)))
+            raised = let(padded, lambda s: let(F.concat(t["tokens"], F.col("after")), lambda k: boost_keys(k, s)))
+            has_colon = F.array_contains(t["tokens"], ":") | F.array_contains("after", ":")
+            return F.when(has_colon, F.slice(raised, 1, F.size(t["tokens"]))).otherwise(scores)
+
+        return let(score_tokens(t["tokens"]), with_next)
 
     return rows.select(key, "slice", "tokens", let(F.struct("tokens"), boosted).alias("scores"))
 
@@ -109,10 +120,12 @@ def compress_long(
     """
     scored = materialise(scored_slices(prompts, key, text, width), "scored", folder)
     kept = F.filter("tokens", lambda t, i: (F.get("scores", i) >= F.col("threshold")) | is_skeleton(t))
-    rows = scored.join(thresholds(scored, key, ratio), key).select(key, "slice", "original_tokens", kept.alias("kept"))
+    joined = let(kept, lambda k: F.struct(F.array_join(k, " ").alias("text"), F.size(k).alias("n")))
+    located = scored.join(thresholds(scored, key, ratio), key)
+    rows = rows_where(located, joined, lambda v: v["n"] > 0, "kept", key, "slice", "original_tokens")
     whole = ordered_text(
-        rows.where(F.size("kept") > 0), [key], "slice", F.array_join("kept", " "), "joined", separator=" ",
-        n=(F.size("kept"), F.sum), original_tokens=(F.col("original_tokens"), F.max),
+        rows, [key], "slice", F.col("kept.text"), "joined", separator=" ",
+        n=(F.col("kept.n"), F.sum), original_tokens=(F.col("original_tokens"), F.max),
     )
     done = prompts.select(key, text).join(whole, key, "left")
     original, left = F.coalesce("original_tokens", F.lit(0)), F.coalesce("n", F.lit(0)).cast("int")

@@ -28,6 +28,18 @@ def test_slices_of_any_width_give_the_whole(spark, tmp_path, width):
     assert {r.id: r.t for r in back.collect()} == {i: t for i, t in enumerate(TEXTS) if t}
 
 
+def test_following_tokens_take_few_slices_apart(spark):
+    """Only slices that start with a colon or a quote are cut into tokens to find what follows another slice."""
+    pieces = [(1, 0, "plain words ", False), (1, 1, ' "', False), (1, 2, "  ", True), (1, 3, " : x", True), (1, 4, "\n:y z", False), (1, 5, '"" :', True)]
+    located = spark.createDataFrame(pieces, "id bigint, slice int, piece string, inside boolean")
+    following = L._following(located, "id")
+    got = {r.slice: [t if t in (":", '"') else "-" for t in r.after[:2]] for r in following.collect()}
+    assert got == {0: ['"', ":"], 1: [":", "-"], 3: [":", "-"], 4: ['"', '"'], 5: []}
+    # the filter on what a slice starts with does not tokenize it once more
+    plan = following._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("regexp_extract_all" in line for line in plan.splitlines() if "Filter" in line)
+
+
 def test_all_prompts(spark, sf_dir, tmp_path):
     prompts = fixture(spark, sf_dir, "prompts")
     assert rows(L.compress_long(prompts, "id", width=100, folder=str(tmp_path))) == rows(prompts.transform(compression.compress("text")))
