@@ -15,9 +15,11 @@ common element cannot come later. Work goes in two rounds, since only components
    smallest hash under a few other orders, where they are not yet of one component, so that large groups of near copies
    become one. Groups too large for a task are cut, as the next round makes up for it.
 2. Of all first elements only those remain under which documents of different components still
-   meet. Large groups are cut into blocks, every pair of which meets. Pairs within a component
-   cannot change the result and are not looked at. Of the pairs between two components the most
-   promising are verified first, and the others where the two are still apart.
+   meet, and of elements under which the same documents meet the first alone. Large groups are cut into
+   blocks, every pair of which meets. Pairs within a component cannot change the result and are not
+   looked at, nor are those that have met under one of the few elements before. Of the pairs between two
+   components the most promising are verified first, and the others where the two are still apart; a
+   document's set goes once to each place where pairs of a component are verified.
 """
 
 from __future__ import annotations
@@ -47,8 +49,10 @@ SMALL = 32
 MOST_BYTES = 1 << 24
 #: Other orders of the hashes whose smallest elements bring documents together.
 ORDERS = 2
-#: Pairs of two components that are verified first.
-FIRST_PAIRS = 2
+#: Pairs of two components that are verified first, and elements in the pairs that are verified in one place.
+FIRST_PAIRS, MOST_VERIFIED = 2, 4_000_000
+#: Elements before one under which a document met others that are known there.
+PRIOR = 4
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -98,6 +102,7 @@ def points(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """One row per document (``doc_id``, ``text``): set size, set digest, point, first elements."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in slices(batches, "text"):
             sets = shingle_sets(text_bytes(batch["text"]), width)
             firsts = [s[: len(s) - (percent * len(s) + 99) // 100 + 1] for s in sets]
@@ -225,10 +230,10 @@ def _pairs_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def _first_round(
-    texts: DataFrame, unique: DataFrame, width: int, percent: int, key: Column
+    texts: DataFrame, heads: DataFrame, width: int, percent: int, key: Column
 ) -> tuple[DataFrame | None, bool]:
     """Links between components with documents of the same ``key`` (None without such groups), and whether a group had to be cut."""
-    keyed = unique.select(F.col("rep").alias("doc_id"), key.alias("key"), "n_shingles", "component")
+    keyed = heads.select(F.col("rep").alias("doc_id"), key.alias("key"), "n_shingles", "component")
     shared = keyed.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("elements"), F.min("component").alias("low"), F.max("component").alias("high")
     )
@@ -257,7 +262,7 @@ def _first_round(
     return written(links, "links"), bool(most > 1)
 
 
-CANDIDATES = "a bigint, b bigint, one bigint, two bigint, margin int"
+CANDIDATES = "a bigint, b bigint, one bigint, two bigint, margin int, size bigint"
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -301,6 +306,7 @@ class _Met:
         self.reps, self.part, self.n = column("rep"), column("component"), column("n_shingles")
         self.after = self.n - column("before")
         self.block, self.cross = column("block"), column("x") != column("y")
+        self.prior = np.stack([column(f"prior{i}") for i in range(PRIOR)], axis=1)
         self.points = [np.frombuffer(p, dtype=np.uint16) for p in rows["point"].to_pylist()]
         self.width = np.array([len(p) for p in self.points])
         # points of one number of groups as a matrix each
@@ -313,7 +319,18 @@ class _Met:
         left = (100 + percent) * np.minimum(self.after[a], self.after[b])
         least, most = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
         here = (self.block[a] != self.block[b]) | ~self.cross[a]
-        return (self.part[a] != self.part[b]) & here & (left >= needed) & (100 * least >= percent * most)
+        keep = (self.part[a] != self.part[b]) & here & (left >= needed) & (100 * least >= percent * most)
+        keep[keep] = ~self.met_before(a[keep], b[keep])
+        return keep
+
+    def met_before(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Pairs that have met under an element before this one; of two that share any, only the first one is sure to be new."""
+        met = np.zeros(len(a), dtype=bool)
+        for i in range(PRIOR):
+            mine = self.prior[a, i]
+            for j in range(PRIOR):
+                met |= (mine != 0) & (mine == self.prior[b, j])
+        return met
 
     def shared(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The most elements that the sets of each pair can share: summed minima of their points."""
@@ -361,36 +378,48 @@ class _Met:
                 yield a + start, b + start, shared
 
     def batch(self, a: np.ndarray, b: np.ndarray, margin: np.ndarray) -> pa.RecordBatch:
-        columns = [
-            np.minimum(self.reps[a], self.reps[b]), np.maximum(self.reps[a], self.reps[b]),
-            np.minimum(self.part[a], self.part[b]), np.maximum(self.part[a], self.part[b]),
-        ]
+        swap = self.part[a] > self.part[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        columns = [self.reps[a], self.reps[b], self.part[a], self.part[b]]
         return pa.RecordBatch.from_arrays(
-            [*[pa.array(c, pa.int64()) for c in columns], pa.array(np.minimum(margin, 2**31 - 1), pa.int32())],
-            ["a", "b", "one", "two", "margin"],
+            [
+                *[pa.array(c, pa.int64()) for c in columns],
+                pa.array(np.minimum(margin, 2**31 - 1), pa.int32()),
+                pa.array(self.n[a] + self.n[b], pa.int64()),
+            ],
+            ["a", "b", "one", "two", "margin", "size"],
         )
 
 
 def _candidates(unique: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs of different components that the bound does not exclude, with the two components; None without any.
+    """Pairs of different components that the bound does not exclude, ``a`` of ``one`` and ``b`` of ``two``; None without any.
 
-    ``margin`` is how far the bound exceeds what the similarity needs, in hundredths of an element.
+    ``margin`` is how far the bound exceeds what the similarity needs, in hundredths of an element; ``size`` is
+    how many elements the two sets hold together.
     """
-    elements = unique.select("component", F.explode("firsts").alias("key"), F.length("point").alias("bytes"))
+    elements = unique.select("who", "component", F.explode("firsts").alias("key"), F.length("point").alias("bytes"))
     mixed = elements.groupBy("key").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")
-    )
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"),
+        F.bit_xor("who").alias("all"),
+    )
     blocks = F.ceil(F.greatest(F.col("n") / MOST_POINTS, F.col("bytes") / MOST_BYTES)).cast("int")
-    mixed = written(mixed.where("low < high").select("key", blocks.alias("blocks")), "mixed")
+    # of keys of the same documents the first is enough; hashes have no sign, so the sign's bit is turned
+    sign = F.shiftleft(F.lit(1).cast("bigint"), 63)
+    mixed = mixed.where("low < high").groupBy("all", "n", "bytes", "low", "high").agg(F.min(F.col("key").bitwiseXOR(sign)).alias("key"))
+    mixed = written(mixed.select(F.col("key").bitwiseXOR(sign).alias("key"), blocks.alias("blocks")), "mixed")
     if mixed.limit(1).count() == 0:
         return None
-    met = keep_ids(unique.select("rep", F.posexplode("firsts").alias("before", "key")), mixed, "key")
+    met = keep_ids(unique.select("who", F.posexplode("firsts").alias("before", "key")), mixed, "key")
+    earlier = Window.partitionBy("who").orderBy("before")
+    prior = [F.lag("key", i + 1, 0).over(earlier).alias(f"prior{i}") for i in range(PRIOR)]
+    met = met.select("who", "before", "key", "blocks", *prior)
     # every two blocks of a key meet in one place: the row goes to each pair that its block is in
-    met = met.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    met = met.withColumn("block", F.pmod(F.xxhash64("who"), F.col("blocks")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "before"
-    )
-    met = met.join(unique.select("rep", "component", "n_shingles", "point"), "rep")
+        "key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "who", "before",
+        *[f"prior{i}" for i in range(PRIOR)],
+    )
+    met = met.join(unique.select("who", "rep", "component", "n_shingles", "point"), "who").drop("who")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh()
@@ -407,31 +436,68 @@ def _candidates(unique: DataFrame, percent: int) -> DataFrame | None:
                     yield met_rows.batch(a[keep], b[keep], margin[keep])
 
     rows = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, CANDIDATES)
-    # a pair that shares several elements comes from each of their groups
-    return written(rows.groupBy("a", "b", "one", "two").agg(F.max("margin").alias("margin")), "pairs")
+    # a pair that shares several elements can still come from some of their groups
+    return written(rows.groupBy("a", "b", "one", "two").agg(F.max("margin").alias("margin"), F.max("size").alias("size")), "pairs")
+
+
+#: What is verified in one place: documents of one component and of others near it.
+CELL = ["hub", "x", "y"]
 
 
 def _verified(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The linked ones of ``pairs`` (``a``, ``b``), decided on the sets of their texts."""
-    wanted = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
+    """Components of which a pair (``doc`` of ``hub``, ``other`` of ``outer``) is linked, decided on the sets of their texts."""
+    wanted = written(pairs.select(F.col("doc").alias("doc_id")).union(pairs.select("other")).distinct(), "wanted")
 
     def as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in slices(batches, "text"):
             sets = [s.tobytes() for s in shingle_sets(text_bytes(batch["text"]), width)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "set"])
 
     sets = written(keep_ids(texts, wanted, "doc_id").mapInArrow(as_sets, "doc_id bigint, set binary"), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b"
+    # a document comes once, with the others that it is compared with there
+    other = F.struct("other", "outer")
+    sides = pairs.select(*CELL, F.col("doc").alias("doc_id"), other.alias("other")).union(
+        pairs.select(*CELL, F.col("other"), F.lit(None).cast("struct<other:bigint,outer:bigint>"))
     )
+    members = sides.groupBy(*CELL, "doc_id").agg(F.collect_list("other").alias("others")).join(sets, "doc_id")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "set_a"):
-            x, y = ([np.frombuffer(s, dtype=np.uint64) for s in batch[c].to_pylist()] for c in ("set_a", "set_b"))
-            linked = [similar(p, q, percent) for p, q in zip(x, y, strict=True)]
-            yield batch.select(["one", "two"]).filter(pa.array(linked, pa.bool_())).rename_columns(["a", "b"])
-
-    return written(both.select("one", "two", "set_a", "set_b").mapInArrow(verify, EDGES), "links")
+        fresh()
+        for group in groups(batches, CELL):
+            of: dict[int, list[np.ndarray]] = {}  # rows that share an id have a set each
+            met: dict[tuple[int, int], int] = {}
+            for doc, others, s in zip(*(group[c].to_pylist() for c in ("doc_id", "others", "set")), strict=True):
+                of.setdefault(doc, []).append(np.frombuffer(s, dtype=np.uint64))
+                met |= {(doc, o["other"]): o["outer"] for o in others}
+            linked: set[int] = set()
+            for (doc, other), outer in met.items():
+                if outer not in linked and any(similar(p, q, percent) for p in of[doc] for q in of.get(other, [])):
+                    linked.add(outer)
+            if linked:
+                hub = group["hub"][0].as_py()
+                yield _pairs_batch([(hub, outer) for outer in sorted(linked)])
+
+    rows = members.select(*CELL, "doc_id", "others", "set").repartition(*CELL).sortWithinPartitions(*CELL)
+    return written(rows.mapInArrow(verify, EDGES), "links")
+
+
+def _placed(pairs: DataFrame) -> DataFrame:
+    """Pairs (``doc`` of ``hub``, ``other`` of ``outer``) with the place where they are verified.
+
+    The hub is the component that has more pairs, so that its documents go to few places; the pairs of a hub
+    are dealt out over a square of places, none with more than about ``MOST_VERIFIED`` elements in its pairs.
+    """
+    near = pairs.select("size", F.explode(F.array("one", "two")).alias("component"))
+    near = written(near.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")), "near")
+    for side in ("one", "two"):
+        pairs = pairs.join(near.select(*[F.col(c).alias(side if c == "component" else f"{c}_{side}") for c in near.columns]), side)
+    first = F.col("n_one") >= F.col("n_two")
+    chosen = {"hub": ("one", "two"), "outer": ("two", "one"), "doc": ("a", "b"), "other": ("b", "a"), "all": ("all_one", "all_two")}
+    pairs = pairs.select("nth", *[F.when(first, F.col(x)).otherwise(F.col(y)).alias(c) for c, (x, y) in chosen.items()])
+    parts = F.ceil(F.sqrt(F.col("all") / MOST_VERIFIED))
+    x, y = (F.pmod(F.xxhash64(c), parts) for c in ("doc", "other"))
+    return pairs.withColumns({"x": x, "y": y}).drop("all")
 
 
 def _second_round(texts: DataFrame, unique: DataFrame, width: int, percent: int) -> DataFrame | None:
@@ -440,24 +506,24 @@ def _second_round(texts: DataFrame, unique: DataFrame, width: int, percent: int)
     if pairs is None:
         return None
     best = Window.partitionBy("one", "two").orderBy(F.desc("margin"), "a", "b")
-    ranked = written(pairs.withColumn("nth", F.row_number().over(best)), "ranked")
+    ranked = written(_placed(pairs.withColumn("nth", F.row_number().over(best))), "ranked")
     links = _verified(texts, ranked.where(F.col("nth") <= FIRST_PAIRS), width, percent)
     rest = ranked.where(F.col("nth") > FIRST_PAIRS)
     if rest.limit(1).count() == 0:
         return links
     found = written(components(links), "found")
-    for side in ("one", "two"):
+    for side in ("hub", "outer"):
         named = found.select(F.col("node").alias(side), F.col("component").alias(f"_{side}"))
         rest = rest.join(named, side, "left").withColumn(f"_{side}", F.coalesce(f"_{side}", side))
-    return links.union(_verified(texts, rest.where("_one <> _two"), width, percent))
+    return links.union(_verified(texts, rest.where("_hub <> _outer"), width, percent))
 
 
-def _merged(unique: DataFrame, links: DataFrame | None) -> DataFrame:
+def _merged(heads: DataFrame, links: DataFrame | None) -> DataFrame:
     """Documents with the components that links between their components make."""
     if links is None:
-        return unique
+        return heads
     found = components(links).select(F.col("node").alias("component"), F.col("component").alias("now"))
-    return written(unique.join(found, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now"), "unique")
+    return written(heads.join(found, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now"), "heads")
 
 
 def jaccard_components(
@@ -475,29 +541,30 @@ def jaccard_components(
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     all_points = written(points(texts, width, percent), "points")
     with_set = all_points.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    reps = written(with_set.groupBy("sig").agg(F.min("doc_id").alias("rep")), "reps")
-    # one document stands for all of equal sets
-    unique = with_set.join(reps.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"]).dropDuplicates(["sig"])
-    unique = written(unique.withColumnRenamed("doc_id", "rep"), "unique")
-
-    first = F.col("firsts")[0]
-    unique = unique.withColumn("component", F.col("rep"))
-    links, cut = _first_round(texts, unique, width, percent, first)
-    unique = _merged(unique, links)
+    # one document stands for all of equal sets; its component changes from round to round, apart from its wide columns
+    head = F.min(F.struct("doc_id", "n_shingles", F.col("firsts")[0].alias("first"), "smallest")).alias("head")
+    heads = with_set.groupBy("sig").agg(head)
+    heads = heads.select("sig", F.col("head.doc_id").alias("rep"), "head.n_shingles", "head.first", "head.smallest")
+    heads = written(heads.withColumn("component", F.col("rep")), "heads")
+
+    links, cut = _first_round(texts, heads, width, percent, F.col("first"))
+    heads = _merged(heads, links)
     while cut:
         # the first document of each component stands for it, so that cut groups meet again
-        more, cut = _first_round(texts, unique.where("rep = component"), width, percent, first)
+        more, cut = _first_round(texts, heads.where("rep = component"), width, percent, F.col("first"))
         cut = cut and more.limit(1).count() > 0
-        unique = _merged(unique, more)
+        heads = _merged(heads, more)
     for k in range(ORDERS):
-        more, _ = _first_round(texts, unique, width, percent, F.col("smallest")[k])
-        unique = _merged(unique, more)
-    found = _merged(unique, _second_round(texts, unique, width, percent)).select("rep", "component")
+        more, _ = _first_round(texts, heads, width, percent, F.col("smallest")[k])
+        heads = _merged(heads, more)
+    wide = with_set.select("sig", F.col("doc_id").alias("rep"), "point", "firsts")
+    unique = wide.join(heads.select("sig", "rep", "n_shingles", "component"), ["sig", "rep"]).dropDuplicates(["sig", "rep"])
+    unique = written(unique.withColumn("who", F.xxhash64("sig")).drop("sig"), "unique")
+    heads = _merged(heads, _second_round(texts, unique, width, percent))
 
-    named = reps.join(found, "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     return (
         all_points.select("doc_id", "n_shingles", "sig")
-        .join(named, "sig", "left")
+        .join(heads.select("sig", "component"), "sig", "left")
         .select(
             "doc_id",
             "n_shingles",

@@ -328,6 +328,53 @@ def test_join_of_many_near_copies(spark, monkeypatch):
     assert found == expected
 
 
+def test_join_meets_near_copies_once(spark, monkeypatch):
+    # two documents that share four fifths of their shingles, and copies of one below the limit to the other
+    base = [f"w{i}" for i in range(400)]
+    other = base[:200] + [f"v{i}" for i in range(40)] + base[240:]
+    docs = [(1, " ".join(base)), (2, " ".join(other))]
+    sizes, columns = defaultdict(list), defaultdict(list)
+    real_written = ngram_join.written
+
+    def written(df, name):
+        out = real_written(df, name)
+        sizes[name].append(out.count())
+        columns[name].append(set(out.columns))
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = {i: (n, c) for i, n, c in rows(ngram_join.jaccard_components(df), "doc_id", "n_shingles", "component_id")}
+    assert found == brute_join(docs)
+    # all elements that both hold in their first ones bring the same two documents together
+    assert sizes["mixed"] == [1]
+    # points and first elements are not written again with the components of each round
+    assert sum("point" in c for name in columns for c in columns[name]) == 2
+
+
+def test_join_of_components_near_each_other(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = np.array([f"w{i}" for i in range(200)])
+    docs = []
+    for family in range(3):
+        own = base.copy()
+        own[family * 60 : family * 60 + 14] = [f"f{family}_{i}" for i in range(14)]
+        for _ in range(15):
+            copy = own.copy()
+            copy[rng.integers(0, 200, rng.integers(0, 3))] = f"c{len(docs)}"
+            docs.append((len(docs), " ".join(copy)))
+    docs += [(3, "an id of two texts " + docs[20][1]), (3, None)]
+    once = [d for i, d in enumerate(docs) if i < 45 and d[0] != 3]
+    monkeypatch.setattr(ngram_join, "MOST_VERIFIED", 2_000)
+    monkeypatch.setattr(ngram_join, "MOST_POINTS", 8)
+    monkeypatch.setattr(ngram_join, "ORDERS", 0)
+    df = spark.createDataFrame(once, "doc_id bigint, text string").repartition(3)
+    found = {i: (n, c) for i, n, c in rows(ngram_join.jaccard_components(df), "doc_id", "n_shingles", "component_id")}
+    assert found == brute_join(once)
+    both = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    assert ngram_join.jaccard_components(both).count() == len(docs)
+
+
 def test_join_edge_cases(edge, empty):
     found = Counter(rows(ngram_join.jaccard_components(edge), "doc_id", "n_shingles", "component_id"))
     n = len(BASE.split()) - 3
