@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +35,11 @@ GAP = 2e-4
 MOST_STEPS = 20_000
 
 
+def _plain(word: str) -> bool:
+    """Whether a word has letters alone, and only such as the normaliser lower-cases one by one."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
+
+
 class _Runs:
     """Little-endian 32-bit ids of texts, by the runs between their blanks.
 
@@ -49,43 +55,83 @@ class _Runs:
         self.tokenizer = Tokenizer.from_file(path)
         self.runs: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.closes = self._closing()
+
+    def _closing(self) -> np.ndarray | None:
+        """For each id whether it ends a word; None if the vocabulary does not mark the ends of words."""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix:
+            return None
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        closes = np.zeros(max(vocabulary.values(), default=-1) + 1, dtype=bool)
+        closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        return closes
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
-    def _learn(self, new: set[str]) -> None:
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters alone, from one text: the last id of each, and no other, closes a word."""
+        found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found[0].ids, dtype="<u4")
+        if self.closes is None or len(ids) and int(ids.max()) >= len(self.closes):
+            return self._encode(words)
+        ends = (np.flatnonzero(self.closes[ids]) * 4 + 4).tolist()
+        if len(ends) != len(words):
+            return self._encode(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, new: list[str]) -> None:
+        if not new:
+            return
         if len(self.words) >= CACHE_WORDS:
             self.words.clear()
-        parts: dict[str, tuple[str, ...]] = {}
-        for run in new:
-            low = run.lower()
-            word = low.rstrip(SIGNS)
-            if word.isalpha() and len(low) == len(run) and (word.isascii() or max(word) < "\u0250"):
-                parts[run] = (word, low[len(word) :]) if len(word) < len(low) else (word,)
-            else:
-                parts[run] = (run,)
-        words = list({w for ws in parts.values() for w in ws if w not in self.words})
-        for i in range(0, len(words), 1024):
-            self.words.update(zip(words[i : i + 1024], self._encode(words[i : i + 1024]), strict=True))
-        for run, ws in parts.items():
-            self.runs[run] = self.words[ws[0]] if len(ws) == 1 else self.words[ws[0]] + self.words[ws[1]]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        known = self.words
+        # all in one go: runs hold no line break, and lower-casing never shortens one
+        text = "\n".join(new)
+        lows = text.lower().split("\n")
+        if sum(map(len, lows)) + len(lows) - 1 != len(text):
+            lows = [low if len(low) == len(run) else "" for run, low in zip(new, lows, strict=True)]
+        words = [word if _plain(word := low.rstrip(SIGNS)) else run for run, low in zip(new, lows, strict=True)]
+        signs = [low[len(word) :] for low, word in zip(lows, words, strict=True)]
+        plain, other = [], []
+        for word in set(words).union(signs).difference(known):
+            (plain if _plain(word) and word == word.lower() else other).append(word)
+        for missing, encode in ((plain, self._encode_words), (other, self._encode)):
+            for i in range(0, len(missing), 1024):
+                known.update(zip(missing[i : i + 1024], encode(missing[i : i + 1024]), strict=True))
+        self.runs.update(zip(new, [known[w] + known[s] if s else known[w] for w, s in zip(words, signs, strict=True)], strict=True))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null as empty. Each different run is looked up once, and its ids are copied to its places."""
         if len(self.runs) >= CACHE_RUNS:
             self.runs.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {r for runs in split for r in runs}.difference(self.runs)
+        split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        places = split.flatten().dictionary_encode()
+        runs = places.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.runs.get, runs))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        new = [runs[i] for i in missing]
         self._learn(new)
-        result = [b"".join(map(self.runs.__getitem__, runs)) for runs in split]
-        for run in new:
+        for i, run in zip(missing, new, strict=True):
+            found[i] = self.runs[run]
             if len(run) > CACHE_CHARS:
                 del self.runs[run]
                 self.words.pop(run, None)
-        return result
-
-
-def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        ids, first = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        place = places.indices.to_numpy()
+        here = sizes[place]
+        ends = np.concatenate([[0], np.cumsum(here)])
+        data = ids[np.arange(ends[-1]) + np.repeat(first[place] - ends[:-1], here)].tobytes()
+        cuts = split.offsets.to_numpy()
+        cuts = (ends[cuts - cuts[0]] * 4).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _encoder(path: str) -> Callable[[pa.Array], list[bytes]]:
     known = worker_cache("token runs")
     if path not in known:
         known[path] = _Runs(path)
@@ -116,10 +162,9 @@ def pieces(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             out: list[tuple] = []
-            texts = ["" if t is None else t for t in batch["text"].to_pylist()]
-            for doc, ids in zip(batch["doc_id"].to_pylist(), encode(texts), strict=True):
+            for doc, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"]), strict=True):
                 ids += end
                 n = len(ids) // 4
                 for start in range(0, n, length):

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -469,6 +470,29 @@ def test_packing_is_whole_and_gapless(spark, real, edge, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_runs_are_learned_together():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rng = np.random.default_rng(4)
+    made = ["".join(rng.choice(list("abcdefgéñü"), 7)) for _ in range(500)]
+    texts = [
+        None, "", " ", "\n\n \n", "İstanbul ISTANBUL, ÀÉ!! don't it's a\tb\r\nc  d <|endoftext|>x 12ab ñandú!!?; Σίσυφος ΑΣ, ΑΣ",
+        "ªº µ!! A.B. a,b, $$$ %% İ i̇ ﬁ ǅ ŉ ẞ 'S 'LL x\u2003y", " ".join(made), " ".join(w.title() + "," for w in made[:50]),
+    ]
+    expected = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    runs = packing._Runs(path)
+    calls, encode = [], runs._encode
+    runs._encode = lambda words: calls.append(len(words)) or encode(words)
+    assert runs.encode(pa.array(texts).slice(2)) == expected[2:]
+    # words of letters are not handed over one by one
+    assert sum(calls) < 60
+    assert runs.encode(pa.array(texts)) == expected
+    # without marks at the ends of words they are, with the same ids
+    plain = packing._Runs(path)
+    plain.closes = None
+    assert plain.encode(pa.array(texts)) == expected
+
+
 def test_plan_places_every_piece_once_and_tightly():
     rng = np.random.default_rng(6)
     counts = {int(s): int(n) for s, n in enumerate(rng.poisson(40, 256), 1) if n}
