@@ -119,10 +119,8 @@ def worker_cache(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
-def fresh() -> None:
-    """Gives back the memory that earlier tasks of this Python worker have left: their tables, and what is free."""
-    sys.modules.pop("_promptloom_worker", None)
-    gc.collect()
+def release() -> None:
+    """Gives back the memory of this Python worker that is free but kept by its allocators."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -130,6 +128,13 @@ def fresh() -> None:
         pass
 
 
+def fresh() -> None:
+    """Gives back the memory that earlier tasks of this Python worker have left: their tables, and what is free."""
+    sys.modules.pop("_promptloom_worker", None)
+    gc.collect()
+    release()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(node, component)`` of every node of an edge: the smallest node reachable from it.
 

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import slices, worker_cache, written
+from promptloom.llm.common import fresh, release, slices, worker_cache, written
 
 #: Tokens of a length class. Pieces are placed as if they had the class's longest length.
 WIDTH = 8
@@ -29,6 +29,8 @@ RANK_BUCKETS = 256
 SIGNS = ",.!?;:%*#$&|"
 #: Entries of a worker's tables of token ids by text run and by word, and the longest run kept.
 CACHE_RUNS, CACHE_WORDS, CACHE_CHARS = 400_000, 600_000, 64
+#: Runs whose ids are copied to their places at once.
+GATHERED = 1 << 16
 #: The program ends when its number of sequences is proven to be within this share of the least.
 GAP = 2e-4
 #: A bound on the steps of the linear program; a program cut short still gives a valid packing.
@@ -40,6 +42,33 @@ def _plain(word: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
+class _Table:
+    """Texts and their ids end to end, so that an entry takes its own bytes and few more, not some hundred as an object."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.texts = pa.array([], pa.string())
+        self.ids, self.ends = np.empty(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def find(self, texts: pa.Array) -> np.ndarray:
+        """The place of each text, -1 if it is not known."""
+        found = pc.fill_null(pc.index_in(texts, value_set=self.texts), -1)
+        return found.to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, texts: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.texts = pa.concat_arrays([self.texts, texts])
+        self.ids = np.concatenate([self.ids, ids])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+
+def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in one array, and how many each has."""
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    return np.frombuffer(b"".join(ids), dtype="<u4"), sizes
+
+
 class _Runs:
     """Little-endian 32-bit ids of texts, by the runs between their blanks.
 
@@ -53,8 +82,7 @@ class _Runs:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.runs, self.words = _Table(), _Table()
         self.closes = self._closing()
 
     def _closing(self) -> np.ndarray | None:
@@ -83,12 +111,26 @@ class _Runs:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        if not new:
-            return
-        if len(self.words) >= CACHE_WORDS:
+    def _of_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of different words; those that were not known are remembered, unless they are long."""
+        if len(self.words.texts) >= CACHE_WORDS:
             self.words.clear()
-        known = self.words
+        place = self.words.find(pa.array(words, pa.string()))
+        there = np.flatnonzero(place >= 0)
+        first, past = self.words.ends[place[there]].tolist(), self.words.ends[place[there] + 1].tolist()
+        known = {words[i]: self.words.ids[a:b].tobytes() for i, a, b in zip(there.tolist(), first, past, strict=True)}
+        plain, other = [], []
+        for word in (words[i] for i in np.flatnonzero(place < 0).tolist()):
+            (plain if _plain(word) and word == word.lower() else other).append(word)
+        for missing, encode in ((plain, self._encode_words), (other, self._encode)):
+            for i in range(0, len(missing), 1024):
+                known.update(zip(missing[i : i + 1024], encode(missing[i : i + 1024]), strict=True))
+        short = [word for word in (*plain, *other) if len(word) <= CACHE_CHARS]
+        self.words.add(pa.array(short, pa.string()), *_joined([known[word] for word in short]))
+        return known
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """The ids of runs that are not remembered."""
         # all in one go: runs hold no line break, and lower-casing never shortens one
         text = "\n".join(new)
         lows = text.lower().split("\n")
@@ -96,44 +138,45 @@ class _Runs:
             lows = [low if len(low) == len(run) else "" for run, low in zip(new, lows, strict=True)]
         words = [word if _plain(word := low.rstrip(SIGNS)) else run for run, low in zip(new, lows, strict=True)]
         signs = [low[len(word) :] for low, word in zip(lows, words, strict=True)]
-        plain, other = [], []
-        for word in set(words).union(signs).difference(known):
-            (plain if _plain(word) and word == word.lower() else other).append(word)
-        for missing, encode in ((plain, self._encode_words), (other, self._encode)):
-            for i in range(0, len(missing), 1024):
-                known.update(zip(missing[i : i + 1024], encode(missing[i : i + 1024]), strict=True))
-        self.runs.update(zip(new, [known[w] + known[s] if s else known[w] for w, s in zip(words, signs, strict=True)], strict=True))
+        known = self._of_words(list(set(words).union(signs)))
+        return [known[w] + known[s] if s else known[w] for w, s in zip(words, signs, strict=True)]
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text; null as empty. Each different run is looked up once, and its ids are copied to its places."""
-        if len(self.runs) >= CACHE_RUNS:
+        if len(self.runs.texts) >= CACHE_RUNS:
             self.runs.clear()
         split = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         places = split.flatten().dictionary_encode()
-        runs = places.dictionary.to_numpy(zero_copy_only=False).tolist()
-        found = list(map(self.runs.get, runs))
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        new = [runs[i] for i in missing]
-        self._learn(new)
-        for i, run in zip(missing, new, strict=True):
-            found[i] = self.runs[run]
-            if len(run) > CACHE_CHARS:
-                del self.runs[run]
-                self.words.pop(run, None)
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
-        ids, first = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        at = self.runs.find(places.dictionary)
+        missing = np.flatnonzero(at < 0)
+        ids, ends = self.runs.ids, self.runs.ends
+        if len(missing):
+            new = places.dictionary.take(pa.array(missing))
+            learnt, n = _joined(self._learn(new.to_pylist()))
+            at[missing] = len(ends) - 1 + np.arange(len(missing))
+            short = pc.less_equal(pc.utf8_length(new), CACHE_CHARS).to_numpy(zero_copy_only=False)
+            self.runs.add(new.filter(pa.array(short)), learnt[np.repeat(short, n)], n[short])
+            ids, ends = np.concatenate([ids, learnt]), np.concatenate([ends, ends[-1] + np.cumsum(n)])
+        first, sizes = ends[at], ends[at + 1] - ends[at]
         place = places.indices.to_numpy()
         here = sizes[place]
         ends = np.concatenate([[0], np.cumsum(here)])
-        data = ids[np.arange(ends[-1]) + np.repeat(first[place] - ends[:-1], here)].tobytes()
+        data = np.empty(int(ends[-1]), dtype="<u4")
+        for i in range(0, len(place), GATHERED):
+            cut = ends[i : i + GATHERED + 1]
+            shift = np.repeat(first[place[i : i + GATHERED]] - cut[:-1], here[i : i + GATHERED])
+            data[cut[0] : cut[-1]] = ids[np.arange(cut[0], cut[-1]) + shift]
         cuts = split.offsets.to_numpy()
-        cuts = (ends[cuts - cuts[0]] * 4).tolist()
-        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        cuts = ends[cuts - cuts[0]].tolist()
+        return [data[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def _encoder(path: str) -> Callable[[pa.Array], list[bytes]]:
     known = worker_cache("token runs")
     if path not in known:
+        # what earlier stages have left would stand beside the tables for good
+        fresh()
+        known = worker_cache("token runs")
         known[path] = _Runs(path)
     return known[path].encode
 
@@ -162,7 +205,7 @@ def pieces(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4").tobytes()
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 3 << 20):
             out: list[tuple] = []
             for doc, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"]), strict=True):
                 ids += end
@@ -179,6 +222,9 @@ def pieces(
                 ],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
             )
+            # a worker's allocators would keep the most that any slice took
+            out.clear()
+            release()
 
     return docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")

@@ -1,7 +1,9 @@
 """Operators on texts against brute force, and their edge cases."""
 
+import gc
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -493,6 +495,26 @@ def test_runs_are_learned_together():
     assert plain.encode(pa.array(texts)) == expected
 
 
+def test_packing_remembers_runs_in_few_bytes():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = np.random.default_rng(5)
+    made = ["".join(w) for w in rng.choice(list("abcdefghij"), (30_000, 9))]
+    text = pa.array([" ".join(made)])
+    runs = packing._Runs(path)
+    gc.collect()
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    first = zlib.crc32(runs.encode(text)[0])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 150 * len(set(made))
+    # the second time no word is encoded, and the ids are the same
+    runs._encode_words = runs._encode = None
+    assert zlib.crc32(runs.encode(text)[0]) == first
+    assert first == zlib.crc32(np.array(runs.tokenizer.encode(" ".join(made), add_special_tokens=False).ids, dtype="<u4").tobytes())
+
+
 def test_plan_places_every_piece_once_and_tightly():
     rng = np.random.default_rng(6)
     counts = {int(s): int(n) for s, n in enumerate(rng.poisson(40, 256), 1) if n}
