@@ -16,12 +16,11 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.common import Words, crc32_text, keep_ids, mix, slices, text_bytes, written
+from promptloom.llm.common import Words, crc32_text, fresh, keep_ids, mix, slices, text_bytes, written
 
 #: The classifier is fitted on so many labelled rows at most.
 MAX_LABELLED = 20_000
@@ -69,6 +68,7 @@ def word_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """``(word, n)`` of the lower-cased letter runs of all texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in slices(batches, column):
             counts: Counter[str] = Counter()
             for text in batch[column].to_pylist():
@@ -90,6 +90,7 @@ def character_model(counts: DataFrame) -> np.ndarray:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             seen: Counter[int] = Counter()
             for word, n in zip(batch["word"].to_pylist(), batch["n"].to_pylist(), strict=True):
@@ -226,14 +227,23 @@ class Model:
         """Probability between 0 and 1 that a text is toxic; null counts as empty."""
         characters, weights, bias = self.characters, self.weights, self.bias
 
-        def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            fresh()
             restorer = Restorer(characters, weights)
             for part in parts:
-                sums = [bias + sum(weights[w] for w in restorer.words(t)) if t else bias for t in part]
-                yield pd.Series(1 / (1 + np.exp(-np.array(sums, dtype=np.float64))))
+                # some texts at a time, so that they do not all stand beside the batch as objects
+                sums = np.array(
+                    [
+                        bias + sum(weights[w] for w in restorer.words(t)) if t else bias
+                        for i in range(0, len(part), 256)
+                        for t in part.slice(i, 256).to_pylist()
+                    ],
+                    dtype=np.float64,
+                )
+                yield pa.array(1 / (1 + np.exp(-sums)), pa.float64())
 
-        run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-        return F.pandas_udf(run, "double")(text.cast("string"))
+        run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, "double")(text.cast("string"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -277,6 +287,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         restorer = Restorer(characters)
         for batch in slices(batches, "text"):
             found = [sorted(restorer.words(t)) if t else [] for t in batch["text"].to_pylist()]
